@@ -98,3 +98,28 @@ REPAIR_REPLACEMENTS = [
 # ---------------------------------------------------------------------------
 FRENCH_WORDS = ["le", "la", "du", "de", "un", "une", "et", "est", "au", "aux", "avec", "ce", "ces", "cette"]
 GERMAN_WORDS = ["der", "die", "das", "ein", "eine", "und", "ist", "von", "mit", "zu", "für", "in", "auf"]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: price availability filters (no-price patterns 5, quote terms 10)
+# ---------------------------------------------------------------------------
+NO_PRICE_PATTERNS = ["price not found", "not found", "not specified", "n/a", "unknown"]
+QUOTE_TERMS = [
+    "contact", "quote", "custom", "call", "inquiry", "request",
+    "enterprise", "estimate", "consultation", "quotation",
+]
+HIDDEN_FIELD_VALUES = ["none", "nan", ""]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: confidence bands, tag labels, histogram of confidences
+# ---------------------------------------------------------------------------
+HIGH_CONFIDENCE = 0.7
+MEDIUM_CONFIDENCE = 0.4
+TAG_LABELS = ["Product & Price", "Product Only", "Price Only", "Neither"]
+CONFIDENCE_BINS = 10
+CONFIDENCE_RANGE = (0.0, 100.0)
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: manual edits
+# ---------------------------------------------------------------------------
+MANUAL_CONFIDENCE = 0.9
+NO_DESCRIPTION = "No description available"

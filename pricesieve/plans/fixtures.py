@@ -83,10 +83,37 @@ FROM (SELECT p_size, p_partkey, {line} AS line FROM part) AS t
 GROUP BY p_size"""
 
 
+def _tagged(d: Dialect) -> str:
+    return """
+SELECT doc_id AS chunk_id,
+       'https://docs.example.com/' || CAST(doc_id AS STRING) AS url,
+       CASE WHEN doc_id % 13 = 0 THEN NULL ELSE quality = 1 END AS has_product_info,
+       CASE WHEN doc_id % 11 = 0 THEN NULL ELSE toxic = 1 END AS has_price_info,
+       CASE WHEN doc_id % 17 = 0 THEN NULL
+            WHEN doc_id % 19 = 0 THEN -5.0
+            ELSE CAST(doc_id % 101 AS DOUBLE) END AS confidence
+FROM labels"""
+
+
+def _edits(d: Dialect) -> str:
+    return """
+SELECT row_id AS edit_id,
+       CASE row_id % 50 WHEN 1 THEN 'insert' WHEN 2 THEN 'update' ELSE 'delete' END AS op,
+       CASE WHEN row_id % 50 = 1 THEN row_id + 1000000000 ELSE row_id END AS row_id,
+       CASE WHEN row_id % 100 = 1 THEN '' ELSE 'Edited ' || product_name END AS new_name,
+       upper(coalesce(category, 'misc')) AS new_category,
+       CASE WHEN row_id % 3 = 0 THEN '' ELSE '$9.99' END AS new_price,
+       CASE WHEN row_id % 4 = 0 THEN NULL ELSE 'manual note' END AS new_description,
+       source_url
+FROM fx_products WHERE row_id % 50 IN (1, 2, 3)"""
+
+
 # name -> (dependencies, sql builder)
 FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_products": ((), _products),
     "fx_listing_text": ((), _listing_text),
+    "fx_tagged": ((), _tagged),
+    "fx_edits": (("fx_products",), _edits),
 }
 
 
