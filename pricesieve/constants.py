@@ -123,3 +123,37 @@ CONFIDENCE_RANGE = (0.0, 100.0)
 # ---------------------------------------------------------------------------
 MANUAL_CONFIDENCE = 0.9
 NO_DESCRIPTION = "No description available"
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES (ours): HTML handling.  Named entities decoded, in this order
+# ('&amp;' last so that an escaped entity is decoded once), and block tags that
+# start a new line in the block-text form.
+# ---------------------------------------------------------------------------
+HTML_ENTITIES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
+    ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
+    ("&euro;", "€"), ("&pound;", "£"), ("&amp;", "&"),
+]
+HTML_DROP_BLOCKS = ["script", "style", "template"]
+HTML_BLOCK_TAGS = [
+    "p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table",
+    "article", "section", "header", "footer", "nav", "title", "blockquote", "pre", "hr",
+]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: chunking defaults (function default 4000/200, interface default 500)
+# ---------------------------------------------------------------------------
+CHUNK_SIZE = 4000
+CHUNK_OVERLAP = 200
+UI_CHUNK_SIZE = 500
+CONTEXT_WINDOW = 50
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: document metadata keys with their source keys
+# ---------------------------------------------------------------------------
+DOC_METADATA_KEYS = [
+    ("title", "title"), ("author", "author"), ("subject", "subject"), ("keywords", "keywords"),
+    ("creator", "creator"), ("producer", "producer"), ("creation_date", "creationDate"),
+    ("modification_date", "modDate"),
+]

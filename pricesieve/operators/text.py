@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricesieve import constants as K
 from pricesieve.functions.text import pystrip
 
 
@@ -19,3 +20,251 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_blank:
     if not keep_blank:
         out = out.filter(F.col("line") != "")
     return out
+
+
+# ----------------------------------------------------------------- HTML
+def html_text(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Page text as the crawler keeps it (one line, white space collapsed)."""
+    from pricesieve.functions.html import html_text as _t
+    return pages.withColumn("content", _t(F.col(html))).drop(html)
+
+
+def html_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Page text for chunking (block elements on their own lines)."""
+    from pricesieve.functions.html import html_blocks as _b
+    return pages.withColumn("text", _b(F.col(html))).drop(html)
+
+
+# ------------------------------------------------------------- chunking
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", url: str | None = "url",
+           size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
+    """Sliding character windows; start advances by ``size - overlap`` while it is
+    inside the text, so the last windows may be pure overlap.  Rows without text give no
+    chunks; a missing url reads as 'unknown'."""
+    if size <= overlap:
+        raise ValueError("chunk size must exceed the overlap (the step would not advance)")
+    step = size - overlap
+    d = docs.filter(F.col(text).isNotNull() & (F.length(text) > 0))
+    url_col = F.coalesce(F.col(url), F.lit("unknown")) if url and url in docs.columns else F.lit("unknown")
+    starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))
+    return d.select(
+        key, url_col.alias("url"),
+        F.posexplode(F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(text, s + 1, size).alias("text"))))
+        .alias("chunk_no", "c"),
+    ).select(key, "url", "chunk_no", F.col("c.start").alias("start"), F.col("c.text").alias("text"))
+
+
+# -------------------------------------------------------- language
+def _count_in(words_col, words):
+    arr = F.array(*[F.lit(w) for w in words])
+    return F.size(F.filter(words_col, lambda x: F.array_contains(arr, x)))
+
+
+def lang_guess(docs: DataFrame, text: str = "text", target: str = "en") -> DataFrame:
+    """Stop-word vote French vs German (winner must beat the other and exceed 5),
+    else English; needs_translation when the guess is neither the target nor English."""
+    words = F.split(F.lower(F.col(text)), r"(?U)[\s\x{1c}-\x{1f}]+")
+    fr, de = _count_in(words, K.FRENCH_WORDS), _count_in(words, K.GERMAN_WORDS)
+    d = docs.withColumn("fr_hits", fr).withColumn("de_hits", de)
+    lang = (
+        F.when((F.col("fr_hits") > F.col("de_hits")) & (F.col("fr_hits") > 5), "fr")
+        .when((F.col("de_hits") > F.col("fr_hits")) & (F.col("de_hits") > 5), "de")
+        .otherwise("en")
+    )
+    d = d.withColumn("detected_language", lang)
+    return d.withColumn(
+        "needs_translation", (F.col("detected_language") != target) & (F.col("detected_language") != "en")
+    )
+
+
+# ---------------------------------------------------------- repairs (C7a-c)
+def repair_runs(c):
+    """A run of more than two equal characters (case-insensitive): an ASCII letter
+    keeps one, anything else keeps two (the run's first character, twice)."""
+    c = F.regexp_replace(c, r"(?iu)([a-z])\1{2,}", "$1")
+    return F.regexp_replace(c, r"(?isu)([^a-z])\1{2,}", "$1$1")
+
+
+def repair_pairs(c):
+    """A pair followed by itself (case-insensitive) is kept once, scanning left to right."""
+    return F.regexp_replace(c, r"(?isu)(..)\1", "$1")
+
+
+def repair_dict(c, pairs=K.REPAIR_REPLACEMENTS):
+    """Literal replacements, in order."""
+    for old, new in pairs:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def repair_text(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The three passes; texts shorter than 2 characters pass unchanged, the pair pass
+    needs at least 4 characters."""
+    t = F.col(text)
+    once = repair_runs(t)
+    twice = F.when(F.length(once) >= 4, repair_pairs(once)).otherwise(once)
+    fixed = repair_dict(twice)
+    return docs.withColumn(text, F.when(t.isNull() | (F.length(t) < 2), t).otherwise(fixed))
+
+
+# --------------------------------------------------- page text assembly
+def doc_text(pages: DataFrame, key: str = "doc_id", page: str = "page_no", text: str = "text",
+             sep: str = "\n\n") -> DataFrame:
+    """Page texts joined in page order.  One output row per document."""
+    agg = pages.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce(F.col(text), F.lit("")).alias("t")))).alias("ps")
+    )
+    return agg.select(key, F.array_join(F.transform("ps", lambda x: x["t"]), sep).alias("text"))
+
+
+def _joined(pages, key, page, col, sep, skip_empty):
+    t = F.coalesce(F.col(col), F.lit(""))
+    ps = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), t.alias("t"))))
+    if skip_empty:
+        ps = F.filter(ps, lambda x: x["t"] != "")
+    return F.array_join(F.transform(ps, lambda x: x["t"]), sep)
+
+
+def text_first(pages: DataFrame, key: str = "doc_id", page: str = "page_no",
+               cols=("text_a", "text_b", "text_c")) -> DataFrame:
+    """Per document the first extractor whose joined text is not blank.  The first
+    joins every page with '\\n', the others join only non-empty pages; when all are
+    blank the last one is returned."""
+    a, b, c = cols
+    agg = pages.groupBy(key).agg(
+        _joined(pages, key, page, a, "\n", False).alias("ta"),
+        _joined(pages, key, page, b, "\n", True).alias("tb"),
+        _joined(pages, key, page, c, "\n", True).alias("tc"),
+    )
+    nb = lambda x: pystrip(F.col(x)) != ""
+    return agg.select(key, F.when(nb("ta"), F.col("ta")).when(nb("tb"), F.col("tb")).otherwise(F.col("tc")).alias("text"))
+
+
+def text_all(pages: DataFrame, key: str = "doc_id", page: str = "page_no",
+             cols=("text_a", "text_b", "text_c")) -> DataFrame:
+    """Every extractor's pages, each followed by a blank line, concatenated; stripped."""
+    parts = []
+    for c in cols:
+        t = F.coalesce(F.col(c), F.lit(""))
+        ps = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.concat(t, F.lit("\n\n")).alias("t"))))
+        parts.append(F.array_join(F.transform(ps, lambda x: x["t"]), ""))
+    return pages.groupBy(key).agg(pystrip(F.concat(*parts)).alias("text"))
+
+
+# ------------------------------------------------------------- tables
+def table_header(cells: DataFrame) -> DataFrame:
+    """Per table (doc, page, table) drop tables without any non-empty cell; when the
+    first row has no null cell it becomes the header.  Output: one row per data cell with
+    its column name (header text, else the column position)."""
+    t = ["doc_id", "page_no", "table_no"]
+    stats = cells.groupBy(*t).agg(
+        (F.max("col_no") + 1).alias("n_cols"),
+        F.min("row_no").alias("first_row"),
+        F.count_if(F.coalesce(F.col("cell") != "", F.lit(False))).alias("filled"),
+    ).filter(F.col("filled") > 0)
+    first = cells.join(stats.select(*t, F.col("first_row").alias("row_no")), [*t, "row_no"])
+    hdr_ok = first.groupBy(*t).agg(F.count(F.col("cell")).alias("n_hdr"))
+    tab = stats.join(hdr_ok, t, "left").withColumn(
+        "promoted", F.coalesce(F.col("n_hdr"), F.lit(0)) == F.col("n_cols")
+    )
+    names = first.select(*t, "col_no", F.col("cell").alias("column_name"))
+    body = cells.join(tab.select(*t, "first_row", "promoted"), t)
+    body = body.filter(~(F.col("promoted") & (F.col("row_no") == F.col("first_row"))))
+    body = body.join(names, [*t, "col_no"], "left")
+    return body.select(
+        *t, "row_no", "col_no",
+        F.when(F.col("promoted"), F.col("column_name")).otherwise(F.col("col_no").cast("string")).alias("column_name"),
+        "cell",
+    )
+
+
+def table_rows(cells: DataFrame) -> DataFrame:
+    """First row gives the headers (stripped text, blank or null -> 'Column{k}'); each
+    later row maps header -> stripped cell ('' for a missing cell); cells beyond the header
+    width are dropped.  Tables are numbered per page from 1 in table order."""
+    t = ["doc_id", "page_no", "table_no"]
+    first_row = cells.groupBy(*t).agg(F.min("row_no").alias("first_row"))
+    c = cells.join(first_row, t)
+    hdr = c.filter(F.col("row_no") == F.col("first_row")).select(
+        *t, "col_no",
+        F.when(F.coalesce(F.col("cell"), F.lit("")) != "", pystrip("cell"))
+        .otherwise(F.concat(F.lit("Column"), F.col("col_no").cast("string"))).alias("header"),
+    )
+    body = c.filter(F.col("row_no") > F.col("first_row")).join(hdr, [*t, "col_no"])
+    body = body.select(
+        *t, "row_no", "col_no", "header",
+        F.when(F.coalesce(F.col("cell"), F.lit("")) != "", pystrip("cell")).otherwise(F.lit("")).alias("value"),
+    )
+    from pyspark.sql import Window
+    num = first_row.select(*t).withColumn(
+        "table_number", F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("table_no"))
+    )
+    return body.join(num, t).select("doc_id", F.col("page_no").alias("page"), "table_number", "row_no", "col_no",
+                                    "header", "value")
+
+
+def table_blocks(spans: DataFrame) -> DataFrame:
+    """C11: text blocks with more than two lines whose lines all have the same span count,
+    greater than one, are tables."""
+    per_line = spans.groupBy("doc_id", "block_no", "line_no").agg(F.count(F.lit(1)).alias("n_spans"))
+    return (
+        per_line.groupBy("doc_id", "block_no")
+        .agg(F.count(F.lit(1)).alias("n_lines"), F.min("n_spans").alias("lo"), F.max("n_spans").alias("hi"))
+        .filter((F.col("n_lines") > 2) & (F.col("lo") == F.col("hi")) & (F.col("lo") > 1))
+        .select("doc_id", "block_no", "n_lines", F.col("lo").alias("n_columns"))
+    )
+
+
+# -------------------------------------------------------- classification
+def menu_docs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Likely menu when >= 5 price kinds occur (4 exist, so never), or >= 2 section
+    words occur as whole words, or >= 3 item-with-price matches.
+
+    Every regex runs only on texts that contain its literal anchor (a cheap substring
+    test), so long texts without prices or section words cost one scan each.
+    """
+    t = F.col(text)
+    low = F.lower(t)
+    has_dollar, has_euro = t.contains("$"), t.contains("€")
+    anchors = {0: has_dollar, 1: has_euro, 2: t.contains("£"), 3: F.lit(True)}
+    kinds = sum(F.when(anchors[i], t.rlike(p)).otherwise(False).cast("int")
+                for i, p in enumerate(K.MENU_PRICE_KINDS))
+    sections = sum(
+        F.when(low.contains(w), low.rlike(r"(?U)\b" + w + r"\b")).otherwise(False).cast("int")
+        for w in K.MENU_SECTION_WORDS
+    )
+    fmt_anchor = [has_dollar & t.contains("...."), has_dollar, has_euro]
+    formats = sum(
+        F.when(a, F.size(F.regexp_extract_all(t, F.lit("(?U)" + p), 0))).otherwise(0)
+        for a, p in zip(fmt_anchor, K.MENU_ITEM_FORMATS)
+    )
+    d = docs.withColumn("price_kinds", kinds).withColumn("section_hits", sections).withColumn("format_hits", formats)
+    return d.withColumn(
+        "is_menu", (F.col("price_kinds") >= 5) | (F.col("section_hits") >= 2) | (F.col("format_hits") >= 3)
+    )
+
+
+# ------------------------------------------------------ context, metrics
+def context(df: DataFrame, text: str, target: str, window: int = K.CONTEXT_WINDOW) -> DataFrame:
+    """Text around the first occurrence of target, ``window`` characters each side;
+    '' when absent."""
+    pos = F.instr(F.col(text), F.col(target)) - 1
+    start = F.greatest(pos - window, F.lit(0))
+    end = F.least(F.length(text), pos + F.length(target) + window)
+    ctx = F.when(pos < 0, F.lit("")).otherwise(F.substring(F.col(text), start + 1, end - start))
+    return df.withColumn("context", ctx)
+
+
+def text_metrics(docs: DataFrame, text: str = "text", tables: str | None = None) -> DataFrame:
+    """C14/C17: words (white-space split), characters, success (text not empty), tables."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    words = F.size(F.filter(F.split(t, r"(?U)[\s\x{1c}-\x{1f}]+"), lambda w: w != ""))
+    out = docs.withColumn("word_count", words).withColumn("character_count", F.length(t)) \
+        .withColumn("extraction_success", t != "")
+    return out.withColumn("num_tables", F.coalesce(F.col(tables), F.lit(0)) if tables else F.lit(0))
+
+
+def doc_metadata(docs: DataFrame, meta: str = "metadata", keys=K.DOC_METADATA_KEYS) -> DataFrame:
+    """Named metadata keys with '' for missing ones."""
+    cols = [F.coalesce(F.element_at(F.col(meta), F.lit(src)), F.lit("")).alias(name) for name, src in keys]
+    return docs.select(*[c for c in docs.columns if c != meta], *cols)

@@ -24,6 +24,19 @@ class Dialect:
             return f"listagg({expr}, {sep}) WITHIN GROUP (ORDER BY {order})"
         return f"string_agg({expr}, {sep} ORDER BY {order})"
 
+    def series(self, table: str, upto: str, alias: str = "i") -> str:
+        """FROM clause: each row of ``table`` with ``alias`` running 0..upto (lateral)."""
+        if self.name == "spark":
+            return f"{table} LATERAL VIEW explode(sequence(0, {upto})) g AS {alias}"
+        return f"{table}, generate_series(0, {upto}) AS g({alias})"
+
+    def str_map(self, pairs) -> str:
+        keys = ", ".join(k for k, _ in pairs)
+        vals = ", ".join(v for _, v in pairs)
+        if self.name == "spark":
+            return f"map_from_arrays(array({keys}), array({vals}))"
+        return f"map([{keys}], [{vals}])"
+
 
 SPARK = Dialect("spark")
 DUCKDB = Dialect("duckdb")
@@ -108,11 +121,63 @@ SELECT row_id AS edit_id,
 FROM fx_products WHERE row_id % 50 IN (1, 2, 3)"""
 
 
+def _doc_pages(d: Dialect) -> str:
+    page = "substring(text, i * 500 + 1, 500)"
+    return f"""
+SELECT doc_id, CAST(i AS INT) AS page_no,
+       CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE {page} END AS text_a,
+       CASE WHEN i % 3 = 1 THEN NULL WHEN doc_id % 5 = 0 THEN '' ELSE {page} END AS text_b,
+       {page} AS text_c
+FROM {d.series("(SELECT doc_id, text FROM documents WHERE length(text) > 0) AS dd",
+               "CAST(ceil(length(text) / 500.0) AS INT) - 1")}"""
+
+
+def _cells(d: Dialect) -> str:
+    t = """CAST(floor(l_orderkey / 8) AS BIGINT) AS doc_id,
+       CAST(floor((l_orderkey % 8) / 4) AS INT) AS page_no,
+       CAST(l_orderkey % 4 AS INT) AS table_no"""
+    empty = "l_orderkey % 13 = 0"
+    return f"""
+SELECT {t}, 0 AS row_no, 0 AS col_no, CASE WHEN {empty} THEN '' ELSE 'Quantity' END AS cell
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) o
+UNION ALL SELECT {t}, 0, 1, CASE WHEN {empty} THEN '' ELSE ' Price ' END FROM (SELECT DISTINCT l_orderkey FROM lineitem) o
+UNION ALL SELECT {t}, 0, 2, CASE WHEN {empty} THEN NULL WHEN l_orderkey % 7 = 0 THEN '' ELSE 'Flag' END
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) o
+UNION ALL SELECT {t}, 0, 3, CASE WHEN {empty} OR l_orderkey % 5 = 0 THEN NULL ELSE 'Status' END
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) o
+UNION ALL SELECT {t}, l_linenumber, 0, CASE WHEN {empty} THEN '' ELSE printf('%.2f', l_quantity) END FROM lineitem
+UNION ALL SELECT {t}, l_linenumber, 1, CASE WHEN {empty} THEN '' ELSE printf('%.2f', l_extendedprice) END
+FROM lineitem
+UNION ALL SELECT {t}, l_linenumber, 2, CASE WHEN {empty} THEN NULL ELSE ' ' || l_returnflag END FROM lineitem
+UNION ALL SELECT {t}, l_linenumber, 3, CASE WHEN {empty} OR l_linenumber % 3 = 0 THEN NULL ELSE l_linestatus END
+FROM lineitem"""
+
+
+def _spans(d: Dialect) -> str:
+    t = """CAST(floor(l_orderkey / 8) AS BIGINT) AS doc_id, CAST(l_orderkey % 8 AS INT) AS block_no,
+       CAST(l_linenumber AS INT) AS line_no"""
+    return f"""
+SELECT {t}, 0 AS span_no, l_returnflag AS text FROM lineitem
+UNION ALL SELECT {t}, 1, l_linestatus FROM lineitem WHERE l_orderkey % 3 <> 0 OR l_linenumber % 2 = 0
+UNION ALL SELECT {t}, 2, printf('%.2f', l_tax) FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber % 3 = 0"""
+
+
+def _doc_meta(d: Dialect) -> str:
+    m = d.str_map([("'title'", "'Doc ' || CAST(doc_id AS STRING)"), ("'author'", "source"),
+                   ("'creationDate'", "'D:2024'"), ("'lang'", "lang")])
+    return f"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE {m} END AS metadata FROM documents"""
+
+
 # name -> (dependencies, sql builder)
 FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_products": ((), _products),
     "fx_listing_text": ((), _listing_text),
     "fx_tagged": ((), _tagged),
+    "fx_doc_pages": ((), _doc_pages),
+    "fx_cells": ((), _cells),
+    "fx_spans": ((), _spans),
+    "fx_doc_meta": ((), _doc_meta),
     "fx_edits": (("fx_products",), _edits),
 }
 
