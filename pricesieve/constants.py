@@ -157,3 +157,13 @@ DOC_METADATA_KEYS = [
     ("creator", "creator"), ("producer", "producer"), ("creation_date", "creationDate"),
     ("modification_date", "modDate"),
 ]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: link handling (schemes skipped when collecting PDF links)
+# ---------------------------------------------------------------------------
+NON_WEB_SCHEMES = ["mailto:", "tel:"]
+PDF_SUFFIX = ".pdf"
+PDF_CONTENT_TYPE = "application/pdf"
+MENU_WORD = "menu"
+MAX_RETRIES = 3
+THIN_CONTENT_CHARS = 500

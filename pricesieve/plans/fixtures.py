@@ -169,6 +169,39 @@ def _doc_meta(d: Dialect) -> str:
 SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE {m} END AS metadata FROM documents"""
 
 
+def _links(d: Dialect) -> str:
+    url = "'https://h' || CAST({k} % 3 AS STRING) || '.example.com/p/' || CAST({k} AS STRING)"
+    parts = []
+    for j in (1, 2, 3):
+        dst = f"(3 * p_partkey + {j}) % (SELECT count(*) FROM part)"
+        frag = " || CASE WHEN p_partkey % 10 = 0 THEN '#top' ELSE '' END" if j == 3 else ""
+        parts.append(f"SELECT {url.format(k='p_partkey')} AS src, {j} AS pos, {url.format(k=dst)}{frag} AS dst FROM part")
+    return "\nUNION ALL ".join(parts)
+
+
+def _hrefs(d: Dialect) -> str:
+    forms = ["/a", "a/b", "../c", "?q=1", "//cdn.example.org/x", "#t", "mailto:info@example.com",
+             "https://other.example.net/doc.pdf", "files/menu.PDF", "/docs/pdf/guide", "/get?download=pdf",
+             "./d/./e", "tel:123", "x/../../y", "", "menu/../price-list.pdf#p2", "HTTP://Up.example.com/Z"]
+    rows = []
+    for i, f in enumerate(forms):
+        ct = {0: "'application/pdf'", 1: "'text/html'"}.get(i % 4, "NULL")
+        cd = """'attachment; filename="x.pdf"'""" if i == 3 else "NULL"
+        rows.append(f"SELECT page_id, url AS base_url, {i} AS pos, '{f}' AS href, CAST({ct} AS STRING) AS content_type, "
+                    f"CAST({cd} AS STRING) AS content_disposition FROM pages")
+    return "\nUNION ALL ".join(rows)
+
+
+def _fetch_log(d: Dialect) -> str:
+    return """
+SELECT 'https://site' || CAST(user_id % 7 AS STRING) || '.example.com/u/' || CAST(user_id AS STRING) AS url,
+       CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS attempt,
+       CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'timeout' ELSE 'ok' END AS status,
+       CASE WHEN event_type IN ('error', 'signup') THEN NULL
+            ELSE repeat('x', CAST(floor(value * 20) AS INT)) END AS text
+FROM events"""
+
+
 # name -> (dependencies, sql builder)
 FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_products": ((), _products),
@@ -178,6 +211,9 @@ FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_cells": ((), _cells),
     "fx_spans": ((), _spans),
     "fx_doc_meta": ((), _doc_meta),
+    "fx_links": ((), _links),
+    "fx_hrefs": ((), _hrefs),
+    "fx_fetch_log": ((), _fetch_log),
     "fx_edits": (("fx_products",), _edits),
 }
 
@@ -212,6 +248,8 @@ def with_fixtures(names, body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -71,3 +71,38 @@ def re2(pattern: str) -> str:
         out.append(ch)
         i += 1
     return "".join(out)
+
+
+URL_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def url_part(x: str, k: int) -> str:
+    p = f"regexp_extract({x}, '(?s){URL_RE}', {k})"
+    return f"lower({p})" if k == 1 else p
+
+
+def _dots(p: str) -> str:
+    p = f"regexp_replace({p}, '/(\\./)+', '/', 'g')"
+    p = f"regexp_replace({p}, '/\\.$', '/')"
+    for _ in range(4):
+        p = f"regexp_replace({p}, '/[^/]+/\\.\\.(/|$)', '/')"
+        p = f"regexp_replace({p}, '^/\\.\\.(/|$)', '/')"
+    return p
+
+
+def urljoin(base: str, href: str) -> str:
+    """The standard library's urljoin for http(s) bases, written with string functions."""
+    bs, bn, bp, bq = (url_part(base, k) for k in (1, 2, 3, 4))
+    hs, hp, hq, hf = url_part(href, 1), url_part(href, 3), url_part(href, 4), url_part(href, 5)
+    tail = f"(CASE WHEN {hq} <> '' THEN '?' || {hq} ELSE '' END || CASE WHEN {hf} <> '' THEN '#' || {hf} ELSE '' END)"
+    merged = f"(CASE WHEN starts_with({hp}, '/') THEN {hp} ELSE regexp_replace({bp}, '[^/]*$', '') || {hp} END)"
+    return f"""(CASE WHEN {href} IS NULL THEN NULL
+      WHEN {href} = '' THEN {base}
+      WHEN {hs} <> '' AND {hs} <> {bs} THEN {href}
+      WHEN starts_with({href}, '//') THEN {bs} || ':' || {href}
+      WHEN regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN {bs} || ':' || regexp_extract({href}, '^[^:]*:(.*)$', 1)
+      WHEN {hp} = '' THEN {bs} || '://' || {bn} || {bp}
+           || CASE WHEN {hq} <> '' THEN '?' || {hq} WHEN {bq} <> '' THEN '?' || {bq} ELSE '' END
+           || CASE WHEN {hf} <> '' THEN '#' || {hf} ELSE '' END
+      ELSE {bs} || '://' || {bn} || {_dots(f"(CASE WHEN starts_with({merged}, '/') THEN {merged} ELSE '/' || {merged} END)")}
+           || {tail} END)"""
