@@ -167,3 +167,54 @@ PDF_CONTENT_TYPE = "application/pdf"
 MENU_WORD = "menu"
 MAX_RETRIES = 3
 THIN_CONTENT_CHARS = 500
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: stored model answers (tag defaults, product defaults in order)
+# ---------------------------------------------------------------------------
+TAG_PARSE_FAILED = "Failed to parse semantic analysis after multiple attempts"
+PRODUCT_DEFAULTS = [
+    ("product_name", UNKNOWN_PRODUCT),
+    ("price", PRICE_NOT_FOUND),
+    ("category", UNCATEGORIZED),
+    ("description", ""),
+    ("is_plan", "false"),
+    ("plan_features", ""),
+    ("trial_info", ""),
+    ("provider", ""),
+]
+FREE_PRICE = "$0"
+FREE_ORIGINAL = "Free"
+RELABEL_BELOW = 0.3
+SUGGEST_BELOW = 0.5
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: category validation (site sections 17, context indicators 11,
+# domains 7 with their keywords, heading marks 8, suggestion patterns 4)
+# ---------------------------------------------------------------------------
+SITE_SECTIONS = [
+    "home", "about", "contact", "about us", "faq", "services",
+    "products", "gallery", "portfolio", "shop", "blog", "news",
+    "main menu", "main", "footer", "header", "navigation",
+]
+SITE_SECTION_SUGGESTION = "Consider more specific product/service categories"
+CONTEXT_INDICATORS = [
+    "category", "service", "product", "offering", "package",
+    "plan", "option", "tier", "menu", "type", "section",
+]
+DOMAIN_KEYWORDS = [
+    ("photography", ["photo", "session", "shoot", "portrait", "wedding", "photography"]),
+    ("pet_services", ["dog", "cat", "pet", "groom", "walk", "sitting", "boarding"]),
+    ("food", ["menu", "dish", "appetizer", "entree", "dessert", "drink", "beverage"]),
+    ("legal", ["attorney", "lawyer", "legal", "consultation", "case", "advice"]),
+    ("automotive", ["fuel", "gas", "diesel", "premium", "regular", "repair", "maintenance"]),
+    ("beauty", ["salon", "spa", "hair", "nail", "facial", "massage", "treatment"]),
+    ("subscription", ["plan", "tier", "monthly", "annual", "subscription", "membership"]),
+]
+HEADING_MARKS = ["h1>", "h2>", "h3>", "h4>", "<strong>", "**", "section", "header"]
+SUGGESTION_PATTERNS = [
+    r"(?:our|available) ([a-z\s]{3,30}) services",
+    r"([a-z\s]{3,30}) packages?",
+    r"([a-z\s]{3,30}) options",
+    r"types of ([a-z\s]{3,30})",
+]
+MAX_SUGGESTIONS = 3

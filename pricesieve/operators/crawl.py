@@ -40,6 +40,14 @@ def ordered_rank(df: DataFrame, group: str, major: str, minor: str, bucket: int
     )
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (cuts lineage, survives executor loss), computed once."""
+    df = df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
+
+
 def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
               same_domain_only: bool = False, normalize_fragments: bool = False,
               max_levels: int | None = None) -> DataFrame:
@@ -49,22 +57,28 @@ def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
     each page in page order (``src`` without fragment).  Output (crawl_id, url, depth,
     rank) with rank < max_pages.  ``normalize_fragments`` makes 'x#a' and 'x' one URL
     (the crawler's other variant); by default URLs are compared as written.
+
+    One round per level; each level is checkpointed once and the seen set is the union
+    of the level tables, so no table is rewritten and lineage stays one level deep.
     """
     spark = starts.sparkSession
     ensure_checkpoint_dir(spark)
     ident = (lambda c: strip_fragment(c)) if normalize_fragments else (lambda c: c)
-    seen = starts.select("crawl_id", "start_url", F.col("start_url").alias("url"),
-                         F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"))
-    if max_pages is not None:
-        seen = seen.filter(F.lit(max_pages) > 0)
-    seen = seen.withColumn("ident", ident(F.col("url"))).checkpoint()
-    frontier = seen
-    counts = seen.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_seen"))
+    first_level = starts.select("crawl_id", "start_url", F.col("start_url").alias("url"),
+                                F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"))
+    if max_pages is not None and max_pages <= 0:
+        first_level = first_level.limit(0)
+    first_level = _materialize(first_level.withColumn("ident", ident(F.col("url"))))
+    levels = [first_level]
+    frontier = first_level
+    # URLs seen so far per crawl (ranks are dense, so this is also the next free rank)
+    counts = _materialize(first_level.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_seen")))
+    lk = links.select("src", "pos", "dst")
     level = 0
-    lk = links.select(F.col("src"), F.col("pos"), F.col("dst"))
-    while True:
-        if max_levels is not None and level >= max_levels:
-            break
+    while max_levels is None or level < max_levels:
+        seen = levels[0]
+        for lv in levels[1:]:
+            seen = seen.unionByName(lv)
         cand = frontier.join(lk, strip_fragment(frontier["url"]) == lk["src"]).select(
             "crawl_id", "start_url", F.col("rank").alias("parent_rank"), "pos", F.col("dst").alias("url"),
         )
@@ -82,11 +96,17 @@ def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
         )
         if max_pages is not None:
             new = new.filter(F.col("rank") < max_pages)
-        new = new.checkpoint()
+        new = _materialize(new)
         if new.isEmpty():
             break
-        seen = seen.unionByName(new).checkpoint()
-        counts = seen.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_seen")).checkpoint()
+        top = new.groupBy("crawl_id").agg((F.max("rank") + 1).alias("n_new"))
+        counts = _materialize(
+            counts.join(top, "crawl_id", "left").select("crawl_id", F.coalesce("n_new", "n_seen").alias("n_seen"))
+        )
+        levels.append(new)
         frontier = new
         level += 1
-    return seen.select("crawl_id", "url", "depth", "rank")
+    out = levels[0]
+    for lv in levels[1:]:
+        out = out.unionByName(lv)
+    return out.select("crawl_id", "url", "depth", "rank")

@@ -202,6 +202,44 @@ SELECT 'https://site' || CAST(user_id % 7 AS STRING) || '.example.com/u/' || CAS
 FROM events"""
 
 
+def _product_answers(d: Dialect) -> str:
+    cat = """CASE p_partkey % 7 WHEN 0 THEN lower(p_type) WHEN 1 THEN 'Uncategorized' WHEN 2 THEN 'home'
+                  WHEN 3 THEN 'pet grooming' WHEN 4 THEN 'Garden Tools' WHEN 5 THEN '' ELSE 'Wedding Photo' END"""
+    obj = ("'{\"product_name\": \"' || p_name || '\", \"price\": \"' || "
+           "CASE WHEN p_partkey % 3 = 0 THEN 'Free trial' ELSE '$' || printf('%.2f', p_retailprice) END || "
+           "'\", \"category\": \"' || " + cat + " || '\"' || "
+           "CASE WHEN p_partkey % 4 = 0 THEN ', \"provider\": \"' || p_brand || '\"' ELSE '' END || '}'")
+    second = "'{\"product_name\": \"' || upper(p_name) || '\", \"category\": \"services\"}'"
+    resp = f"""CASE p_partkey % 5
+         WHEN 0 THEN '[' || {obj} || ', ' || {second} || ']'
+         WHEN 1 THEN {obj}
+         WHEN 2 THEN '42'
+         WHEN 3 THEN 'Here you go:' || chr(10) || '```json' || chr(10) || '[' || {obj} || ']' || chr(10) || '```'
+         ELSE '{{"product_name": "' || p_name || '", ' END"""
+    text = """'Browse our ' || lower(p_type) || CASE WHEN p_partkey % 2 = 0 THEN ' category' ELSE ' range' END
+           || ' of ' || p_name || ' by ' || p_brand || '. <h2>Garden Supplies</h2> <strong>Dog walking</strong> '
+           || 'our ' || CASE WHEN p_partkey % 3 = 0 THEN 'repair' ELSE 'wedding' END || ' services and '
+           || lower(p_brand) || ' packages, types of tools. Photo sessions weekly.'"""
+    return f"""
+SELECT p_partkey AS chunk_id, 'https://' || lower(replace(p_brand, '#', '')) || '.example.com/shop' AS url,
+       {text} AS text, {resp} AS response
+FROM part"""
+
+
+def _tag_answers(d: Dialect) -> str:
+    return """
+SELECT d.doc_id AS chunk_id, 'https://docs.example.com/' || CAST(d.doc_id AS STRING) AS url,
+       CASE d.doc_id % 5
+         WHEN 0 THEN '{"has_product_info": ' || CASE WHEN l.quality = 1 THEN 'true' ELSE 'false' END
+                     || ', "has_price_info": ' || CASE WHEN l.toxic = 1 THEN 'true' ELSE 'false' END
+                     || ', "confidence": ' || CAST(d.doc_id % 101 AS STRING) || ', "reasoning": "lang ' || d.lang || '"}'
+         WHEN 1 THEN '```json' || chr(10) || '{"has_product_info": true, "confidence": 75}' || chr(10) || '```'
+         WHEN 2 THEN '```' || chr(10) || '{"has_price_info": true, "reasoning": "fenced"}' || chr(10) || '```'
+         WHEN 3 THEN '{"has_product_info": true, "confidence": '
+         ELSE '{}' END AS response
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+
+
 # name -> (dependencies, sql builder)
 FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_products": ((), _products),
@@ -212,6 +250,8 @@ FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_spans": ((), _spans),
     "fx_doc_meta": ((), _doc_meta),
     "fx_links": ((), _links),
+    "fx_product_answers": ((), _product_answers),
+    "fx_tag_answers": ((), _tag_answers),
     "fx_hrefs": ((), _hrefs),
     "fx_fetch_log": ((), _fetch_log),
     "fx_edits": (("fx_products",), _edits),
