@@ -218,3 +218,16 @@ SUGGESTION_PATTERNS = [
     r"types of ([a-z\s]{3,30})",
 ]
 MAX_SUGGESTIONS = 3
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: deduplication (weights in summation order, name boosts, patterns)
+# ---------------------------------------------------------------------------
+SIMILARITY_THRESHOLD = 0.8
+SWEEP_THRESHOLD = 0.7
+W_NAME, W_PRICE, W_PROVIDER, W_DURATION = 0.5, 0.2, 0.2, 0.1
+PROVIDER_BOOST, PROVIDER_BOOST_ABOVE = 0.15, 0.7
+DURATION_BOOST, DURATION_BOOST_ABOVE = 0.1, 0.6
+DURATION_PATTERN = r"(\d+)\s*(minute|min|hour|hr)s?"
+MALFORMED_PATTERN = r"[A-Za-z]+\s*-\s*[A-Za-z]+\s+Free.*\d+\s*minutes?\s*Powered"
+POWERED_BY_SUFFIX = r"\s*powered\s*by\s*\w+\s*$"
+QUALITY_PRICE, QUALITY_PROVIDER, QUALITY_DESCRIPTION, QUALITY_DURATION = 3, 2, 1, 1
