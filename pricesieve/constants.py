@@ -231,3 +231,16 @@ DURATION_PATTERN = r"(\d+)\s*(minute|min|hour|hr)s?"
 MALFORMED_PATTERN = r"[A-Za-z]+\s*-\s*[A-Za-z]+\s+Free.*\d+\s*minutes?\s*Powered"
 POWERED_BY_SUFFIX = r"\s*powered\s*by\s*\w+\s*$"
 QUALITY_PRICE, QUALITY_PROVIDER, QUALITY_DESCRIPTION, QUALITY_DURATION = 3, 2, 1, 1
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: completeness check (finding kinds, messages, score step)
+# ---------------------------------------------------------------------------
+SHORT_NAME_MIN = 3
+LOW_CONFIDENCE_BELOW = 0.4
+COMPLETENESS_STEP = 0.05
+COMPLETENESS_WARN_BELOW = 0.9
+FINDING_MESSAGES = [
+    ("missing_product_indicators", "Found {n} products with missing or very short names."),
+    ("missing_price_indicators", "Found {n} products with missing prices."),
+    ("missing_category_indicators", "Found {n} products with low category confidence."),
+]
