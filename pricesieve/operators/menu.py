@@ -19,3 +19,108 @@ def menu_line_end(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         (F.col("price") != "") & (F.length("item") > 3)
     )
     return out.withColumn("currency", F.lit("$"))
+
+
+_MARK = "\u0001"
+
+
+def _lines_all(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """All lines with their raw text and the stripped previous / next line."""
+    from pyspark.sql import Window
+    ln = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"))
+    w = Window.partitionBy(key).orderBy("line_no")
+    return ln.withColumn("prev", pystrip(F.lag("raw").over(w))).withColumn("next", pystrip(F.lead("raw").over(w)))
+
+
+def _matches(line, pattern: str):
+    """Array of (match_no, match, before, after) for every match of ``pattern`` in ``line``:
+    matches are wrapped in a control character and the line is split on it."""
+    pieces = F.split(F.regexp_replace(line, pattern, _MARK + "$0" + _MARK), _MARK)
+    n = F.floor((F.size(pieces) - 1) / 2).cast("int")
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+        lambda k: F.struct(
+            k.alias("match_no"), F.element_at(pieces, 2 * k).alias("m"),
+            F.array_join(F.slice(pieces, 1, 2 * k - 1), "").alias("before"),
+            F.array_join(F.slice(pieces, 2 * k + 1, F.size(pieces)), "").alias("after"),
+        ),
+    ), n
+
+
+def _tag_with(i: int):
+    # one-argument lambda: transform() passes the element index to two-argument lambdas
+    return lambda x: F.struct(F.lit(i).alias("pattern_no"), x.alias("x"))
+
+
+def _item_with(i: int):
+    return lambda x: F.struct(F.lit(i).alias("pattern_no"), x["item"].alias("item"), x["price"].alias("price"))
+
+
+def prices(docs: DataFrame, key: str = "doc_id", patterns=K.PRICE_PATTERNS) -> DataFrame:
+    """Every match of every currency pattern on every line: one row per
+    (line, pattern, match); a price can be found by several patterns."""
+    ln = _lines_all(docs, key)
+    found = []
+    for i, p in enumerate(patterns):
+        arr, n = _matches(F.col("raw"), "(?U)" + p)
+        found.append(F.when(n > 0, F.transform(arr, _tag_with(i)))
+                     .otherwise(F.array().cast(f"array<struct<pattern_no:int,x:struct<match_no:int,m:string,"
+                                               f"before:string,after:string>>>")))
+    out = ln.select(key, "line_no", "prev", "next", F.explode(F.concat(*found)).alias("f"))
+    return out.select(key, "line_no", "prev", "next", F.col("f.pattern_no").alias("pattern_no"),
+                      F.col("f.x.match_no").alias("match_no"), F.col("f.x.m").alias("price"),
+                      F.col("f.x.before").alias("before"), F.col("f.x.after").alias("after"))
+
+
+def line_items(docs: DataFrame, key: str = "doc_id", source_url: str | None = "source_url") -> DataFrame:
+    """A product per price match: name = text before the match, else the previous
+    line, else the text after, else the next line; leading digits / dots / spaces cut;
+    kept when longer than 3 characters."""
+    p = prices(docs, key)
+    before, after = pystrip(F.col("before")), pystrip(F.col("after"))
+    prev = F.coalesce(F.col("prev"), F.lit(""))
+    nxt = F.coalesce(F.col("next"), F.lit(""))
+    pre = F.when(before != "", before).otherwise(prev)
+    post = F.when(after != "", after).otherwise(nxt)
+    name = F.when(pre != "", pre).otherwise(post)
+    name = pystrip(F.regexp_replace(name, r"(?U)^[\d.\s]+", ""))
+    out = p.select(key, "line_no", "pattern_no", "match_no", name.alias("product_name"), "price")
+    out = out.filter(F.length("product_name") > 3)
+    return out.withColumn("category", F.lit("Extracted from PDF")).withColumn("extracted_by", F.lit("PDF Extractor"))
+
+
+def menu_sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Capital header lines (found between newlines) name the section of the items
+    below them ('General Menu' before the first); an item is the text before the first
+    price on a line, leading digits / dots / spaces cut."""
+    from pyspark.sql import Window
+    headers = docs.select(key, F.explode(F.array_distinct(
+        F.regexp_extract_all(F.col("text"), F.lit(K.SECTION_HEADER_PATTERN), 1))).alias("h"))
+    ln = docs.select(key, F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "raw"))
+    # a line is a header line when one of the document's headers occurs in it
+    hl = ln.join(headers, key).filter(F.instr(F.col("raw"), F.col("h")) > 0) \
+        .select(key, "line_no").distinct().withColumn("is_header", F.lit(True))
+    ln = ln.join(hl, [key, "line_no"], "left").withColumn("is_header", F.coalesce("is_header", F.lit(False)))
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    sect = F.last(F.when(F.col("is_header"), pystrip(F.col("raw"))), ignorenulls=True).over(w)
+    ln = ln.withColumn("category", F.coalesce(sect, F.lit(K.GENERAL_MENU)))
+    price = F.regexp_extract("raw", "(?U)" + K.SECTION_PRICE_PATTERN, 1)
+    items = ln.filter(~F.col("is_header")).withColumn("price", price).filter(F.col("price") != "")
+    name = pystrip(F.split_part(F.col("raw"), F.col("price"), F.lit(1)))
+    items = items.withColumn("nm", name).filter(F.col("nm") != "")
+    return items.select(key, "line_no", F.regexp_replace("nm", r"(?U)^[\d.\s]+", "").alias("product_name"),
+                        "price", "category")
+
+
+def menu_patterns(docs: DataFrame, key: str = "doc_id", patterns=K.MENU_ITEM_PATTERNS) -> DataFrame:
+    """Each item pattern over the whole text; name (group 1, stripped) of at least 3
+    characters; price (group 2) with ',' read as '.'."""
+    arrs = []
+    for i, p in enumerate(patterns):
+        z = F.arrays_zip(F.regexp_extract_all(F.col("text"), F.lit("(?U)" + p), 1).alias("item"),
+                         F.regexp_extract_all(F.col("text"), F.lit("(?U)" + p), 2).alias("price"))
+        arrs.append(F.transform(z, _item_with(i)))
+    out = docs.select(key, F.posexplode(F.concat(*arrs)).alias("pos", "f"))
+    out = out.select(key, "pos", F.col("f.pattern_no").alias("pattern_no"), pystrip(F.col("f.item")).alias("item"),
+                     F.replace(pystrip(F.col("f.price")), F.lit(","), F.lit(".")).alias("price"))
+    return out.filter(F.length("item") >= 3).withColumn("currency", F.lit("$"))

@@ -29,3 +29,88 @@ SELECT doc_id, line_no, item, price, '$' AS currency FROM (
 WHERE price <> '' AND length(item) > 3""")
 def q_menu_line_end(spark, sf):
     return menu.menu_line_end(fixture(spark, sf, "fx_listing_text"))
+
+
+# ------------------------------------------------------------ price lines
+from pricesieve import constants as K  # noqa: E402
+from pricesieve.plans import sqlfrag as S  # noqa: E402
+
+
+def _raw_lines_sql() -> str:
+    return f"""(SELECT doc_id, i - 1 AS line_no, parts[i] AS raw,
+        CASE WHEN i > 1 THEN {S.strip('parts[i - 1]')} END AS prev,
+        CASE WHEN i < len(parts) THEN {S.strip('parts[i + 1]')} END AS next
+     FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM fx_listing_text) s,
+          generate_series(1, len(parts)) AS g(i))"""
+
+
+def _prices_sql() -> str:
+    parts = []
+    for i, p in enumerate(K.PRICE_PATTERNS):
+        pieces = f"string_split(regexp_replace(raw, {S.q(S.re2(p))}, chr(1) || '\\0' || chr(1), 'g'), chr(1))"
+        parts.append(f"""SELECT doc_id, line_no, prev, next, {i} AS pattern_no, k AS match_no, pieces[2 * k] AS price,
+       array_to_string(pieces[1:2 * k - 1], '') AS before, array_to_string(pieces[2 * k + 1:], '') AS after
+FROM (SELECT *, {pieces} AS pieces FROM {_raw_lines_sql()} l) x,
+     generate_series(1, CAST(floor((len(pieces) - 1) / 2) AS BIGINT)) AS g(k)""")
+    return "(" + "\nUNION ALL ".join(parts) + ")"
+
+
+@register("prices", ["fx_listing_text"], f"SELECT * FROM {_prices_sql()} p")
+def q_prices(spark, sf):
+    return menu.prices(fixture(spark, sf, "fx_listing_text"))
+
+
+_NAME = f"""{S.strip(f"regexp_replace(CASE WHEN coalesce(pre, '') <> '' THEN pre ELSE post END, '^[0-9.{S.WS[1:-1]}]+', '')")}"""
+
+
+@register("line_items", ["fx_listing_text"], f"""
+SELECT doc_id, line_no, pattern_no, match_no, product_name, price, 'Extracted from PDF' AS category,
+       'PDF Extractor' AS extracted_by FROM (
+  SELECT *, {_NAME} AS product_name FROM (
+    SELECT *, CASE WHEN {S.strip('before')} <> '' THEN {S.strip('before')} ELSE coalesce(prev, '') END AS pre,
+              CASE WHEN {S.strip('after')} <> '' THEN {S.strip('after')} ELSE coalesce(next, '') END AS post
+    FROM {_prices_sql()} p) a) b
+WHERE length(product_name) > 3""")
+def q_line_items(spark, sf):
+    return menu.line_items(fixture(spark, sf, "fx_listing_text"))
+
+
+@register("menu_sections", ["fx_listing_text"], f"""
+WITH h AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {S.q(K.SECTION_HEADER_PATTERN)}, 1)) AS h
+           FROM fx_listing_text),
+l AS (SELECT doc_id, i - 1 AS line_no, parts[i] AS raw
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM fx_listing_text) s,
+           generate_series(1, len(parts)) AS g(i)),
+hl AS (SELECT DISTINCT l.doc_id, l.line_no FROM l JOIN h ON l.doc_id = h.doc_id AND instr(l.raw, h.h) > 0),
+m AS (SELECT l.*, hl.line_no IS NOT NULL AS is_header FROM l LEFT JOIN hl ON l.doc_id = hl.doc_id AND l.line_no = hl.line_no),
+c AS (SELECT *, coalesce(last_value(CASE WHEN is_header THEN {S.strip('raw')} END IGNORE NULLS)
+                 OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                 'General Menu') AS category,
+             regexp_extract(raw, {S.q(S.re2(K.SECTION_PRICE_PATTERN))}, 1) AS price FROM m),
+n AS (SELECT *, {S.strip("split_part(raw, price, 1)")} AS nm FROM c WHERE NOT is_header AND price <> '')
+SELECT doc_id, line_no, regexp_replace(nm, '^[0-9.{S.WS[1:-1]}]+', '') AS product_name, price, category
+FROM n WHERE nm <> ''""")
+def q_menu_sections(spark, sf):
+    return menu.menu_sections(fixture(spark, sf, "fx_listing_text"))
+
+
+def _pat_sql() -> str:
+    parts = []
+    for i, p in enumerate(K.MENU_ITEM_PATTERNS):
+        parts.append(f"list_transform(list_zip(regexp_extract_all(text, {S.q(S.re2(p))}, 1), "
+                     f"regexp_extract_all(text, {S.q(S.re2(p))}, 2)), lambda x: {{'pattern_no': {i}, "
+                     f"'item': x[1], 'price': x[2]}})")
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = f"list_concat({allp}, {p})"
+    return allp
+
+
+@register("menu_patterns", ["fx_listing_text"], f"""
+SELECT doc_id, pos, pattern_no, item, price, '$' AS currency FROM (
+  SELECT doc_id, i - 1 AS pos, f[i].pattern_no AS pattern_no, {S.strip('f[i].item')} AS item,
+         replace({S.strip('f[i].price')}, ',', '.') AS price
+  FROM (SELECT doc_id, {_pat_sql()} AS f FROM fx_listing_text) s, generate_series(1, len(f)) AS g(i)) x
+WHERE length(item) >= 3""")
+def q_menu_patterns(spark, sf):
+    return menu.menu_patterns(fixture(spark, sf, "fx_listing_text"))
