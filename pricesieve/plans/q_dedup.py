@@ -96,3 +96,9 @@ def q_dedup_sweep(spark, sf):
 def q_dedup_stats(spark, sf):
     p = _p(spark, sf)
     return edits.dedup_stats(p, dedup.deduplicate(p, K.SIMILARITY_THRESHOLD))
+
+
+@register("dedup_category_counts")
+def q_dedup_category_counts(spark, sf):
+    from pricesieve.plans.flows import catalogue_category_counts
+    return catalogue_category_counts(fixture(spark, sf, "fx_product_answers"))
