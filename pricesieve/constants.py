@@ -244,3 +244,60 @@ FINDING_MESSAGES = [
     ("missing_price_indicators", "Found {n} products with missing prices."),
     ("missing_category_indicators", "Found {n} products with low category confidence."),
 ]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: fuel retailer detection and pairing
+# ---------------------------------------------------------------------------
+FUEL_URL_WORDS = [
+    "loves", "shell", "bp", "exxon", "mobil", "chevron", "texaco", "marathon",
+    "conoco", "phillips", "citgo", "valero", "sunoco", "speedway", "flying-j",
+    "pilot", "circle-k", "76", "gas", "fuel", "petrol", "diesel",
+]
+FUEL_TEXT_WORDS = [
+    "unleaded", "diesel", "premium", "regular", "midgrade", "e85", "ethanol",
+    "propane", "def", "per gallon", "price per gallon", "fuel price", "gas price",
+]
+FUEL_TYPES_SHORT = ["UNLEADED", "AUTO DIESEL", "MIDGRADE", "PREMIUM", "DIESEL", "DEF", "PROPANE"]
+FUEL_TYPES = [
+    "UNLEADED", "REGULAR", "REGULAR UNLEADED",
+    "MIDGRADE", "PLUS", "MIDGRADE UNLEADED",
+    "PREMIUM", "SUPER", "PREMIUM UNLEADED",
+    "DIESEL", "AUTO DIESEL", "DIESEL #2",
+    "E85", "ETHANOL", "FLEX FUEL",
+    "DEF", "DIESEL EXHAUST FLUID",
+    "PROPANE", "CNG", "NATURAL GAS",
+]
+FUEL_PRICE_RE = r"\$(\d+\.\d+)"
+FUEL_NEAR_LINES = 5
+FUEL_REGEXES = [
+    r"(\$\d+\.\d+)\s*(per|\/)\s*(gal|gallon)\s*(for|of)?\s*([A-Za-z0-9\s]+)",
+    r"([A-Za-z0-9\s]+(?:gas|fuel|unleaded|diesel|premium|regular|midgrade))\s*(?:is|costs|:)?\s*(\$\d+\.\d+)",
+    r"(\$\d+\.\d+)\s*(?:per|\/|for)?\s*([A-Za-z0-9\s]+(?:gas|fuel|unleaded|diesel|premium|regular|midgrade))",
+]
+FUEL_CATEGORY_PATTERNS = [
+    r"(Regular|Unleaded|Premium|Diesel|Midgrade|Auto Diesel|DEF|Propane|E\d+|Ethanol|Gas)\s+\$?\d+\.?\d*",
+    r"\$\d+\.?\d*\s+(per|\/)\s+(gal|gallon)",
+    r"(fuel|gas|diesel|gasoline|petrol)\s+price",
+    r"\$\d+\.?\d*\s*\n\s*(Regular|Unleaded|Premium|Diesel|Midgrade|Auto Diesel|DEF|Propane|E\d+|Ethanol|Gas)",
+    r"\$\d+\.?\d*\s*\n\s*(UNLEADED|PREMIUM|DIESEL|MIDGRADE|AUTO DIESEL|DEF|PROPANE)",
+]
+FUEL_FALLBACK_NAMES = [
+    ("diesel", "Diesel Fuel"), ("premium", "Premium Gasoline"),
+    ("regular", "Regular Gasoline"), ("unleaded", "Regular Gasoline"),
+]
+FUEL_DEFAULT_NAME = "Fuel"
+FUEL_CATEGORY = "Fuel"
+FUEL_DESCRIPTION_PREFIX = "Fuel price at "
+LOVES_LOCATIONS = "loves.com/locations"
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: presentation style rules, in order (style, any-of words)
+# ---------------------------------------------------------------------------
+STYLE_RULES = [
+    ("table", ["<table", "</tr>", "</td>"]),
+    ("bullet_list", ["<li>", "•", "*"]),
+    ("grid", None),
+    ("menu", None),
+    ("packages", ["package", "plan", "tier", "subscription", "pricing"]),
+    ("fuel_prices", ["fuel", "gas", "diesel"]),
+]

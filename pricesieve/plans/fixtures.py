@@ -240,6 +240,26 @@ SELECT d.doc_id AS chunk_id, 'https://docs.example.com/' || CAST(d.doc_id AS STR
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 
+def _fuel_text(d: Dialect) -> str:
+    p = "'$' || printf('%.2f', 2 + (s_acctbal % 100) / 100 + {k})"
+    nl = "chr(10)"
+    url = """CASE s_suppkey % 3 WHEN 0 THEN 'https://www.shell-' || CAST(s_suppkey AS STRING) || '.example.com/station'
+                  WHEN 1 THEN 'https://stations.example.com/loves.com/locations/' || CAST(s_suppkey AS STRING)
+                  ELSE 'https://shop.example.com/s/' || CAST(s_suppkey AS STRING) END"""
+    text = f"""CASE s_suppkey % 4
+      WHEN 0 THEN 'Station ' || s_name || {nl} || {p.format(k='0.1')} || {nl} || 'UNLEADED' || {nl}
+                  || {p.format(k='0.5')} || {nl} || 'Diesel' || {nl} || {p.format(k='0.7')} || {nl} || 'PREMIUM' || {nl}
+                  || 'DEF fluid available' || {nl} || {p.format(k='0.8')}
+      WHEN 1 THEN 'REGULAR UNLEADED' || {nl} || {p.format(k='0.2')} || {nl} || 'midgrade' || {nl}
+                  || {p.format(k='0.4')} || {nl} || 'AUTO DIESEL' || {nl} || {p.format(k='0.6')} || ' per gallon'
+      WHEN 2 THEN 'Diesel ' || {p.format(k='0.3')} || {nl} || 'x' || {nl} || 'x' || {nl} || 'x' || {nl} || 'x'
+                  || {nl} || 'x' || {nl} || 'PROPANE' || {nl} || 'x' || {nl} || 'x' || {nl} || 'x' || {nl} || 'x'
+                  || {nl} || 'x' || {nl} || 'x' || {nl} || {p.format(k='0.9')} || ' for premium gas'
+      ELSE 'PROPANE' || {nl} || 'Call for prices' || {nl} || 'Ethanol blend E85 gas price soon' END"""
+    return f"""
+SELECT s_suppkey AS chunk_id, {url} AS url, {text} AS text FROM supplier"""
+
+
 # name -> (dependencies, sql builder)
 FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_products": ((), _products),
@@ -250,6 +270,7 @@ FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_spans": ((), _spans),
     "fx_doc_meta": ((), _doc_meta),
     "fx_links": ((), _links),
+    "fx_fuel_text": ((), _fuel_text),
     "fx_product_answers": ((), _product_answers),
     "fx_tag_answers": ((), _tag_answers),
     "fx_hrefs": ((), _hrefs),

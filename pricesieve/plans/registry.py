@@ -42,4 +42,6 @@ def register(key: str, fixtures=(), sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from pricesieve.plans import q_answers, q_dedup, q_links, q_products, q_text, q_textprep, q_verify  # noqa: F401
+    from pricesieve.plans import (  # noqa: F401
+        q_answers, q_dedup, q_fuel, q_links, q_products, q_text, q_textprep, q_verify,
+    )
