@@ -241,7 +241,9 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 
 def _fuel_text(d: Dialect) -> str:
-    p = "'$' || printf('%.2f', 2 + (s_acctbal % 100) / 100 + {k})"
+    cents = "CAST(floor(200 + (s_acctbal % 100) + {k} * 100) AS BIGINT)"
+    p = ("'$' || CAST(CAST(floor(" + cents + " / 100) AS BIGINT) AS STRING) || '.' || "
+         "lpad(CAST(" + cents + " % 100 AS STRING), 2, '0')")
     nl = "chr(10)"
     url = """CASE s_suppkey % 3 WHEN 0 THEN 'https://www.shell-' || CAST(s_suppkey AS STRING) || '.example.com/station'
                   WHEN 1 THEN 'https://stations.example.com/loves.com/locations/' || CAST(s_suppkey AS STRING)
