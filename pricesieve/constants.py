@@ -301,3 +301,32 @@ STYLE_RULES = [
     ("packages", ["package", "plan", "tier", "subscription", "pricing"]),
     ("fuel_prices", ["fuel", "gas", "diesel"]),
 ]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: booking pages (URL words, card classes, field selectors, patterns)
+# ---------------------------------------------------------------------------
+BOOKING_URL_WORDS = ["book", "appointment", "schedule"]
+LEGAL_URL_WORDS = ["law", "legal"]
+LEGAL_CATEGORY = "Legal Services"
+PROFESSIONAL_CATEGORY = "Professional Services"
+CONSULTATION = "Consultation"
+FREE_WORD = "Free"
+CARD_CLASSES = ["card", "service", "offering", "block"]
+CARD_CLASSES_FALLBACK = ["item"]
+PROVIDER_TAGS, PROVIDER_CLASSES = ["h1", "h2", "h3", "h4", "h5"], ["name", "provider", "attorney", "staff"]
+PROVIDER_TAGS_2, PROVIDER_CLASSES_2 = ["strong"], ["provider-name", "staff-name"]
+SERVICE_TAGS, SERVICE_CLASSES = ["h3", "h4", "h5"], ["service-name", "service-title"]
+DURATION_CLASSES = ["duration", "time"]
+PRICE_CLASSES = ["price"]
+BOOKING_PATTERNS = [
+    r"([A-Z][a-z]+\s+[A-Z][a-z]+)\s*[\n\r]*(?:<[^>]+>)*\s*([^<\n\r]+?)(?:\s*<[^>]+>)*(?:[\n\r]*|\s+)(\d+\s*minutes?)(?:\s*·\s*\$(\d+))?",
+    r"([A-Z][a-z]+\s+[A-Z][a-z]+)\s*[\n\r]*(?:<[^>]+>)*\s*(Free\s*[^<\n\r]+?)(?:\s*<[^>]+>)*(?:[\n\r]*|\s+)(\d+\s*minutes?)",
+    r"([A-Z][a-z]+\s+[A-Z][a-z]+)[^<>]*?(?:<[^>]+>)*([^<>]{3,50}?)(?:<[^>]+>)*[\n\r]",
+]
+BOOKING_WINDOW = 100
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: items from an external extraction service
+# ---------------------------------------------------------------------------
+EXTERNAL_CONFIDENCE = 0.8
+EXTERNAL_EXTRACTOR = "ScrapeGraphAI"

@@ -165,3 +165,56 @@ def style(text: Column) -> Column:
         .when(any_of(rules["fuel_prices"]), "fuel_prices")
         .otherwise("unknown")
     )
+
+
+# ------------------------------------------------------------- text nodes
+_NODE_MARK = "\u0003"
+CONTAINER_TAGS = ["div", "p", "li", "tr", "td", "th", "span", "section", "article", "h1", "h2", "h3", "h4", "h5",
+                  "h6", "ul", "ol", "table", "body", "header", "footer", "nav", "main"]
+
+
+def text_nodes(pages: DataFrame, key: str = "chunk_id", html: str = "text") -> DataFrame:
+    """HTML as a sequence of text nodes with a container number: the container changes at
+    every container tag (open or close); inline tags (b, i, a, em, strong, ...) do not
+    split a container.  Comments, scripts and styles are dropped; entities decoded."""
+    from pricesieve.functions.html import strip_invisible, unescape
+    h = strip_invisible(F.col(html))
+    pieces = F.split(F.regexp_replace(h, r"(<[^>]*>)", _NODE_MARK + "$1" + _NODE_MARK), _NODE_MARK)
+    d = pages.select(key, "url", F.posexplode(pieces).alias("pos", "piece"))
+    is_tag = F.col("piece").startswith("<")
+    cont_tag = F.col("piece").rlike(r"(?i)^</?(?:" + "|".join(CONTAINER_TAGS) + r")\b")
+    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("container", F.sum((is_tag & cont_tag).cast("int")).over(w))
+    return d.filter(~is_tag & (F.col("piece") != "")).select(key, "url", "pos", "container",
+                                                           unescape(F.col("piece")).alias("node"))
+
+
+def fuel_price_nodes(pages: DataFrame, key: str = "chunk_id", html: str = "text", types=K.FUEL_TYPES) -> DataFrame:
+    """D15 (re-aimed without a DOM): every distinct text node naming a fuel type (types
+    in list order, then document order) takes the first price node of its container,
+    else the last price node of an earlier container, else the first of a later one.
+    Name = the node stripped and upper-cased; price = the price node stripped."""
+    n = text_nodes(pages, key, html)
+    price_rx = r"\$\d+\.\d+"
+    is_price = F.col("node").rlike(price_rx)
+    # fuel nodes: which types hit, the first type (list order) fixes the discovery order
+    hits = [F.when(F.col("node").rlike("(?i)" + re.escape(t)), F.lit(i)) for i, t in enumerate(types)]
+    n = n.withColumn("type_no", F.least(*hits)).withColumn("is_price", is_price)
+    prices = n.filter("is_price")
+    # per container: its first price node
+    cont_price = prices.groupBy(key, "container").agg(F.min_by("node", "pos").alias("cp"))
+    w_prev = Window.partitionBy(key).orderBy("container").rowsBetween(Window.unboundedPreceding, -1)
+    w_next = Window.partitionBy(key).orderBy("container").rowsBetween(1, Window.unboundedFollowing)
+    conts = n.select(key, "container").distinct().join(cont_price, [key, "container"], "left")
+    last_in = prices.groupBy(key, "container").agg(F.max_by("node", "pos").alias("lp"))
+    conts = conts.join(last_in, [key, "container"], "left")
+    conts = conts.withColumn("prev_p", F.last("lp", ignorenulls=True).over(w_prev)) \
+                 .withColumn("next_p", F.first("cp", ignorenulls=True).over(w_next))
+    fuel_nodes = n.filter(F.col("type_no").isNotNull())
+    # a text repeated in several nodes is one element: keep the first by (type, position)
+    first = fuel_nodes.groupBy(key, "node").agg(F.min_by(F.struct("container", "pos", "url"),
+                                                         F.struct("type_no", "pos")).alias("f"))
+    f = first.select(key, "node", "f.container", "f.pos", "f.url").join(conts, [key, "container"], "left")
+    price = F.coalesce("cp", "prev_p", "next_p")
+    f = f.withColumn("p", price).filter(F.col("p").isNotNull())
+    return _rows(f, key, F.upper(pystrip(F.col("node"))), pystrip(F.col("p")))

@@ -262,6 +262,60 @@ def _fuel_text(d: Dialect) -> str:
 SELECT s_suppkey AS chunk_id, {url} AS url, {text} AS text FROM supplier"""
 
 
+def _booking_html(d: Dialect) -> str:
+    name = """CASE c_custkey % 5 WHEN 0 THEN 'Anna Berg' WHEN 1 THEN 'Carl Dunn' WHEN 2 THEN 'Eva Field'
+                   WHEN 3 THEN 'Gus Hale' ELSE 'Ida Jones' END"""
+    service = "upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' Review'"
+    minutes = "CAST(15 * (1 + c_custkey % 4) AS STRING) || ' minutes'"
+    price = f"""CASE c_custkey % 4
+        WHEN 0 THEN '<span class="price">$' || CAST(CAST(floor(c_acctbal) AS BIGINT) % 500 AS STRING) || '</span>'
+        WHEN 1 THEN '<p>Free first session</p>'
+        WHEN 2 THEN ''
+        ELSE '<p>from $' || CAST(CAST(floor(c_acctbal) AS BIGINT) % 300 AS STRING) || '</p>' END"""
+    card = f"""CASE WHEN c_custkey % 7 = 0
+        THEN {name} || chr(10) || {service} || ' ' || {minutes} || ' · $' || CAST(CAST(floor(c_acctbal) AS BIGINT) % 90 AS STRING)
+        ELSE '<div class="service-card"><h3 class="provider">' || {name} || '</h3><h4 class="service-name">'
+             || {service} || '</h4><span class="duration">' || {minutes} || '</span>' || {price} || '</div>' END"""
+    url = """CASE g % 3 WHEN 0 THEN 'https://law-office' || CAST(g AS STRING) || '.example.com/book'
+                 WHEN 1 THEN 'https://clinic' || CAST(g AS STRING) || '.example.com/appointment'
+                 ELSE 'https://shop' || CAST(g AS STRING) || '.example.com/catalog' END"""
+    return f"""
+SELECT g AS page_id, {url} AS url,
+       '<html><body>' || {d.agg('card', 'chr(10)', 'c_custkey')} || chr(10) || '</body></html>' AS html
+FROM (SELECT c_custkey % 300 AS g, c_custkey, {card} AS card FROM customer) t GROUP BY g"""
+
+
+def _ext_items(d: Dialect) -> str:
+    return """
+SELECT p_partkey AS item_id, 'https://catalog.example.com/' || lower(replace(p_brand, '#', '')) AS url,
+       CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_name END AS name,
+       CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE '$' || printf('%.2f', p_retailprice) END AS price,
+       CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_type END AS category,
+       CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'Size ' || CAST(p_size AS STRING) END AS description,
+       CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS brand,
+       CASE WHEN p_partkey % 3 = 0 THEN 'in stock' END AS availability,
+       CAST(NULL AS STRING) AS image_url,
+       CASE WHEN p_partkey % 7 = 0 THEN 'SKU-' || CAST(p_partkey AS STRING) END AS sku
+FROM part"""
+
+
+def _fuel_html(d: Dialect) -> str:
+    cents = "CAST(floor(200 + (s_acctbal % 100) + {k} * 100) AS BIGINT)"
+    p = ("'$' || CAST(CAST(floor(" + cents + " / 100) AS BIGINT) AS STRING) || '.' || "
+         "lpad(CAST(" + cents + " % 100 AS STRING), 2, '0')")
+    body = f"""CASE s_suppkey % 4
+      WHEN 0 THEN '<div class="grid"><div class="card"><span>Unleaded</span><span>' || {p.format(k='0.1')}
+                  || '</span></div><div class="card"><span>Diesel</span><span>' || {p.format(k='0.5')}
+                  || '</span></div><div class="card"><span>Premium &amp; more</span><span>'
+                  || {p.format(k='0.7')} || '</span></div></div>'
+      WHEN 1 THEN '<p>Regular <b>' || {p.format(k='0.2')} || '</b> today</p><p>DEF</p><p>Call us</p>'
+      WHEN 2 THEN '<ul><li>PROPANE</li><li>Plus</li></ul><div>' || {p.format(k='0.3')} || '</div><li>Propane</li>'
+      ELSE '<div>No prices for E85 today</div>' END"""
+    return f"""
+SELECT s_suppkey AS chunk_id, 'https://fuel' || CAST(s_suppkey AS STRING) || '.example.com/prices' AS url,
+       '<html><body><h1>' || s_name || '</h1>' || {body} || '</body></html>' AS text FROM supplier"""
+
+
 # name -> (dependencies, sql builder)
 FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_products": ((), _products),
@@ -273,6 +327,9 @@ FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_doc_meta": ((), _doc_meta),
     "fx_links": ((), _links),
     "fx_fuel_text": ((), _fuel_text),
+    "fx_fuel_html": ((), _fuel_html),
+    "fx_booking_html": ((), _booking_html),
+    "fx_ext_items": ((), _ext_items),
     "fx_product_answers": ((), _product_answers),
     "fx_tag_answers": ((), _tag_answers),
     "fx_hrefs": ((), _hrefs),

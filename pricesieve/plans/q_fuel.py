@@ -157,3 +157,47 @@ def q_style(spark, sf):
     c = read_table(spark, sf, "pages").select((F.col("page_id") + 200000000).alias("chunk_id"), F.col("html").alias("text"))
     u = a.unionByName(b).unionByName(c)
     return u.select("chunk_id", fuel.style(F.col("text")).alias("style"))
+
+
+_CONT = "|".join(fuel.CONTAINER_TAGS)
+
+
+def _nodes_sql(src: str) -> str:
+    from pricesieve.plans.sqlfrag import drop_invisible
+    return f"""(SELECT chunk_id, url, pos, container, {S.unescape('piece')} AS node FROM (
+  SELECT chunk_id, url, i - 1 AS pos, pieces[i] AS piece,
+         sum(CASE WHEN starts_with(pieces[i], '<') AND regexp_matches(pieces[i], '(?i)^</?(?:{_CONT})\\b') THEN 1 ELSE 0 END)
+           OVER (PARTITION BY chunk_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS container
+  FROM (SELECT chunk_id, url, string_split(regexp_replace({drop_invisible('text')}, '(<[^>]*>)', chr(3) || '\\1' || chr(3), 'g'),
+                                     chr(3)) AS pieces FROM {src}) s,
+       generate_series(1, len(pieces)) AS g(i)) x
+ WHERE NOT starts_with(piece, '<') AND piece <> '')"""
+
+
+def _type_no_sql(col):
+    import re as _re
+    out = "NULL"
+    for i, t in reversed(list(enumerate(K.FUEL_TYPES))):
+        out = f"CASE WHEN regexp_matches({col}, {S.q('(?i)' + _re.escape(t).replace(chr(92) + ' ', ' ').replace(chr(92) + '#', '#'))}) THEN {i} ELSE {out} END"
+    return out
+
+
+@register("fuel_price_nodes", ["fx_fuel_html"], f"""
+WITH n AS (SELECT *, {_type_no_sql('node')} AS type_no, regexp_matches(node, '\\$\\d+\\.\\d+') AS is_price
+           FROM {_nodes_sql('fx_fuel_html')} x),
+c AS (SELECT chunk_id, container,
+             arg_min(CASE WHEN is_price THEN node END, CASE WHEN is_price THEN pos END) AS cp,
+             arg_max(CASE WHEN is_price THEN node END, CASE WHEN is_price THEN pos END) AS lp
+      FROM n GROUP BY ALL),
+c2 AS (SELECT *, last_value(lp IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY container
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_p,
+                 first_value(cp IGNORE NULLS) OVER (PARTITION BY chunk_id ORDER BY container
+                   ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_p FROM c),
+f AS (SELECT chunk_id, node, arg_min(container, [type_no, pos]) AS container, arg_min(url, [type_no, pos]) AS url
+      FROM n WHERE type_no IS NOT NULL GROUP BY ALL)
+SELECT f.chunk_id, upper({S.strip('f.node')}) AS product_name, {S.strip('coalesce(cp, prev_p, next_p)')} AS price,
+       'Fuel' AS category, 'Fuel price at ' || f.url AS description, f.url AS source_url
+FROM f JOIN c2 ON f.chunk_id = c2.chunk_id AND f.container = c2.container
+WHERE coalesce(cp, prev_p, next_p) IS NOT NULL""")
+def q_fuel_price_nodes(spark, sf):
+    return fuel.fuel_price_nodes(fixture(spark, sf, "fx_fuel_html"))
