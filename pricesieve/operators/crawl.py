@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricesieve.functions.urls import netloc, strip_fragment
-from pricesieve.session import ensure_checkpoint_dir
+from pricesieve.session import ensure_checkpoint_dir, materialize
 
 
 def ordered_rank(df: DataFrame, group: str, major: str, minor: str, bucket: int = 1 << 16) -> DataFrame:
@@ -40,12 +40,6 @@ def ordered_rank(df: DataFrame, group: str, major: str, minor: str, bucket: int
     )
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (cuts lineage, survives executor loss), computed once."""
-    df = df.persist()
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
 
 
 def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
@@ -68,11 +62,11 @@ def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
                                 F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"))
     if max_pages is not None and max_pages <= 0:
         first_level = first_level.limit(0)
-    first_level = _materialize(first_level.withColumn("ident", ident(F.col("url"))))
+    first_level = materialize(first_level.withColumn("ident", ident(F.col("url"))))
     levels = [first_level]
     frontier = first_level
     # URLs seen so far per crawl (ranks are dense, so this is also the next free rank)
-    counts = _materialize(first_level.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_seen")))
+    counts = materialize(first_level.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_seen")))
     lk = links.select("src", "pos", "dst")
     level = 0
     while max_levels is None or level < max_levels:
@@ -96,11 +90,11 @@ def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
         )
         if max_pages is not None:
             new = new.filter(F.col("rank") < max_pages)
-        new = _materialize(new)
+        new = materialize(new)
         if new.isEmpty():
             break
         top = new.groupBy("crawl_id").agg((F.max("rank") + 1).alias("n_new"))
-        counts = _materialize(
+        counts = materialize(
             counts.join(top, "crawl_id", "left").select("crawl_id", F.coalesce("n_new", "n_seen").alias("n_seen"))
         )
         levels.append(new)

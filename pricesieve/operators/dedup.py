@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pricesieve import constants as K
 from pricesieve.functions.similarity import name_similarity_udf, ratio_udf
-from pricesieve.session import ensure_checkpoint_dir
+from pricesieve.session import ensure_checkpoint_dir, materialize
 
 _WS = r"[\s\x{1c}-\x{1f}]"
 
@@ -180,11 +180,6 @@ def pair_scores(sig: DataFrame, threshold: float) -> DataFrame:
 
 
 # ------------------------------------------------------------ greedy leaders
-def _materialize(df: DataFrame) -> DataFrame:
-    df = df.persist()
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
 
 
 def dedup_leaders(products: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD) -> DataFrame:
@@ -196,16 +191,16 @@ def dedup_leaders(products: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD
     sig_cols = ["n_name", "n_price", "n_provider", "n_duration"]
     sig_key = F.xxhash64(*[F.coalesce(F.col(c), F.lit("\u0000")) for c in sig_cols],
                          *[F.col(c).isNull() for c in sig_cols])
-    p = _materialize(p.withColumn("sig_id", sig_key))
-    sigs = _materialize(p.select("sig_id", *sig_cols).dropDuplicates(["sig_id"]))
-    scores = _materialize(pair_scores(sigs, threshold).filter(F.col("score") >= threshold).select("s1", "s2"))
+    p = materialize(p.withColumn("sig_id", sig_key))
+    sigs = materialize(p.select("sig_id", *sig_cols).dropDuplicates(["sig_id"]))
+    scores = materialize(pair_scores(sigs, threshold).filter(F.col("score") >= threshold).select("s1", "s2"))
     selfsim = scores.filter(F.col("s1") == F.col("s2")).select(F.col("s1").alias("sig_id"), F.lit(True).alias("selfsim"))
     p = p.join(selfsim, "sig_id", "left").withColumn("selfsim", F.coalesce("selfsim", F.lit(False)))
     first = p.groupBy("sig_id").agg(F.min("ord").alias("first_ord"))
     p = p.join(first, "sig_id")
     # representatives: the first row of a self-similar signature, every row otherwise
     reps = p.filter(~F.col("selfsim") | (F.col("ord") == F.col("first_ord"))).select("row_id", "sig_id", "ord")
-    reps = _materialize(reps)
+    reps = materialize(reps)
     sig_edges = scores.filter(F.col("s1") != F.col("s2"))
     sig_edges = sig_edges.unionByName(sig_edges.select(F.col("s2").alias("s1"), F.col("s1").alias("s2")))
     ra, rb = reps.alias("ra"), reps.alias("rb")
@@ -215,8 +210,8 @@ def dedup_leaders(products: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD
         .filter(F.col("ra.ord") < F.col("rb.ord"))
         .select(F.col("ra.row_id").alias("a"), F.col("ra.ord").alias("a_ord"), F.col("rb.row_id").alias("b"))
     )
-    edges = _materialize(edges)
-    status = _materialize(reps.select("row_id", F.lit("U").alias("st")))
+    edges = materialize(edges)
+    status = materialize(reps.select("row_id", F.lit("U").alias("st")))
     while True:
         open_edges = edges.join(status.withColumnRenamed("row_id", "b").withColumnRenamed("st", "b_st"), "b") \
             .filter(F.col("b_st") == "U") \
@@ -232,7 +227,7 @@ def dedup_leaders(products: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD
             .when(F.coalesce(F.col("has_u"), F.lit(0)) == 0, F.lit("L"))
             .otherwise(F.lit("U")).alias("st"),
         )
-        nxt = _materialize(nxt)
+        nxt = materialize(nxt)
         status = nxt
         if status.filter(F.col("st") == "U").isEmpty():
             break

@@ -201,3 +201,16 @@ FROM f JOIN c2 ON f.chunk_id = c2.chunk_id AND f.container = c2.container
 WHERE coalesce(cp, prev_p, next_p) IS NOT NULL""")
 def q_fuel_price_nodes(spark, sf):
     return fuel.fuel_price_nodes(fixture(spark, sf, "fx_fuel_html"))
+
+
+@register("cascade")
+def q_cascade(spark, sf):
+    from pricesieve.operators.cascade import cascade
+    a = fixture(spark, sf, "fx_fuel_text").select("chunk_id", "url", "text")
+    b = fixture(spark, sf, "fx_fuel_html").select((F.col("chunk_id") + 100000).alias("chunk_id"), "url", "text")
+    c = fixture(spark, sf, "fx_booking_html").select((F.col("page_id") + 200000).alias("chunk_id"), "url",
+                                                     F.col("html").alias("text"))
+    pa = fixture(spark, sf, "fx_product_answers")
+    d = pa.select((F.col("chunk_id") + 300000).alias("chunk_id"), "url", "text")
+    ans = pa.select((F.col("chunk_id") + 300000).alias("chunk_id"), "response")
+    return cascade(a.unionByName(b).unionByName(c).unionByName(d), ans)

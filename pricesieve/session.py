@@ -46,3 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="pricesieve-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df):
+    """Reliable checkpoint of ``df`` into the session's checkpoint folder: cuts the
+    lineage and survives executor loss.  The data are persisted while the checkpoint is
+    written so that they are computed once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
