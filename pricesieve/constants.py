@@ -330,3 +330,21 @@ BOOKING_WINDOW = 100
 # ---------------------------------------------------------------------------
 EXTERNAL_CONFIDENCE = 0.8
 EXTERNAL_EXTRACTOR = "ScrapeGraphAI"
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: menu-line pass, currency fallback, labels of the PDF extractors
+# ---------------------------------------------------------------------------
+MENU_LINE_NAME = r"([A-Za-z\s\'\"\-]+)\s+"
+CURRENCY_PATTERNS = [
+    r"[€$£]?\s*(\d+[\.,]\d{2})",
+    r"(\d+[\.,]\d{2})[€$£]",
+    r"[€$£]?\s*(\d+)",
+]
+CURRENCY_SYMBOLS = ["€", "$", "£"]
+CURRENCY_MIN_LINE = 5
+PDF_CATEGORY = "Extracted from PDF"
+PDF_EXTRACTOR = "PDF Extractor"
+MENU_CATEGORY = "Menu Item"
+MENU_EXTRACTOR = "PDF Menu Extractor"
+NAME_LIST_PRICE = "0.00"
+NAME_LIST_MIN_ITEMS = 3

@@ -124,3 +124,91 @@ def menu_patterns(docs: DataFrame, key: str = "doc_id", patterns=K.MENU_ITEM_PAT
     out = out.select(key, "pos", F.col("f.pattern_no").alias("pattern_no"), pystrip(F.col("f.item")).alias("item"),
                      F.replace(pystrip(F.col("f.price")), F.lit(","), F.lit(".")).alias("price"))
     return out.filter(F.length("item") >= 3).withColumn("currency", F.lit("$"))
+
+
+def menu_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """D3: 'name price' on one line, the name of letters, spaces, quotes and dashes, the
+    price any of the nine currency forms (each form without its outer parentheses); a
+    (name, price) already found by the line-item pass, or earlier in this pass, is
+    skipped."""
+    alt = "|".join(p[1:-1] for p in K.PRICE_PATTERNS)
+    rx = "(?U)" + K.MENU_LINE_NAME + "(" + alt + ")"
+    ln = _lines_all(docs, key)
+    z = F.arrays_zip(F.regexp_extract_all("raw", F.lit(rx), 1).alias("n"), F.regexp_extract_all("raw", F.lit(rx), 2).alias("p"))
+    m = ln.select(key, "line_no", F.posexplode(z).alias("match_no", "x"))
+    m = m.select(key, "line_no", "match_no", pystrip(F.col("x.n")).alias("product_name"), F.col("x.p").alias("price"))
+    from pyspark.sql import Window
+    w = Window.partitionBy(key, "product_name", "price").orderBy("line_no", "match_no")
+    m = m.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    seen = line_items(docs, key).select(key, "product_name", "price").distinct()
+    m = m.join(seen, [key, "product_name", "price"], "left_anti")
+    return m.withColumn("category", F.lit(K.MENU_CATEGORY)).withColumn("extracted_by", F.lit(K.MENU_EXTRACTOR))
+
+
+def _cur_with(i: int):
+    return lambda x: F.struct(F.lit(i).alias("pattern_no"), x.alias("x"))
+
+
+def menu_currency(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """On lines of at least 5 characters (stripped), every match of three price
+    forms; the item is the text before the match (longer than 3); the currency is the
+    first of euro, dollar, pound present on the line."""
+    ln = docs.select(key, F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"))
+                     .alias("line_no", "raw")).filter(F.length(pystrip(F.col("raw"))) >= K.CURRENCY_MIN_LINE)
+    arrs = []
+    for i, p in enumerate(K.CURRENCY_PATTERNS):
+        arr, n = _matches(F.col("raw"), "(?U)" + p)
+        arrs.append(F.when(n > 0, F.transform(arr, _cur_with(i))))
+    allm = F.flatten(F.filter(F.array(*arrs), lambda a: a.isNotNull()))
+    d = ln.select(key, "line_no", "raw", F.explode(allm).alias("f"))
+    grp = F.coalesce(*[F.when(F.col("f.pattern_no") == i, F.regexp_extract(F.col("f.x.m"), "(?U)^" + p, 1))
+                       for i, p in enumerate(K.CURRENCY_PATTERNS)])
+    cur = F.lit("")
+    for sym in reversed(K.CURRENCY_SYMBOLS):
+        cur = F.when(F.col("raw").contains(sym), F.lit(sym)).otherwise(cur)
+    out = d.select(key, "line_no", F.col("f.pattern_no").alias("pattern_no"), F.col("f.x.match_no").alias("match_no"),
+                   pystrip(F.col("f.x.before")).alias("item"), grp.alias("price"), cur.alias("currency"))
+    return out.filter(F.length("item") > 3)
+
+
+def name_list(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The leading word of letters of each stripped line (not an 'Add to basket'
+    line), longer than 3, price '0.00'; only for documents with more than 3 such names."""
+    from pyspark.sql import Window
+    ln = lines(docs, key).filter(~F.col("line").contains(K.ADD_TO_BASKET))
+    nm = F.regexp_extract("line", "^" + K.NAME_LIST_PATTERN, 1)
+    d = ln.select(key, "line_no", nm.alias("item")).filter(F.length("item") > 3)
+    d = d.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    return d.filter(F.col("_n") > K.NAME_LIST_MIN_ITEMS).drop("_n") \
+        .withColumn("price", F.lit(K.NAME_LIST_PRICE)).withColumn("currency", F.lit("$"))
+
+
+def menu_items(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Line-end prices when a document has any; otherwise the seven patterns and
+    the name list, keep-first distinct by lower-cased item, 'add to basket' items
+    dropped.  Output order column ``seq``."""
+    d7 = menu_line_end(docs, key).select(key, F.lit(0).alias("src"), F.col("line_no").alias("seq"),
+                                         "item", "price", "currency")
+    with_d7 = d7.select(key).distinct()
+    rest = docs.join(with_d7, key, "left_anti")
+    d8 = menu_patterns(rest, key).select(key, F.lit(1).alias("src"), F.col("pos").alias("seq"), "item", "price", "currency")
+    d9 = name_list(rest, key).select(key, F.lit(2).alias("src"), F.col("line_no").alias("seq"), "item", "price", "currency")
+    from pyspark.sql import Window
+    fb = d8.unionByName(d9).filter(~F.lower("item").contains("add to basket"))
+    w = Window.partitionBy(key, F.lower("item")).orderBy("src", "seq")
+    fb = fb.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return d7.unionByName(fb)
+
+
+def pdf_products(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Products of a document are its line items and menu lines; a document
+    without any that is likely a menu takes its sectioned-menu items instead."""
+    from pricesieve.operators.text import menu_docs
+    a = line_items(docs, key).select(key, "line_no", "product_name", "price", "category", "extracted_by")
+    b = menu_lines(docs, key).select(key, "line_no", "product_name", "price", "category", "extracted_by")
+    prods = a.unionByName(b)
+    have = prods.select(key).distinct()
+    menus = menu_docs(docs.join(have, key, "left_anti")).filter("is_menu").select(key, "text")
+    c = menu_sections(menus, key).select(key, "line_no", "product_name", "price", "category",
+                                         F.lit(None).cast("string").alias("extracted_by"))
+    return prods.unionByName(c)

@@ -79,12 +79,15 @@ def _listing_text(d: Dialect) -> str:
     line = """CASE p_partkey % 6
          WHEN 0 THEN upper(p_type)
          WHEN 1 THEN p_name || ' ..... ' || printf('%.2f', p_retailprice % 100)
+                     || CASE WHEN p_size % 2 = 0 THEN ' each' ELSE '' END
          WHEN 2 THEN p_name || ' ' || CASE p_partkey % 5
-                         WHEN 0 THEN '$' || printf('%.2f', p_retailprice % 100)
+                         WHEN 0 THEN '$' || printf('%.2f', p_retailprice % 100) || ' or ' || p_brand || ' deal $'
+                                     || printf('%.2f', p_retailprice % 10)
                          WHEN 1 THEN '€' || printf('%.2f', p_retailprice % 100)
                          WHEN 2 THEN '£' || printf('%.2f', p_retailprice % 100)
                          WHEN 3 THEN CAST(CAST(floor(p_retailprice) AS BIGINT) % 100 AS STRING) || ' USD'
                          ELSE 'CHF ' || printf('%.2f', p_retailprice % 100) END
+                     || CASE WHEN p_size % 2 = 0 THEN ' each' ELSE '' END
          WHEN 3 THEN p_name || chr(10) || printf('%.2f', p_retailprice % 100) || ' EUR'
          WHEN 4 THEN 'Fresh ' || p_name || ' from ' || p_brand
          ELSE '' END"""

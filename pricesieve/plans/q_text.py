@@ -114,3 +114,104 @@ SELECT doc_id, pos, pattern_no, item, price, '$' AS currency FROM (
 WHERE length(item) >= 3""")
 def q_menu_patterns(spark, sf):
     return menu.menu_patterns(fixture(spark, sf, "fx_listing_text"))
+
+
+def _menu_lines_sql() -> str:
+    alt = "|".join(p[1:-1] for p in K.PRICE_PATTERNS)
+    rx = S.q(S.re2(K.MENU_LINE_NAME + "(" + alt + ")"))
+    return f"""(SELECT doc_id, line_no, match_no, product_name, price, 'Menu Item' AS category,
+        'PDF Menu Extractor' AS extracted_by FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, product_name, price ORDER BY line_no, match_no) AS rn FROM (
+    SELECT doc_id, line_no, k - 1 AS match_no, {S.strip('n[k]')} AS product_name, p[k] AS price
+    FROM (SELECT doc_id, line_no, regexp_extract_all(raw, {rx}, 1) AS n, regexp_extract_all(raw, {rx}, 2) AS p
+          FROM {_raw_lines_sql()} l) x, generate_series(1, len(n)) AS g(k)) y) z
+ WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM ({_LINE_ITEMS}) li
+                              WHERE li.doc_id = z.doc_id AND li.product_name = z.product_name AND li.price = z.price))"""
+
+
+_LINE_ITEMS = f"""
+SELECT doc_id, line_no, pattern_no, match_no, product_name, price, 'Extracted from PDF' AS category,
+       'PDF Extractor' AS extracted_by FROM (
+  SELECT *, {_NAME} AS product_name FROM (
+    SELECT *, CASE WHEN {S.strip('before')} <> '' THEN {S.strip('before')} ELSE coalesce(prev, '') END AS pre,
+              CASE WHEN {S.strip('after')} <> '' THEN {S.strip('after')} ELSE coalesce(next, '') END AS post
+    FROM {_prices_sql()} p) a) b
+WHERE length(product_name) > 3"""
+
+
+@register("menu_lines", ["fx_listing_text"], f"SELECT * FROM {_menu_lines_sql()} m")
+def q_menu_lines(spark, sf):
+    return menu.menu_lines(fixture(spark, sf, "fx_listing_text"))
+
+
+_SPLITLINES = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+
+
+def _currency_sql() -> str:
+    parts = []
+    for i, p in enumerate(K.CURRENCY_PATTERNS):
+        pieces = f"string_split(regexp_replace(raw, {S.q(S.re2(p))}, chr(1) || '\\0' || chr(1), 'g'), chr(1))"
+        parts.append(f"""SELECT doc_id, line_no, {i} AS pattern_no, k AS match_no,
+       {S.strip("array_to_string(pieces[1:2 * k - 1], '')")} AS item,
+       regexp_extract(pieces[2 * k], {S.q('^' + S.re2(p))}, 1) AS price,
+       CASE WHEN contains(raw, '€') THEN '€' WHEN contains(raw, '$') THEN '$' WHEN contains(raw, '£') THEN '£'
+            ELSE '' END AS currency
+FROM (SELECT *, {pieces} AS pieces FROM (
+        SELECT doc_id, i - 1 AS line_no, parts[i] AS raw
+        FROM (SELECT doc_id, string_split_regex(text, '{_SPLITLINES}') AS parts FROM fx_listing_text) s,
+             generate_series(1, len(parts)) AS g(i)) l
+      WHERE length({S.strip('raw')}) >= 5) x,
+     generate_series(1, CAST(floor((len(pieces) - 1) / 2) AS BIGINT)) AS g(k)""")
+    return "(" + "\nUNION ALL ".join(parts) + ")"
+
+
+@register("menu_currency", ["fx_listing_text"], f"SELECT * FROM {_currency_sql()} c WHERE length(item) > 3")
+def q_menu_currency(spark, sf):
+    return menu.menu_currency(fixture(spark, sf, "fx_listing_text"))
+
+
+_NAME_LIST = f"""(SELECT doc_id, line_no, item, '0.00' AS price, '$' AS currency FROM (
+  SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM (
+    SELECT doc_id, line_no, regexp_extract(line, '^([A-Za-z]+)\\s*(\\d+(?:\\.\\d+)*)?', 1) AS item
+    FROM {S.lines_of('fx_listing_text')} l WHERE line <> '' AND NOT contains(line, 'Add to basket')) a
+  WHERE length(item) > 3) b WHERE n > 3)"""
+
+
+@register("name_list", ["fx_listing_text"], f"SELECT * FROM {_NAME_LIST} n")
+def q_name_list(spark, sf):
+    return menu.name_list(fixture(spark, sf, "fx_listing_text"))
+
+
+_D7 = f"""(SELECT doc_id, line_no, item, price, '$' AS currency FROM (
+  SELECT doc_id, line_no,
+         regexp_replace({S.strip("regexp_extract(line, '^(.*?)(\\d{1,2}\\.\\d{2})$', 1)")}, '[\\s.]+$', '') AS item,
+         regexp_extract(line, '^(.*?)(\\d{{1,2}}\\.\\d{{2}})$', 2) AS price
+  FROM {S.lines_of('fx_listing_text')} l WHERE line <> '') x WHERE price <> '' AND length(item) > 3)"""
+
+
+def _menu_pat_items() -> str:
+    return f"""(SELECT doc_id, pos, item, price, '$' AS currency FROM (
+  SELECT doc_id, i - 1 AS pos, {S.strip('f[i].item')} AS item, replace({S.strip('f[i].price')}, ',', '.') AS price
+  FROM (SELECT doc_id, {_pat_sql()} AS f FROM fx_listing_text) s, generate_series(1, len(f)) AS g(i)) x
+ WHERE length(item) >= 3)"""
+
+
+@register("menu_items", ["fx_listing_text"], f"""
+WITH d7 AS (SELECT doc_id, 0 AS src, line_no AS seq, item, price, currency FROM {_D7} a),
+fb AS (SELECT doc_id, 1 AS src, pos AS seq, item, price, currency FROM {_menu_pat_items()} b
+       WHERE doc_id NOT IN (SELECT doc_id FROM d7)
+       UNION ALL
+       SELECT doc_id, 2, line_no, item, price, currency FROM {_NAME_LIST} c WHERE doc_id NOT IN (SELECT doc_id FROM d7)),
+fd AS (SELECT * EXCLUDE (rn) FROM (
+         SELECT *, row_number() OVER (PARTITION BY doc_id, lower(item) ORDER BY src, seq) AS rn FROM fb
+         WHERE NOT contains(lower(item), 'add to basket')) x WHERE rn = 1)
+SELECT * FROM d7 UNION ALL SELECT * FROM fd""")
+def q_menu_items(spark, sf):
+    return menu.menu_items(fixture(spark, sf, "fx_listing_text"))
+
+
+@register("pdf_products", ["fx_listing_text"], f"""
+SELECT doc_id, line_no, product_name, price, category, extracted_by FROM ({_LINE_ITEMS}) a
+UNION ALL SELECT doc_id, line_no, product_name, price, category, extracted_by FROM {_menu_lines_sql()} b""")
+def q_pdf_products(spark, sf):
+    return menu.pdf_products(fixture(spark, sf, "fx_listing_text"))
