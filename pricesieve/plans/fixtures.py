@@ -30,6 +30,25 @@ class Dialect:
             return f"{table} LATERAL VIEW explode(sequence(0, {upto})) g AS {alias}"
         return f"{table}, generate_series(0, {upto}) AS g({alias})"
 
+    def ts_format(self, col: str) -> str:
+        """Timestamp as 'YYYYmmdd_HHMMSS'."""
+        if self.name == "spark":
+            return f"date_format({col}, 'yyyyMMdd_HHmmss')"
+        return f"strftime({col}, '%Y%m%d_%H%M%S')"
+
+    def struct_list(self, fields, order: str, where: str | None = None) -> str:
+        """Ordered list of structs aggregated per group (fields: [(name, expr)])."""
+        if self.name == "spark":
+            st = "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields) + ")"
+            src = st if where is None else f"CASE WHEN {where} THEN {st} END"
+            return (f"transform(array_sort(collect_list(named_struct('k', {order}, 'v', {src}))), x -> x.v)"
+                    if where is None else
+                    f"transform(filter(array_sort(collect_list(named_struct('k', {order}, 'v', {src}))), "
+                    f"x -> x.v IS NOT NULL), x -> x.v)")
+        st = "{" + ", ".join(f"'{n}': {e}" for n, e in fields) + "}"
+        filt = "" if where is None else f" FILTER (WHERE {where})"
+        return f"coalesce(list({st} ORDER BY {order}){filt}, [])"
+
     def str_map(self, pairs) -> str:
         keys = ", ".join(k for k, _ in pairs)
         vals = ", ".join(v for _, v in pairs)
@@ -319,6 +338,27 @@ SELECT s_suppkey AS chunk_id, 'https://fuel' || CAST(s_suppkey AS STRING) || '.e
        '<html><body><h1>' || s_name || '</h1>' || {body} || '</body></html>' AS text FROM supplier"""
 
 
+ARCHIVE_ITEM = [("product_name", "'Order ' || CAST(o_orderkey AS STRING)"),
+                ("price", "'$' || printf('%.2f', o_totalprice)"),
+                ("category", "o_orderpriority")]
+
+
+def _archive(d: Dialect) -> str:
+    return f"""
+SELECT md5(url) || '_' || ts AS scrape_id, url, ts, products FROM (
+  SELECT 'https://shop.example.com/c/' || CAST(o_custkey AS STRING) AS url,
+         {d.ts_format('max(o_orderdate)')} AS ts,
+         {d.struct_list(ARCHIVE_ITEM, 'o_orderkey')} AS products
+  FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey) a"""
+
+
+def _new_scrapes(d: Dialect) -> str:
+    return f"""
+SELECT 'https://shop.example.com/c/' || CAST(o_custkey AS STRING) AS url, '20990101_000000' AS ts,
+       {d.struct_list(ARCHIVE_ITEM, 'o_orderkey', "o_orderstatus = 'F' AND o_custkey % 5 <> 0")} AS products
+FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey"""
+
+
 # name -> (dependencies, sql builder)
 FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_products": ((), _products),
@@ -330,6 +370,8 @@ FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_doc_meta": ((), _doc_meta),
     "fx_links": ((), _links),
     "fx_fuel_text": ((), _fuel_text),
+    "fx_archive": ((), _archive),
+    "fx_new_scrapes": ((), _new_scrapes),
     "fx_fuel_html": ((), _fuel_html),
     "fx_booking_html": ((), _booking_html),
     "fx_ext_items": ((), _ext_items),

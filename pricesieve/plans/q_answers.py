@@ -22,7 +22,8 @@ def q_unfence(spark, sf):
     return a.select("chunk_id", answers.unfence(F.col("response")).alias("answer"))
 
 
-@register("tags", ["fx_tag_answers"], f"""
+def tags_sql() -> str:
+    return f"""
 WITH a AS (SELECT chunk_id, url, {unfence_sql('response')} AS j FROM fx_tag_answers),
 b AS (SELECT *, coalesce(json_valid(j), false) AND starts_with(j, '{{') AS ok FROM a)
 SELECT chunk_id, url,
@@ -33,7 +34,10 @@ SELECT chunk_id, url,
   CASE WHEN ok THEN coalesce(TRY_CAST(json_extract(j, '$.confidence') AS DOUBLE), 0.0) ELSE 0.0 END AS confidence,
   CASE WHEN ok THEN coalesce(json_extract_string(j, '$.reasoning'), '{K.NO_REASONING}')
        ELSE '{K.TAG_PARSE_FAILED}' END AS reasoning
-FROM b""")
+FROM b"""
+
+
+@register("tags", ["fx_tag_answers"], tags_sql())
 def q_tags(spark, sf):
     return answers.tags(fixture(spark, sf, "fx_tag_answers"))
 

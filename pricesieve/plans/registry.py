@@ -43,5 +43,5 @@ def register(key: str, fixtures=(), sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from pricesieve.plans import (  # noqa: F401
-        q_answers, q_booking, q_dedup, q_fuel, q_links, q_products, q_text, q_textprep, q_verify,
+        q_answers, q_booking, q_dedup, q_fuel, q_links, q_products, q_sources, q_text, q_textprep, q_verify,
     )
