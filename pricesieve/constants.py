@@ -348,3 +348,19 @@ MENU_CATEGORY = "Menu Item"
 MENU_EXTRACTOR = "PDF Menu Extractor"
 NAME_LIST_PRICE = "0.00"
 NAME_LIST_MIN_ITEMS = 3
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: indicators of products possibly missed (pattern, kind), in order
+# ---------------------------------------------------------------------------
+PRODUCT_INDICATORS = [
+    (r"\b(service|product)s?\s+(include|include[ds]|offer[eds]|available|options?)\b", "Service offerings"),
+    (r"\b(price[ds]?|cost[s]?|rate[s]?)\s+(from|start\s+at|beginning\s+at)\s+\$?\d+", "Price list"),
+    (r"\b(package|bundle|deal|special|promotion)\b", "Package or promotion"),
+    (r"\btier[s]?\b|\bplan[s]?\b|\bsubscription[s]?\b", "Subscription plan"),
+    (r"\bfree\s+(consultation|estimate|quote|assessment|trial|discovery)\b", "Free service"),
+    (r"\bchoose\s+(from|between)\b", "Product selection"),
+    (r"\boption[s]?\b\s+(include|available|to choose)", "Service options"),
+    (r"\b(hour[s]?|minute[s]?)\s+[a-zA-Z]+\s+\$\d+", "Hourly service"),
+]
+INDICATOR_WINDOW = 100
+NAME_GRAM = 3

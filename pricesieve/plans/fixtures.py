@@ -241,7 +241,10 @@ def _product_answers(d: Dialect) -> str:
     text = """'Browse our ' || lower(p_type) || CASE WHEN p_partkey % 2 = 0 THEN ' category' ELSE ' range' END
            || ' of ' || p_name || ' by ' || p_brand || '. <h2>Garden Supplies</h2> <strong>Dog walking</strong> '
            || 'our ' || CASE WHEN p_partkey % 3 = 0 THEN 'repair' ELSE 'wedding' END || ' services and '
-           || lower(p_brand) || ' packages, types of tools. Photo sessions weekly.'"""
+           || lower(p_brand) || ' packages, types of tools. Photo sessions weekly.'
+           || CASE WHEN p_partkey % 4 = 0 THEN ' Ask about the special bundle deal for ' || p_name || '. Plans from $19;'
+                   || ' free consultation on request; choose from options available; 2 hours tutoring $45.'
+                   ELSE '' END"""
     return f"""
 SELECT p_partkey AS chunk_id, 'https://' || lower(replace(p_brand, '#', '')) || '.example.com/shop' AS url,
        {text} AS text, {resp} AS response

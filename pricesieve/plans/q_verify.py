@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pricesieve.operators import verify
 from pricesieve.plans.fixtures import fixture
+from pricesieve.plans.q_answers import unfence_sql
 from pricesieve.plans.registry import register
 
 P = ["fx_products"]
@@ -36,3 +37,40 @@ SELECT n_findings, score AS completeness_score, score < 0.9 AS warning FROM (
          CASE WHEN count(*) = 0 THEN 1.0 ELSE greatest(0.0, 1.0 - count(*) * 0.05) END AS score FROM {_FIND} f) x""")
 def q_v_score(spark, sf):
     return verify.completeness(verify.findings(fixture(spark, sf, "fx_products")))
+
+
+from pricesieve import constants as _K  # noqa: E402
+from pricesieve.plans import sqlfrag as _S  # noqa: E402
+
+
+def _indicator_sql() -> str:
+    parts = []
+    for i, (p, kind) in enumerate(_K.PRODUCT_INDICATORS):
+        pieces = f"string_split(regexp_replace(text, {_S.q('(?i)' + p)}, chr(4) || '\\0' || chr(4), 'g'), chr(4))"
+        parts.append(f"""SELECT chunk_id, url, {i} AS indicator_no, {_S.q(kind)} AS type, pieces[2 * k] AS match,
+       length(array_to_string(pieces[1:2 * k - 1], '')) AS position, text
+FROM (SELECT *, {pieces} AS pieces FROM fx_product_answers) x,
+     generate_series(1, CAST(floor((len(pieces) - 1) / 2) AS BIGINT)) AS g(k)""")
+    return "(" + "\nUNION ALL ".join(parts) + ")"
+
+
+@register("v_indicators", ["fx_product_answers"], f"""
+WITH m AS (
+  SELECT chunk_id, url, indicator_no, type, match,
+         substring(text, greatest(position - 100, 0) + 1,
+                   least(length(text), position + length(match) + 100) - greatest(position - 100, 0)) AS context,
+         position
+  FROM {_indicator_sql()} i),
+names AS (SELECT DISTINCT source_url AS url, lower(product_name) AS name FROM (
+  SELECT c.url AS source_url, coalesce(json_extract_string(it, '$.product_name'), 'Unknown Product') AS product_name
+  FROM (SELECT url, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]')
+                          WHEN json_type(j) = 'OBJECT' THEN [CAST(j AS JSON)] END AS items
+        FROM (SELECT url, {unfence_sql('response')} AS j FROM fx_product_answers) a
+        WHERE coalesce(json_valid(j), false)) c, unnest(c.items) AS u(it)) p)
+SELECT * FROM m WHERE NOT EXISTS (
+  SELECT 1 FROM names n WHERE n.url = m.url AND n.name <> '' AND instr(lower(m.context), n.name) > 0)""")
+def q_v_indicators(spark, sf):
+    from pricesieve.operators import answers
+    pa = fixture(spark, sf, "fx_product_answers")
+    products = answers.answer_items(pa)
+    return verify.indicators(pa.select("chunk_id", "url", "text"), products)
