@@ -212,3 +212,50 @@ def pdf_products(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     c = menu_sections(menus, key).select(key, "line_no", "product_name", "price", "category",
                                          F.lit(None).cast("string").alias("extracted_by"))
     return prods.unionByName(c)
+
+
+def descriptions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Description blocks.  A line with a price and a usable name (text before the
+    first match of the first pattern giving one, leading digits cut, longer than 3)
+    opens a block for that product; following lines without a price are its
+    description, up to a blank line that comes after at least one of them (a blank line
+    before any description keeps the block open; a price line whose name is unusable
+    changes nothing).  Per product name the last non-empty description wins; names not
+    found by the earlier passes become new products with the price of their first block.
+    """
+    from pyspark.sql import Window
+    ln = lines(docs, key, keep_blank=True)
+    line = F.col("line")
+    has_price = F.lit(False)
+    cand = []
+    for p in K.PRICE_PATTERNS:
+        rx = "(?U)" + p
+        has_price = has_price | line.rlike(rx)
+        before = F.regexp_extract(line, r"(?U)^(.*?)" + p, 1)
+        name = pystrip(F.regexp_replace(pystrip(before), r"(?U)^[\d.\s]+", ""))
+        price = F.regexp_extract(line, rx, 1)
+        cand.append(F.when(line.rlike(rx) & (F.length(name) > 3), F.struct(name.alias("n"), price.alias("p"))))
+    d = ln.withColumn("has_price", has_price).withColumn("blank", line == "").withColumn("start", F.coalesce(*cand))
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("block", F.sum(F.col("start").isNotNull().cast("int")).over(w))
+    d = d.withColumn("is_text", ~F.col("blank") & ~F.col("has_price"))
+    wb = Window.partitionBy(key, "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("text_before", F.coalesce(F.sum(F.col("is_text").cast("int")).over(wb), F.lit(0)))
+    d = d.withColumn("closer", F.col("blank") & (F.col("text_before") > 0))
+    d = d.withColumn("closed", F.coalesce(F.max(F.col("closer").cast("int")).over(wb), F.lit(0)) == 1)
+    blocks = d.filter(F.col("start").isNotNull()).select(key, "block", F.col("line_no").alias("block_line"),
+                                                         F.col("start.n").alias("product_name"),
+                                                         F.col("start.p").alias("price"))
+    texts = d.filter(F.col("is_text") & (F.col("block") > 0) & ~F.col("closed")).groupBy(key, "block").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")
+        .alias("description"))
+    b = blocks.join(texts, [key, "block"], "left")
+    per_name = b.groupBy(key, "product_name").agg(
+        F.max_by("description", F.when(F.col("description").isNotNull(), F.col("block_line"))).alias("description"),
+        F.min_by("price", "block_line").alias("price"),
+    )
+    earlier = line_items(docs, key).select(key, "product_name").unionByName(
+        menu_lines(docs, key).select(key, "product_name")).distinct().withColumn("_old", F.lit(True))
+    out = per_name.join(earlier, [key, "product_name"], "left")
+    return out.select(key, "product_name", "description", F.col("_old").isNull().alias("is_new"),
+                      F.when(F.col("_old").isNull(), F.col("price")).alias("price"))

@@ -215,3 +215,44 @@ SELECT doc_id, line_no, product_name, price, category, extracted_by FROM ({_LINE
 UNION ALL SELECT doc_id, line_no, product_name, price, category, extracted_by FROM {_menu_lines_sql()} b""")
 def q_pdf_products(spark, sf):
     return menu.pdf_products(fixture(spark, sf, "fx_listing_text"))
+
+
+def _desc_start_sql() -> str:
+    out = "NULL"
+    for p in reversed(K.PRICE_PATTERNS):
+        rp = S.q(S.re2(p))
+        before = f"regexp_extract(line, {S.q('^(.*?)' + S.re2(p))}, 1)"
+        name = S.strip(f"regexp_replace({S.strip(before)}, '^[0-9.{S.WS[1:-1]}]+', '')")
+        out = (f"CASE WHEN regexp_matches(line, {rp}) AND length({name}) > 3 "
+               f"THEN {{'n': {name}, 'p': regexp_extract(line, {rp}, 1)}} ELSE {out} END")
+    return out
+
+
+def _has_price_sql() -> str:
+    return "(" + " OR ".join(f"regexp_matches(line, {S.q(S.re2(p))})" for p in K.PRICE_PATTERNS) + ")"
+
+
+@register("descriptions", ["fx_listing_text"], f"""
+WITH l AS (SELECT doc_id, line_no, line, line = '' AS blank, {_has_price_sql()} AS has_price, {_desc_start_sql()} AS st
+           FROM {S.lines_of('fx_listing_text')} x),
+b AS (SELECT *, sum(CASE WHEN st IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block,
+             NOT blank AND NOT has_price AS is_text FROM l),
+t AS (SELECT *, coalesce(sum(CASE WHEN is_text THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY line_no
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS text_before FROM b),
+c AS (SELECT *, coalesce(max(CASE WHEN blank AND text_before > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block
+                 ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS closed FROM t),
+blocks AS (SELECT doc_id, block, line_no AS block_line, st.n AS product_name, st.p AS price FROM c WHERE st IS NOT NULL),
+texts AS (SELECT doc_id, block, string_agg(line, ' ' ORDER BY line_no) AS description FROM c
+          WHERE is_text AND block > 0 AND NOT closed GROUP BY ALL),
+bb AS (SELECT blocks.*, texts.description FROM blocks LEFT JOIN texts USING (doc_id, block)),
+pn AS (SELECT doc_id, product_name,
+              arg_max(description, block_line) FILTER (WHERE description IS NOT NULL) AS description,
+              arg_min(price, block_line) AS price FROM bb GROUP BY ALL),
+old AS (SELECT DISTINCT doc_id, product_name FROM ({_LINE_ITEMS}) a
+        UNION SELECT DISTINCT doc_id, product_name FROM {_menu_lines_sql()} m)
+SELECT pn.doc_id, pn.product_name, pn.description, old.doc_id IS NULL AS is_new,
+       CASE WHEN old.doc_id IS NULL THEN pn.price END AS price
+FROM pn LEFT JOIN old ON pn.doc_id = old.doc_id AND pn.product_name = old.product_name""")
+def q_descriptions(spark, sf):
+    return menu.descriptions(fixture(spark, sf, "fx_listing_text"))
