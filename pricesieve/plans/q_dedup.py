@@ -102,3 +102,25 @@ def q_dedup_stats(spark, sf):
 def q_dedup_category_counts(spark, sf):
     from pricesieve.plans.flows import catalogue_category_counts
     return catalogue_category_counts(fixture(spark, sf, "fx_product_answers"))
+
+
+@register("pair_scores")
+def q_pair_scores(spark, sf):
+    """Weighted scores of the candidate signature pairs (blocking at 0.8)."""
+    p = dedup.prepare(_p(spark, sf))
+    cols = ["n_name", "n_price", "n_provider", "n_duration"]
+    sig = p.select(*cols).distinct().withColumn(
+        "sig_id", F.xxhash64(*[F.coalesce(F.col(c), F.lit("\u0000")) for c in cols], *[F.col(c).isNull() for c in cols]))
+    return dedup.pair_scores(sig, K.SIMILARITY_THRESHOLD)
+
+
+@register("name_ratio")
+def q_name_ratio(spark, sf):
+    """Best of token-set, token-sort and plain ratio for distinct name pairs of a
+    provider block."""
+    from pricesieve.functions.similarity import name_similarity_udf
+    p = dedup.prepare(_p(spark, sf)).select("n_provider", "n_name").filter(F.col("n_provider").isNotNull()).distinct()
+    a, b = p.alias("a"), p.alias("b")
+    pairs = a.join(b, (F.col("a.n_provider") == F.col("b.n_provider")) & (F.col("a.n_name") < F.col("b.n_name")))
+    pairs = pairs.select(F.col("a.n_name").alias("name1"), F.col("b.n_name").alias("name2")).distinct()
+    return pairs.withColumn("name_sim", name_similarity_udf("name1", "name2"))
