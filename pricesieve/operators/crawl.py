@@ -67,7 +67,9 @@ def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
     frontier = first_level
     # URLs seen so far per crawl (ranks are dense, so this is also the next free rank)
     counts = materialize(first_level.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_seen")))
-    lk = links.select("src", "pos", "dst")
+    # the link table is read once per level: store it once, hash-partitioned on the join key
+    n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lk = materialize(links.select("src", "pos", "dst").repartition(n_part, "src"))
     level = 0
     while max_levels is None or level < max_levels:
         seen = levels[0]
@@ -83,7 +85,13 @@ def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
         first = cand.groupBy("crawl_id", "ident").agg(
             F.min_by(F.struct("parent_rank", "pos", "url", "start_url"), F.struct("parent_rank", "pos")).alias("f")
         ).select("crawl_id", "ident", "f.*")
-        ranked = ordered_rank(first, "crawl_id", "parent_rank", "pos")
+        if max_pages is not None:
+            # a capped crawl's frontier holds at most max_pages pages, so one window per
+            # crawl sees at most max_pages x (links of a page) rows
+            w = Window.partitionBy("crawl_id").orderBy("parent_rank", "pos")
+            ranked = first.withColumn("rank", F.row_number().over(w) - 1)
+        else:
+            ranked = ordered_rank(first, "crawl_id", "parent_rank", "pos")
         new = ranked.join(counts, "crawl_id").select(
             "crawl_id", "start_url", "url", F.lit(level + 1).alias("depth"),
             (F.col("n_seen") + F.col("rank")).alias("rank"), "ident",
