@@ -105,43 +105,35 @@ def booking_regex(pages: DataFrame, key: str = "page_id", html: str = "html", ur
     """Provider + service patterns over the text with entities blanked; the price from
     the match, else 'Free' when the service says so, else the first '$n' within 100
     characters before / after the match start."""
-    t = F.regexp_replace(F.col(html), r"&[a-z]+;", " ")
-    arrs = []
-    for i, p in enumerate(K.BOOKING_PATTERNS):
-        rx = "(?ism)" + p
-        pieces = F.split(F.regexp_replace(t, rx, _MARK + "$0" + _MARK), _MARK)
-        n = F.floor((F.size(pieces) - 1) / 2).cast("int")
-        items = F.transform(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda k: F.struct(
-                F.element_at(pieces, 2 * k).alias("m"),
-                F.length(F.array_join(F.slice(pieces, 1, 2 * k - 1), "")).alias("start"),
-            ),
-        )
-        arrs.append(F.when(n > 0, F.transform(items, _booking_with(i))))
-    allm = F.flatten(F.filter(F.array(*arrs), lambda a: a.isNotNull()))
-    d = pages.select(key, F.col(url).alias("url"), t.alias("t"), F.posexplode(allm).alias("match_no", "r"))
-    m = F.col("r.x.m")
+    from pricesieve.operators.text import match_spans, span_windows
+    t = pages.select(key, F.col(url).alias("url"), F.regexp_replace(F.col(html), r"&[a-z]+;", " ").alias("t"))
+    spans = match_spans(t, key, "t", ["(?ism)" + p for p in K.BOOKING_PATTERNS])
+    lens = t.select(key, "url", F.length("t").alias("_len"))
+    spans = spans.join(lens, key)
+    spans = spans.withColumn("_lo", F.greatest(F.col("start") - K.BOOKING_WINDOW, F.lit(0))) \
+                 .withColumn("_hi", F.least(F.col("_len"), F.col("start") + K.BOOKING_WINDOW))
+    spans = span_windows(t, key, "t", spans, [key, "pattern_no", "match_no"], "_lo", "_hi", "window")
+    m = F.col("match")
 
     def grp(k, rx_i):
         return F.regexp_extract(m, "(?ism)^" + K.BOOKING_PATTERNS[rx_i], k)
 
-    pat = F.col("r.pattern_no")
+    pat = F.col("pattern_no")
     g = {k: F.when(pat == 0, grp(k, 0)).when(pat == 1, grp(k, 1)).otherwise(grp(k, 2)) for k in (1, 2, 3, 4)}
     provider = pystrip(g[1])
     service = F.when(g[2] != "", pystrip(g[2])).otherwise(F.lit(K.CONSULTATION))
     duration = F.when(pat < 2, pystrip(g[3])).otherwise(F.lit(""))
-    start = F.col("r.x.start")
-    window = F.substring("t", F.greatest(start - K.BOOKING_WINDOW, F.lit(0)) + 1,
-                         F.least(F.length("t"), start + K.BOOKING_WINDOW) - F.greatest(start - K.BOOKING_WINDOW, F.lit(0)))
+    window = F.col("window")
     price = (
         F.when((pat == 0) & (g[4] != ""), F.concat(F.lit("$"), g[4]))
         .when(F.lower(service).contains("free"), F.lit(K.FREE_WORD))
         .when(window.rlike(r"\$(\d+)"), F.regexp_extract(window, r"\$(\d+)", 0))
         .otherwise(F.lit(K.PRICE_NOT_FOUND))
     )
-    d = d.select(key, "url", "match_no", pat.alias("pattern_no"), provider.alias("provider"),
-                 service.alias("service"), duration.alias("duration"), price.alias("price"))
+    # one sequence over all patterns: pattern order, then match order
+    d = spans.select(key, "url", (pat * F.lit(1 << 20) + F.col("match_no")).alias("match_no"), pat.alias("pattern_no"),
+                     provider.alias("provider"), service.alias("service"), duration.alias("duration"),
+                     price.alias("price"))
     return _product_rows(d, key, F.col("service"), "match_no")
 
 

@@ -268,3 +268,51 @@ def doc_metadata(docs: DataFrame, meta: str = "metadata", keys=K.DOC_METADATA_KE
     """Named metadata keys with '' for missing ones."""
     cols = [F.coalesce(F.element_at(F.col(meta), F.lit(src)), F.lit("")).alias(name) for name, src in keys]
     return docs.select(*[c for c in docs.columns if c != meta], *cols)
+
+
+# ------------------------------------------------------- match offsets and windows
+_SPAN_MARK = "\u0005"
+
+
+def match_spans(df: DataFrame, key, text: str, patterns) -> DataFrame:
+    """Every match of every pattern with its offsets: (key..., pattern_no, match_no,
+    match, start, end), 0-based, patterns and matches in order.
+
+    Matches are wrapped in a control character and the text split on it; the pieces are
+    exploded and a running sum of their lengths (one window per document) gives the
+    offsets, so the cost stays linear in the document."""
+    from pyspark.sql import Window
+    keys = [key] if isinstance(key, str) else list(key)
+    parts = []
+    for i, p in enumerate(patterns):
+        pieces = F.split(F.regexp_replace(F.col(text), p, _SPAN_MARK + "$0" + _SPAN_MARK), _SPAN_MARK)
+        parts.append(df.select(*keys, F.lit(i).alias("pattern_no"), F.posexplode(pieces).alias("i", "piece")))
+    e = parts[0]
+    for p in parts[1:]:
+        e = e.unionByName(p)
+    w = Window.partitionBy(*keys, "pattern_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)))
+    return e.filter(F.col("i") % 2 == 1).select(
+        *keys, "pattern_no", ((F.col("i") - 1) / 2).cast("int").alias("match_no"), F.col("piece").alias("match"),
+        F.col("start").cast("int").alias("start"), (F.col("start") + F.length("piece")).cast("int").alias("end"))
+
+
+def span_windows(texts: DataFrame, key, text: str, spans: DataFrame, span_keys, lo: str, hi: str,
+                 out: str, block: int = 4096) -> DataFrame:
+    """Add ``out`` = text[lo:hi] to every span.  The text is cut into fixed blocks and each
+    span joins only the blocks it overlaps, so a span never carries a whole document."""
+    keys = [key] if isinstance(key, str) else list(key)
+    n_blocks = F.greatest(F.ceil(F.length(text) / block).cast("int") - 1, F.lit(0))
+    blocks = texts.select(*keys, F.posexplode(F.transform(
+        F.sequence(F.lit(0), n_blocks), lambda b: F.substring(F.col(text), b * block + 1, block))).alias("block", "chunk"))
+    need = spans.select(*span_keys, lo, hi, F.explode(F.sequence(
+        F.floor(F.col(lo) / block).cast("int"),
+        F.floor(F.greatest(F.col(hi) - 1, F.col(lo)) / block).cast("int"))).alias("block"))
+    j = need.join(blocks, [*keys, "block"])
+    agg = j.groupBy(*span_keys, lo, hi).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "chunk"))), lambda x: x["chunk"]), "")
+        .alias("_joined"), F.min("block").alias("_b0"))
+    win = F.when(F.col(hi) > F.col(lo),
+                 F.substring("_joined", F.col(lo) - F.col("_b0") * block + 1, F.col(hi) - F.col(lo))).otherwise(F.lit(""))
+    got = agg.select(*span_keys, win.alias(out))
+    return spans.join(got, span_keys, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))

@@ -48,40 +48,27 @@ def completeness(found: DataFrame) -> DataFrame:
 _MARK = "\u0004"
 
 
-def _ind_with(i: int):
-    return lambda x: F.struct(F.lit(i).alias("indicator_no"), x.alias("x"))
-
-
 def indicator_matches(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Matches of the indicator patterns (case-insensitive) in each chunk, with the text
     100 characters either side and the position (scanned per chunk)."""
-    t = F.col("text")
-    arrs = []
-    for i, (p, _) in enumerate(K.PRODUCT_INDICATORS):
-        rx = "(?iU)" + p
-        pieces = F.split(F.regexp_replace(t, rx, _MARK + "$0" + _MARK), _MARK)
-        n = F.floor((F.size(pieces) - 1) / 2).cast("int")
-        items = F.transform(
-            F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-            lambda k: F.struct(F.element_at(pieces, 2 * k).alias("m"),
-                               F.length(F.array_join(F.slice(pieces, 1, 2 * k - 1), "")).alias("start")))
-        arrs.append(F.when(n > 0, F.transform(items, _ind_with(i))))
-    allm = F.flatten(F.filter(F.array(*arrs), lambda a: a.isNotNull()))
-    d = chunks.select(key, "url", "text", F.explode(allm).alias("r"))
+    from pricesieve.operators.text import match_spans, span_windows
+    c = chunks.select(key, "url", "text")
+    spans = match_spans(c, key, "text", ["(?iU)" + p for p, _ in K.PRODUCT_INDICATORS])
+    spans = spans.join(c.select(key, "url", F.length("text").alias("_len")), key)
+    spans = spans.withColumn("_lo", F.greatest(F.col("start") - K.INDICATOR_WINDOW, F.lit(0))) \
+                 .withColumn("_hi", F.least(F.col("_len"), F.col("end") + K.INDICATOR_WINDOW))
+    spans = span_windows(c, key, "text", spans, [key, "pattern_no", "match_no"], "_lo", "_hi", "context")
     kinds = F.lit(None).cast("string")
     for i, (_, kind) in enumerate(K.PRODUCT_INDICATORS):
-        kinds = F.when(F.col("r.indicator_no") == i, F.lit(kind)).otherwise(kinds)
-    start = F.col("r.x.start")
-    end = start + F.length(F.col("r.x.m"))
-    lo = F.greatest(start - K.INDICATOR_WINDOW, F.lit(0))
-    hi = F.least(F.length("text"), end + K.INDICATOR_WINDOW)
-    return d.select(key, "url", F.col("r.indicator_no").alias("indicator_no"), kinds.alias("type"),
-                    F.col("r.x.m").alias("match"), F.substring("text", lo + 1, hi - lo).alias("context"),
-                    start.alias("position"))
+        kinds = F.when(F.col("pattern_no") == i, F.lit(kind)).otherwise(kinds)
+    return spans.select(key, "url", F.col("pattern_no").alias("indicator_no"), kinds.alias("type"), "match",
+                        "context", F.col("start").alias("position"))
 
 
-def contains_any(left: DataFrame, text_col: str, names: DataFrame, site: str = "url", q: int = K.NAME_GRAM) -> DataFrame:
-    """Rows of ``left`` whose ``text_col`` (lower-cased) contains any name of the same site.
+def contains_any(left: DataFrame, text_col: str, names: DataFrame, keys, site: str = "url",
+                 q: int = K.NAME_GRAM) -> DataFrame:
+    """Rows of ``left`` (identified by ``keys``) whose ``text_col`` (lower-cased) contains
+    any name of the same site.
 
     Exact containment without pairing every row with every name: a name can only
     occur where its first ``q`` characters occur, so each text emits its distinct
@@ -90,13 +77,13 @@ def contains_any(left: DataFrame, text_col: str, names: DataFrame, site: str = "
     """
     nm = names.select(site, F.lower(F.col("name")).alias("name")).filter(F.col("name") != "").distinct()
     nm = nm.withColumn("gram", F.substring("name", 1, q))
-    lt = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_low", F.lower(F.col(text_col)))
-    grams = lt.select("_row", site, "_low", F.explode(F.array_distinct(F.flatten(F.transform(
+    lt = left.select(*keys, site, F.lower(F.col(text_col)).alias("_low"))
+    grams = lt.select(*keys, site, "_low", F.explode(F.array_distinct(F.flatten(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))),
         lambda i: F.transform(F.sequence(F.lit(1), F.lit(q)), lambda k: F.substring("_low", i, k)))))).alias("gram"))
     grams = grams.filter(F.col("gram") != "")
-    hit = grams.join(nm, [site, "gram"]).filter(F.instr(F.col("_low"), F.col("name")) > 0).select("_row").distinct()
-    return lt.join(hit, "_row", "left_semi").drop("_row", "_low")
+    hit = grams.join(nm, [site, "gram"]).filter(F.instr(F.col("_low"), F.col("name")) > 0).select(*keys).distinct()
+    return left.join(hit, list(keys), "left_semi")
 
 
 def indicators(chunks: DataFrame, products: DataFrame, name_col: str = "product_name", key: str = "chunk_id") -> DataFrame:
@@ -107,5 +94,6 @@ def indicators(chunks: DataFrame, products: DataFrame, name_col: str = "product_
     names = products.select(F.col("source_url").alias("url"),
                             F.coalesce(F.col(name_col).cast("string"), F.lit("")).alias("name")) \
         if name_col in products.columns else products.select(F.col("source_url").alias("url"), F.lit("").alias("name"))
-    known = contains_any(m, "context", names)
-    return m.join(known.select(key, "indicator_no", "position"), [key, "indicator_no", "position"], "left_anti")
+    keys = [key, "indicator_no", "position"]
+    known = contains_any(m, "context", names, keys)
+    return m.join(known.select(*keys), keys, "left_anti")
