@@ -117,12 +117,17 @@ def _ord(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- pair score
+def _numeric(p: Column) -> Column:
+    """The price parses as a number once everything but digits and dots is removed."""
+    return F.regexp_replace(p, r"[^\d.]", "").rlike(r"^(\d+\.?\d*|\.\d+)$")
+
+
 def price_similarity(p1: Column, p2: Column, fuzzy: Column) -> Column:
     """Both '$0' -> 1; numbers (non-digits removed) equal -> 1, else 1 - diff / max;
     unparsable -> the fuzzy ratio of the two texts; a missing side -> 0."""
     v1 = F.regexp_replace(p1, r"[^\d.]", "")
     v2 = F.regexp_replace(p2, r"[^\d.]", "")
-    ok = v1.rlike(r"^(\d+\.?\d*|\.\d+)$") & v2.rlike(r"^(\d+\.?\d*|\.\d+)$")
+    ok = _numeric(p1) & _numeric(p2)
     f1, f2 = v1.try_cast("double"), v2.try_cast("double")
     mx = F.greatest(f1, f2)
     num = F.when(f1 == f2, F.lit(1.0)).when(mx > 0, F.lit(1.0) - (F.abs(f1 - f2) / mx)).otherwise(F.lit(0.0))
@@ -134,36 +139,57 @@ def price_similarity(p1: Column, p2: Column, fuzzy: Column) -> Column:
     )
 
 
-def pair_scores(sig: DataFrame, threshold: float) -> DataFrame:
-    """Scores of candidate signature pairs (s1 < s2 and each signature with itself).
+def name_bound(threshold: float) -> float:
+    """Smallest raw name similarity that can still reach ``threshold``: boosts add at most
+    0.25 to it and price, provider and duration at most 0.5, so
+    0.5 * (n + 0.25) + 0.5 >= t needs n >= 2 * (t - 0.625)."""
+    return 2 * (threshold - 0.625) - 1e-9
 
-    ``sig``: (sig_id, n_name, n_price, n_provider, n_duration).  Blocking keys are
-    exact for ``threshold`` > 0.7 (see the module note).
+
+def pair_scores(sig: DataFrame, threshold: float) -> DataFrame:
+    """Scores of candidate signature pairs (each unordered pair once, and each signature
+    with itself).
+
+    ``sig``: (sig_id, n_name, n_price, n_provider, n_duration).  Candidates share a
+    block (the normalised provider; for 0.7 < t < 0.8 also the duration) and have names
+    similar enough to reach the threshold (:func:`name_bound`); the name similarity is
+    computed once per distinct name pair of a block, so signatures are paired only
+    through similar names.
     """
     if threshold <= 0.7:
         raise NotImplementedError("exact candidate blocking is implemented for thresholds above 0.7")
-    a = sig.alias("a")
-    b = sig.alias("b")
-    cols = [
-        F.col("a.sig_id").alias("s1"), F.col("b.sig_id").alias("s2"),
-        F.col("a.n_name").alias("name1"), F.col("b.n_name").alias("name2"),
-        F.col("a.n_price").alias("price1"), F.col("b.n_price").alias("price2"),
-        (F.col("a.n_provider").isNotNull() & F.col("b.n_provider").isNotNull()
-         & (F.col("a.n_provider") == F.col("b.n_provider"))).alias("provider_match"),
-        ((F.col("a.n_duration") != "") & (F.col("a.n_duration") == F.col("b.n_duration"))).alias("duration_match"),
-    ]
-    cond_provider = (F.col("a.n_provider") == F.col("b.n_provider")) & (F.col("a.sig_id") <= F.col("b.sig_id"))
-    pairs = a.join(b, cond_provider).select(*cols)
+    blocks = sig.filter(F.col("n_provider").isNotNull()).select("sig_id", "n_name", F.concat(F.lit("p:"), F.col("n_provider")).alias("blk"))
     if threshold < 0.8:
-        cond_dur = (F.col("a.n_duration") == F.col("b.n_duration")) & (F.col("a.n_duration") != "") \
-            & (F.col("a.sig_id") <= F.col("b.sig_id"))
-        pairs = pairs.unionByName(a.join(b, cond_dur).select(*cols)).distinct()
-    pairs = pairs.filter((F.col("name1") != "") & (F.col("name2") != ""))
-    # fuzzy scores once per distinct string pair
-    names = pairs.select("name1", "name2").distinct().withColumn("name_sim", name_similarity_udf("name1", "name2"))
-    prices = pairs.select("price1", "price2").distinct().filter(F.col("price1").isNotNull() & F.col("price2").isNotNull()) \
-        .withColumn("price_ratio", ratio_udf("price1", "price2"))
-    s = pairs.join(names, ["name1", "name2"]).join(prices, ["price1", "price2"], "left")
+        blocks = blocks.unionByName(sig.filter(F.col("n_duration") != "").select(
+            "sig_id", "n_name", F.concat(F.lit("d:"), F.col("n_duration")).alias("blk")))
+    blocks = blocks.filter(F.col("n_name") != "")
+    bn = blocks.select("blk", "n_name").distinct()
+    a, b = bn.alias("a"), bn.alias("b")
+    name_pairs = a.join(b, (F.col("a.blk") == F.col("b.blk")) & (F.col("a.n_name") <= F.col("b.n_name"))).select(
+        F.col("a.blk").alias("blk"), F.col("a.n_name").alias("name1"), F.col("b.n_name").alias("name2"))
+    sims = name_pairs.select("name1", "name2").distinct().withColumn("name_sim", name_similarity_udf("name1", "name2"))
+    sims = sims.filter(F.col("name_sim") >= name_bound(threshold))
+    cand = name_pairs.join(sims, ["name1", "name2"]).withColumnRenamed("blk", "cblk").alias("c")
+    sa, sb = blocks.alias("sa"), blocks.alias("sb")
+    sp = (cand.join(sa, (F.col("sa.blk") == F.col("c.cblk")) & (F.col("sa.n_name") == F.col("c.name1")))
+          .join(sb, (F.col("sb.blk") == F.col("c.cblk")) & (F.col("sb.n_name") == F.col("c.name2")))
+          .filter((F.col("name1") < F.col("name2")) | (F.col("sa.sig_id") <= F.col("sb.sig_id")))
+          .select(F.col("sa.sig_id").alias("s1"), F.col("sb.sig_id").alias("s2"), "name_sim").distinct())
+    x, y = sig.alias("x"), sig.alias("y")
+    pairs = sp.join(x, F.col("s1") == F.col("x.sig_id")).join(y, F.col("s2") == F.col("y.sig_id")).select(
+        "s1", "s2", "name_sim",
+        F.col("x.n_price").alias("price1"), F.col("y.n_price").alias("price2"),
+        (F.col("x.n_provider").isNotNull() & F.col("y.n_provider").isNotNull()
+         & (F.col("x.n_provider") == F.col("y.n_provider"))).alias("provider_match"),
+        ((F.col("x.n_duration") != "") & (F.col("x.n_duration") == F.col("y.n_duration"))).alias("duration_match"),
+    )
+    # the fuzzy price ratio is only needed when a price does not parse as a number
+    prices = pairs.select("price1", "price2").distinct().filter(
+        F.col("price1").isNotNull() & F.col("price2").isNotNull()
+        & ~((F.col("price1") == K.FREE_PRICE) & (F.col("price2") == K.FREE_PRICE))
+        & ~(_numeric(F.col("price1")) & _numeric(F.col("price2")))
+    ).withColumn("price_ratio", ratio_udf("price1", "price2"))
+    s = pairs.join(prices, ["price1", "price2"], "left")
     n = F.col("name_sim")
     n = F.when(F.col("provider_match") & (n > K.PROVIDER_BOOST_ABOVE), F.least(F.lit(1.0), n + K.PROVIDER_BOOST)).otherwise(n)
     s = s.withColumn("name_sim_b", n)
