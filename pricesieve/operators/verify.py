@@ -77,10 +77,13 @@ def contains_any(left: DataFrame, text_col: str, names: DataFrame, keys, site: s
     """
     nm = names.select(site, F.lower(F.col("name")).alias("name")).filter(F.col("name") != "").distinct()
     nm = nm.withColumn("gram", F.substring("name", 1, q))
+    # texts emit grams of the lengths that names have (usually only q)
+    lengths = sorted(r[0] for r in nm.select(F.least(F.length("name"), F.lit(q)).alias("k")).distinct().collect())
+    ks = F.array(*[F.lit(k) for k in lengths]) if lengths else F.array().cast("array<int>")
     lt = left.select(*keys, site, F.lower(F.col(text_col)).alias("_low"))
     grams = lt.select(*keys, site, "_low", F.explode(F.array_distinct(F.flatten(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))),
-        lambda i: F.transform(F.sequence(F.lit(1), F.lit(q)), lambda k: F.substring("_low", i, k)))))).alias("gram"))
+        lambda i: F.transform(ks, lambda k: F.substring("_low", i, k)))))).alias("gram"))
     grams = grams.filter(F.col("gram") != "")
     hit = grams.join(nm, [site, "gram"]).filter(F.instr(F.col("_low"), F.col("name")) > 0).select(*keys).distinct()
     return left.join(hit, list(keys), "left_semi")
