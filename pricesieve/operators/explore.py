@@ -194,7 +194,7 @@ def tag_distribution(tagged: DataFrame) -> DataFrame:
     spark = tagged.sparkSession
     labels = spark.createDataFrame([(i, s) for i, s in enumerate(K.TAG_LABELS)], "pos int, label string")
     return (
-        F.broadcast(labels).join(counts, "label", "left")
+        F.broadcast(labels).join(counts, "label", "left")  # the four fixed labels
         .select("pos", "label", F.coalesce("n", F.lit(0)).alias("n"))
     )
 
@@ -216,6 +216,7 @@ def confidence_hist(tagged: DataFrame, bins: int = K.CONFIDENCE_BINS, lo: float
         (F.lit(lo) + F.col("id") * width).alias("lo"),
         (F.lit(lo) + (F.col("id") + 1) * width).alias("hi"),
     )
+    # ``bins`` rows (a parameter): a broadcast of a proven size
     return F.broadcast(edges).join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -230,6 +231,7 @@ def running_totals(df: DataFrame, order: str, sums: dict, bucket_rows: int = 1 <
     b = (F.col(order) / F.lit(bucket_rows)).cast("long")
     base = df.withColumn("_bucket", b)
     tot = base.groupBy("_bucket").agg(*[F.sum(e).alias(f"_t_{k}") for k, e in sums.items()])
+    # one row per bucket of ``bucket_rows`` rows: a small table, so one ordered window is fine
     w_b = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tot.select(
         "_bucket", *[F.coalesce(F.sum(f"_t_{k}").over(w_b), F.lit(0)).alias(f"_o_{k}") for k in sums]

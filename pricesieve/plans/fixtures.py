@@ -352,14 +352,14 @@ SELECT md5(url) || '_' || ts AS scrape_id, url, ts, products FROM (
   SELECT 'https://shop.example.com/c/' || CAST(o_custkey AS STRING) AS url,
          {d.ts_format('max(o_orderdate)')} AS ts,
          {d.struct_list(ARCHIVE_ITEM, 'o_orderkey')} AS products
-  FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey) a"""
+  FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00' GROUP BY o_custkey) a"""
 
 
 def _new_scrapes(d: Dialect) -> str:
     return f"""
 SELECT 'https://shop.example.com/c/' || CAST(o_custkey AS STRING) AS url, '20990101_000000' AS ts,
-       {d.struct_list(ARCHIVE_ITEM, 'o_orderkey', "o_orderstatus = 'F' AND o_custkey % 5 <> 0")} AS products
-FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey"""
+       {d.struct_list(ARCHIVE_ITEM, 'o_orderkey', "o_orderstatus = 'F'")} AS products
+FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' GROUP BY o_custkey"""
 
 
 # name -> (dependencies, sql builder)

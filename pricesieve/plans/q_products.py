@@ -24,10 +24,11 @@ def _except(cols: str, name: str) -> str:
 
 @register("filter_urls", P, """
 SELECT * FROM fx_products WHERE source_url IN
-  (SELECT DISTINCT source_url FROM fx_products WHERE row_id % 4 = 0 AND provider IS NOT NULL AND provider <> '')""")
+  (SELECT DISTINCT source_url FROM fx_products WHERE category = 'SMALL' AND is_plan = 'true')""")
 def q_filter_urls(spark, sf):
+    # the selected URLs: those that list a small plan
     p = _p(spark, sf)
-    chosen = p.filter((F.col("row_id") % 4 == 0) & F.col("provider").isNotNull() & (F.col("provider") != ""))
+    chosen = p.filter((F.col("category") == "SMALL") & (F.col("is_plan") == "true"))
     return explore.filter_urls(p, chosen.select("source_url"))
 
 
