@@ -22,9 +22,9 @@ def _class_re(classes) -> str:
     return r"""class\s*=\s*"[^"]*(?:""" + "|".join(classes) + r""")[^"]*\""""
 
 
-def _field(card: Column, tags, classes, exact_class: bool = True) -> Column:
-    """Text of the first element (document order) with one of ``tags`` or a class in
-    ``classes``: the text after its opening tag up to the next tag, stripped."""
+def field_regex(tags, classes, exact_class: bool = True) -> str:
+    """Regex of the first element with one of ``tags`` or a class in ``classes``; group 1
+    is its text up to the next tag."""
     alts = []
     if tags:
         alts.append(r"<(?:" + "|".join(tags) + r")\b[^>]*>")
@@ -34,7 +34,13 @@ def _field(card: Column, tags, classes, exact_class: bool = True) -> Column:
             alts.append(r"""<[a-zA-Z][^>]*\bclass\s*=\s*"(?:[^"]*\s)?(?:""" + cls + r""")(?:\s[^"]*)?"[^>]*>""")
         else:
             alts.append(r"""<[a-zA-Z][^>]*\bclass\s*=\s*"[^"]*(?:""" + cls + r""")[^"]*"[^>]*>""")
-    rx = "(?is)(?:" + "|".join(alts) + r")([^<]*)"
+    return "(?is)(?:" + "|".join(alts) + r")([^<]*)"
+
+
+def _field(card: Column, tags, classes, exact_class: bool = True) -> Column:
+    """Text of the first element (document order) with one of ``tags`` or a class in
+    ``classes``: the text after its opening tag up to the next tag, stripped."""
+    rx = field_regex(tags, classes, exact_class)
     found = F.regexp_extract(card, rx, 0) != ""
     return F.when(found, pystrip(unescape(F.regexp_extract(card, rx, 1))))
 
@@ -43,6 +49,11 @@ def _text(card: Column) -> Column:
     return unescape(F.regexp_replace(card, r"<[^>]*>", ""))
 
 
+CARD_START = r"(?i)(<div\b[^>]*" + _class_re(K.CARD_CLASSES) + r"[^>]*>)"
+CARD_START_FALLBACK = (r"(?i)(<(?:div\b[^>]*" + _class_re(K.CARD_CLASSES_FALLBACK) + r"|div\b[^>]*class\s*=\s*\"row\"|section\b[^>]*"
+                       + _class_re(["service"]) + r")[^>]*>)")
+
+
 def booking_cards(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """Service cards of booking pages (URL contains book / appointment /
     schedule) -> provider, service, duration, price."""
@@ -51,9 +62,7 @@ def booking_cards(pages: DataFrame, key: str = "page_id", html: str = "html", ur
     for w in K.BOOKING_URL_WORDS:
         booking = booking | u.contains(w)
     p = pages.filter(booking)
-    start = r"(?i)(<div\b[^>]*" + _class_re(K.CARD_CLASSES) + r"[^>]*>)"
-    start2 = r"(?i)(<(?:div\b[^>]*" + _class_re(K.CARD_CLASSES_FALLBACK) + r"|div\b[^>]*class\s*=\s*\"row\"|section\b[^>]*"\
-             + _class_re(["service"]) + r")[^>]*>)"
+    start, start2 = CARD_START, CARD_START_FALLBACK
     has_cards = F.col(html).rlike(start)
     pieces = F.when(has_cards, F.split(F.regexp_replace(F.col(html), start, _MARK + "$1"), _MARK)) \
         .otherwise(F.split(F.regexp_replace(F.col(html), start2, _MARK + "$1"), _MARK))

@@ -1,12 +1,53 @@
 """Registered queries for booking pages and external items."""
 from __future__ import annotations
 
+from pricesieve import constants as K
 from pricesieve.operators import booking
+from pricesieve.plans import sqlfrag as S
 from pricesieve.plans.fixtures import fixture
 from pricesieve.plans.registry import register
 
 
-@register("booking_cards")
+def _field_sql(card: str, tags, classes, exact=True) -> str:
+    rx = S.q(booking.field_regex(tags, classes, exact))
+    return f"(CASE WHEN regexp_extract({card}, {rx}, 0) <> '' THEN {S.strip(S.unescape(f'regexp_extract({card}, {rx}, 1)'))} END)"
+
+
+def _cards_sql() -> str:
+    st, st2 = S.q(booking.CARD_START), S.q(booking.CARD_START_FALLBACK)
+    book = " OR ".join(f"contains(url, {S.q(w)})" for w in K.BOOKING_URL_WORDS)
+    legal = " OR ".join(f"contains(lower(url), {S.q(w)})" for w in K.LEGAL_URL_WORDS)
+    prov = _field_sql("card", K.PROVIDER_TAGS, K.PROVIDER_CLASSES)
+    prov2 = _field_sql("card", K.PROVIDER_TAGS_2, K.PROVIDER_CLASSES_2)
+    svc = _field_sql("card", K.SERVICE_TAGS, K.SERVICE_CLASSES)
+    dur = _field_sql("card", None, K.DURATION_CLASSES + ['[^"]*minute'], False)
+    pel = _field_sql("card", None, ["price", "cost"], False)
+    txt = S.unescape("regexp_replace(card, '<[^>]*>', '', 'g')")
+    return f"""
+WITH p AS (SELECT page_id, url,
+             CASE WHEN regexp_matches(html, {st}) THEN string_split(regexp_replace(html, {st}, chr(2) || '\\1', 'g'), chr(2))
+                  ELSE string_split(regexp_replace(html, {st2}, chr(2) || '\\1', 'g'), chr(2)) END AS pieces
+           FROM fx_booking_html WHERE {book}),
+c AS (SELECT page_id, url, i - 1 AS card_no, pieces[i] AS card FROM p, generate_series(2, len(pieces)) AS g(i)),
+f AS (SELECT page_id, url, card_no,
+             CASE WHEN coalesce({prov}, '') <> '' THEN {prov} ELSE coalesce({prov2}, '') END AS provider,
+             coalesce({svc}, 'Consultation') AS service,
+             CASE WHEN coalesce({dur}, '') <> '' THEN {dur} ELSE regexp_extract({txt}, '(\\d+)\\s*minutes', 0) END
+               AS duration,
+             CASE WHEN {pel} IS NOT NULL THEN {pel}
+                  WHEN regexp_matches({txt}, '\\$(\\d+)') THEN regexp_extract({txt}, '\\$(\\d+)', 0)
+                  WHEN contains(lower({txt}), 'free') THEN 'Free' ELSE 'Price not found' END AS price
+      FROM c),
+k AS (SELECT *, {S.strip("regexp_replace(regexp_replace(service, '\\d+\\s*minutes', '', 'g'), '\\$\\d+', '', 'g')")} AS svc
+      FROM f WHERE provider <> '' OR service <> 'Consultation')
+SELECT page_id, card_no, CASE WHEN provider <> '' THEN provider || ' - ' || svc ELSE svc END AS product_name, price,
+       CASE WHEN {legal} THEN 'Legal Services' ELSE 'Professional Services' END AS category,
+       duration || CASE WHEN provider <> '' THEN ' with ' || provider ELSE '' END AS description,
+       url AS source_url, provider
+FROM k"""
+
+
+@register("booking_cards", ["fx_booking_html"], _cards_sql())
 def q_booking_cards(spark, sf):
     return booking.booking_cards(fixture(spark, sf, "fx_booking_html"))
 
