@@ -52,7 +52,41 @@ def q_booking_cards(spark, sf):
     return booking.booking_cards(fixture(spark, sf, "fx_booking_html"))
 
 
-@register("booking_regex")
+def _booking_regex_sql() -> str:
+    parts = []
+    for i, p in enumerate(K.BOOKING_PATTERNS):
+        rx = S.q("(?ism)" + p)
+        parts.append(f"""SELECT page_id, url, t, {i} AS pattern_no, k - 1 AS match_no, pieces[2 * k] AS m,
+       length(array_to_string(pieces[1:2 * k - 1], '')) AS start
+FROM (SELECT *, string_split(regexp_replace(t, {rx}, chr(5) || '\\0' || chr(5), 'g'), chr(5)) AS pieces FROM t0) x,
+     generate_series(1, CAST(floor((len(pieces) - 1) / 2) AS BIGINT)) AS g(k)""")
+    grp = {}
+    for k in (1, 2, 3, 4):
+        cases = " ".join(f"WHEN {i} THEN regexp_extract(m, {S.q('(?ism)^' + p)}, {k})"
+                         for i, p in enumerate(K.BOOKING_PATTERNS))
+        grp[k] = f"(CASE pattern_no {cases} END)"
+    legal = " OR ".join(f"contains(lower(url), {S.q(w)})" for w in K.LEGAL_URL_WORDS)
+    win = "substring(t, greatest(start - 100, 0) + 1, least(length(t), start + 100) - greatest(start - 100, 0))"
+    return f"""
+WITH t0 AS (SELECT page_id, url, regexp_replace(html, '&[a-z]+;', ' ', 'g') AS t FROM fx_booking_html),
+m AS ({' UNION ALL '.join(parts)}),
+f AS (SELECT page_id, url, pattern_no * 1048576 + match_no AS match_no, pattern_no,
+             {S.strip(grp[1])} AS provider,
+             CASE WHEN {grp[2]} <> '' THEN {S.strip(grp[2])} ELSE 'Consultation' END AS service,
+             CASE WHEN pattern_no < 2 THEN {S.strip(grp[3])} ELSE '' END AS duration,
+             {grp[4]} AS g4, {win} AS win FROM m),
+p AS (SELECT *, CASE WHEN pattern_no = 0 AND g4 <> '' THEN '$' || g4
+                     WHEN contains(lower(service), 'free') THEN 'Free'
+                     WHEN regexp_matches(win, '\\$(\\d+)') THEN regexp_extract(win, '\\$(\\d+)', 0)
+                     ELSE 'Price not found' END AS price FROM f)
+SELECT page_id, match_no, CASE WHEN provider <> '' THEN provider || ' - ' || service ELSE service END AS product_name,
+       price, CASE WHEN {legal} THEN 'Legal Services' ELSE 'Professional Services' END AS category,
+       duration || CASE WHEN provider <> '' THEN ' with ' || provider ELSE '' END AS description,
+       url AS source_url, provider
+FROM p"""
+
+
+@register("booking_regex", ["fx_booking_html"], _booking_regex_sql())
 def q_booking_regex(spark, sf):
     return booking.booking_regex(fixture(spark, sf, "fx_booking_html"))
 
