@@ -74,3 +74,16 @@ def q_v_indicators(spark, sf):
     pa = fixture(spark, sf, "fx_product_answers")
     products = answers.answer_items(pa)
     return verify.indicators(pa.select("chunk_id", "url", "text"), products)
+
+
+def _kind(kind: str):
+    def q(spark, sf):
+        from pyspark.sql import functions as F
+        return verify.findings(fixture(spark, sf, "fx_products")).filter(F.col("kind") == kind).select("row_id")
+    return q
+
+
+for _key, _kind_name in [("v_short_names", "missing_product_indicators"),
+                         ("v_missing_price", "missing_price_indicators"),
+                         ("v_low_confidence", "missing_category_indicators")]:
+    register(_key, P, f"SELECT row_id FROM {_FIND} f WHERE kind = '{_kind_name}'")(_kind(_kind_name))
