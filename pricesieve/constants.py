@@ -364,3 +364,4 @@ PRODUCT_INDICATORS = [
 ]
 INDICATOR_WINDOW = 100
 NAME_GRAM = 3
+DIRECT_NAMES_MAX = 256

@@ -283,13 +283,13 @@ def match_spans(df: DataFrame, key, text: str, patterns) -> DataFrame:
     offsets, so the cost stays linear in the document."""
     from pyspark.sql import Window
     keys = [key] if isinstance(key, str) else list(key)
-    parts = []
-    for i, p in enumerate(patterns):
-        pieces = F.split(F.regexp_replace(F.col(text), p, _SPAN_MARK + "$0" + _SPAN_MARK), _SPAN_MARK)
-        parts.append(df.select(*keys, F.lit(i).alias("pattern_no"), F.posexplode(pieces).alias("i", "piece")))
-    e = parts[0]
-    for p in parts[1:]:
-        e = e.unionByName(p)
+    # one scan: every pattern's pieces side by side, then exploded
+    per_pattern = F.array(*[
+        F.struct(F.lit(i).alias("pattern_no"),
+                 F.split(F.regexp_replace(F.col(text), p, _SPAN_MARK + "$0" + _SPAN_MARK), _SPAN_MARK).alias("pieces"))
+        for i, p in enumerate(patterns)])
+    e = df.select(*keys, F.explode(per_pattern).alias("pp")).select(
+        *keys, F.col("pp.pattern_no").alias("pattern_no"), F.posexplode("pp.pieces").alias("i", "piece"))
     w = Window.partitionBy(*keys, "pattern_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(w), F.lit(0)))
     return e.filter(F.col("i") % 2 == 1).select(

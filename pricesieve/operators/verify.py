@@ -66,27 +66,35 @@ def indicator_matches(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def contains_any(left: DataFrame, text_col: str, names: DataFrame, keys, site: str = "url",
-                 q: int = K.NAME_GRAM) -> DataFrame:
+                 q: int = K.NAME_GRAM, direct_max: int = K.DIRECT_NAMES_MAX) -> DataFrame:
     """Rows of ``left`` (identified by ``keys``) whose ``text_col`` (lower-cased) contains
-    any name of the same site.
+    any name of the same site.  Exact, and never pairs a row with every name of a big site:
 
-    Exact containment without pairing every row with every name: a name can only
-    occur where its first ``q`` characters occur, so each text emits its distinct
-    substrings of length 1..q, names are keyed by their first min(q, len) characters,
-    and only pairs sharing a key (and a site) are tested with ``instr``.
+    * sites with at most ``direct_max`` names: each text is tested against each of its
+      site's names (a bounded number of ``instr`` tests per text);
+    * larger sites: a name can only occur where its first ``q`` characters occur, so each
+      text emits its distinct substrings of the needed lengths, names are keyed by their
+      first min(q, len) characters, and only pairs sharing a key are tested.
     """
     nm = names.select(site, F.lower(F.col("name")).alias("name")).filter(F.col("name") != "").distinct()
-    nm = nm.withColumn("gram", F.substring("name", 1, q))
-    # texts emit grams of the lengths that names have (usually only q)
-    lengths = sorted(r[0] for r in nm.select(F.least(F.length("name"), F.lit(q)).alias("k")).distinct().collect())
-    ks = F.array(*[F.lit(k) for k in lengths]) if lengths else F.array().cast("array<int>")
+    sizes = nm.groupBy(site).agg(F.count(F.lit(1)).alias("_n"))
+    small = sizes.filter(F.col("_n") <= direct_max).select(site)
     lt = left.select(*keys, site, F.lower(F.col(text_col)).alias("_low"))
-    grams = lt.select(*keys, site, "_low", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))),
-        lambda i: F.transform(ks, lambda k: F.substring("_low", i, k)))))).alias("gram"))
-    grams = grams.filter(F.col("gram") != "")
-    hit = grams.join(nm, [site, "gram"]).filter(F.instr(F.col("_low"), F.col("name")) > 0).select(*keys).distinct()
-    return left.join(hit, list(keys), "left_semi")
+    direct = lt.join(nm.join(small, site, "left_semi"), site) \
+        .filter(F.instr(F.col("_low"), F.col("name")) > 0).select(*keys)
+    big = nm.join(small, site, "left_anti").withColumn("gram", F.substring("name", 1, q))
+    # texts emit grams of the lengths that names have (usually only q); at most q values
+    lengths = sorted(r[0] for r in big.select(F.least(F.length("name"), F.lit(q)).alias("k")).distinct().collect())
+    if lengths:
+        ks = F.array(*[F.lit(k) for k in lengths])
+        lt_big = lt.join(big.select(site).distinct(), site, "left_semi")
+        grams = lt_big.select(*keys, site, "_low", F.explode(F.array_distinct(F.flatten(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))),
+            lambda i: F.transform(ks, lambda k: F.substring("_low", i, k)))))).alias("gram"))
+        grams = grams.filter(F.col("gram") != "")
+        by_gram = grams.join(big, [site, "gram"]).filter(F.instr(F.col("_low"), F.col("name")) > 0).select(*keys)
+        direct = direct.unionByName(by_gram)
+    return left.join(direct.distinct(), list(keys), "left_semi")
 
 
 def indicators(chunks: DataFrame, products: DataFrame, name_col: str = "product_name", key: str = "chunk_id") -> DataFrame:
