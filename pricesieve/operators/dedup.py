@@ -146,6 +146,68 @@ def name_bound(threshold: float) -> float:
     return 2 * (threshold - 0.625) - 1e-9
 
 
+def price_floor(threshold: float) -> float:
+    """Smallest price similarity a pair without a duration match can have and still reach
+    ``threshold`` (name at most 1, provider 0.2): 0.5 + 0.2 p + 0.2 >= t."""
+    return max(0.0, (threshold - 0.7) / 0.2)
+
+
+def _signature_pairs(blocks: DataFrame, cand: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
+    """Signature pairs through similar-name pairs of a block, restricted exactly by the
+    price / duration bound: same duration, or prices that can be similar enough
+    (both zero, free included; positive numbers within the factor the bound allows,
+    found through power-of-two bands; an unparsable price on either side)."""
+    import math
+    attrs = sig.select("sig_id", "n_price", "n_duration").withColumn("_v", F.regexp_replace("n_price", r"[^\d.]", "").try_cast("double"))
+    num = _numeric(F.col("n_price"))
+    # '$0' (free) and any other zero amount are equal numbers: one class
+    cls = (F.when(F.col("n_price").isNull(), F.lit("none"))
+           .when(num & (F.col("_v") > 0), F.lit("num"))
+           .when(num, F.lit("zero"))
+           .otherwise(F.lit("text")))
+    attrs = attrs.select("sig_id", "n_duration", cls.alias("pc"),
+                         F.when(cls == "num", F.floor(F.log2("_v")).cast("int")).alias("band"))
+    b = blocks.join(attrs, "sig_id")
+    pmin = price_floor(threshold)
+    if pmin >= 1.0:
+        width = 0
+    elif pmin <= 0.0:
+        width = None
+    else:
+        width = int(math.ceil(math.log2(1.0 / (1.0 - pmin)))) + 1
+    c = cand.alias("c")
+
+    def side(df, alias, name_col):
+        d = df.alias(alias)
+        return d, (F.col(f"{alias}.blk") == F.col("c.cblk")) & (F.col(f"{alias}.n_name") == F.col(f"c.{name_col}"))
+
+    def pairs(extra_a=None, extra_b=None, cond=None, a_df=b, b_df=b):
+        sa, ca = side(a_df, "sa", "name1")
+        sb, cb = side(b_df, "sb", "name2")
+        j = c.join(sa, ca).join(sb, cb if cond is None else cb & cond)
+        j = j.filter((F.col("name1") < F.col("name2")) | (F.col("sa.sig_id") <= F.col("sb.sig_id")))
+        return j.select(F.col("sa.sig_id").alias("s1"), F.col("sb.sig_id").alias("s2"), "name_sim")
+
+    if width is None:
+        return pairs().distinct()
+    parts = [
+        # a duration match lifts the bound
+        pairs(cond=(F.col("sa.n_duration") != "") & (F.col("sa.n_duration") == F.col("sb.n_duration"))),
+        pairs(cond=(F.col("sa.pc") == "zero") & (F.col("sb.pc") == "zero")),
+        pairs(cond=(F.col("sa.pc") == "text") & (F.col("sb.pc") != "none")),
+        pairs(cond=(F.col("sb.pc") == "text") & (F.col("sa.pc") != "none")),
+    ]
+    # positive numbers: ratio bound -> band difference bound; one equi-join per offset
+    nb = b.filter(F.col("pc") == "num")
+    for off in range(-width, width + 1):
+        shifted = nb.withColumn("band", F.col("band") + F.lit(off))
+        parts.append(pairs(cond=F.col("sa.band") == F.col("sb.band"), a_df=shifted, b_df=nb))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
 def pair_scores(sig: DataFrame, threshold: float) -> DataFrame:
     """Scores of candidate signature pairs (each unordered pair once, and each signature
     with itself).
@@ -170,11 +232,7 @@ def pair_scores(sig: DataFrame, threshold: float) -> DataFrame:
     sims = name_pairs.select("name1", "name2").distinct().withColumn("name_sim", name_similarity_udf("name1", "name2"))
     sims = sims.filter(F.col("name_sim") >= name_bound(threshold))
     cand = name_pairs.join(sims, ["name1", "name2"]).withColumnRenamed("blk", "cblk").alias("c")
-    sa, sb = blocks.alias("sa"), blocks.alias("sb")
-    sp = (cand.join(sa, (F.col("sa.blk") == F.col("c.cblk")) & (F.col("sa.n_name") == F.col("c.name1")))
-          .join(sb, (F.col("sb.blk") == F.col("c.cblk")) & (F.col("sb.n_name") == F.col("c.name2")))
-          .filter((F.col("name1") < F.col("name2")) | (F.col("sa.sig_id") <= F.col("sb.sig_id")))
-          .select(F.col("sa.sig_id").alias("s1"), F.col("sb.sig_id").alias("s2"), "name_sim").distinct())
+    sp = _signature_pairs(blocks, cand, sig, threshold)
     x, y = sig.alias("x"), sig.alias("y")
     pairs = sp.join(x, F.col("s1") == F.col("x.sig_id")).join(y, F.col("s2") == F.col("y.sig_id")).select(
         "s1", "s2", "name_sim",

@@ -35,3 +35,22 @@ def test_dedup_matches_replay(spark, threshold):
     expect = replay(rows, threshold)
     got = {r["row_id"]: r["leader_id"] for r in dedup.dedup_leaders(p, threshold).collect()}
     assert got == expect
+
+
+def test_dedup_price_classes(spark):
+    """Prices of every class (free, zero, numbers far apart, text, missing) against the replay."""
+    names = ["red widget", "red widget large", "blue bolt", "Red  Widget!"]
+    prices = ["Free", "$0.00", "$10", "$19.99", "$21", "$45", "Contact us", "Price not found", None, "", "$1.2.3"]
+    descs = ["30 minutes", "1 hr", "plain", None]
+    rows = []
+    rid = 0
+    for n in names:
+        for p in prices:
+            for d in descs:
+                rows.append((rid, n, p, "Acme" if rid % 5 else "", d))
+                rid += 1
+    df = spark.createDataFrame(rows, "row_id long, product_name string, price string, provider string, description string")
+    for t in (0.8, 0.75):
+        expect = replay([r.asDict() for r in df.collect()], t)
+        got = {r["row_id"]: r["leader_id"] for r in dedup.dedup_leaders(df, t).collect()}
+        assert got == expect
