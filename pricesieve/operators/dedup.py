@@ -174,38 +174,32 @@ def _signature_pairs(blocks: DataFrame, cand: DataFrame, sig: DataFrame, thresho
     elif pmin <= 0.0:
         width = None
     else:
-        width = int(math.ceil(math.log2(1.0 / (1.0 - pmin)))) + 1
+        # b / a <= 1 / (1 - pmin) puts floor(log2) bands at most ceil(log2(.)) apart; the
+        # small margin keeps ratios a rounding step above the bound (scores are float sums)
+        width = max(0, int(math.ceil(math.log2(1.0 / (1.0 - pmin)) + 1e-6)))
     c = cand.alias("c")
-
-    def side(df, alias, name_col):
-        d = df.alias(alias)
-        return d, (F.col(f"{alias}.blk") == F.col("c.cblk")) & (F.col(f"{alias}.n_name") == F.col(f"c.{name_col}"))
-
-    def pairs(extra_a=None, extra_b=None, cond=None, a_df=b, b_df=b):
-        sa, ca = side(a_df, "sa", "name1")
-        sb, cb = side(b_df, "sb", "name2")
-        j = c.join(sa, ca).join(sb, cb if cond is None else cb & cond)
-        j = j.filter((F.col("name1") < F.col("name2")) | (F.col("sa.sig_id") <= F.col("sb.sig_id")))
-        return j.select(F.col("sa.sig_id").alias("s1"), F.col("sb.sig_id").alias("s2"), "name_sim")
-
     if width is None:
-        return pairs().distinct()
-    parts = [
-        # a duration match lifts the bound
-        pairs(cond=(F.col("sa.n_duration") != "") & (F.col("sa.n_duration") == F.col("sb.n_duration"))),
-        pairs(cond=(F.col("sa.pc") == "zero") & (F.col("sb.pc") == "zero")),
-        pairs(cond=(F.col("sa.pc") == "text") & (F.col("sb.pc") != "none")),
-        pairs(cond=(F.col("sb.pc") == "text") & (F.col("sa.pc") != "none")),
-    ]
-    # positive numbers: ratio bound -> band difference bound; one equi-join per offset
-    nb = b.filter(F.col("pc") == "num")
-    for off in range(-width, width + 1):
-        shifted = nb.withColumn("band", F.col("band") + F.lit(off))
-        parts.append(pairs(cond=F.col("sa.band") == F.col("sb.band"), a_df=shifted, b_df=nb))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+        keys_a = keys_b = F.array(F.lit("*"))
+    else:
+        dur = F.when(F.col("n_duration") != "", F.concat(F.lit("d:"), F.col("n_duration")))
+        zero = F.when(F.col("pc") == "zero", F.lit("z"))
+        text_a = F.when(F.col("pc") == "text", F.lit("t"))
+        any_a = F.when(F.col("pc") != "none", F.lit("u"))
+        text_b = F.when(F.col("pc") != "none", F.lit("t"))
+        any_b = F.when(F.col("pc") == "text", F.lit("u"))
+        band_a = F.when(F.col("pc") == "num", F.concat(F.lit("n:"), F.col("band").cast("string")))
+        bands_b = [F.when(F.col("pc") == "num", F.concat(F.lit("n:"), (F.col("band") + off).cast("string")))
+                   for off in range(-width, width + 1)]
+        keys_a = F.array(dur, zero, text_a, any_a, band_a)
+        keys_b = F.array(dur, zero, text_b, any_b, *bands_b)
+    # every signature emits the keys a compatible partner must share: one equi-join
+    ka = b.select("sig_id", "blk", "n_name", F.explode(F.array_compact(keys_a)).alias("k")).alias("sa")
+    kb = b.select("sig_id", "blk", "n_name", F.explode(F.array_compact(keys_b)).alias("k")).alias("sb")
+    j = (c.join(ka, (F.col("sa.blk") == F.col("c.cblk")) & (F.col("sa.n_name") == F.col("c.name1")))
+         .join(kb, (F.col("sb.blk") == F.col("c.cblk")) & (F.col("sb.n_name") == F.col("c.name2"))
+               & (F.col("sb.k") == F.col("sa.k"))))
+    j = j.filter((F.col("name1") < F.col("name2")) | (F.col("sa.sig_id") <= F.col("sb.sig_id")))
+    return j.select(F.col("sa.sig_id").alias("s1"), F.col("sb.sig_id").alias("s2"), "name_sim").distinct()
 
 
 def pair_scores(sig: DataFrame, threshold: float) -> DataFrame:
