@@ -37,7 +37,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is a shared folder set by the platform and is only read here.
     Only when it is unset (local tests) a scratch folder is created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current
