@@ -55,16 +55,21 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", url: str |
 
 
 # -------------------------------------------------------- language
-def _count_in(words_col, words):
-    arr = F.array(*[F.lit(w) for w in words])
-    return F.size(F.filter(words_col, lambda x: F.array_contains(arr, x)))
+def _count_in(text_col, words):
+    """Number of white-space separated tokens equal to one of ``words``: a token is a
+    match not preceded or followed by a non-space character (one regex pass)."""
+    import re
+    nonspace = r"[^\s\x{1c}-\x{1f}]"
+    alt = "|".join(re.escape(w) for w in words)
+    rx = rf"(?U)(?<!{nonspace})(?:{alt})(?!{nonspace})"
+    return F.size(F.regexp_extract_all(text_col, F.lit(rx), 0))
 
 
 def lang_guess(docs: DataFrame, text: str = "text", target: str = "en") -> DataFrame:
     """Stop-word vote French vs German (winner must beat the other and exceed 5),
     else English; needs_translation when the guess is neither the target nor English."""
-    words = F.split(F.lower(F.col(text)), r"(?U)[\s\x{1c}-\x{1f}]+")
-    fr, de = _count_in(words, K.FRENCH_WORDS), _count_in(words, K.GERMAN_WORDS)
+    low = F.lower(F.col(text))
+    fr, de = _count_in(low, K.FRENCH_WORDS), _count_in(low, K.GERMAN_WORDS)
     d = docs.withColumn("fr_hits", fr).withColumn("de_hits", de)
     lang = (
         F.when((F.col("fr_hits") > F.col("de_hits")) & (F.col("fr_hits") > 5), "fr")
