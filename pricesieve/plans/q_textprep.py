@@ -67,7 +67,19 @@ def q_repair_dict(spark, sf):
     return d.select("doc_id", text.repair_dict(F.col("text")).alias("text"))
 
 
-@register("repair_runs")
+_LETTERS = "[" + ", ".join(f"'{c}'" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+
+
+@register("repair_runs", [], f"""
+WITH c AS (SELECT doc_id, i, substring(text, i, 1) AS ch FROM documents, generate_series(1, length(text)) AS g(i)),
+p AS (SELECT *, lag(ch) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM c),
+r AS (SELECT *, sum(CASE WHEN prev IS NULL OR lower(ch) <> lower(prev) THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY doc_id ORDER BY i) AS run FROM p),
+g AS (SELECT doc_id, run, count(*) AS n, string_agg(ch, '' ORDER BY i) AS s, arg_min(ch, i) AS f FROM r GROUP BY ALL),
+t AS (SELECT doc_id, string_agg(CASE WHEN n > 2 THEN CASE WHEN list_contains({_LETTERS}, lower(f)) THEN f ELSE f || f END
+                                     ELSE s END, '' ORDER BY run) AS text FROM g GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""")
 def q_repair_runs(spark, sf):
     d = _docs(spark, sf)
     return d.select("doc_id", text.repair_runs(F.col("text")).alias("text"))
