@@ -27,7 +27,7 @@ def _norm(v):
             return "nan"
         return round(f, 6) + 0.0
     if isinstance(v, int):
-        return float(v) if False else v
+        return v
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if isinstance(v, dict):
