@@ -107,6 +107,12 @@ def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
         )
         levels.append(new)
         frontier = new
+        if max_pages is not None:
+            # a crawl that has visited max_pages pages adds nothing more: stop expanding it
+            frontier = materialize(new.join(counts.filter(F.col("n_seen") < max_pages).select("crawl_id"),
+                                            "crawl_id", "left_semi"))
+            if frontier.isEmpty():
+                break
         level += 1
     out = levels[0]
     for lv in levels[1:]:
