@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pricesieve.llm import (
-    bestfit, bpe_automaton, golay_simhash, html_mincut, line_crf, line_quality, nn_descent, token_files, url_rules,
+    bestfit, bpe_automaton, golay_simhash, html_mincut, license_scan, line_crf, line_quality, nn_descent,
+    token_files, url_rules,
 )
 from pricesieve.llm.common import public_tokenizer
 
@@ -42,6 +43,10 @@ def op7_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.packed_documents(_table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -52,5 +57,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_html_mincut, op2_token_files, op3_url_rules, op4_quality_crf, op5_simhash, op6_bpe_automaton, op7_bestfit,
-    op9_nn_descent, op10_quality_rules)}
+    op8_license_scan, op9_nn_descent, op10_quality_rules)}
 ORACLE = {"op3_url_rules": url_rules.oracle(), "op10_quality_rules": line_quality.ORACLE}
