@@ -28,23 +28,15 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricesieve.llm.common import ChunkEncoder
+from pricesieve.llm.common import ChunkEncoder, byte_letters
 
 START = -1
 #: Distinct chunks that a worker remembers; a full memory is emptied.
-CHUNK_LIMIT = 400_000
+CHUNK_LIMIT = 700_000
 #: Pre-split of the byte-level tokenizers.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_letters() -> dict[str, int]:
-    """Letter of the vocabulary file -> byte: printable Latin-1 letters stand for themselves,
-    the other bytes for the letters from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
 class Automaton:
     """``labels``: bytes of each token id; ``merges``: (u, v, w) ids in their order."""
 
@@ -110,7 +102,7 @@ class Automaton:
 
     def word(self, word: bytes) -> list[int]:
         """Ids of one pre-split word."""
-        n, spelled = len(word), self.spelled
+        n, spelled, arcs = len(word), self.spelled, self.arcs
         whole = spelled.get(word, START)
         if n == 1:
             return [whole]
@@ -123,8 +115,10 @@ class Automaton:
                 token = spelled.get(word[i:j])
                 if token is None:
                     break
-                if token != START and self.arc(here, token):
-                    state[j] = token
+                if token != START:
+                    known = arcs.get((here, token))
+                    if self.arc(here, token) if known is None else known:
+                        state[j] = token
         path = []
         while n:
             path.append(state[n])

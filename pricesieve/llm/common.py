@@ -56,6 +56,14 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[str, int]:
+    """Letter of a byte-level vocabulary -> byte: printable Latin-1 letters stand for themselves,
+    the other bytes for the letters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class ChunkEncoder:
     """Encodes whole texts with the tokenizers library, once per distinct chunk.
 
@@ -71,28 +79,43 @@ class ChunkEncoder:
     ``limit`` bounds the cache; a full cache is emptied, results don't depend on it.
     """
 
-    BYTE_CHUNKS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
+    #: A run of Latin letters ends a chunk before ASCII marks, digits and white space (not before
+    #: an apostrophe): both pre-tokenizers split there too.
+    RUN = r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+(?=[!-&(-@\[-`{-~ \n]|\Z)"
+    WORD_CHUNKS = re.compile(rf"{RUN}|[^ \n]+")
+    BYTE_CHUNKS = re.compile(rf" ?{RUN}| ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
+    ONE_RUN = re.compile(rf" ?{RUN}")
     ODD_SPACE = re.compile(r"[^\S \n]")
 
-    def __init__(self, path: str, kind: str, limit: int = 500_000):
+    def __init__(self, path: str, kind: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.kind, self.limit = kind, limit
+        self.kind, self.limit, self.model = kind, limit, self.tokenizer.model
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.cache: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        # a single run of Latin letters is one pre-split word: the library's model alone does
+        out = []
+        for t in texts:
+            if self.ONE_RUN.fullmatch(t):
+                low = t.lower() if self.kind == "word" else t
+                tokens = self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))
+                out.append(np.array([x.id for x in tokens], dtype="<u4").tobytes())
+            else:
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+                out.append(np.array(ids, dtype="<u4").tobytes())
+        return out
 
     def chunks(self, text: str) -> list[str]:
         if self.kind == "word":
-            return text.replace("\n", " ").split(" ")
+            return self.WORD_CHUNKS.findall(text)
         if self.ODD_SPACE.search(text) or any(s in text for s in self.special):
             return [text]
         return self.BYTE_CHUNKS.findall(text)
