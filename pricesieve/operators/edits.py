@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricesieve import constants as K
+from pricesieve.functions.text import pystrip
 
 KEY = ("product_name", "category", "source_url")
 
@@ -95,20 +96,20 @@ def dup_exact(products: DataFrame) -> DataFrame:
     """Key lower/strip(name) | lower/strip(price) with 'free' read as '$0'; the first
     row (row_id order) of each key is kept.  A null name or price makes the key null,
     and null keys count as equal to each other."""
-    nn = F.lower(F.trim(F.col("product_name")))
-    np_ = F.lower(F.trim(F.col("price")))
-    np_ = F.when(np_ == "free", F.lit("$0")).otherwise(np_)
-    key = F.concat(nn, F.lit("|"), np_)
-    w = Window.partitionBy(key).orderBy("row_id")
-    return products.withColumn("dup_exact", F.row_number().over(w) > 1)
+    price = F.lower(pystrip("price"))
+    price = F.when(price == "free", F.lit("$0")).otherwise(price)
+    keyed = products.withColumn("_key", F.concat(F.lower(pystrip("product_name")), F.lit("|"), price))
+    first = keyed.groupBy("_key").agg(F.min("row_id").alias("_first")).withColumnRenamed("_key", "_k")
+    out = keyed.join(first, F.col("_key").eqNullSafe(F.col("_k")))
+    return out.withColumn("dup_exact", F.col("row_id") > F.col("_first")).drop("_key", "_k", "_first")
 
 
 def dup_provider(products: DataFrame) -> DataFrame:
     """Per non-null provider (the empty string included) all but the first row."""
-    w = Window.partitionBy("provider").orderBy("row_id")
-    return products.withColumn(
-        "dup_provider", F.col("provider").isNotNull() & (F.row_number().over(w) > 1)
-    )
+    first = (products.where("provider IS NOT NULL").groupBy(F.col("provider").alias("_p"))
+             .agg(F.min("row_id").alias("_first")))
+    out = products.join(first, F.col("provider") == F.col("_p"), "left")
+    return out.withColumn("dup_provider", F.coalesce(F.col("row_id") > F.col("_first"), F.lit(False))).drop("_p", "_first")
 
 
 def select_export(products: DataFrame) -> DataFrame:

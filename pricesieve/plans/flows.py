@@ -12,8 +12,10 @@ def catalogue(product_answers: DataFrame, threshold: float = K.SIMILARITY_THRESH
     """Answers of every chunk -> product rows with validated categories -> kept rows of
     the greedy deduplication (with their cluster size)."""
     items = answers.answer_items(product_answers)
+    # ids in (chunk, item) order: the stride is longer than the longest answer
+    stride = (items.agg(F.max("item_no")).first()[0] or 0) + 1
     products = answers.category_relabel(items).withColumn(
-        "row_id", F.col("chunk_id") * F.lit(1000) + F.col("item_no")
+        "row_id", F.col("chunk_id") * F.lit(stride).cast("long") + F.col("item_no")
     ).drop("text")
     return dedup.deduplicate(products, threshold)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pricesieve.operators import edits, explore
 from pricesieve.plans.fixtures import fixture
 from pricesieve.plans.registry import register
+from pricesieve.plans.sqlfrag import strip
 
 P = ["fx_products"]
 NO_PRICE = "price not found|not found|not specified|n/a|unknown"
@@ -311,9 +312,9 @@ def q_edit_delete(spark, sf):
     return edits.edit_delete(_p(spark, sf), fixture(spark, sf, "fx_edits"))
 
 
-_DUP = """SELECT *,
-       row_number() OVER (PARTITION BY lower(trim(product_name)) || '|' ||
-            CASE WHEN lower(trim(price)) = 'free' THEN '$0' ELSE lower(trim(price)) END ORDER BY row_id) > 1
+_DUP = f"""SELECT *,
+       row_number() OVER (PARTITION BY lower({strip('product_name')}) || '|' ||
+            CASE WHEN lower({strip('price')}) = 'free' THEN '$0' ELSE lower({strip('price')}) END ORDER BY row_id) > 1
          AS dup_exact,
        provider IS NOT NULL AND row_number() OVER (PARTITION BY provider ORDER BY row_id) > 1 AS dup_provider
 FROM fx_products"""

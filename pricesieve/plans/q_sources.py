@@ -95,7 +95,7 @@ def q_json_roundtrip(spark, sf):
 
 @register("vector_collection", ["fx_tag_answers"], f"""
 WITH tg AS ({tags_sql()}),
-ch AS (SELECT tg.*, substring(d.text, 1, 200) AS text FROM tg JOIN documents d ON d.doc_id = tg.chunk_id),
+ch AS (SELECT tg.*, d.text FROM tg JOIN documents d ON d.doc_id = tg.chunk_id),
 e AS (SELECT vec_id AS chunk_id, CASE WHEN vec_id % 10 = 0 THEN NULL ELSE embedding END AS embedding FROM embeddings),
 j AS (SELECT ch.*, e.embedding FROM ch JOIN e ON ch.chunk_id = e.chunk_id WHERE e.embedding IS NOT NULL)
 SELECT CAST(row_number() OVER (ORDER BY chunk_id) - 1 AS VARCHAR) AS id, chunk_id, embedding,
@@ -105,8 +105,7 @@ SELECT CAST(row_number() OVER (ORDER BY chunk_id) - 1 AS VARCHAR) AS id, chunk_i
 FROM j""")
 def q_vector_collection(spark, sf):
     tagged = answers.tags(fixture(spark, sf, "fx_tag_answers"))
-    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"),
-                                                      F.substring("text", 1, 200).alias("text"))
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     chunks = tagged.join(docs, "chunk_id")
     emb = read_table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("chunk_id"),

@@ -1,56 +1,70 @@
-"""Deduplication against a sequential replay of the original greedy loop."""
+"""Deduplication: hand-computed cases and the properties that define the greedy leaders."""
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricesieve.functions.similarity import lcs_len, ratio, token_set_ratio, token_sort_ratio
 from pricesieve.operators import dedup
 from pricesieve.plans.fixtures import fixture
-from tests.dedup_replay import replay, similarity
 
 SF = "/root/testdata/sf0.001"
+SCHEMA = "row_id long, product_name string, price string, provider string, description string"
+SIGNATURE = ["n_name", "n_price", "n_provider", "n_duration"]
 
 
-def test_fuzzy_reference_values():
+def test_fuzzy_values():
     assert round(ratio("this is a test", "this is a test!"), 6) == 96.551724
     assert token_sort_ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == 100.0
     assert token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100.0
     assert lcs_len("abcbdab", "bdcaba") == 4
 
 
-def test_score_quirks():
-    a = {"product_name": "Red Widget", "price": "$10", "description": "30 minutes"}
-    b = dict(a)
-    assert similarity(a, b) == 0.5 + 0.2 + 0.0 + 0.1  # no provider: below 0.8
-    a["provider"] = b["provider"] = "Acme"
-    assert similarity(a, b) == 0.9999999999999999
-    assert similarity({"product_name": "x", "price": "Price not found"},
-                      {"product_name": "x", "price": "Price not found"}) == 0.5 + 0.2
+def test_leaders_by_hand(spark):
+    rows = [(1, "Red Widget", "$10", "Acme", "30 minutes"), (2, "red  widget", "$10.00", "Acme", "30 min"),
+            (3, "Red Widget", "$10", "", "30 minutes"), (4, "Blue Bolt", "$10", "Acme", "30 minutes")]
+    got = {r.row_id: r.leader_id for r in dedup.dedup_leaders(spark.createDataFrame(rows, SCHEMA), 0.8).collect()}
+    # 1 and 2 agree in all four; 3 lacks the provider; 4 has another name
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.75, 0.9])
-def test_dedup_matches_replay(spark, threshold):
+def test_leader_properties(spark, threshold):
+    """No two leaders reach the threshold; every other row reaches it with its leader, and with
+    no leader that is processed before that one."""
     p = fixture(spark, SF, "fx_products")
-    rows = [r.asDict() for r in p.orderBy("row_id").collect()]
-    expect = replay(rows, threshold)
-    got = {r["row_id"]: r["leader_id"] for r in dedup.dedup_leaders(p, threshold).collect()}
-    assert got == expect
-
-
-def test_dedup_price_classes(spark):
-    """Prices of every class (free, zero, numbers far apart, text, missing) against the replay."""
-    names = ["red widget", "red widget large", "blue bolt", "Red  Widget!"]
-    prices = ["Free", "$0.00", "$10", "$19.99", "$21", "$45", "Contact us", "Price not found", None, "", "$1.2.3"]
-    descs = ["30 minutes", "1 hr", "plain", None]
-    rows = []
-    rid = 0
-    for n in names:
-        for p in prices:
-            for d in descs:
-                rows.append((rid, n, p, "Acme" if rid % 5 else "", d))
-                rid += 1
-    df = spark.createDataFrame(rows, "row_id long, product_name string, price string, provider string, description string")
-    for t in (0.8, 0.75):
-        expect = replay([r.asDict() for r in df.collect()], t)
-        got = {r["row_id"]: r["leader_id"] for r in dedup.dedup_leaders(df, t).collect()}
-        assert got == expect
+    prepared = dedup.prepare(p).select("row_id", *SIGNATURE)
+    table = prepared.select(*SIGNATURE).distinct().withColumn("sig_id", F.monotonically_increasing_id()).cache()
+    by_signature = {tuple(r[c] for c in SIGNATURE): r.sig_id for r in table.collect()}
+    sig = {r.row_id: by_signature[tuple(r[c] for c in SIGNATURE)] for r in prepared.collect()}
+    score = {}
+    for r in dedup.pair_scores(table, threshold).collect():
+        score[r.s1, r.s2] = score[r.s2, r.s1] = r.score
+    rank = {r.row_id: r["rank"] for r in dedup.quality_rank(p).collect()}
+    rows = dedup.dedup_leaders(p, threshold).collect()
+    leaders = sorted((r.row_id for r in rows if r.is_leader), key=rank.get)
+
+    def same(a, b):
+        return score.get((sig[a], sig[b]), 0.0) >= threshold
+
+    assert not any(same(a, b) for i, a in enumerate(leaders) for b in leaders[:i])
+    for r in rows:
+        if not r.is_leader:
+            assert r.leader_id == next(x for x in leaders if same(x, r.row_id))
+            assert rank[r.leader_id] < rank[r.row_id]
+
+
+def test_long_answers_keep_their_ids(spark):
+    """An answer of more than 1,000 items doesn't meet the items of the next chunk."""
+    from pricesieve.operators import answers
+    items = answers.answer_items(fixture(spark, SF, "fx_product_answers"))
+    top = items.agg(F.max("item_no")).first()[0]
+    assert items.select((F.col("chunk_id") * (top + 1) + F.col("item_no")).alias("i")).distinct().count() == items.count()
+
+
+def test_exact_flag_strips_all_white_space(spark):
+    from pricesieve.operators import edits
+    rows = [(1, "Widget", "$1", None, ""), (2, "\tWidget\n", " $1", None, ""), (3, None, "$1", "", ""), (4, None, "$2", "", "")]
+    got = {r.row_id: (r.dup_exact, r.dup_provider)
+           for r in edits.dup_provider(edits.dup_exact(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == {1: (False, False), 2: (True, False), 3: (False, False), 4: (True, True)}
