@@ -125,16 +125,9 @@ MANUAL_CONFIDENCE = 0.9
 NO_DESCRIPTION = "No description available"
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES (ours): HTML handling.  Named entities decoded, in this order
-# ('&amp;' last so that an escaped entity is decoded once), and block tags that
-# start a new line in the block-text form.
-# ---------------------------------------------------------------------------
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"),
-    ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&euro;", "€"), ("&pound;", "£"), ("&amp;", "&"),
-]
+# FIXED VALUES (ours): HTML handling.  Blocks dropped, and block tags that start a
+# new line in the block-text form.
+# ---------------------------------------------------------------------------
 HTML_DROP_BLOCKS = ["script", "style", "template"]
 HTML_BLOCK_TAGS = [
     "p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table",

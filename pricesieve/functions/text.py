@@ -28,7 +28,20 @@ def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def mark_matches(c: Column, pattern: str, mark: str = "\u0001") -> Column:
-    """Wrap every match of ``pattern`` in ``mark`` so that ``split`` yields
-    text pieces at even and matches at odd positions, keeping offsets."""
-    return F.split(F.regexp_replace(c, f"({pattern})", f"{mark}$1{mark}"), mark)
+_MARK = "\u0001"
+
+
+def _unmarked(c: Column) -> Column:
+    # same length, same character classes
+    return F.translate(c, _MARK, "\u001a")
+
+
+def match_pieces(c: Column, pattern: str) -> Column:
+    """The text cut at every match of ``pattern``: text at even, matches at odd indices, so
+    offsets are running lengths.  A U+0001 of the text itself is read as U+001A."""
+    return F.split(F.regexp_replace(_unmarked(c), pattern, _MARK + "$0" + _MARK), _MARK)
+
+
+def cut_before(c: Column, pattern: str) -> Column:
+    """The text cut before every match of ``pattern`` (U+0001 read as U+001A)."""
+    return F.split(F.regexp_replace(_unmarked(c), pattern, _MARK + "$0"), _MARK)

@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 
 from pricesieve import constants as K
 from pricesieve.functions.html import unescape
-from pricesieve.functions.text import pystrip
-
-_MARK = "\u0002"
+from pricesieve.functions.text import cut_before, pystrip
 
 
 def _class_re(classes) -> str:
@@ -64,8 +62,8 @@ def booking_cards(pages: DataFrame, key: str = "page_id", html: str = "html", ur
     p = pages.filter(booking)
     start, start2 = CARD_START, CARD_START_FALLBACK
     has_cards = F.col(html).rlike(start)
-    pieces = F.when(has_cards, F.split(F.regexp_replace(F.col(html), start, _MARK + "$1"), _MARK)) \
-        .otherwise(F.split(F.regexp_replace(F.col(html), start2, _MARK + "$1"), _MARK))
+    pieces = F.when(has_cards, cut_before(F.col(html), start)) \
+        .otherwise(cut_before(F.col(html), start2))
     cards = p.select(key, F.col(url).alias("url"), F.posexplode(pieces).alias("card_no", "card")).filter("card_no > 0")
     c = F.col("card")
     prov = F.coalesce(_field(c, K.PROVIDER_TAGS, K.PROVIDER_CLASSES), F.lit(""))
@@ -87,7 +85,7 @@ def booking_cards(pages: DataFrame, key: str = "page_id", html: str = "html", ur
                      duration.alias("duration"), price.alias("price"))
     d = d.filter((F.col("provider") != "") | (F.col("service") != K.CONSULTATION))
     svc = pystrip(F.regexp_replace(F.regexp_replace("service", r"\d+\s*minutes", ""), r"\$\d+", ""))
-    return _product_rows(d, key, svc)
+    return _product_rows(d, key, svc, "card_no")
 
 
 def _category(url: Column) -> Column:
@@ -98,11 +96,11 @@ def _category(url: Column) -> Column:
     return F.when(legal, F.lit(K.LEGAL_CATEGORY)).otherwise(F.lit(K.PROFESSIONAL_CATEGORY))
 
 
-def _product_rows(d: DataFrame, key: str, service: Column, order: str = "card_no") -> DataFrame:
+def _product_rows(d: DataFrame, key: str, service: Column, *order: str) -> DataFrame:
     prov = F.col("provider")
     name = F.when(prov != "", F.concat(prov, F.lit(" - "), service)).otherwise(service)
     desc = F.concat(F.col("duration"), F.when(prov != "", F.concat(F.lit(" with "), prov)).otherwise(F.lit("")))
-    return d.select(key, order, name.alias("product_name"), "price", _category(F.col("url")).alias("category"),
+    return d.select(key, *order, name.alias("product_name"), "price", _category(F.col("url")).alias("category"),
                     desc.alias("description"), F.col("url").alias("source_url"), "provider")
 
 
@@ -139,11 +137,11 @@ def booking_regex(pages: DataFrame, key: str = "page_id", html: str = "html", ur
         .when(window.rlike(r"\$(\d+)"), F.regexp_extract(window, r"\$(\d+)", 0))
         .otherwise(F.lit(K.PRICE_NOT_FOUND))
     )
-    # one sequence over all patterns: pattern order, then match order
-    d = spans.select(key, "url", (pat * F.lit(1 << 20) + F.col("match_no")).alias("match_no"), pat.alias("pattern_no"),
+    # rows are ordered by pattern, then by match
+    d = spans.select(key, "url", "match_no", "pattern_no",
                      provider.alias("provider"), service.alias("service"), duration.alias("duration"),
                      price.alias("price"))
-    return _product_rows(d, key, F.col("service"), "match_no")
+    return _product_rows(d, key, F.col("service"), "pattern_no", "match_no")
 
 
 def item_map(items: DataFrame) -> DataFrame:

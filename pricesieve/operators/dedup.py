@@ -140,10 +140,23 @@ def price_similarity(p1: Column, p2: Column, fuzzy: Column) -> Column:
 
 
 def name_bound(threshold: float) -> float:
-    """Smallest raw name similarity that can still reach ``threshold``: boosts add at most
-    0.25 to it and price, provider and duration at most 0.5, so
-    0.5 * (n + 0.25) + 0.5 >= t needs n >= 2 * (t - 0.625)."""
-    return 2 * (threshold - 0.625) - 1e-9
+    """Smallest raw name similarity that can still reach ``threshold`` with full price,
+    provider and duration terms.  Boosts act only above their limits, so the best score
+    is a rising step function of the name similarity; the bound is found by bisection."""
+    def best(n: float) -> float:
+        if n > K.PROVIDER_BOOST_ABOVE:
+            n = min(1.0, n + K.PROVIDER_BOOST)
+        if n > K.DURATION_BOOST_ABOVE:
+            n = min(1.0, n + K.DURATION_BOOST)
+        return K.W_NAME * n + K.W_PRICE + K.W_PROVIDER + K.W_DURATION
+
+    low, high = 0.0, 1.0
+    if best(low) >= threshold - 1e-9:
+        return 0.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if best(mid) >= threshold - 1e-9 else (mid, high)
+    return low - 1e-9
 
 
 def price_floor(threshold: float) -> float:
@@ -258,6 +271,9 @@ def pair_scores(sig: DataFrame, threshold: float) -> DataFrame:
 
 
 # ------------------------------------------------------------ greedy leaders
+def signature_id(*cols: str) -> Column:
+    """256-bit digest of the columns; nulls differ from empty texts."""
+    return F.sha2(F.to_json(F.struct(*cols)), 256)
 
 
 def dedup_leaders(products: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD) -> DataFrame:
@@ -267,10 +283,8 @@ def dedup_leaders(products: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD
     ensure_checkpoint_dir(spark)
     p = _ord(prepare(products))
     sig_cols = ["n_name", "n_price", "n_provider", "n_duration"]
-    sig_key = F.xxhash64(*[F.coalesce(F.col(c), F.lit("\u0000")) for c in sig_cols],
-                         *[F.col(c).isNull() for c in sig_cols])
-    p = materialize(p.withColumn("sig_id", sig_key))
-    sigs = materialize(p.select("sig_id", *sig_cols).dropDuplicates(["sig_id"]))
+    p = materialize(p.withColumn("sig_id", signature_id(*sig_cols)))
+    sigs = materialize(p.select("sig_id", *sig_cols).distinct())
     scores = materialize(pair_scores(sigs, threshold).filter(F.col("score") >= threshold).select("s1", "s2"))
     selfsim = scores.filter(F.col("s1") == F.col("s2")).select(F.col("s1").alias("sig_id"), F.lit(True).alias("selfsim"))
     p = p.join(selfsim, "sig_id", "left").withColumn("selfsim", F.coalesce("selfsim", F.lit(False)))

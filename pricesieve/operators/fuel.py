@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricesieve import constants as K
-from pricesieve.functions.text import pystrip
+from pricesieve.functions.text import match_pieces, pystrip
 
 
 def is_fuel_chunk(url: Column, text: Column) -> Column:
@@ -168,7 +168,6 @@ def style(text: Column) -> Column:
 
 
 # ------------------------------------------------------------- text nodes
-_NODE_MARK = "\u0003"
 CONTAINER_TAGS = ["div", "p", "li", "tr", "td", "th", "span", "section", "article", "h1", "h2", "h3", "h4", "h5",
                   "h6", "ul", "ol", "table", "body", "header", "footer", "nav", "main"]
 
@@ -179,7 +178,7 @@ def text_nodes(pages: DataFrame, key: str = "chunk_id", html: str = "text") -> D
     split a container.  Comments, scripts and styles are dropped; entities decoded."""
     from pricesieve.functions.html import strip_invisible, unescape
     h = strip_invisible(F.col(html))
-    pieces = F.split(F.regexp_replace(h, r"(<[^>]*>)", _NODE_MARK + "$1" + _NODE_MARK), _NODE_MARK)
+    pieces = match_pieces(h, r"<[^>]*>")
     d = pages.select(key, "url", F.posexplode(pieces).alias("pos", "piece"))
     is_tag = F.col("piece").startswith("<")
     cont_tag = F.col("piece").rlike(r"(?i)^</?(?:" + "|".join(CONTAINER_TAGS) + r")\b")

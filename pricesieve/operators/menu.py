@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricesieve import constants as K
-from pricesieve.functions.text import pystrip
+from pricesieve.functions.text import match_pieces, pystrip
 from pricesieve.operators.text import lines
 
 
@@ -21,9 +21,6 @@ def menu_line_end(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.withColumn("currency", F.lit("$"))
 
 
-_MARK = "\u0001"
-
-
 def _lines_all(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """All lines with their raw text and the stripped previous / next line."""
     from pyspark.sql import Window
@@ -34,8 +31,8 @@ def _lines_all(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def _matches(line, pattern: str):
     """Array of (match_no, match, before, after) for every match of ``pattern`` in ``line``:
-    matches are wrapped in a control character and the line is split on it."""
-    pieces = F.split(F.regexp_replace(line, pattern, _MARK + "$0" + _MARK), _MARK)
+    the line is cut at its matches."""
+    pieces = match_pieces(line, pattern)
     n = F.floor((F.size(pieces) - 1) / 2).cast("int")
     return F.transform(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),

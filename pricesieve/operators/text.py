@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricesieve import constants as K
-from pricesieve.functions.text import pystrip
+from pricesieve.functions.text import match_pieces, pystrip
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_blank: bool = False) -> DataFrame:
@@ -276,14 +276,12 @@ def doc_metadata(docs: DataFrame, meta: str = "metadata", keys=K.DOC_METADATA_KE
 
 
 # ------------------------------------------------------- match offsets and windows
-_SPAN_MARK = "\u0005"
-
 
 def match_spans(df: DataFrame, key, text: str, patterns) -> DataFrame:
     """Every match of every pattern with its offsets: (key..., pattern_no, match_no,
     match, start, end), 0-based, patterns and matches in order.
 
-    Matches are wrapped in a control character and the text split on it; the pieces are
+    The text is cut at its matches; the pieces are
     exploded and a running sum of their lengths (one window per document) gives the
     offsets, so the cost stays linear in the document."""
     from pyspark.sql import Window
@@ -291,7 +289,7 @@ def match_spans(df: DataFrame, key, text: str, patterns) -> DataFrame:
     # one scan: every pattern's pieces side by side, then exploded
     per_pattern = F.array(*[
         F.struct(F.lit(i).alias("pattern_no"),
-                 F.split(F.regexp_replace(F.col(text), p, _SPAN_MARK + "$0" + _SPAN_MARK), _SPAN_MARK).alias("pieces"))
+                 match_pieces(F.col(text), p).alias("pieces"))
         for i, p in enumerate(patterns)])
     e = df.select(*keys, F.explode(per_pattern).alias("pp")).select(
         *keys, F.col("pp.pattern_no").alias("pattern_no"), F.posexplode("pp.pieces").alias("i", "piece"))

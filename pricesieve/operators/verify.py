@@ -45,8 +45,6 @@ def completeness(found: DataFrame) -> DataFrame:
         "warning", F.col("completeness_score") < K.COMPLETENESS_WARN_BELOW)
 
 
-_MARK = "\u0004"
-
 
 def indicator_matches(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Matches of the indicator patterns (case-insensitive) in each chunk, with the text

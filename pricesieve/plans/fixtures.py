@@ -134,7 +134,7 @@ def _edits(d: Dialect) -> str:
     return """
 SELECT row_id AS edit_id,
        CASE row_id % 50 WHEN 1 THEN 'insert' WHEN 2 THEN 'update' ELSE 'delete' END AS op,
-       CASE WHEN row_id % 50 = 1 THEN row_id + 1000000000 ELSE row_id END AS row_id,
+       CASE WHEN row_id % 50 = 1 THEN -row_id ELSE row_id END AS row_id,
        CASE WHEN row_id % 100 = 1 THEN '' ELSE 'Edited ' || product_name END AS new_name,
        upper(coalesce(category, 'misc')) AS new_category,
        CASE WHEN row_id % 3 = 0 THEN '' ELSE '$9.99' END AS new_price,

@@ -70,7 +70,7 @@ FROM (SELECT *, string_split(regexp_replace(t, {rx}, chr(5) || '\\0' || chr(5),
     return f"""
 WITH t0 AS (SELECT page_id, url, regexp_replace(html, '&[a-z]+;', ' ', 'g') AS t FROM fx_booking_html),
 m AS ({' UNION ALL '.join(parts)}),
-f AS (SELECT page_id, url, pattern_no * 1048576 + match_no AS match_no, pattern_no,
+f AS (SELECT page_id, url, match_no, pattern_no,
              {S.strip(grp[1])} AS provider,
              CASE WHEN {grp[2]} <> '' THEN {S.strip(grp[2])} ELSE 'Consultation' END AS service,
              CASE WHEN pattern_no < 2 THEN {S.strip(grp[3])} ELSE '' END AS duration,
@@ -79,7 +79,7 @@ p AS (SELECT *, CASE WHEN pattern_no = 0 AND g4 <> '' THEN '$' || g4
                      WHEN contains(lower(service), 'free') THEN 'Free'
                      WHEN regexp_matches(win, '\\$(\\d+)') THEN regexp_extract(win, '\\$(\\d+)', 0)
                      ELSE 'Price not found' END AS price FROM f)
-SELECT page_id, match_no, CASE WHEN provider <> '' THEN provider || ' - ' || service ELSE service END AS product_name,
+SELECT page_id, pattern_no, match_no, CASE WHEN provider <> '' THEN provider || ' - ' || service ELSE service END AS product_name,
        price, CASE WHEN {legal} THEN 'Legal Services' ELSE 'Professional Services' END AS category,
        duration || CASE WHEN provider <> '' THEN ' with ' || provider ELSE '' END AS description,
        url AS source_url, provider

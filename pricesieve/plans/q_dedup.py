@@ -109,8 +109,7 @@ def q_pair_scores(spark, sf):
     """Weighted scores of the candidate signature pairs (blocking at 0.8)."""
     p = dedup.prepare(_p(spark, sf))
     cols = ["n_name", "n_price", "n_provider", "n_duration"]
-    sig = p.select(*cols).distinct().withColumn(
-        "sig_id", F.xxhash64(*[F.coalesce(F.col(c), F.lit("\u0000")) for c in cols], *[F.col(c).isNull() for c in cols]))
+    sig = p.select(*cols).distinct().withColumn("sig_id", dedup.signature_id(*cols))
     return dedup.pair_scores(sig, K.SIMILARITY_THRESHOLD)
 
 

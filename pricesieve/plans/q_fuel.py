@@ -146,15 +146,20 @@ def _style_sql(t):
       ELSE 'unknown' END"""
 
 
+def _of(source: str, key: str):
+    """Chunk id of an input made of several tables: source and key."""
+    return F.concat(F.lit(source + ":"), F.col(key).cast("string")).alias("chunk_id")
+
+
 @register("style", FX + ["fx_listing_text"], f"""
-SELECT chunk_id, {_style_sql('text')} AS style FROM fx_fuel_text
-UNION ALL SELECT doc_id + 100000000, {_style_sql('text')} FROM fx_listing_text
-UNION ALL SELECT page_id + 200000000, {_style_sql('html')} FROM pages""")
+SELECT 'fuel:' || chunk_id AS chunk_id, {_style_sql('text')} AS style FROM fx_fuel_text
+UNION ALL SELECT 'listing:' || doc_id, {_style_sql('text')} FROM fx_listing_text
+UNION ALL SELECT 'page:' || page_id, {_style_sql('html')} FROM pages""")
 def q_style(spark, sf):
     from pricesieve.sources.tables import read_table
-    a = _fx(spark, sf).select("chunk_id", "text")
-    b = fixture(spark, sf, "fx_listing_text").select((F.col("doc_id") + 100000000).alias("chunk_id"), "text")
-    c = read_table(spark, sf, "pages").select((F.col("page_id") + 200000000).alias("chunk_id"), F.col("html").alias("text"))
+    a = _fx(spark, sf).select(_of("fuel", "chunk_id"), "text")
+    b = fixture(spark, sf, "fx_listing_text").select(_of("listing", "doc_id"), "text")
+    c = read_table(spark, sf, "pages").select(_of("page", "page_id"), F.col("html").alias("text"))
     u = a.unionByName(b).unionByName(c)
     return u.select("chunk_id", fuel.style(F.col("text")).alias("style"))
 
@@ -206,11 +211,10 @@ def q_fuel_price_nodes(spark, sf):
 @register("cascade")
 def q_cascade(spark, sf):
     from pricesieve.operators.cascade import cascade
-    a = fixture(spark, sf, "fx_fuel_text").select("chunk_id", "url", "text")
-    b = fixture(spark, sf, "fx_fuel_html").select((F.col("chunk_id") + 100000).alias("chunk_id"), "url", "text")
-    c = fixture(spark, sf, "fx_booking_html").select((F.col("page_id") + 200000).alias("chunk_id"), "url",
-                                                     F.col("html").alias("text"))
+    a = fixture(spark, sf, "fx_fuel_text").select(_of("fuel", "chunk_id"), "url", "text")
+    b = fixture(spark, sf, "fx_fuel_html").select(_of("html", "chunk_id"), "url", "text")
+    c = fixture(spark, sf, "fx_booking_html").select(_of("booking", "page_id"), "url", F.col("html").alias("text"))
     pa = fixture(spark, sf, "fx_product_answers")
-    d = pa.select((F.col("chunk_id") + 300000).alias("chunk_id"), "url", "text")
-    ans = pa.select((F.col("chunk_id") + 300000).alias("chunk_id"), "response")
+    d = pa.select(_of("answer", "chunk_id"), "url", "text")
+    ans = pa.select(_of("answer", "chunk_id"), "response")
     return cascade(a.unionByName(b).unionByName(c).unionByName(d), ans)

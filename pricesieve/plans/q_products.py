@@ -223,7 +223,7 @@ WITH chunks AS (
   SELECT DISTINCT chunk_id FROM fx_tagged
   WHERE (coalesce(has_product_info, false) OR coalesce(has_price_info, false))
     AND coalesce(confidence, 0.0) >= 50.0),
-prods AS (SELECT row_id % 1000 AS chunk_id, price FROM fx_products),
+prods AS (SELECT CAST(floor(row_id / 2) AS BIGINT) AS chunk_id, price FROM fx_products),
 per AS (
   SELECT c.chunk_id, count(p.chunk_id) AS found,
          count_if(p.chunk_id IS NOT NULL AND p.price IS DISTINCT FROM 'Price not found') AS priced,
@@ -236,7 +236,7 @@ SELECT chunk_id,
        CAST(sum(unpriced) OVER w AS BIGINT) AS without_price
 FROM per WINDOW w AS (ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_progress(spark, sf):
-    p = _p(spark, sf).select((F.col("row_id") % 1000).alias("chunk_id"), "price")
+    p = _p(spark, sf).select(F.floor(F.col("row_id") / 2).alias("chunk_id"), "price")
     chunks = explore.chunk_filter(fixture(spark, sf, "fx_tagged"), 50.0)
     return explore.progress(p, chunks)
 

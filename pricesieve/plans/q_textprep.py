@@ -170,7 +170,7 @@ def q_table_blocks(spark, sf):
 
 
 def _menu_docs_src() -> str:
-    return "(SELECT doc_id, text FROM fx_listing_text UNION ALL SELECT doc_id + 1000000, text FROM documents)"
+    return "(SELECT 'listing:' || doc_id AS doc_id, text FROM fx_listing_text UNION ALL SELECT 'document:' || doc_id, text FROM documents)"
 
 
 _B0, _B1 = r"(?:^|[^\pL\pN_])", r"(?:$|[^\pL\pN_])"
@@ -185,8 +185,10 @@ SELECT *, price_kinds >= 5 OR section_hits >= 2 OR format_hits >= 3 AS is_menu F
          {' + '.join(f"len(regexp_extract_all(text, {S.q(S.re2(p))}))" for p in K.MENU_ITEM_FORMATS)} AS format_hits
   FROM {_menu_docs_src()} d) x""")
 def q_menu_docs(spark, sf):
-    lt = fixture(spark, sf, "fx_listing_text").select("doc_id", "text")
-    d = _docs(spark, sf).select((F.col("doc_id") + 1000000).alias("doc_id"), "text")
+    def of(source, df):
+        return df.select(F.concat(F.lit(source + ":"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+
+    lt, d = of("listing", fixture(spark, sf, "fx_listing_text")), of("document", _docs(spark, sf))
     return text.menu_docs(lt.unionByName(d))
 
 

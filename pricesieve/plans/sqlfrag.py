@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pricesieve import constants as K
+from pricesieve.functions.html import REFERENCE, reference_names
 
 # Python's str.isspace() set, spelled for RE2.
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -21,9 +22,17 @@ def collapse(x: str) -> str:
 
 
 def unescape(x: str) -> str:
-    for ent, ch in K.HTML_ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    """Character references decoded: text between them and their values, zipped."""
+    names = reference_names()
+    table = f"MAP {{{', '.join(f'{q(k)}: {q(v)}' for k, v in names.items())}}}"
+    code = "(CASE WHEN lower(e[3]) = 'x' THEN CAST('0x' || e[4:-2] AS BIGINT) ELSE CAST(e[3:-2] AS BIGINT) END)"
+    dec = f"""CASE WHEN e[2] <> '#' THEN coalesce(known[e[2:-2]], e)
+      WHEN {code} < 160 THEN known[CAST({code} AS VARCHAR)]
+      WHEN {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(CAST({code} AS INTEGER)) END"""
+    dec = dec.replace("known", table)
+    rx = q(REFERENCE)
+    return (f"array_to_string(list_transform(list_zip(string_split_regex({x}, {rx}), "
+            f"list_append(list_transform(regexp_extract_all({x}, {rx}), lambda e: {dec}), '')), lambda z: z[1] || z[2]), '')")
 
 
 def drop_invisible(x: str) -> str:

@@ -35,7 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is a shared folder set by the platform and is only read here.
-    Only when it is unset (local tests) a scratch folder is created.
+    Only where it is unset and the master is local (tests) a scratch folder is created;
+    a cluster without one is refused, as executors don't see the driver's folders.
     """
     try:
         sc = spark.sparkContext
@@ -46,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="pricesieve-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
