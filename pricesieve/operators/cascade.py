@@ -5,11 +5,11 @@ one named site layout, the text-node pairing, the nearest-line pairing and the g
 fuel patterns; then, for booking URLs, service cards and provider patterns; then the
 fuel category pre-scan when the chunk's style is 'fuel_prices'; finally the stored
 model answers.  Every extractor runs over all candidate chunks at once; a union with a
-priority column and a per-chunk minimum keep only the winning extractor's rows.
+priority column and a per-chunk minimum (one window) keep only the winning extractor's rows.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricesieve import constants as K
@@ -54,5 +54,6 @@ def cascade(chunks: DataFrame, answer_table: DataFrame | None = None) -> DataFra
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    best = u.groupBy("chunk_id").agg(F.min("priority").alias("priority"))
-    return u.join(best, ["chunk_id", "priority"])
+    # the rows of one chunk meet in one window, so each extractor stands once in the plan
+    best = F.min("priority").over(Window.partitionBy("chunk_id"))
+    return u.withColumn("best", best).filter("priority = best").drop("best")

@@ -7,7 +7,7 @@ one with the highest ``edit_id`` wins.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricesieve import constants as K
@@ -48,26 +48,27 @@ def edit_insert(products: DataFrame, edits: DataFrame) -> DataFrame:
     return products.unionByName(new, allowMissingColumns=True)
 
 
-def _targets(products: DataFrame, edits: DataFrame, op: str, carry: bool) -> DataFrame:
-    """Rows reached by each edit: the edited row and, with ``carry``, every row whose
-    (name, category, url) equals the edited row's, nulls equal."""
+def _last_edits(products: DataFrame, edits: DataFrame, op: str, carry: bool) -> DataFrame:
+    """The last edit (highest edit_id) of each edited row or, with ``carry``, of each
+    (name, category, url) of an edited row, nulls equal: one row per key, however many
+    edits share it."""
     new_cols = [c for c in edits.columns if c.startswith("new_")]
     e = edits.filter(F.col("op") == op).select("edit_id", "row_id", *new_cols)
-    picked = e.join(products.select("row_id", *KEY), "row_id").select(
-        "edit_id", *[F.col(c).alias(f"k_{c}") for c in KEY], "row_id", *new_cols,
-    )
+    last = F.max_by(F.struct(*new_cols), "edit_id").alias("new")
     if not carry:
-        return picked.withColumnRenamed("row_id", "target_id")
-    reached = _null_safe_key_join(products.select(F.col("row_id").alias("target_id"), *KEY), picked, "inner")
-    return reached.select("target_id", "edit_id", *[c for c in edits.columns if c.startswith("new_")])
+        return e.groupBy("row_id").agg(last)
+    keys = products.select("row_id", *[F.col(c).alias(f"k_{c}") for c in KEY])
+    return e.join(keys, "row_id").groupBy(*[f"k_{c}" for c in KEY]).agg(last)
+
+
+def _reach(products: DataFrame, last: DataFrame, carry: bool, how: str) -> DataFrame:
+    return _null_safe_key_join(products, last, how) if carry else products.join(last, "row_id", how)
 
 
 def edit_update(products: DataFrame, edits: DataFrame, carry: bool = True) -> DataFrame:
     """K2: set name, category, price, description; mark edited with confidence 0.9."""
-    t = _targets(products, edits, "update", carry)
-    last = t.withColumn("_r", F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("edit_id"))))
-    last = last.filter("_r = 1").drop("_r", "edit_id").withColumn("_hit", F.lit(True))
-    j = products.join(last.withColumnRenamed("target_id", "row_id"), "row_id", "left")
+    last = _last_edits(products, edits, "update", carry).select("*", "new.*", F.lit(True).alias("_hit")).drop("new")
+    j = _reach(products, last, carry, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     cols = {
         "product_name": F.when(hit, F.col("new_name")).otherwise(F.col("product_name")),
@@ -82,13 +83,12 @@ def edit_update(products: DataFrame, edits: DataFrame, carry: bool = True) -> Da
     out = j
     for c, e in cols.items():
         out = out.withColumn(c, e)
-    return out.drop("_hit", "new_name", "new_category", "new_price", "new_description")
+    return out.drop("_hit", *[c for c in last.columns if c.startswith(("new_", "k_"))])
 
 
 def edit_delete(products: DataFrame, edits: DataFrame, carry: bool = True) -> DataFrame:
     """K3: remove the row and, with ``carry``, all rows with an equal key."""
-    t = _targets(products, edits, "delete", carry).select(F.col("target_id").alias("row_id")).distinct()
-    return products.join(t, "row_id", "left_anti")
+    return _reach(products, _last_edits(products, edits, "delete", carry), carry, "left_anti")
 
 
 # ------------------------------------------------------------ selection (K4)

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from pricesieve import constants as K
 from pricesieve.operators import fuel
+from pricesieve.plans import q_answers, q_booking  # noqa: F401  (their oracles are parts of the cascade's)
 from pricesieve.plans import sqlfrag as S
 from pricesieve.plans.fixtures import fixture
-from pricesieve.plans.registry import register
+from pricesieve.plans.registry import SQL, register
 
 FX = ["fx_fuel_text"]
 _SPLIT = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -208,7 +209,41 @@ def q_fuel_price_nodes(spark, sf):
     return fuel.fuel_price_nodes(fixture(spark, sf, "fx_fuel_html"))
 
 
-@register("cascade")
+def _stage(priority: int, name: str, key: str, source: str, where: str, cols: str = "*", provider: str = "NULL") -> str:
+    """Rows of the oracle ``key`` over the chunks of ``where``, put in place of ``source``."""
+    chunk = "page_id" if source == "fx_booking_html" else "chunk_id"
+    return f"""SELECT {chunk} AS chunk_id, {priority} AS priority, product_name, price, category, description, source_url,
+       CAST({provider} AS VARCHAR) AS provider, '{name}' AS extracted_by
+FROM (WITH {source} AS (SELECT {cols} FROM {where}) SELECT * FROM ({SQL[key]}) r) s"""
+
+
+def _cascade_sql() -> str:
+    is_fuel = (_any("contains(lower(coalesce(url, '')), {})", K.FUEL_URL_WORDS) + " OR "
+               + _any("contains(lower(coalesce(text, '')), {})", K.FUEL_TEXT_WORDS))
+    page = "chunk_id AS page_id, url, text AS html"
+    book = f"cc WHERE {_any('contains(url, {})', K.BOOKING_URL_WORDS)}"
+    parts = [
+        _stage(1, "fuel_above", "fuel_price_above", "fx_fuel_text", f"fc WHERE contains(url, {S.q(K.LOVES_LOCATIONS)})"),
+        _stage(2, "fuel_nodes", "fuel_price_nodes", "fx_fuel_html", "fc"),
+        _stage(3, "fuel_near", "fuel_price_near", "fx_fuel_text", "fc"),
+        _stage(4, "fuel_regex", "fuel_regex", "fx_fuel_text", "fc"),
+        _stage(5, "booking_cards", "booking_cards", "fx_booking_html", book, page, "provider"),
+        _stage(6, "booking_regex", "booking_regex", "fx_booking_html", book, page, "provider"),
+        _stage(7, "fuel_patterns", "fuel_patterns", "fx_fuel_text", f"cc WHERE {_style_sql('text')} = 'fuel_prices'"),
+        _stage(8, "model_answer", "category_relabel", "fx_product_answers", "pa", provider="provider"),
+    ]
+    return f"""
+WITH pa AS (SELECT 'answer:' || chunk_id AS chunk_id, url, text, response FROM fx_product_answers),
+cc AS (SELECT 'fuel:' || chunk_id AS chunk_id, url, text FROM fx_fuel_text
+  UNION ALL SELECT 'html:' || chunk_id, url, text FROM fx_fuel_html
+  UNION ALL SELECT 'booking:' || page_id, url, html FROM fx_booking_html
+  UNION ALL SELECT chunk_id, url, text FROM pa),
+fc AS (SELECT * FROM cc WHERE {is_fuel})
+SELECT * FROM ({' UNION ALL '.join(parts)}) u
+QUALIFY priority = min(priority) OVER (PARTITION BY chunk_id)"""
+
+
+@register("cascade", ["fx_fuel_text", "fx_fuel_html", "fx_booking_html", "fx_product_answers"], _cascade_sql())
 def q_cascade(spark, sf):
     from pricesieve.operators.cascade import cascade
     a = fixture(spark, sf, "fx_fuel_text").select(_of("fuel", "chunk_id"), "url", "text")

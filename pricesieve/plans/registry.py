@@ -10,6 +10,7 @@ from pricesieve.plans.fixtures import with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+SQL: dict[str, str] = {}  # oracle texts without their fixtures, for composed oracles
 
 
 def _widen(df: DataFrame) -> DataFrame:
@@ -34,6 +35,7 @@ def register(key: str, fixtures=(), sql: str | None = None):
             raise ValueError(f"duplicate query {key}")
         QUERIES[key] = lambda spark, sf_dir: _widen(fn(spark, sf_dir))
         if sql is not None:
+            SQL[key] = sql
             ORACLE[key] = with_fixtures(fixtures, sql)
         return fn
 
