@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from pricesieve import constants as K
 from pricesieve.operators import dedup, edits
+from pricesieve.plans import q_answers  # noqa: F401  (its oracle is a part of the flagship's)
+from pricesieve.plans.dedup_sql import leader_ctes, ratio_ctes
 from pricesieve.plans.fixtures import fixture
-from pricesieve.plans.registry import register
+from pricesieve.plans.registry import SQL, register
 
 P = ["fx_products"]
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
@@ -44,19 +46,24 @@ def q_norm_duration(spark, sf):
     return _p(spark, sf).select("row_id", dedup.norm_duration(F.col("description")).alias("n_duration"))
 
 
-@register("norm_name", P, f"""
-SELECT row_id, CASE WHEN product_name IS NULL OR product_name = '' THEN '' ELSE
-  {_strip(f"regexp_replace(regexp_replace(regexp_replace({_strip('lower(product_name)')}, '[^\\w\\s-]', ' ', 'g'), '{_WS}+', ' ', 'g'), '\\s*powered\\s*by\\s*\\w+\\s*$', '')")}
-  END AS n_name FROM fx_products""")
+def _nname(col: str) -> str:
+    words = f"regexp_replace(regexp_replace({_strip(f'lower({col})')}, '[^\\w\\s-]', ' ', 'g'), '{_WS}+', ' ', 'g')"
+    cut = f"regexp_replace({words}, '\\s*powered\\s*by\\s*\\w+\\s*$', '')"
+    return f"CASE WHEN {col} IS NULL OR {col} = '' THEN '' ELSE {_strip(cut)} END"
+
+
+@register("norm_name", P, f"SELECT row_id, {_nname('product_name')} AS n_name FROM fx_products")
 def q_norm_name(spark, sf):
     return _p(spark, sf).select("row_id", dedup.norm_text(F.col("product_name")).alias("n_name"))
 
 
-@register("wellformed", P, """
-SELECT * FROM fx_products WHERE NOT (product_name IS NULL OR product_name = ''
+_WELLFORMED = """NOT (product_name IS NULL OR product_name = ''
   OR regexp_matches(product_name, '[A-Za-z]+\\s*-\\s*[A-Za-z]+\\s+Free.*\\d+\\s*minutes?\\s*Powered')
   OR (len(list_filter(regexp_split_to_array(product_name, '\\s+'), lambda w: w <> '')) > 10
-      AND contains(lower(product_name), 'powered')))""")
+      AND contains(lower(product_name), 'powered')))"""
+
+
+@register("wellformed", P, f"SELECT * FROM fx_products WHERE {_WELLFORMED}")
 def q_wellformed(spark, sf):
     p = _p(spark, sf)
     return p.filter(~dedup.is_malformed(F.col("product_name")))
@@ -82,23 +89,41 @@ def q_quality_rank(spark, sf):
     return dedup.quality_rank(p)
 
 
-@register("dedup_leaders")
+def _prepared(src: str) -> str:
+    return f"""pp AS (SELECT row_id, {_QUALITY} AS quality, {_nname('product_name')} AS n_name, {_NPRICE} AS n_price,
+      CASE WHEN provider <> '' THEN {_nname('provider')} END AS n_provider, {_NDUR} AS n_duration
+      FROM {src} WHERE {_WELLFORMED})"""
+
+
+def _leaders(threshold: float, src: str = "fx_products") -> str:
+    return f"WITH RECURSIVE {_prepared(src)}, {leader_ctes('pp', threshold)}"
+
+
+@register("dedup_leaders", P, f"{_leaders(K.SIMILARITY_THRESHOLD)} SELECT * FROM ld")
 def q_dedup_leaders(spark, sf):
     return dedup.dedup_leaders(_p(spark, sf), K.SIMILARITY_THRESHOLD)
 
 
-@register("dedup_sweep")
+@register("dedup_sweep", P, f"{_leaders(0.75)} SELECT * FROM ld")
 def q_dedup_sweep(spark, sf):
     return dedup.dedup_leaders(_p(spark, sf), 0.75)
 
 
-@register("dedup_stats")
+@register("dedup_stats", P, f"""{_leaders(K.SIMILARITY_THRESHOLD)}
+SELECT original, uniq AS "unique", original - uniq AS reduction,
+       CASE WHEN original > 0 THEN round((original - uniq) / original * 100, 1) ELSE 0.0 END AS reduction_pct
+FROM (SELECT (SELECT count(*) FROM fx_products) AS original, (SELECT count(*) FROM ld WHERE is_leader) AS uniq) n""")
 def q_dedup_stats(spark, sf):
     p = _p(spark, sf)
     return edits.dedup_stats(p, dedup.deduplicate(p, K.SIMILARITY_THRESHOLD))
 
 
-@register("dedup_category_counts")
+_ITEMS = f"""it AS (SELECT *, row_number() OVER (ORDER BY chunk_id, item_no) AS row_id FROM ({SQL['category_relabel']}) r)"""
+
+
+@register("dedup_category_counts", ["fx_product_answers"], f"""
+{_leaders(K.SIMILARITY_THRESHOLD, 'it').replace('WITH RECURSIVE', 'WITH RECURSIVE ' + _ITEMS + ',')}
+SELECT category, count(*) AS n FROM it JOIN ld USING (row_id) WHERE is_leader GROUP BY category""")
 def q_dedup_category_counts(spark, sf):
     from pricesieve.plans.flows import catalogue_category_counts
     return catalogue_category_counts(fixture(spark, sf, "fx_product_answers"))
@@ -113,7 +138,11 @@ def q_pair_scores(spark, sf):
     return dedup.pair_scores(sig, K.SIMILARITY_THRESHOLD)
 
 
-@register("name_ratio")
+@register("name_ratio", P, f"""
+WITH {_prepared('fx_products')},
+np AS (SELECT DISTINCT a.n_name AS x, b.n_name AS y FROM pp a JOIN pp b ON a.n_provider = b.n_provider AND a.n_name < b.n_name),
+{ratio_ctes('np')}
+SELECT x AS name1, y AS name2, name_sim FROM ns""")
 def q_name_ratio(spark, sf):
     """Best of token-set, token-sort and plain ratio for distinct name pairs of a
     provider block."""
