@@ -154,7 +154,6 @@ DOC_METADATA_KEYS = [
 # ---------------------------------------------------------------------------
 # FIXED VALUES: link handling (schemes skipped when collecting PDF links)
 # ---------------------------------------------------------------------------
-NON_WEB_SCHEMES = ["mailto:", "tel:"]
 PDF_SUFFIX = ".pdf"
 PDF_CONTENT_TYPE = "application/pdf"
 MENU_WORD = "menu"
@@ -216,13 +215,11 @@ MAX_SUGGESTIONS = 3
 # FIXED VALUES: deduplication (weights in summation order, name boosts, patterns)
 # ---------------------------------------------------------------------------
 SIMILARITY_THRESHOLD = 0.8
-SWEEP_THRESHOLD = 0.7
 W_NAME, W_PRICE, W_PROVIDER, W_DURATION = 0.5, 0.2, 0.2, 0.1
 PROVIDER_BOOST, PROVIDER_BOOST_ABOVE = 0.15, 0.7
 DURATION_BOOST, DURATION_BOOST_ABOVE = 0.1, 0.6
 DURATION_PATTERN = r"(\d+)\s*(minute|min|hour|hr)s?"
 MALFORMED_PATTERN = r"[A-Za-z]+\s*-\s*[A-Za-z]+\s+Free.*\d+\s*minutes?\s*Powered"
-POWERED_BY_SUFFIX = r"\s*powered\s*by\s*\w+\s*$"
 QUALITY_PRICE, QUALITY_PROVIDER, QUALITY_DESCRIPTION, QUALITY_DURATION = 3, 2, 1, 1
 
 # ---------------------------------------------------------------------------
@@ -310,7 +307,6 @@ PROVIDER_TAGS, PROVIDER_CLASSES = ["h1", "h2", "h3", "h4", "h5"], ["name", "prov
 PROVIDER_TAGS_2, PROVIDER_CLASSES_2 = ["strong"], ["provider-name", "staff-name"]
 SERVICE_TAGS, SERVICE_CLASSES = ["h3", "h4", "h5"], ["service-name", "service-title"]
 DURATION_CLASSES = ["duration", "time"]
-PRICE_CLASSES = ["price"]
 BOOKING_PATTERNS = [
     r"([A-Z][a-z]+\s+[A-Z][a-z]+)\s*[\n\r]*(?:<[^>]+>)*\s*([^<\n\r]+?)(?:\s*<[^>]+>)*(?:[\n\r]*|\s+)(\d+\s*minutes?)(?:\s*·\s*\$(\d+))?",
     r"([A-Z][a-z]+\s+[A-Z][a-z]+)\s*[\n\r]*(?:<[^>]+>)*\s*(Free\s*[^<\n\r]+?)(?:\s*<[^>]+>)*(?:[\n\r]*|\s+)(\d+\s*minutes?)",
@@ -335,8 +331,6 @@ CURRENCY_PATTERNS = [
 ]
 CURRENCY_SYMBOLS = ["€", "$", "£"]
 CURRENCY_MIN_LINE = 5
-PDF_CATEGORY = "Extracted from PDF"
-PDF_EXTRACTOR = "PDF Extractor"
 MENU_CATEGORY = "Menu Item"
 MENU_EXTRACTOR = "PDF Menu Extractor"
 NAME_LIST_PRICE = "0.00"
@@ -357,4 +351,7 @@ PRODUCT_INDICATORS = [
 ]
 INDICATOR_WINDOW = 100
 NAME_GRAM = 3
-DIRECT_NAMES_MAX = 256
+TEXT_FINDING_MESSAGES = [
+    ("missing_product_indicators", "Found {n} potential product indicators that may not be captured in the data."),
+    *FINDING_MESSAGES[1:],
+]

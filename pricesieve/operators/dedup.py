@@ -105,10 +105,7 @@ def quality_rank(products: DataFrame) -> DataFrame:
     with bucketed running counts instead of one global window."""
     from pricesieve.operators.explore import running_totals
     q = products.select("row_id", quality(products).alias("quality"))
-    key = (F.lit(K.QUALITY_PRICE + K.QUALITY_PROVIDER + K.QUALITY_DESCRIPTION + K.QUALITY_DURATION)
-           - F.col("quality")).cast("long") * F.lit(1 << 40) + F.col("row_id")
-    r = running_totals(q.withColumn("_k", key), "_k", {"rank": F.lit(1)})
-    return r.select("row_id", "quality", "rank")
+    return running_totals(q, "row_id", {"rank": F.lit(1)}, lead=-F.col("quality")).select("row_id", "quality", "rank")
 
 
 def _ord(df: DataFrame) -> DataFrame:

@@ -220,16 +220,16 @@ def confidence_hist(tagged: DataFrame, bins: int = K.CONFIDENCE_BINS, lo: float
     return F.broadcast(edges).join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def running_totals(df: DataFrame, order: str, sums: dict, bucket_rows: int = 1 << 20) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: dict, bucket_rows: int = 1 << 20, lead=None) -> DataFrame:
     """Running sums over a global order without a single-partition window.
 
-    Rows are cut into buckets of ``order`` values; bucket totals (one row per bucket,
-    a small table) get an exclusive prefix sum, and each bucket then runs its own window.
-    ``order`` must be a non-negative integer column, dense enough that a bucket of
-    ``bucket_rows`` consecutive values fits one task.
+    Rows are cut into buckets of ``order`` values (within the values of ``lead``, which
+    go first, if given); bucket totals (one row per bucket, a small table) get an exclusive
+    prefix sum, and each bucket then runs its own window.  ``order`` must be an integer column,
+    dense enough that there are few buckets.
     """
-    b = (F.col(order) / F.lit(bucket_rows)).cast("long")
-    base = df.withColumn("_bucket", b)
+    b = F.floor(F.col(order) / F.lit(bucket_rows))
+    base = df.withColumn("_bucket", F.struct((F.lit(0) if lead is None else lead).alias("lead"), b.alias("at")))
     tot = base.groupBy("_bucket").agg(*[F.sum(e).alias(f"_t_{k}") for k, e in sums.items()])
     # one row per bucket of ``bucket_rows`` rows: a small table, so one ordered window is fine
     w_b = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,20 +17,23 @@ def findings(products: DataFrame, name_col: str = "product_name") -> DataFrame:
     price = F.col("price")
     no_price = price.isNull() | (price == "") | (price == K.UNKNOWN)
     low = F.coalesce(F.col("category_confidence") < K.LOW_CONFIDENCE_BELOW, F.lit(False))
-    kinds = [k for k, _ in K.FINDING_MESSAGES]
-    parts = [
-        products.filter(short).select(F.lit(kinds[0]).alias("kind"), "row_id"),
-        products.filter(no_price).select(F.lit(kinds[1]).alias("kind"), "row_id"),
-        products.filter(low).select(F.lit(kinds[2]).alias("kind"), "row_id"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    kinds = [F.when(test, F.lit(kind)) for (kind, _), test in zip(K.FINDING_MESSAGES, (short, no_price, low))]
+    return products.select(F.explode(F.array_compact(F.array(*kinds))).alias("kind"), "row_id")
 
 
-def suggestions(found: DataFrame) -> DataFrame:
+def text_findings(products: DataFrame, missed: DataFrame, name_col: str = "product_name") -> DataFrame:
+    """V5/V6 with the texts at hand: one row (kind) per finding.  The ``missed`` indicators (V4)
+    take the place of the name check; prices and confidences are checked as ever."""
+    by_name = K.FINDING_MESSAGES[0][0]
+    checked = findings(products, name_col).filter(F.col("kind") != by_name).select("kind")
+    return missed.select(F.lit(by_name).alias("kind")).unionByName(checked)
+
+
+def suggestions(found: DataFrame, messages=K.FINDING_MESSAGES) -> DataFrame:
     """V5: one message per finding kind with at least one finding."""
     counts = found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     msg = F.lit(None).cast("string")
-    for kind, text in K.FINDING_MESSAGES:
+    for kind, text in messages:
         pre, post = text.split("{n}")
         msg = F.when(F.col("kind") == kind, F.concat(F.lit(pre), F.col("n").cast("string"), F.lit(post))).otherwise(msg)
     return counts.select("kind", "n", msg.alias("suggestion"))
@@ -64,35 +67,22 @@ def indicator_matches(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 
 
 def contains_any(left: DataFrame, text_col: str, names: DataFrame, keys, site: str = "url",
-                 q: int = K.NAME_GRAM, direct_max: int = K.DIRECT_NAMES_MAX) -> DataFrame:
+                 q: int = K.NAME_GRAM) -> DataFrame:
     """Rows of ``left`` (identified by ``keys``) whose ``text_col`` (lower-cased) contains
-    any name of the same site.  Exact, and never pairs a row with every name of a big site:
-
-    * sites with at most ``direct_max`` names: each text is tested against each of its
-      site's names (a bounded number of ``instr`` tests per text);
-    * larger sites: a name can only occur where its first ``q`` characters occur, so each
-      text emits its distinct substrings of the needed lengths, names are keyed by their
-      first min(q, len) characters, and only pairs sharing a key are tested.
-    """
+    any name of the same site.  Exact, and never pairs a row with every name of a site: a
+    name can only occur where its first ``q`` characters occur, so each text emits its distinct
+    substrings of the lengths its site's names need, names are keyed by their first
+    min(q, len) characters, and only pairs sharing a key are tested."""
     nm = names.select(site, F.lower(F.col("name")).alias("name")).filter(F.col("name") != "").distinct()
-    sizes = nm.groupBy(site).agg(F.count(F.lit(1)).alias("_n"))
-    small = sizes.filter(F.col("_n") <= direct_max).select(site)
-    lt = left.select(*keys, site, F.lower(F.col(text_col)).alias("_low"))
-    direct = lt.join(nm.join(small, site, "left_semi"), site) \
-        .filter(F.instr(F.col("_low"), F.col("name")) > 0).select(*keys)
-    big = nm.join(small, site, "left_anti").withColumn("gram", F.substring("name", 1, q))
-    # texts emit grams of the lengths that names have (usually only q); at most q values
-    lengths = sorted(r[0] for r in big.select(F.least(F.length("name"), F.lit(q)).alias("k")).distinct().collect())
-    if lengths:
-        ks = F.array(*[F.lit(k) for k in lengths])
-        lt_big = lt.join(big.select(site).distinct(), site, "left_semi")
-        grams = lt_big.select(*keys, site, "_low", F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))),
-            lambda i: F.transform(ks, lambda k: F.substring("_low", i, k)))))).alias("gram"))
-        grams = grams.filter(F.col("gram") != "")
-        by_gram = grams.join(big, [site, "gram"]).filter(F.instr(F.col("_low"), F.col("name")) > 0).select(*keys)
-        direct = direct.unionByName(by_gram)
-    return left.join(direct.distinct(), list(keys), "left_semi")
+    nm = nm.withColumn("gram", F.substring("name", 1, q))
+    # at most q lengths a site, usually q alone
+    lengths = nm.groupBy(site).agg(F.collect_set(F.length("gram")).alias("_ks"))
+    lt = left.select(*keys, site, F.lower(F.col(text_col)).alias("_low")).join(lengths, site)
+    grams = lt.select(*keys, site, "_low", F.explode(F.array_distinct(F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))),
+        lambda i: F.transform("_ks", lambda k: F.substring("_low", i, k)))))).alias("gram"))
+    hits = grams.filter(F.col("gram") != "").join(nm, [site, "gram"]).filter(F.instr(F.col("_low"), F.col("name")) > 0)
+    return left.join(hits.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def indicators(chunks: DataFrame, products: DataFrame, name_col: str = "product_name", key: str = "chunk_id") -> DataFrame:

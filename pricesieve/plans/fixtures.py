@@ -59,6 +59,10 @@ class Dialect:
 
 SPARK = Dialect("spark")
 DUCKDB = Dialect("duckdb")
+#: Entries of a listing document and cards of a booking page: documents grow in number with the
+#: tables, not in length.
+LISTING_LINES = 40
+PAGE_CARDS = 10
 
 
 def _products(d: Dialect) -> str:
@@ -111,11 +115,10 @@ def _listing_text(d: Dialect) -> str:
          WHEN 4 THEN 'Fresh ' || p_name || ' from ' || p_brand
          ELSE '' END"""
     return f"""
-SELECT CAST(p_size AS BIGINT) AS doc_id,
-       'https://menus.example.com/menu-' || CAST(p_size AS STRING) || '.pdf' AS source_url,
+SELECT g AS doc_id, 'https://menus.example.com/menu-' || CAST(g AS STRING) || '.pdf' AS source_url,
        {d.agg('line', 'chr(10)', 'p_partkey')} AS text
-FROM (SELECT p_size, p_partkey, {line} AS line FROM part) AS t
-GROUP BY p_size"""
+FROM (SELECT CAST(floor(p_partkey / {LISTING_LINES}) AS BIGINT) AS g, p_partkey, {line} AS line FROM part) AS t
+GROUP BY g"""
 
 
 def _tagged(d: Dialect) -> str:
@@ -307,7 +310,7 @@ def _booking_html(d: Dialect) -> str:
     return f"""
 SELECT g AS page_id, {url} AS url,
        '<html><body>' || {d.agg('card', 'chr(10)', 'c_custkey')} || chr(10) || '</body></html>' AS html
-FROM (SELECT c_custkey % 300 AS g, c_custkey, {card} AS card FROM customer) t GROUP BY g"""
+FROM (SELECT CAST(floor(c_custkey / {PAGE_CARDS}) AS BIGINT) AS g, c_custkey, {card} AS card FROM customer) t GROUP BY g"""
 
 
 def _ext_items(d: Dialect) -> str:
@@ -346,20 +349,39 @@ ARCHIVE_ITEM = [("product_name", "'Order ' || CAST(o_orderkey AS STRING)"),
                 ("category", "o_orderpriority")]
 
 
+_PAGE = ("url", "'https://shop.example.com/o/' || CAST(o_orderkey AS STRING)")
+#: Lists of a saved scrape: name, fields, condition.
+SCRAPE_LISTS = [
+    ("products", ARCHIVE_ITEM, None),
+    ("deduplicated_data", ARCHIVE_ITEM, "o_orderkey % 3 <> 0"),
+    ("scraped_content", [_PAGE, ("text", "'Order ' || CAST(o_orderkey AS STRING) || ' ' || o_orderpriority")], None),
+    ("chunks", [_PAGE, ("text", "o_orderpriority")], "o_orderkey % 2 = 0"),
+    ("tagged_chunks", [_PAGE, ("has_price_info", "o_totalprice > 100000")], "o_orderkey % 2 = 0"),
+]
+
+
+def _scrape_lists(d: Dialect, products: str | None = None) -> str:
+    """The five lists as aggregates; ``products``: condition on the product list."""
+    return ",\n       ".join(f"{d.struct_list(fields, 'o_orderkey', products if name == 'products' else where)} AS {name}"
+                            for name, fields, where in SCRAPE_LISTS)
+
+
 def _archive(d: Dialect) -> str:
     return f"""
-SELECT md5(url) || '_' || ts AS scrape_id, url, ts, products FROM (
+SELECT md5(url) || '_' || ts AS scrape_id, a.* FROM (
   SELECT 'https://shop.example.com/c/' || CAST(o_custkey AS STRING) AS url,
          {d.ts_format('max(o_orderdate)')} AS ts,
-         {d.struct_list(ARCHIVE_ITEM, 'o_orderkey')} AS products
+         {_scrape_lists(d)}
   FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00' GROUP BY o_custkey) a"""
 
 
 def _new_scrapes(d: Dialect) -> str:
+    # up to two scrapes of a URL in one batch
     return f"""
-SELECT 'https://shop.example.com/c/' || CAST(o_custkey AS STRING) AS url, '20990101_000000' AS ts,
-       {d.struct_list(ARCHIVE_ITEM, 'o_orderkey', "o_orderstatus = 'F'")} AS products
-FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' GROUP BY o_custkey"""
+SELECT 'https://shop.example.com/c/' || CAST(o_custkey AS STRING) AS url, ts,
+       {_scrape_lists(d, "o_orderstatus = 'F' OR o_orderkey % 2 = 0")}
+FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN '20990201_000000' ELSE '20990101_000000' END AS ts
+      FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00') o GROUP BY o_custkey, ts"""
 
 
 # name -> (dependencies, sql builder)

@@ -109,6 +109,11 @@ def q_dedup_sweep(spark, sf):
     return dedup.dedup_leaders(_p(spark, sf), 0.75)
 
 
+@register("dedup_sweep_90", P, f"{_leaders(0.9)} SELECT * FROM ld")
+def q_dedup_sweep_90(spark, sf):
+    return dedup.dedup_leaders(_p(spark, sf), 0.9)
+
+
 @register("dedup_stats", P, f"""{_leaders(K.SIMILARITY_THRESHOLD)}
 SELECT original, uniq AS "unique", original - uniq AS reduction,
        CASE WHEN original > 0 THEN round((original - uniq) / original * 100, 1) ELSE 0.0 END AS reduction_pct

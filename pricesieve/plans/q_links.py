@@ -120,6 +120,8 @@ def q_fetch_outcome(spark, sf):
 
 # ------------------------------------------------------------------ crawl
 MAX_PAGES = 50
+#: Pages of a crawl in the visited table; crawls grow in number with the pages.
+CRAWL_PAGES = 50
 _URL = "'https://h' || CAST(p_partkey % 3 AS VARCHAR) || '.example.com/p/' || CAST(p_partkey AS VARCHAR)"
 
 
@@ -146,13 +148,14 @@ def q_crawl_bfs(spark, sf):
 
 # ------------------------------------------------------------ crawl graph
 def _visited(spark, sf):
-    p = read_table(spark, sf, "pages").select("page_id", "url").withColumn("crawl_id", F.col("page_id") % 5)
+    p = read_table(spark, sf, "pages").select("page_id", "url").withColumn("crawl_id", F.floor(F.col("page_id") / CRAWL_PAGES))
     base = p.groupBy("crawl_id").agg(F.min_by("url", "page_id").alias("base_url"))
     return p.join(base, "crawl_id").select("crawl_id", "base_url", "url")
 
 
-_VISITED = """(SELECT p.crawl_id, b.base_url, p.url FROM (SELECT page_id % 5 AS crawl_id, page_id, url FROM pages) p
-  JOIN (SELECT page_id % 5 AS crawl_id, arg_min(url, page_id) AS base_url FROM pages GROUP BY 1) b
+_CRAWL = f"CAST(floor(page_id / {CRAWL_PAGES}) AS BIGINT)"
+_VISITED = f"""(SELECT p.crawl_id, b.base_url, p.url FROM (SELECT {_CRAWL} AS crawl_id, page_id, url FROM pages) p
+  JOIN (SELECT {_CRAWL} AS crawl_id, arg_min(url, page_id) AS base_url FROM pages GROUP BY 1) b
   ON p.crawl_id = b.crawl_id)"""
 _NL = S.url_part("split_part(url, '#', 1)", 2)
 _BNL = S.url_part("split_part(base_url, '#', 1)", 2)

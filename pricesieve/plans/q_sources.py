@@ -18,12 +18,17 @@ def q_scan_pages(spark, sf):
 
 
 _ARCH = ["fx_archive", "fx_new_scrapes"]
-_FRESH = "(SELECT md5(url) || '_' || ts AS scrape_id, url, ts, products FROM fx_new_scrapes WHERE len(products) > 0)"
+
+
+def _fresh(order: str) -> str:
+    """New scrapes with products, the first (ASC) or last (DESC) of each URL."""
+    return f"""(SELECT md5(url) || '_' || ts AS scrape_id, * FROM fx_new_scrapes WHERE len(products) > 0
+                QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts {order}) = 1)"""
 
 
 @register("archive_upsert", _ARCH, f"""
 SELECT scrape_id, url, ts, len(products) AS products_count FROM fx_archive
-UNION ALL SELECT scrape_id, url, ts, len(products) FROM {_FRESH} f
+UNION ALL SELECT scrape_id, url, ts, len(products) FROM {_fresh('ASC')} f
 WHERE url NOT IN (SELECT url FROM fx_archive)""")
 def q_archive_upsert(spark, sf):
     u = archive.upsert(fixture(spark, sf, "fx_archive"), fixture(spark, sf, "fx_new_scrapes"), force=False)
@@ -32,8 +37,8 @@ def q_archive_upsert(spark, sf):
 
 @register("archive_replace", _ARCH, f"""
 SELECT scrape_id, url, ts, len(products) AS products_count FROM fx_archive
-WHERE url NOT IN (SELECT url FROM {_FRESH} f)
-UNION ALL SELECT scrape_id, url, ts, len(products) FROM {_FRESH} f""")
+WHERE url NOT IN (SELECT url FROM {_fresh('DESC')} f)
+UNION ALL SELECT scrape_id, url, ts, len(products) FROM {_fresh('DESC')} f""")
 def q_archive_replace(spark, sf):
     u = archive.upsert(fixture(spark, sf, "fx_archive"), fixture(spark, sf, "fx_new_scrapes"), force=True)
     return u.select("scrape_id", "url", "ts", F.size("products").alias("products_count"))
@@ -70,6 +75,28 @@ def q_archive_roundtrip(spark, sf):
     return archive.read(spark, path).select("scrape_id", "url", "ts", F.size("products").alias("products_count"))
 
 
+@register("archive_full", _ARCH, f"""
+WITH u AS (SELECT * FROM fx_archive WHERE url NOT IN (SELECT url FROM {_fresh('DESC')} f)
+           UNION ALL SELECT * FROM {_fresh('DESC')} f)
+SELECT scrape_id, url, ts, {', '.join(f'len({c}) AS n_{c}' for c in archive.LISTS)},
+       array_to_string(list_transform(deduplicated_data, lambda x: x.price), '|') AS prices,
+       array_to_string(list_transform(scraped_content, lambda x: x.text), '|') AS texts,
+       array_to_string(list_transform(chunks, lambda x: x.url || ' ' || x.text), '|') AS chunk_texts,
+       array_to_string(list_transform(list_filter(tagged_chunks, lambda x: x.has_price_info), lambda x: x.url), '|') AS priced
+FROM u""")
+def q_archive_full(spark, sf):
+    """A2/A3: all five lists of every scrape, stored and read back."""
+    path = export.export_dir(spark, "archive_full")
+    archive.write(archive.upsert(fixture(spark, sf, "fx_archive"), fixture(spark, sf, "fx_new_scrapes"), force=True), path)
+    return archive.read(spark, path).select(
+        "scrape_id", "url", "ts", *[F.size(c).alias(f"n_{c}") for c in archive.LISTS],
+        F.array_join(F.col("deduplicated_data.price"), "|").alias("prices"),
+        F.array_join(F.col("scraped_content.text"), "|").alias("texts"),
+        F.array_join(F.transform("chunks", lambda x: F.concat_ws(" ", x["url"], x["text"])), "|").alias("chunk_texts"),
+        F.array_join(F.transform(F.filter("tagged_chunks", lambda x: x["has_price_info"]), lambda x: x["url"]), "|")
+        .alias("priced"))
+
+
 _PCOLS = ("row_id, product_name, price, category, description, source_url, is_plan, plan_features, trial_info, "
           "provider, category_confidence, is_valid_category")
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 from pricesieve.operators import verify
 from pricesieve.plans.fixtures import fixture
 from pricesieve.plans.q_answers import unfence_sql
-from pricesieve.plans.registry import register
+from pricesieve.plans.registry import SQL, register
 
-P = ["fx_products"]
+P =["fx_products"]
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 _FIND = f"""(
 SELECT 'missing_product_indicators' AS kind, row_id FROM fx_products
@@ -76,6 +76,41 @@ def q_v_indicators(spark, sf):
     return verify.indicators(pa.select("chunk_id", "url", "text"), products)
 
 
+_TEXT_FIND = f"""(
+SELECT 'missing_product_indicators' AS kind FROM ({SQL['v_indicators']}) m
+UNION ALL SELECT 'missing_price_indicators' FROM ({SQL['category_relabel']}) r WHERE price IS NULL OR price = '' OR price = 'Unknown'
+UNION ALL SELECT 'missing_category_indicators' FROM ({SQL['category_relabel']}) r WHERE category_confidence < 0.4)"""
+
+
+def _text_findings(spark, sf):
+    from pyspark.sql import functions as F
+
+    from pricesieve.operators import answers
+    pa = fixture(spark, sf, "fx_product_answers")
+    items = answers.answer_items(pa)
+    missed = verify.indicators(pa.select("chunk_id", "url", "text"), items)
+    return verify.text_findings(answers.category_relabel(items).withColumn("row_id", F.struct("chunk_id", "item_no")), missed)
+
+
+@register("v_text_suggestions", ["fx_product_answers"], f"""
+SELECT kind, count(*) AS n,
+  CASE kind WHEN 'missing_product_indicators'
+            THEN 'Found ' || count(*) || ' potential product indicators that may not be captured in the data.'
+            WHEN 'missing_price_indicators' THEN 'Found ' || count(*) || ' products with missing prices.'
+            ELSE 'Found ' || count(*) || ' products with low category confidence.' END AS suggestion
+FROM {_TEXT_FIND} f GROUP BY kind""")
+def q_v_text_suggestions(spark, sf):
+    return verify.suggestions(_text_findings(spark, sf), _K.TEXT_FINDING_MESSAGES)
+
+
+@register("v_text_score", ["fx_product_answers"], f"""
+SELECT n_findings, score AS completeness_score, score < 0.9 AS warning FROM (
+  SELECT count(*) AS n_findings,
+         CASE WHEN count(*) = 0 THEN 1.0 ELSE greatest(0.0, 1.0 - count(*) * 0.05) END AS score FROM {_TEXT_FIND} f) x""")
+def q_v_text_score(spark, sf):
+    return verify.completeness(_text_findings(spark, sf))
+
+
 def _kind(kind: str):
     def q(spark, sf):
         from pyspark.sql import functions as F

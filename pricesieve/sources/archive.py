@@ -1,4 +1,4 @@
-"""Saved scrapes: an archive table of (scrape_id, url, ts, products) (A2-A5).
+"""Saved scrapes: an archive table of scrape_id, url, ts and the LISTS of a scrape (A2-A5).
 
 The archive is a Parquet table partitioned by a two-character URL hash bucket, so
 that loading the scrapes of given URLs prunes partitions.  Writes go to the path the
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TS_FORMAT = "yyyyMMdd_HHmmss"
+#: What a scrape holds; all but the products may be missing.
+LISTS = ["products", "deduplicated_data", "scraped_content", "chunks", "tagged_chunks"]
 
 
 def scrape_id(url, ts):
@@ -17,16 +19,25 @@ def scrape_id(url, ts):
     return F.concat(F.md5(url), F.lit("_"), ts)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    return df.select("scrape_id", "url", "ts", *[c for c in LISTS if c in df.columns])
+
+
 def upsert(archive: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
-    """A3: add new scrapes (url, ts, products).  A scrape without products is refused; a
-    URL already archived keeps its old scrape unless ``force``, which replaces it."""
-    fresh = new.filter(F.size("products") > 0).select(scrape_id(F.col("url"), F.col("ts")).alias("scrape_id"),
-                                                      "url", "ts", "products")
+    """A3: add new scrapes (url, ts, products and the other LISTS they have).  A scrape
+    without products is refused; a URL already archived keeps its old scrape unless ``force``,
+    which replaces it.  Scrapes of one URL in a batch are taken in the order of ts (of the
+    products' JSON text for ties): the first stays, with ``force`` the last."""
+    pick = F.max_by if force else F.min_by
+    lists = [c for c in LISTS if c in new.columns]
+    one = new.filter(F.size("products") > 0).groupBy("url").agg(
+        pick(F.struct("ts", *lists), F.struct("ts", F.to_json("products"))).alias("s"))
+    fresh = one.select(scrape_id(F.col("url"), F.col("s.ts")).alias("scrape_id"), "url", "s.*")
     if force:
-        kept = archive.join(fresh.select("url"), "url", "left_anti")
-        return kept.select("scrape_id", "url", "ts", "products").unionByName(fresh)
-    fresh = fresh.join(archive.select("url"), "url", "left_anti")
-    return archive.select("scrape_id", "url", "ts", "products").unionByName(fresh)
+        archive = archive.join(fresh.select("url"), "url", "left_anti")
+    else:
+        fresh = fresh.join(archive.select("url"), "url", "left_anti")
+    return _stored(archive).unionByName(_stored(fresh), allowMissingColumns=True)
 
 
 def index(archive: DataFrame) -> DataFrame:
