@@ -7,11 +7,13 @@ Vectors are compared only within an equal label (and length).  Exact copies are
    size of a group.
 2. Descent: every class sends the vectors of its nearest and reverse neighbours to one place,
    where they are compared with each other; the LIST best of each are kept; repeated until few
-   lists change.
+   lists change.  Links that were computed count whether or not a list has room for them: of
+   each step a spanning forest of its links is kept beside the lists.
 3. Enlarged lists: a list that is full of links is saturated and may miss more.  Links
-   form components, all further partners of a member are in its component, so each
-   component is finished exactly: small ones by one matrix product, large ones by blocks
-   of BLOCK members sorted by their angle to the component's centre.  By the triangle
+   form components.  Saturated classes get a second list, of the LIST best outside their own
+   component, from windows that double and from descent; repeated until no component grows.
+   Then each component is finished exactly: small ones by one matrix product, large ones by
+   blocks of BLOCK members sorted by their angle to the component's centre.  By the triangle
    inequality two members whose angles add up to at most the threshold angle are linked
    and two whose angles differ by more are not; only blocks in between are multiplied.
 4. Audit: AUDIT classes are compared with all rows in blocks.  While their recall is under
@@ -49,6 +51,7 @@ BLOCK = 1024
 AUDIT = 512
 RECALL = 0.98
 MAX_TURNS = 3
+PAIRS = "a long, b long, sim double, must boolean"
 #: Rows that a task of a grouped step gets, about.
 TASK_ROWS = 20_000
 
@@ -71,8 +74,39 @@ def classes_of(vectors: DataFrame) -> DataFrame:
                   .select("id", F.col("label").cast("string").alias("label"), F.size("v").alias("dim"), "n", "v"), "classes")
 
 
-def _by_signs(classes: DataFrame, seed: int) -> DataFrame:
-    """(a, b, sim): classes next to each other in an order by projection signs."""
+def _forest(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> np.ndarray:
+    """Marks the pairs of a spanning forest of all links among the pairs: it has the links'
+    components and fewer links than nodes."""
+    marks = np.zeros(len(a), dtype=bool)
+    at = np.flatnonzero(sim >= THRESHOLD)
+    nodes, ends = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+    i, j = ends[:len(at)], ends[len(at):]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[i], root[j]
+        between = np.flatnonzero(p != q)
+        if not len(between):
+            return marks
+        # the first link out of every component closes no ring
+        first = np.full(len(nodes), len(at))
+        np.minimum.at(first, p[between], between)
+        np.minimum.at(first, q[between], between)
+        taken = np.unique(first[first < len(at)])
+        marks[at[taken]] = True
+        least, old = np.arange(len(nodes)), None
+        while old is None or (least != old).any():
+            old = least
+            low = np.minimum(old[p[taken]], old[q[taken]])
+            least = old.copy()
+            np.minimum.at(least, p[taken], low)
+            np.minimum.at(least, q[taken], low)
+            least = least[least]
+        root = least[root]
+
+
+def _by_signs(classes: DataFrame, seed: int, window: int = WINDOW) -> DataFrame:
+    """(a, b, sim, must): classes next to each other in an order by projection signs; must
+    marks a spanning forest of the links."""
     def keys(batches):
         import pyarrow as pa
 
@@ -106,39 +140,45 @@ def _by_signs(classes: DataFrame, seed: int) -> DataFrame:
             if n > 1:
                 group = list(zip(table["label"].to_pylist(), table["dim"].to_pylist(), table["tab"].to_pylist()))
                 starts = [0, *[i for i in range(1, n) if group[i] != group[i - 1]], n]
-                ids = np.asarray(table["id"])
+                ids, out = np.asarray(table["id"]), []
                 for lo, hi in zip(starts, starts[1:]):
                     if hi - lo < 2:
                         continue
                     x = _matrix(table["v"].slice(lo, hi - lo))
                     own = ids[lo:hi]
-                    for k in range(1, min(WINDOW, hi - lo - 1) + 1):
+                    for k in range(1, min(window, hi - lo - 1) + 1):
                         sim = np.einsum("ij,ij->i", x[:-k], x[k:])
                         near = np.flatnonzero((sim >= FLOOR) & (np.arange(lo + k, hi) >= fresh))
                         if len(near):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(own[near]), pa.array(own[near + k]), pa.array(sim[near])], names=["a", "b", "sim"])
-            held = table.slice(max(0, n - WINDOW))
+                            out.append((own[near], own[near + k], sim[near]))
+                if out:
+                    a, b, sim = (np.concatenate(c) for c in zip(*out))
+                    yield pa.RecordBatch.from_arrays(
+                        [*map(pa.array, (a, b, sim, _forest(a, b, sim)))], names=["a", "b", "sim", "must"])
+            held = table.slice(max(0, n - window))
 
     keyed = classes.select("id", "label", "dim", "v").mapInArrow(
         keys, "id long, label string, dim int, v array<double>, tab int, bits long")
     order = ["label", "dim", "tab", "bits", "id"]
-    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(meet, "a long, b long, sim double")
+    return keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(meet, PAIRS)
 
 
 def _lists(pairs: DataFrame) -> DataFrame:
-    """(a, b, sim): the LIST best of each class, both ways round."""
-    both = pairs.select("a", "b", "sim").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    best = both.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    """(a, b, sim, must, best): the LIST best of each class (best), both ways round, and the
+    pairs that must stay."""
+    both = pairs.select("a", "b", "sim", "must").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "must"))
+    each = both.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("must").alias("must"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return best.withColumn("_r", rank).where(F.col("_r") <= LIST).drop("_r")
+    return each.withColumn("best", rank <= LIST).where("best OR must")
 
 
 def _join_neighbours(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, sim): neighbours of each class, reverse ones too, compared with each other."""
-    back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    around = lists.unionAll(back).distinct().withColumn("_r", rank).where(F.col("_r") <= 2 * LIST)
+    """(a, b, sim, must): neighbours of each class, reverse ones too, compared with each other;
+    must marks a spanning forest of the links.  lists: (a, b, sim, far); near and far
+    neighbours have a limit each."""
+    back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "far")
+    rank = F.row_number().over(Window.partitionBy("a", "far").orderBy(F.desc("sim"), "b"))
+    around = lists.select("a", "b", "sim", "far").unionAll(back).distinct().withColumn("_r", rank).where(F.col("_r") <= 2 * LIST)
     rows = around.select(F.col("a").alias("at"), F.col("b").alias("id")).join(classes.select("id", "v"), "id")
 
     def compare(table):
@@ -152,13 +192,13 @@ def _join_neighbours(lists: DataFrame, classes: DataFrame) -> DataFrame:
             i, j = np.nonzero(np.triu(x[lo:hi] @ x[lo:hi].T >= FLOOR, 1))
             if len(i):
                 out.append((ids[lo + i], ids[lo + j], np.einsum("ij,ij->i", x[lo + i], x[lo + j])))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
-        return pa.table(dict(zip("ab", map(pa.array, cols[:2]))) | {"sim": pa.array(cols[2])}).select(["a", "b", "sim"])
+        a, b, sim = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        return pa.table({"a": a, "b": b, "sim": sim, "must": _forest(a, b, sim)})
 
     n = lists.count()
     tasks = max(1, math.ceil(2 * n / TASK_ROWS))
     return (rows.withColumn("_task", F.pmod(F.xxhash64("at", "at"), F.lit(tasks)))
-            .groupBy("_task").applyInArrow(_without(compare), "a long, b long, sim double").distinct())
+            .groupBy("_task").applyInArrow(_without(compare), PAIRS))
 
 
 def _without(run):
@@ -166,16 +206,45 @@ def _without(run):
 
 
 def neighbour_graph(classes: DataFrame, seed: int, known: DataFrame | None = None) -> DataFrame:
-    """(a, b, sim): NN-descent from the sign tables of ``seed`` and a graph known before."""
+    """(a, b, sim, must, best): NN-descent from the sign tables of ``seed`` and a graph known
+    before."""
     start = _by_signs(classes, seed)
-    lists = staged(_lists(start if known is None else start.unionAll(known)), "lists")
+    graph = staged(_lists(start if known is None else start.unionAll(known.select(start.columns))), "lists")
     for _ in range(MAX_ROUNDS):
-        new = staged(_lists(lists.unionAll(_join_neighbours(lists, classes))), "lists")
-        changed, total = new.join(lists, ["a", "b"], "left_anti").count(), new.count()
-        lists = new
+        near = graph.where("best").withColumn("far", F.lit(False))
+        new = staged(_lists(graph.select("a", "b", "sim", "must").unionAll(_join_neighbours(near, classes))), "lists")
+        best = new.where("best")
+        changed, total = best.join(graph.where("best"), ["a", "b"], "left_anti").count(), best.count()
+        graph = new
         if changed <= FEW * total:
             break
-    return lists
+    return graph
+
+
+def enlarged(classes: DataFrame, graph: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The graph and its components (node, root), after saturated classes (whose whole list is
+    links) were compared with more classes outside their components until no component grew."""
+    full = (graph.where("best").groupBy("a").agg(F.count("*").alias("n"), F.min("sim").alias("least"))
+            .where((F.col("n") >= LIST) & (F.col("least") >= THRESHOLD)).select(F.col("a").alias("id")))
+    saturated = staged(classes.join(full, "id", "left_semi"), "saturated")
+    near = graph.where("best").withColumn("far", F.lit(False))
+    far, window, before = near.limit(0), WINDOW, -1
+    some = saturated.limit(1).count() > 0
+    while True:
+        comps = staged(connected_components(graph.where(F.col("sim") >= THRESHOLD).select("a", "b")), "components")
+        merged = comps.where("node <> root").count()
+        if not some or merged == before:
+            return graph, comps
+        before, window = merged, 2 * window
+        found = _by_signs(saturated, seed, window).unionAll(
+            _join_neighbours(near.select("a", "b", "sim", "far").unionAll(far.select("a", "b", "sim", "far")), saturated))
+        root = [comps.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
+        outside = found.join(root[0], "a").join(root[1], "b").where("ra <> rb").select(found.columns)
+        outside = outside.unionAll(far.join(root[0], "a").join(root[1], "b").where("ra <> rb").select(found.columns))
+        far = staged(_lists(outside), "far").withColumn("far", F.lit(True))
+        # the new links keep their components together, whatever the lists hold
+        graph = graph.unionAll(far.where(F.col("sim") >= THRESHOLD).withColumn("must", F.lit(True))
+                               .withColumn("best", F.lit(False)).select(graph.columns))
 
 
 def _finish(classes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -305,8 +374,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     classes, graph = classes_of(vectors), None
     for turn in range(MAX_TURNS):
-        graph = neighbour_graph(classes, turn, graph)
-        comps = staged(connected_components(graph.where(F.col("sim") >= THRESHOLD).select("a", "b")), "components")
+        graph, comps = enlarged(classes, neighbour_graph(classes, turn, graph), turn)
         links = staged(_finish(classes, comps), "links")
         if audit(classes, links) >= RECALL:
             break

@@ -306,6 +306,52 @@ def test_nn_descent(spark, monkeypatch, block):
     assert nn_descent.near_duplicates(table.limit(0)).count() == 0
 
 
+def _turned(rng, x, cos):
+    """A unit vector at the cosine ``cos`` to ``x``."""
+    y = rng.normal(size=len(x))
+    y -= (y @ x) * x
+    return cos * x + np.sqrt(1 - cos * cos) * y / np.linalg.norm(y)
+
+
+def _near_duplicates_exact(spark, x):
+    """Holds near_duplicates of the vectors, of one label, against all pairs."""
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in nn_descent.near_duplicates(table).collect()}
+    linked = x @ x.T >= 0.98
+    comps = _components(range(len(x)), lambda a, b: linked[a, b])
+    assert got == {i: (linked[i].sum() - 1, comps[i], comps[i] == i) for i in range(len(x))}
+
+
+def test_nn_descent_links_two_tight_groups(spark):
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=32)
+    one /= np.linalg.norm(one)
+    rows = []
+    for centre in (one, _turned(rng, one, 0.987)):
+        rows += [_turned(rng, centre, 0.9999) for _ in range(25)]
+    x = np.array([r / np.linalg.norm(r) for r in rows])
+    across = x[:25] @ x[25:].T
+    assert (x[:25] @ x[:25].T).min() > 0.999 and across.max() >= 0.98 and across.min() > 0.97
+    _near_duplicates_exact(spark, x)
+
+
+def test_forest_keeps_components():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        n = int(rng.integers(2, 30))
+        a, b = rng.integers(0, n, 40), rng.integers(0, n, 40)
+        sim = rng.choice([0.95, 0.99], 40)
+        marks = nn_descent._forest(a, b, sim)
+
+        def comps(at):
+            links = {(int(u), int(v)) for u, v in zip(a[at], b[at])}
+            return _components(range(n), lambda u, v: (u, v) in links or (v, u) in links)
+
+        linked = sim >= 0.98
+        assert comps(marks) == comps(linked) and not (marks & ~linked).any()
+        assert marks.sum() == n - len(set(comps(linked).values()))
+
+
 def test_quality_rules(spark, docs, empty):
     boiler = "The same line stands here again and again in this host"
     rows = [(1000 + i, boiler + "\n" + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60 if i % 2 else 3 + 2 * (i % 3))), "h", "c") for i in range(60)]
