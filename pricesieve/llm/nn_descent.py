@@ -16,8 +16,11 @@ Vectors are compared only within an equal label (and length).  Exact copies are
    blocks of BLOCK members sorted by their angle to the component's centre.  By the triangle
    inequality two members whose angles add up to at most the threshold angle are linked
    and two whose angles differ by more are not; only blocks in between are multiplied.
-4. Audit: AUDIT classes are compared with all rows in blocks.  While their recall is under
-   RECALL, new tables are added, MAX_TURNS times at most.
+4. Audit: AUDIT classes of all and AUDIT of those with few links found are compared with all
+   rows in blocks.  Recall is the mean over the audited classes that have links, of each of the
+   two samples, so a large group can't hide small ones.  While it is under RECALL, tables and
+   windows double.  After MAX_TURNS turns all classes are compared with all others (quadratic,
+   exact), so no result is returned that missed the audit.
 
 Counts of links are summed, pairs of members are never emitted.
 
@@ -49,8 +52,12 @@ MAX_ROUNDS = 4
 FEW = 0.002
 BLOCK = 1024
 AUDIT = 512
+#: Classes with at most this many links found are audited by a sample of their own.
+FEW_LINKS = 32
 RECALL = 0.98
 MAX_TURNS = 3
+#: Bytes of vectors that one pass of the exact path holds.
+PASS_BYTES = 32 << 20
 PAIRS = "a long, b long, sim double, must boolean"
 #: Rows that a task of a grouped step gets, about.
 TASK_ROWS = 20_000
@@ -104,7 +111,7 @@ def _forest(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> np.ndarray:
         root = least[root]
 
 
-def _by_signs(classes: DataFrame, seed: int, window: int = WINDOW) -> DataFrame:
+def _by_signs(classes: DataFrame, seed: int, tables: int, window: int) -> DataFrame:
     """(a, b, sim, must): classes next to each other in an order by projection signs; must
     marks a spanning forest of the links."""
     def keys(batches):
@@ -118,7 +125,7 @@ def _by_signs(classes: DataFrame, seed: int, window: int = WINDOW) -> DataFrame:
                 at = np.flatnonzero(dims == dim)
                 part = b.take(pa.array(at))
                 x = _matrix(part.column("v"))
-                for t in range(TABLES):
+                for t in range(tables):
                     planes = np.random.default_rng([seed, t, int(dim)]).standard_normal((dim, PLANES))
                     bits = (x @ planes > 0) @ (1 << np.arange(PLANES, dtype=np.int64))
                     out.append(pa.RecordBatch.from_arrays(
@@ -206,9 +213,9 @@ def _without(run):
 
 
 def neighbour_graph(classes: DataFrame, seed: int, known: DataFrame | None = None) -> DataFrame:
-    """(a, b, sim, must, best): NN-descent from the sign tables of ``seed`` and a graph known
-    before."""
-    start = _by_signs(classes, seed)
+    """(a, b, sim, must, best): NN-descent from the sign tables of turn ``seed``, twice as many
+    and as wide each turn, and a graph known before."""
+    start = _by_signs(classes, seed, TABLES << seed, WINDOW << seed)
     graph = staged(_lists(start if known is None else start.unionAll(known.select(start.columns))), "lists")
     for _ in range(MAX_ROUNDS):
         near = graph.where("best").withColumn("far", F.lit(False))
@@ -236,7 +243,7 @@ def enlarged(classes: DataFrame, graph: DataFrame, seed: int) -> tuple[DataFrame
         if not some or merged == before:
             return graph, comps
         before, window = merged, 2 * window
-        found = _by_signs(saturated, seed, window).unionAll(
+        found = _by_signs(saturated, seed, TABLES, window).unionAll(
             _join_neighbours(near.select("a", "b", "sim", "far").unionAll(far.select("a", "b", "sim", "far")), saturated))
         root = [comps.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
         outside = found.join(root[0], "a").join(root[1], "b").where("ra <> rb").select(found.columns)
@@ -341,11 +348,15 @@ def _finish_large(members: DataFrame) -> DataFrame:
 
 
 def audit(classes: DataFrame, links: DataFrame) -> float:
-    """Share of the audited classes' true links (by comparison with all rows, in blocks) that
-    were found; 1 if they have none."""
-    chosen = classes.select("id", "label", "dim", "v").orderBy(F.xxhash64("id", F.lit(7))).limit(AUDIT).collect()
+    """Mean share of a class's true links (by comparison with all rows, in blocks) that were
+    found, over the audited classes that have any: the lower one of a sample of all classes and
+    a sample of those with at most FEW_LINKS links found; 1 if there are none."""
+    found = classes.join(links, "id", "left").select("id", "label", "dim", "v", F.coalesce("links", F.lit(0)).alias("links"))
+    order = F.xxhash64("id", F.lit(7))
+    samples = [d.orderBy(order).limit(AUDIT).collect() for d in (found, found.where(F.col("links") <= FEW_LINKS))]
+    chosen = {r.id: r for sample in samples for r in sample}
     asked: dict = {}
-    for r in chosen:
+    for r in chosen.values():
         asked.setdefault((r.label, r.dim), []).append((r.id, np.array(r.v) / np.linalg.norm(r.v)))
     asked = {k: (np.array([i for i, _ in rows]), np.array([x for _, x in rows])) for k, rows in asked.items()}
     shared = classes.sparkSession.sparkContext.broadcast(asked)
@@ -365,8 +376,50 @@ def audit(classes: DataFrame, links: DataFrame) -> float:
 
     true = (classes.select("id", "label", "dim", "n", "v").mapInArrow(run, "id long, links long")
             .groupBy("id").agg(F.sum("links").alias("true")))
-    got = true.join(links, "id", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return got[1] / got[0] if got[0] else 1.0
+    true = {r.id: r.true for r in true.where(F.col("true") > 0).collect()}
+    shares = [[min(1.0, r.links / true[r.id]) for r in sample if r.id in true] for sample in samples]
+    return min((sum(x) / len(x) for x in shares if x), default=1.0)
+
+
+def _all_links(classes: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b): for every two components (or single classes) that any link joins, their roots.
+    All classes are compared with all others, one part of them at a time."""
+    rows = staged(classes.join(comps.withColumnRenamed("node", "id"), "id", "left")
+                  .select("id", "label", "dim", "v", F.coalesce("root", "id").alias("root")), "rooted")
+    n, dim = rows.agg(F.count("*"), F.max("dim")).first()
+    parts, out = math.ceil(n * 8 * dim / PASS_BYTES), []
+    for part in range(parts):
+        held = rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toArrow()
+        asked: dict = {}
+        for i, key in enumerate(zip(held["label"].to_pylist(), held["dim"].to_pylist())):
+            asked.setdefault(key, []).append(i)
+        asked = {k: (np.asarray(held["root"].take(at)), _matrix(held["v"].take(at))) for k, at in asked.items()}
+        shared = rows.sparkSession.sparkContext.broadcast(asked)
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            for b in batches:
+                at: dict = {}
+                for i, key in enumerate(zip(b.column("label").to_pylist(), b.column("dim").to_pylist())):
+                    at.setdefault(key, []).append(i)
+                for key in at.keys() & shared.value.keys():
+                    part = b.take(pa.array(at[key]))
+                    own, x, (root, y) = np.asarray(part.column("root")), _matrix(part.column("v")), shared.value[key]
+                    for lo in range(0, len(own), BLOCK):
+                        for at_ in range(0, len(root), BLOCK):
+                            i, j = np.nonzero(x[lo:lo + BLOCK] @ y[at_:at_ + BLOCK].T >= THRESHOLD)
+                            pairs = np.stack([own[lo + i], root[at_ + j]], axis=1)
+                            pairs = np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0)
+                            if len(pairs):
+                                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        out.append(staged(rows.mapInArrow(run, "a long, b long").distinct(), "all_links"))
+        shared.unpersist()
+    links = out[0]
+    for more in out[1:]:
+        links = links.unionAll(more)
+    return links
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -378,6 +431,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         links = staged(_finish(classes, comps), "links")
         if audit(classes, links) >= RECALL:
             break
+    else:
+        known = comps.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        comps = staged(connected_components(known.unionAll(_all_links(classes, comps))), "components")
+        links = staged(_finish(classes, comps), "links")
     # root is the least class id of a component, and a class id its least vec_id
     found = (classes.select("label", "v", "id", "n").join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
              .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),

@@ -335,6 +335,38 @@ def test_nn_descent_links_two_tight_groups(spark):
     _near_duplicates_exact(spark, x)
 
 
+def _group_and_pairs(rng):
+    """A tight group of a third of the vectors, and pairs of their own at 0.981."""
+    one = rng.normal(size=32)
+    one /= np.linalg.norm(one)
+    rows = [_turned(rng, one, 0.9995) for _ in range(60)]
+    for _ in range(60):
+        x = rng.normal(size=32)
+        x /= np.linalg.norm(x)
+        rows += [x, _turned(rng, x, 0.981)]
+    return np.array([r / np.linalg.norm(r) for r in rows])
+
+
+def test_nn_descent_audit_sees_small_groups(spark):
+    x = _group_and_pairs(np.random.default_rng(9))
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    classes = nn_descent.classes_of(table)
+    group = spark.createDataFrame([(i, 59) for i in range(60)], "id long, links long")
+    whole = group.unionAll(spark.createDataFrame([(i, 1) for i in range(60, 180)], "id long, links long"))
+    # 3,540 of 3,660 links are in the group
+    assert nn_descent.audit(classes, group) < 0.1
+    assert nn_descent.audit(classes, whole) == 1
+
+
+@pytest.mark.parametrize("size", [32 << 20, 20_000])
+def test_nn_descent_is_whole_after_the_last_turn(spark, monkeypatch, size):
+    monkeypatch.setattr(nn_descent, "MAX_TURNS", 1)
+    monkeypatch.setattr(nn_descent, "PASS_BYTES", size)
+    monkeypatch.setattr(nn_descent, "TABLES", 1)
+    monkeypatch.setattr(nn_descent, "WINDOW", 1)
+    _near_duplicates_exact(spark, _group_and_pairs(np.random.default_rng(10)))
+
+
 def test_forest_keeps_components():
     rng = np.random.default_rng(6)
     for _ in range(50):
