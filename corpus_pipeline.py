@@ -12,7 +12,8 @@ from pricesieve.llm.common import public_tokenizer, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not mostly host boilerplate."""
+    """Documents that pass the base rules and are not mostly host boilerplate, without the
+    boilerplate lines of their host."""
     return line_quality.keep_good(docs)
 
 

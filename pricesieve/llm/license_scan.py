@@ -1,6 +1,9 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line.  Its features are the word bigrams and trigrams that occur in the licence
+A paragraph is a line, or a run of lines between blank ones (white space and comment marks
+only) with the comment marks at the line starts left out, so a wrapped notice is one paragraph.
+A run of several lines is reported at its first line; a line of its own only if no family stands
+for its run or the line's family is another one.  A paragraph's features are the word bigrams and trigrams that occur in the licence
 templates.  A multinomial logistic regression (Spark ML) over those sparse counts names the
 licence family or ``unknown``; it is trained on variants of the templates and on a bounded
 sample of lines of the corpus, and its probabilities are calibrated by a temperature fitted on

@@ -101,17 +101,23 @@ def host_boilerplate(docs: DataFrame, host: str = "source", text: str = "text")
     return staged(found.where(F.size("boilerplate") > 0), "boilerplate")
 
 
+def _is_boilerplate(line: Column) -> Column:
+    return F.array_contains("_b", F.xxhash64(normal_line(line)))
+
+
 def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` plus the statistics, n_left_words (words outside boilerplate lines),
-    base_failed and kept."""
+    """``docs`` plus the statistics, n_left_words (words outside boilerplate lines), left_text
+    (the text without its boilerplate lines), base_failed and kept."""
     found = host_boilerplate(docs, host, text).withColumnRenamed("host", "_host").withColumnRenamed("boilerplate", "_b")
     out = docs.withColumn("_s", statistics(text_or_empty(text))).join(found, F.col(host).eqNullSafe(F.col("_host")), "left")
     gone = F.aggregate(
-        F.filter(lines_with_words(text_or_empty(text)),
-                 lambda x: F.array_contains("_b", F.xxhash64(normal_line(x)))),
+        F.filter(lines_with_words(text_or_empty(text)), _is_boilerplate),
         F.lit(0), lambda a, x: a + F.size(words_of(x)))
     out = out.withColumn("_g", F.when(F.col("_b").isNull(), 0).otherwise(gone).cast("long"))
-    out = out.select(*docs.columns, *(F.col(f"_s.{n}").alias(n) for n in STATISTICS), "_g")
+    # a line without words is no boilerplate and stays
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: (normal_line(x) == "") | ~_is_boilerplate(x)), "\n")
+    out = out.select(*docs.columns, *(F.col(f"_s.{n}").alias(n) for n in STATISTICS), "_g",
+                     F.when(F.col("_b").isNull(), F.col(text)).otherwise(left).alias("left_text"))
     out = out.withColumn("n_left_words", F.col("n_words") - F.col("_g")).drop("_g")
     depleted = 100 * F.col("n_left_words") < MIN_LEFT_PERCENT * F.col("n_words")
     out = out.withColumn("base_failed", base_failed())
@@ -125,11 +131,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns."""
+    """The documents that are kept, with their own columns; ``text`` without the boilerplate
+    lines of its host."""
     inner = docs.select(F.struct("*").alias("_row"), F.col("source").alias("_src"), F.col("text").alias("_text"))
     # the row number keeps the optimizer from computing the statistics in the filter once more
-    out = judged(inner, "_src", "_text").select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
-    return out.where("kept AND _n >= 0").select("_row.*")
+    out = judged(inner, "_src", "_text").select("_row", "left_text", "kept", F.monotonically_increasing_id().alias("_n"))
+    return out.where("kept AND _n >= 0").select(
+        *(F.col("left_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 #: The same rules for DuckDB, on whole tables.

@@ -409,5 +409,17 @@ def test_quality_rules(spark, docs, empty):
     assert line_quality.quality_rules(empty).count() == 0
 
 
+def test_keep_good_removes_boilerplate_lines(spark):
+    boiler = "The same Line 7 stands here"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [" ".join(letters[i % 26] + letters[i // 26] + letters[j % 26] + letters[j // 26] for j in range(60)) for i in range(60)]
+    rows = [(i, f"{boiler}\n\n{t}\n \n  the SAME line 3  stands here ", "h", "c") for i, t in enumerate(own)]
+    rows += [(100, f"{boiler}\n{own[0]}", "other", "c"), (101, f"{boiler}\n{own[0]}", None, "c")]
+    got = {r.doc_id: r for r in line_quality.keep_good(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: f"\n{t}\n " for i, t in enumerate(own)} | {
+        100: rows[-2][1], 101: rows[-1][1]}
+    assert got[3].source == "h" and got[3].n_words == "c"
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
