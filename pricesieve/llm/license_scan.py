@@ -1,9 +1,11 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line, or a run of lines between blank ones (white space and comment marks
-only) with the comment marks at the line starts left out, so a wrapped notice is one paragraph.
-A run of several lines is reported at its first line; a line of its own only if no family stands
-for its run or the line's family is another one.  A paragraph's features are the word bigrams and trigrams that occur in the licence
+A paragraph is a line, or a run of lines between blank ones, so that a wrapped notice is one
+paragraph.  Comment marks at the ends of lines are left out, and a line of marks only is blank.
+A run of several lines is reported, at its first line, if a family stands for it that stands for
+none of its lines; its lines that would be ``unknown`` are then parts of it and not reported.  A
+run is one notice at most: of two notices wrapped without a blank line between them one is named.
+The features of a paragraph are the word bigrams and trigrams that occur in the licence
 templates.  A multinomial logistic regression (Spark ML) over those sparse counts names the
 licence family or ``unknown``; it is trained on variants of the templates and on a bounded
 sample of lines of the corpus, and its probabilities are calibrated by a temperature fitted on
@@ -26,12 +28,16 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricesieve.llm.line_quality import let, words_of
 
 UNKNOWN = "unknown"
 MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.6
+#: White space and comment marks, left out before and after the words of a line.
+MARKS_BEFORE = " \t\x0b\x0c\r/*#;%>|<!-"
+MARKS_AFTER = " \t\x0b\x0c\r/*#|>"
 #: Lines of the corpus that train the unknown class (those of least hash).
 TRAIN_LINES = 2000
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
@@ -139,36 +145,72 @@ def train(spark: SparkSession, docs: DataFrame) -> dict:
             "weights": [(g, [float(w[i]) for w in matrix]) for g, i in index.items()]}
 
 
+def _runs(text: Column) -> Column:
+    """Runs of non-blank lines, without comment marks: the number of the first and the lines."""
+    def of(lines: Column) -> Column:
+        def line(i: Column) -> Column:
+            return F.coalesce(F.get(lines, i), F.lit(""))
+
+        at = F.sequence(F.lit(0), F.size(lines) - 1)
+        first = F.filter(at, lambda i: (line(i) != "") & (line(i - 1) == ""))
+        last = F.filter(at, lambda i: (line(i) != "") & (line(i + 1) == ""))
+        return F.zip_with(first, last, lambda i, j: F.struct(i.alias("at"), F.slice(lines, i + 1, j - i + 1).alias("lines")))
+
+    return let(F.transform(F.split(text, "\n"), lambda x: F.rtrim(F.ltrim(x, F.lit(MARKS_BEFORE)), F.lit(MARKS_AFTER))), of)
+
+
 def scan(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, paragraph, family, predicted, probability, template, overlap): every paragraph
-    predicted as a licence.  paragraph counts the lines from 0; template numbers TEMPLATES."""
+    predicted as a licence.  paragraph is its first line, from 0; template numbers TEMPLATES."""
     spark = docs.sparkSession
     known = F.array(*(F.lit(g) for g, _ in model["weights"]))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    # the features of every line; only lines that have one go on
-    found = F.transform(lines, lambda x: F.array_intersect(_ngrams(_words(x)), known))
-    rows = (docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.posexplode(found).alias("paragraph", "grams"))
-            .where(F.size("grams") > 0))
+
+    def features(text: Column) -> Column:
+        return F.array_intersect(_ngrams(_words(text)), known)
+
+    def joined(lines: Column) -> Column:
+        # a word cut behind its hyphen is whole again
+        return F.array_join(F.transform(lines, lambda x: F.when(x.endswith("-"), x).otherwise(F.concat(x, F.lit(" ")))), "")
+
+    # the features of every run; only runs that have one go on, and only their lines are looked at
+    found = F.filter(F.transform(_runs(F.coalesce("text", F.lit(""))), lambda r: F.struct(
+        r["at"].alias("run"), r["lines"].alias("lines"), features(joined(r["lines"])).alias("grams"))),
+        lambda r: F.size(r["grams"]) > 0)
+    runs = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.explode(found).alias("r")).select("doc_id", "_row", "r.*")
+    several = F.size("lines") > 1
+
+    def unit(at: Column, whole: Column, grams: Column) -> Column:
+        return F.struct(at.alias("paragraph"), whole.alias("whole"), grams.alias("grams"))
+
+    units = F.concat(F.array(unit(F.col("run"), several, F.col("grams"))), F.when(several, F.transform(
+        "lines", lambda x, i: unit(F.col("run") + i, F.lit(False), features(x)))).otherwise(F.array()))
+    rows = runs.select("doc_id", "_row", "run", F.explode(units).alias("u")).select("doc_id", "_row", "run", "u.*").where(F.size("grams") > 0)
+    key = ["doc_id", "_row", "run", "paragraph", "whole"]
     # bounded: one row per template feature
     weights = F.broadcast(spark.createDataFrame(model["weights"], "gram string, w array<double>"))
     k = len(model["bias"])
-    hits = rows.select("doc_id", "_row", "paragraph", "grams", F.explode("grams").alias("gram")).join(weights, "gram")
-    scored = hits.groupBy("doc_id", "_row", "paragraph", "grams").agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)))
+    hits = rows.select(*key, "grams", F.explode("grams").alias("gram")).join(weights, "gram")
+    scored = hits.groupBy(*key, "grams").agg(*(F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(k)))
     z = F.array(*((F.col(f"z{i}") + model["bias"][i]) / model["temperature"] for i in range(k)))
-    scored = scored.select("doc_id", "_row", "paragraph", "grams", z.alias("z"))
+    scored = scored.select(*key, "grams", z.alias("z"))
     names = F.array(*(F.lit(c) for c in model["classes"]))
     top = F.array_max("z")
-    scored = scored.select("doc_id", "_row", "paragraph", "grams", F.get(names, F.array_position("z", top).cast("int") - 1).alias("predicted"),
+    scored = scored.select(*key, "grams", F.get(names, F.array_position("z", top).cast("int") - 1).alias("predicted"),
                            (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("probability"))
     templates = spark.createDataFrame([(f, i, ngrams(normal_words(t))) for i, (f, t) in enumerate(TEMPLATES)],
                                       "predicted string, template int, features array<string>")
     compared = scored.where(F.col("predicted") != UNKNOWN).join(F.broadcast(templates), "predicted")
     compared = compared.withColumn("overlap", F.size(F.array_intersect("features", "grams")) / F.size("features"))
-    best = compared.groupBy("doc_id", "_row", "paragraph", "predicted", "probability").agg(
+    best = compared.groupBy(*key, "predicted", "probability").agg(
         F.max(F.struct("overlap", (-F.col("template")).alias("t"))).alias("b"))
     sure = (F.col("probability") >= MIN_PROBABILITY) & (F.col("b.overlap") >= MIN_OVERLAP)
+    best = best.withColumn("family", F.when(sure, F.col("predicted")).otherwise(UNKNOWN))
+    of_run, stands = Window.partitionBy("_row", "run"), F.col("family") != UNKNOWN
+    best = best.withColumn("_lines", F.collect_set(F.when(stands & ~F.col("whole"), F.col("family"))).over(of_run))
+    best = best.withColumn("_whole", F.max(stands & F.col("whole") & ~F.array_contains("_lines", F.col("family"))).over(of_run))
+    best = best.where(F.when(F.col("whole"), F.col("_whole")).otherwise(stands | ~F.col("_whole")))
     return best.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"),
-                       F.when(sure, F.col("predicted")).otherwise(UNKNOWN).alias("family"), "predicted",
+                       "family", "predicted",
                        F.round("probability", 6).alias("probability"), (-F.col("b.t")).cast("long").alias("template"),
                        F.round("b.overlap", 6).alias("overlap"))
 

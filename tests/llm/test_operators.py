@@ -306,6 +306,30 @@ def test_nn_descent(spark, monkeypatch, block):
     assert nn_descent.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("head, mark, tail", [("", "", ""), ("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "// ", ""), ("<!--\n", "", "\n-->")])
+def test_license_scan_wrapped(spark, head, mark, tail):
+    import textwrap
+
+    rows, want = [], {}
+    for i, (family, text) in enumerate(license_scan.TEMPLATES):
+        lines = textwrap.wrap(text, 30)
+        notice = head + "\n".join(mark + x for x in lines) + tail
+        rows.append((i, f"A text.\n\n{notice}\n\nThe terms of the game\nare in the book.", "s", "c"))
+        if len(lines) > 1:
+            want[i] = (2 + head.count("\n"), family)
+    got = license_scan.license_paragraphs(spark.createDataFrame(rows, DOCS)).collect()
+    named = {}
+    for r in got:
+        if r.family != "unknown":
+            named.setdefault(r.doc_id, []).append((r.paragraph, r.family))
+    assert len(want) > 15
+    for i, (at, family) in want.items():
+        assert {f for _, f in named.get(i, [])} == {family}, (i, named.get(i))
+        # a template that one of its lines holds is named there
+        assert len(named[i]) == 1 and at <= named[i][0][0]
+    assert sum(named[i][0] == w for i, w in want.items()) > 12
+
+
 def _turned(rng, x, cos):
     """A unit vector at the cosine ``cos`` to ``x``."""
     y = rng.normal(size=len(x))
