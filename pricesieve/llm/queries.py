@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pricesieve.llm import (
-    bestfit, bpe_automaton, golay_simhash, html_mincut, license_scan, line_crf, line_quality, nn_descent,
-    token_files, url_rules,
+    bestfit, bpe_automaton, golay_simhash, hadamard_kmeans, html_mincut, license_scan, line_crf, line_quality,
+    nn_descent, pitman_yor, spelling_groups, token_files, url_rules,
 )
 from pricesieve.llm.common import public_tokenizer
 
@@ -55,7 +55,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.variant_groups(_table(spark, sf_dir, "documents"))
+
+
+def op12_hadamard_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard_kmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_mincut, op2_token_files, op3_url_rules, op4_quality_crf, op5_simhash, op6_bpe_automaton, op7_bestfit,
-    op8_license_scan, op9_nn_descent, op10_quality_rules)}
-ORACLE = {"op3_url_rules": url_rules.oracle(), "op10_quality_rules": line_quality.ORACLE}
+    op8_license_scan, op9_nn_descent, op10_quality_rules, op11_spelling_groups, op12_hadamard_kmeans, op13_pitman_yor)}
+ORACLE = {"op3_url_rules": url_rules.oracle(), "op10_quality_rules": line_quality.ORACLE,
+          "op12_hadamard_kmeans": hadamard_kmeans.oracle()}

@@ -47,4 +47,4 @@ def test_oracles(spark):
 
 def test_every_operator_is_registered():
     names = {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in entry.queries()
