@@ -29,6 +29,7 @@ long text is a block of its own; extra columns are ignored; an empty table gives
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -47,6 +48,8 @@ STRENGTH = 1.0
 BURN_IN = 2
 SAMPLES = 3
 SEED = 13
+#: So few dishes are seated one after another rather than together; the rule is the same.
+FEW = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCKS = "block long, data binary, words binary"
@@ -234,12 +237,31 @@ def _count_pairs(table: pa.Table) -> pa.Table:
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x > 0 (Stirling's series after seven steps up)."""
-    low = np.log(x)
-    for i in range(1, 7):
-        low = low + np.log(x + i)
+    low = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
     y = x + 7.0
-    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - low
+    r = 1 / (y * y)
+    series = (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(low)
+
+
+def _openings(c: int, n: int, t: int, a: float, p: float, d: float, rng: np.random.Generator) -> Iterator[int]:
+    """The rule of :func:`seat` for one dish, from customer ``n`` at ``t`` tables on."""
+    while n < c:
+        g, shift = (a + d * t) * p, 1 - d * t
+        start = math.lgamma(n + shift - 1) - math.lgamma(n + shift - 1 + g)
+
+        def old(upto: int) -> float:
+            return math.lgamma(upto + shift) - math.lgamma(upto + shift + g) - start
+
+        u = math.log(1 - rng.random())
+        if old(c - 1) >= u:
+            return
+        lo, hi = n, c - 1
+        while lo < hi:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if old(mid) < u else (mid + 1, hi)
+        yield lo
+        n, t = lo + 1, t + 1
 
 
 def seat(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +270,7 @@ def seat(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, rng: np.random.G
     rows, cuts = [], []
     row = np.nonzero(c > 1)[0]
     n, t = np.ones(len(row), np.int64), np.ones(len(row))
-    while len(row):
+    while len(row) > FEW:
         g = (a[row] + d * t) * p[row]
         last = c[row] - 1
 
@@ -269,6 +291,10 @@ def seat(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, rng: np.random.G
         cuts.append(lo)
         more = lo + 1 < c[row]
         row, n, t = row[more], lo[more] + 1, t[more] + 1
+    for r, start, k in zip(row.tolist(), n.tolist(), t.tolist()):
+        own = np.fromiter(_openings(int(c[r]), start, int(k), float(a[r]), float(p[r]), d, rng), np.int64)
+        rows.append(np.full(len(own), r))
+        cuts.append(own)
     row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     cut = np.concatenate(cuts) if cuts else np.zeros(0, np.int64)
     order = np.lexsort((cut, row))

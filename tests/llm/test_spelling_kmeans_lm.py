@@ -200,10 +200,11 @@ def _paths(c, a, p, d):
         yield cuts, weight, normal
 
 
-@pytest.mark.parametrize("c,p", [(2, 0.3), (5, 0.3), (6, 0.02)])
-def test_seating_and_weights(c, p):
-    """The rule seats with its exact probabilities, and the Gibbs steps reach the exact
-    distribution of table counts."""
+@pytest.mark.parametrize("c,p,few", [(2, 0.3, 200), (5, 0.3, 200), (6, 0.02, 0), (5, 0.3, 10**9)])
+def test_seating_and_weights(monkeypatch, c, p, few):
+    """The rule seats with its exact probabilities, together or one by one, and the Gibbs steps
+    reach the exact distribution of table counts."""
+    monkeypatch.setattr(pitman_yor, "FEW", few)
     a, d, size = 2.0, 0.6, 40_000
     rng = np.random.default_rng(c)
     paths = list(_paths(c, a, p, d))
