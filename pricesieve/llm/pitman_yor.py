@@ -18,9 +18,9 @@ Blocks ask for words and word pairs by bucket, with one packed row per (block, b
 each distinct key once: a frequent word or pair is one key of a block however often it occurs, and
 buckets deal keys by hash, so neither a hot context nor a hot word gathers anywhere.  A bucket sums
 the blocks' training counts, keeps the seating of its word pairs as arrays, and asks the buckets of
-the words for the restaurants' and the root's totals.  The number of buckets grows with the input's
-partitions; the number of rows never exceeds that of distinct keys per block.  The driver sees
-totals only.  Word counts are exact (strings); vocabularies of 2^32 words and more are refused.
+the words for the restaurants' and the root's totals.  The number of buckets grows with the tokens,
+so a bucket's size does not; the number of rows never exceeds that of distinct keys per block or
+bucket.  The driver sees totals only.  Word counts are exact (strings); vocabularies of 2^32 words and more are refused.
 
 Defined results: a null text is empty and has the end token only; a null doc_id counts as ''; repeated
 rows each count and are each scored; without training documents each probability is one; a very
@@ -38,25 +38,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricesieve.llm.common import staged
+from pricesieve.llm.common import drop_table, staged
 
 FOLDS = 5
 HELD_OUT = 1
 BLOCK_CHARS = 1 << 23
-BUCKETS_PER_PARTITION = 8
+#: Tokens of the corpus for each bucket of word pairs, and for each bucket of words.
+PAIR_BUCKET = 1_000_000
+WORD_BUCKET = 2_000_000
 STRENGTH = 1.0
 BURN_IN = 2
 SAMPLES = 3
 SEED = 13
 #: So few dishes are seated one after another rather than together; the rule is the same.
-FEW = 64
+FEW = 400
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
-BLOCKS = "block long, data binary, words binary"
+BLOCKS = "block long, data binary, words binary, tokens long"
 ASKS = "bucket long, block long, data binary, words binary"
 WORDS = "bucket long, block long, data binary, v long, n long"
 PAIRS = "bucket long, block long, data binary"
-STATES = "bucket long, block long, data binary, n1 long, n2 long"
+STATES = "bucket long, block long, data binary, once binary, n1 long, n2 long"
 TOTALS = "bucket long, source long, data binary, customers long, n1 long, n2 long"
 ANSWERS = "block long, bucket long, kind string, data binary"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
@@ -132,7 +134,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         null = np.array([i is None for i in ids], np.uint8)
         learn = np.repeat(np.array([fold(i) != HELD_OUT for i in ids]), lens)
         train = np.bincount(seq[learn], minlength=len(codes))
-        return _table(BLOCKS, [(number, pack(known, null, lens, seq, train), b" ".join(codes))])
+        return _table(BLOCKS, [(number, pack(known, null, lens, seq, train), b" ".join(codes), len(seq))])
 
     for b in batches:
         for doc_id, text in _rows(b, "doc_id", "text"):
@@ -163,18 +165,18 @@ def _ask_words(buckets: int):
 
 def _count_words(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        asked, counts = [], {}
+        asked, local = [], _Codes()
         for bucket, block, data, joined in _rows(table, "bucket", "block", "data", "words"):
             words, (codes, train) = joined.split(b" "), unpack(data)
-            asked.append((block, words, codes))
-            for w, c in zip(words, train.tolist()):
-                counts[w] = counts.get(w, 0) + c
-        known = sorted(w for w, c in counts.items() if c)
-        number = {w: i * buckets + bucket for i, w in enumerate(known)}
-        rows = [(bucket, block, pack(codes, np.array([number.get(w, -1) for w in words], np.int64),
-                                     np.array([counts[w] for w in words], np.int64)), None, None)
-                for block, words, codes in asked]
-        rows.append((bucket, None, None, len(known), sum(counts.values())))
+            asked.append((block, codes, train, np.fromiter(map(local.__getitem__, words), np.int64, len(words))))
+        c = np.zeros(len(local), np.int64)
+        for _, _, train, at in asked:
+            c[at] += train
+        known = sorted(w for w, n in zip(local, c.tolist()) if n)
+        number = np.full(len(local), -1, np.int64)
+        number[[local[w] for w in known]] = np.arange(len(known)) * buckets + bucket
+        rows = [(bucket, block, pack(codes, number[at], c[at]), None, None) for block, codes, _, at in asked]
+        rows.append((bucket, None, None, len(known), int(c.sum())))
         return _table(WORDS, rows)
     return run
 
@@ -214,8 +216,9 @@ def _ask_pairs(buckets: int):
 
 
 def _count_pairs(table: pa.Table) -> pa.Table:
-    """Per block the place of each asked pair in the bucket's list (0: not in training), and the
-    bucket's first state: one table for every dish."""
+    """Per block the number of each asked pair (0: not in training, 1: once, from 2 on: place in the
+    bucket's list), and the bucket's first state: one table for each dish of several customers.  A
+    dish with one customer has one table for good; those go into the totals once."""
     bucket = table.column("bucket")[0].as_py()
     blocks = table.column("block").to_pylist()
     parts = [unpack(d) for (d,) in _rows(table, "data")]
@@ -223,16 +226,20 @@ def _count_pairs(table: pa.Table) -> pa.Table:
     keys, place = np.unique(np.concatenate(asked), return_inverse=True)
     c = np.zeros(len(keys), np.int64)
     np.add.at(c, place, np.concatenate([n for _, n in parts]))
-    number = np.where(c > 0, np.cumsum(c > 0), 0).astype(np.uint32)
+    many, once = c > 1, keys[c == 1]
+    number = np.where(many, np.cumsum(many) + 1, c).astype(np.uint32)
     ends = np.cumsum([len(a) for a in asked])
-    rows = [(bucket, b, pack(p), None, None) for b, p in zip(blocks, np.split(number[place], ends[:-1]))]
-    keys, c = keys[c > 0], c[c > 0]
-    one, none = np.ones(len(c), np.int64), np.zeros(0, np.int64)
-    state = pack(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), c, one, 0 * one, none)
-    rows.append((bucket, None, state, int((c == 1).sum()), int((c == 2).sum())))
+    rows = [(bucket, b, pack(p), None, None, None) for b, p in zip(blocks, np.split(number[place], ends[:-1]))]
+    keys, c = keys[many], c[many]
+    state = pack(*_halves(keys), c, np.ones(len(c), np.int64), np.zeros(len(c), np.int64), np.zeros(0, np.int64))
+    rows.append((bucket, None, state, pack(*_halves(once)), len(once), int((c == 2).sum())))
     return _table(STATES, rows)
 
 
+def _halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+
+
 # --- Chinese-restaurant seating ------------------------------------------------------------
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -256,7 +263,16 @@ def _openings(c: int, n: int, t: int, a: float, p: float, d: float, rng: np.rand
         u = math.log(1 - rng.random())
         if old(c - 1) >= u:
             return
-        lo, hi = n, c - 1
+        # old(m) is close to -g log of the ratio of places; widen around that guess, then halve
+        half = shift + (g - 1) / 2
+        guess = (n - 1 + half) * math.exp(min(-u / g, 50.0)) - half
+        lo = hi = min(max(int(guess), n), c - 1)
+        step = 1
+        while hi < c - 1 and old(hi) >= u:
+            lo, hi, step = hi + 1, min(hi + step, c - 1), 2 * step
+        step = 1
+        while lo > n and old(lo - 1) < u:
+            lo, hi, step = max(lo - step, n), lo - 1, 2 * step
         while lo < hi:
             mid = (lo + hi) // 2
             lo, hi = (lo, mid) if old(mid) < u else (mid + 1, hi)
@@ -339,7 +355,8 @@ def _ask_totals(buckets: int):
         for b in batches:
             rows = []
             for source, data in _rows(b, "bucket", "data"):
-                u, w, c, t, _, _ = unpack(data)
+                u, w, *seated = unpack(data)
+                c, t = seated[:2] if seated else [np.ones(len(u))] * 2
                 (us, ui), (ws, wi) = (np.unique(x, return_inverse=True) for x in (u, w))
                 size, tables, customers = np.bincount(ui, c), np.bincount(ui, t), np.bincount(wi, t)
                 contexts = dict(_dealt((us % np.uint64(buckets)).astype(np.int64)))
@@ -353,9 +370,11 @@ def _ask_totals(buckets: int):
     return run
 
 
-def _sum_totals(table: pa.Table) -> pa.Table:
-    bucket = table.column("bucket")[0].as_py()
-    parts = [(s, *unpack(d)) for s, d in _rows(table, "source", "data")]
+def _sum_totals(asked: pa.Table, fixed: pa.Table) -> pa.Table:
+    """Answers to the buckets that asked, and the totals themselves, those of the dishes with one
+    customer (``fixed``) included."""
+    bucket = (asked if asked.num_rows else fixed).column("bucket")[0].as_py()
+    parts = [(s, *unpack(d)) for s, d in _rows(asked, "source", "data")] + [(None, *unpack(d)) for (d,) in _rows(fixed, "data")]
     us, ui = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
     ws, wi = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True)
 
@@ -368,13 +387,18 @@ def _sum_totals(table: pa.Table) -> pa.Table:
     rows, i, j = [], 0, 0
     for p in parts:
         k, m = i + len(p[1]), j + len(p[4])
-        rows.append((p[0], bucket, pack(tables[ui[i:k]], customers[wi[j:m]]), None, None, None))
+        if p[0] is not None:
+            rows.append((p[0], bucket, pack(tables[ui[i:k]], customers[wi[j:m]]), None, None, None))
         i, j = k, m
     rows.append((bucket, None, pack(us, size, tables, ws, customers), int(customers.sum()),
                  int((customers == 1).sum()), int((customers == 2).sum())))
     return _table(TOTALS, rows)
 
 
+def _sum_fixed(asked: pa.Table) -> pa.Table:
+    return _sum_totals(asked, asked.slice(0, 0))
+
+
 def _sweep(buckets: int, d: float, root_d: float, root_n: int, strength: float, number: int, kept: bool):
     def run(states: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
@@ -393,7 +417,7 @@ def _sweep(buckets: int, d: float, root_d: float, root_n: int, strength: float,
             parent = (customers - root_d) / (strength + root_n)
             rng = np.random.default_rng([SEED, number, bucket])
             t, cuts = resample(c, t, cuts, tables[ui], parent[wi], d, strength, rng)
-            rows.append((bucket, None, pack(u, w, c, t, seen + t if kept else seen, cuts), None, None))
+            rows.append((bucket, None, pack(u, w, c, t, seen + t if kept else seen, cuts), None, None, None))
         return _table(STATES, rows)
     return run
 
@@ -405,29 +429,37 @@ def _answer_words(samples: int):
         sampled = [unpack(d) for _, d in sorted(_rows(totals, "sample", "data"))]
         # a bucket without known words has no totals
         sampled = sampled or [[np.zeros(0, np.int64)] * 5] * samples
+        us, size, _, ws, _ = sampled[0]  # every sample has the same restaurants and words
         rows = []
         for bucket, block, data in _rows(asked, "bucket", "block", "data"):
             codes, ids, c = unpack(data)
-            key, out = np.maximum(ids, 0).astype(np.uint64), []
-            for us, size, tables, ws, customers in sampled:
-                def at(keys, values):
-                    if not len(keys):
-                        return np.zeros(len(key), np.int64)
-                    i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    return np.where((keys[i] == key) & (ids >= 0), values[i], 0)
-                out += [at(us, size), at(us, tables), at(ws, customers)]
+            key = np.maximum(ids, 0).astype(np.uint64)
+
+            def at(keys):
+                """(position, there or not) of each word in ``keys``."""
+                i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                return i, (keys[i] == key) & (ids >= 0)
+
+            out = [np.zeros(len(ids), np.int64)] * (1 + 2 * samples)
+            if len(us):
+                (i, is_u), (j, is_w) = at(us), at(ws)
+                out = [np.where(is_u, size[i], 0)]
+                for _, _, tables, _, customers in sampled:
+                    out += [np.where(is_u, tables[i], 0), np.where(is_w, customers[j], 0)]
             rows.append((block, bucket, "word", pack(codes, ids, c, *out)))
         return _table(ANSWERS, rows)
     return run
 
 
-def _answer_pairs(asked: pa.Table, states: pa.Table) -> pa.Table:
-    _, _, c, _, seen, _ = unpack(states.column("data")[0].as_py())
-    c, seen, rows = np.r_[0, c], np.r_[0, seen], []
-    for bucket, block, data in _rows(asked, "bucket", "block", "data"):
-        (place,) = unpack(data)
-        rows.append((block, bucket, "pair", pack(c[place], seen[place])))
-    return _table(ANSWERS, rows)
+def _answer_pairs(samples: int):
+    def run(asked: pa.Table, states: pa.Table) -> pa.Table:
+        _, _, c, _, seen, _ = unpack(states.column("data")[0].as_py())
+        c, seen, rows = np.r_[0, 1, c], np.r_[0, samples, seen], []
+        for bucket, block, data in _rows(asked, "bucket", "block", "data"):
+            (number,) = unpack(data)
+            rows.append((block, bucket, "pair", pack(c[number], seen[number])))
+        return _table(ANSWERS, rows)
+    return run
 
 
 def _score(buckets: int, d: float, root_d: float, root_n: list[int], strength: float, v: int, n: int):
@@ -445,10 +477,10 @@ def _score(buckets: int, d: float, root_d: float, root_n: list[int], strength: f
                 if kind == "pair":
                     pairs[bucket] = a
                     continue
-                codes, ids[a[0]], c[a[0]] = a[0], a[1], a[2]
+                codes, of = a[0], a[3]
+                ids[codes], c[codes], customers[codes] = a[1], a[2], of
                 for s, total in enumerate(root_n):
-                    of, tables, at_root = a[3 + 3 * s:6 + 3 * s]
-                    customers[codes] = of
+                    tables, at_root = a[4 + 2 * s:6 + 2 * s]
                     back[s, codes] = np.where(of > 0, (strength + d * tables) / (strength + of), 1.0)
                     root[s, codes] = np.where(at_root > 0, at_root - root_d, strength + root_d * v) / (strength + total)
             before = np.r_[np.zeros(1, seq.dtype), seq[:-1]]
@@ -478,24 +510,29 @@ def scores(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, stre
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity of
     every document, learnt from the documents that are not held out."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    buckets = BUCKETS_PER_PARTITION * max(1, texts.rdd.getNumPartitions())
     blocks = staged(texts.mapInArrow(_blocks, BLOCKS), "blocks")
-    words = staged(blocks.mapInArrow(_ask_words(buckets), ASKS).groupBy("bucket").applyInArrow(_count_words(buckets), WORDS), "words")
+    tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    pair_buckets, buckets = (1 + tokens // n for n in (PAIR_BUCKET, WORD_BUCKET))
+    asks = blocks.select("block", "data", "words").mapInArrow(_ask_words(buckets), ASKS)
+    words = staged(asks.groupBy("bucket").applyInArrow(_count_words(buckets), WORDS), "words")
     v, n = words.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     top = words.agg(F.coalesce(F.max("v"), F.lit(0))).first()[0]
     if top * buckets >= 1 << 32:
         raise ValueError("2^32 words or more: word numbers no longer fit half a pair key")
     asked_words = words.where(F.col("block").isNotNull()).select("bucket", "block", "data")
 
-    pairs = blocks.select("block", "data").groupBy("block").cogroup(asked_words.groupBy("block")).applyInArrow(_ask_pairs(buckets), PAIRS)
+    pairs = blocks.select("block", "data").groupBy("block").cogroup(asked_words.groupBy("block")).applyInArrow(_ask_pairs(pair_buckets), PAIRS)
     counted = staged(pairs.groupBy("bucket").applyInArrow(_count_pairs, STATES), "pairs")
     asked_pairs = counted.where(F.col("block").isNotNull()).select("bucket", "block", "data")
     states = counted.where(F.col("block").isNull())
     n1, n2 = states.agg(F.coalesce(F.sum("n1"), F.lit(0)), F.coalesce(F.sum("n2"), F.lit(0))).first()
     d, root_d, root_n, sampled = discount(n1, n2), None, [], []
+    once = states.select("bucket", F.col("once").alias("data")).mapInArrow(_ask_totals(buckets), TOTALS)
+    fixed = once.groupBy("bucket").applyInArrow(_sum_fixed, TOTALS).where(F.col("source").isNull())
+    fixed = staged(fixed.select("bucket", "data"), "fixed_totals")
     for sweep in range(burn_in + samples + 1):
         asked = states.select("bucket", "data").mapInArrow(_ask_totals(buckets), TOTALS).select("bucket", "source", "data")
-        totals = staged(asked.groupBy("bucket").applyInArrow(_sum_totals, TOTALS), f"totals{sweep}")
+        totals = staged(asked.groupBy("bucket").cogroup(fixed.groupBy("bucket")).applyInArrow(_sum_totals, TOTALS), f"totals{sweep}")
         own = totals.where(F.col("source").isNull())
         customers, n1, n2 = own.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "n1", "n2"))).first()
         root_d = discount(n1, n2) if root_d is None else root_d
@@ -505,14 +542,18 @@ def scores(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, stre
         if sweep < burn_in + samples:
             step = _sweep(buckets, d, root_d, customers, strength, sweep, sweep >= burn_in)
             answers = totals.where(F.col("source").isNotNull()).select("bucket", "source", "data")
-            states = staged(states.select("bucket", "data").groupBy("bucket").cogroup(answers.groupBy("bucket"))
-                            .applyInArrow(step, STATES), f"states{sweep}")
+            before, states = states, staged(states.select("bucket", "data").groupBy("bucket").cogroup(answers.groupBy("bucket"))
+                                            .applyInArrow(step, STATES), f"states{sweep}")
+            if sweep:
+                drop_table(before)
+        if sweep <= burn_in:
+            drop_table(totals)
 
     every = sampled[0]
     for s in sampled[1:]:
         every = every.unionByName(s)
     found = asked_words.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInArrow(_answer_words(samples), ANSWERS)
     final = states.select("bucket", "data")
-    found = found.unionByName(asked_pairs.groupBy("bucket").cogroup(final.groupBy("bucket")).applyInArrow(_answer_pairs, ANSWERS))
-    score = _score(buckets, d, root_d, root_n, strength, v, n)
+    found = found.unionByName(asked_pairs.groupBy("bucket").cogroup(final.groupBy("bucket")).applyInArrow(_answer_pairs(samples), ANSWERS))
+    score = _score(pair_buckets, d, root_d, root_n, strength, v, n)
     return blocks.select("block", "data").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, SCORES)
