@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pricesieve.llm.common import staged
 from pricesieve.llm.line_quality import let, words_of
 
 UNKNOWN = "unknown"
@@ -38,7 +39,11 @@ MIN_OVERLAP = 0.6
 #: White space and comment marks, left out before and after the words of a line.
 MARKS_BEFORE = " \t\x0b\x0c\r/*#;%>|<!-"
 MARKS_AFTER = " \t\x0b\x0c\r/*#|>"
-#: Lines of the corpus that train the unknown class (those of least hash).
+#: Marks that are no part of a word at its ends.
+MARKS = ".,;:!?()\"'"
+#: Documents of the corpus (those of least hash) whose lines train the unknown class, and the number
+#: of lines taken from them (those of least hash).
+TRAIN_DOCS = 2000
 TRAIN_LINES = 2000
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 
@@ -71,16 +76,13 @@ FAMILIES = sorted({f for f, _ in TEMPLATES})
 
 
 def normal_words(paragraph: str) -> list[str]:
-    """Words in lower case (A-Z) without marks at their ends; used for templates, as
-    ``_words`` is for columns."""
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in paragraph)
-    return [w for w in (x.strip(".,;:!?()\"'") for x in low.split()) if w]
+    """Words in lower case without marks at their ends; used for templates, as ``_words`` is for
+    columns."""
+    return [w for w in (x.strip(MARKS) for x in paragraph.lower().split()) if w]
 
 
 def _words(paragraph: Column) -> Column:
-    low = F.translate(paragraph, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.transform(words_of(low), lambda w: F.regexp_replace(w, r"""^[.,;:!?()"']+|[.,;:!?()"']+$""", "")),
-                    lambda w: w != "")
+    return F.filter(F.transform(words_of(F.lower(paragraph)), lambda w: F.btrim(w, F.lit(MARKS))), lambda w: w != "")
 
 
 def ngrams(words: list[str]) -> list[str]:
@@ -88,14 +90,23 @@ def ngrams(words: list[str]) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i:i + n]) for n in (2, 3) for i in range(len(words) - n + 1)))
 
 
-def _ngrams(words: Column) -> Column:
-    """Bigrams and trigrams of a column of words."""
-    def of(n: int) -> Column:
-        return lambda w: F.when(F.size(w) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(
-                F.array().cast("array<string>"))
+def features(paragraph: Column) -> Column:
+    """Distinct template features of a paragraph.  Only where two words of the templates stand side
+    by side are n-grams formed, so everyday text costs two set look-ups a word."""
+    known = vocabulary()
+    words = sorted({w for g in known for w in g.split(" ")})
 
-    return let(words, lambda w: F.array_distinct(F.concat(of(2)(w), of(3)(w))))
+    def of(w: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 2),
+                      lambda i: F.get(w, i).isin(words) & F.get(w, i + 1).isin(words))
+        # past the end a trigram is its bigram once more
+        grams = let(at, lambda p: F.concat(
+            F.transform(p, lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))),
+            F.transform(p, lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
+        return F.when(F.size(w) > 1, F.array_distinct(F.filter(grams, lambda g: g.isin(known)))).otherwise(
+            F.array().cast("array<string>"))
+
+    return let(_words(paragraph), of)
 
 
 def vocabulary() -> list[str]:
@@ -108,6 +119,17 @@ def _variants(text: str) -> list[list[str]]:
     return [words, *(words[:i] + words[i + 1:] for i in range(len(words)))]
 
 
+def _training_lines(docs: DataFrame) -> DataFrame:
+    """(grams) of at most TRAIN_LINES distinct lines of about TRAIN_DOCS documents.  A line is whole,
+    but only its template features, of which there are a fixed number, go on to the driver."""
+    h = F.xxhash64("doc_id", "text")
+    last = docs.select(h.alias("h")).orderBy("h").limit(TRAIN_DOCS).agg(F.max("h")).first()[0]
+    some = staged(docs.where(h <= F.lit(last)).select("text").distinct(), "license_training")
+    lines = some.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    lines = lines.select(F.xxhash64("line").alias("h"), features(F.col("line")).alias("grams"))
+    return staged(lines.groupBy("h").agg(F.first("grams").alias("grams")).orderBy("h").limit(TRAIN_LINES), "license_lines")
+
+
 def train(spark: SparkSession, docs: DataFrame) -> dict:
     """Weights by feature and class, intercepts, class names and the temperature."""
     index = {g: i for i, g in enumerate(vocabulary())}
@@ -120,10 +142,7 @@ def train(spark: SparkSession, docs: DataFrame) -> dict:
     for family, text in TEMPLATES:
         for k, words in enumerate(_variants(text)):
             (left_out if k % 5 == 4 else rows).append(row(ngrams(words), family))
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(
-        F.xxhash64("line").alias("h"), F.substring("line", 1, 1000).alias("line")).distinct().orderBy("h").limit(TRAIN_LINES)
-    for k, r in enumerate(sorted(lines.select("line").collect())):
-        grams = ngrams(normal_words(r.line))
+    for k, grams in enumerate(sorted(sorted(r.grams) for r in _training_lines(docs).collect())):
         if not any(set(ngrams(normal_words(t))) <= set(grams) for _, t in TEMPLATES):
             (left_out if k % 5 == 4 else rows).append(row(grams, UNKNOWN))
     rows += [row([], UNKNOWN)] * (1 + len(rows) // 4)
@@ -163,10 +182,6 @@ def scan(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, paragraph, family, predicted, probability, template, overlap): every paragraph
     predicted as a licence.  paragraph is its first line, from 0; template numbers TEMPLATES."""
     spark = docs.sparkSession
-    known = F.array(*(F.lit(g) for g, _ in model["weights"]))
-
-    def features(text: Column) -> Column:
-        return F.array_intersect(_ngrams(_words(text)), known)
 
     def joined(lines: Column) -> Column:
         # a word cut behind its hyphen is whole again
