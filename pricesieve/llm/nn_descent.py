@@ -71,14 +71,15 @@ def _matrix(column) -> np.ndarray:
 
 
 def classes_of(vectors: DataFrame) -> DataFrame:
-    """(id, label, dim, n, v): distinct usable vectors of a label, their least vec_id and how
-    often they occur; a staged table."""
+    """(id, least, label, dim, n, v): distinct usable vectors of a label with an id of their own (a
+    vec_id may occur with several vectors), their least vec_id and how often they occur; a staged
+    table."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", "label", v.alias("v")).where(
         "label IS NOT NULL AND v IS NOT NULL AND vec_id IS NOT NULL "
         "AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(v, x -> x <> 0)")
-    return staged(rows.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-                  .select("id", F.col("label").cast("string").alias("label"), F.size("v").alias("dim"), "n", "v"), "classes")
+    return staged(rows.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+                  .select(F.monotonically_increasing_id().alias("id"), "least", F.col("label").cast("string").alias("label"), F.size("v").alias("dim"), "n", "v"), "classes")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, sim: np.ndarray) -> np.ndarray:
@@ -435,10 +436,12 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         known = comps.select(F.col("node").alias("a"), F.col("root").alias("b"))
         comps = staged(connected_components(known.unionAll(_all_links(classes, comps))), "components")
         links = staged(_finish(classes, comps), "links")
-    # root is the least class id of a component, and a class id its least vec_id
-    found = (classes.select("label", "v", "id", "n").join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    comps = comps.withColumnRenamed("node", "id")
+    first = classes.select("id", "least").join(comps, "id").groupBy("root").agg(F.min("least").alias("first"))
+    named = comps.join(first, "root").select("id", "first")
+    found = (classes.select("label", "v", "id", "least", "n").join(links, "id", "left").join(named, "id", "left")
              .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                     F.coalesce("root", "id").alias("component_id")))
+                     F.coalesce("first", "least").alias("component_id")))
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"),
                           F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     out = rows.join(found, ["label", "v"], "left").select(

@@ -377,6 +377,9 @@ def test_nn_descent_audit_sees_small_groups(spark):
     classes = nn_descent.classes_of(table)
     group = spark.createDataFrame([(i, 59) for i in range(60)], "id long, links long")
     whole = group.unionAll(spark.createDataFrame([(i, 1) for i in range(60, 180)], "id long, links long"))
+    # links go by class id; these vectors are classes of their own, named by their vec_id
+    of = classes.select("id", "least")
+    group, whole = (of.join(t.withColumnRenamed("id", "least"), "least").select("id", "links") for t in (group, whole))
     # 3,540 of 3,660 links are in the group
     assert nn_descent.audit(classes, group) < 0.1
     assert nn_descent.audit(classes, whole) == 1
