@@ -16,7 +16,8 @@ one bit, and words sharing such a midpoint are within two bits, so linking each
 fingerprint of the midpoint is exact and linear.
 
 Defined results: a null text counts as ''; texts without a word have fingerprint zero; equal
-rows share a component; rows with a null doc_id get components but never name one.
+rows share a component; rows with a null doc_id get components but never name one; ``keep_one`` goes by
+rows, see there.
 """
 from __future__ import annotations
 
@@ -98,17 +99,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row of (doc_id, text)."""
+def fingerprints(docs: DataFrame, *names: str) -> DataFrame:
+    """(doc_id, the long columns ``names``, fp long) of every row."""
+    names = ("doc_id", *names)
+
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             fps = [fingerprint(t) for t in b.column("text").to_pylist()]
             fps = pa.array([f - (1 << 64) if f >> 63 else f for f in fps], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), fps], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    longs = [F.col(n).cast("long").alias(n) for n in names]
+    return docs.select(*longs, "text").mapInArrow(run, ", ".join(f"{n} long" for n in (*names, "fp")))
 
 
 def keyed(distinct: DataFrame) -> DataFrame:
@@ -168,14 +172,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its columns.
-    Of rows that repeat that doc_id one is kept; rows without a doc_id are all kept."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    again = (docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n"))
-             .where("_n > 1 AND _again IS NOT NULL"))
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    many = staged(again, "repeated_ids")
-    once = left.join(many, F.col("doc_id") == F.col("_again"), "left_anti")
-    repeated = left.join(many, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionAll(repeated)
+    """One row of each component with its columns: that of the smallest doc_id, rows without one
+    last; which of several rows with that doc_id and a text of the component is not defined.  Rows
+    are told apart by a staged number, not by doc_id, so rows that repeat a doc_id with another
+    text are judged by their own text.  Decisions are narrow rows; the texts are joined once."""
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    fps = fingerprints(rows, number)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(number).alias("n")))
+    least = staged(fps.groupBy("fp").agg(first.alias("first")), "first_rows")
+    comps = connected_components(fingerprint_links(least.select("fp")))
+    roots = least.join(comps, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = staged(roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias(number)), "kept_rows")
+    return rows.join(kept, number, "left_semi").select(*docs.columns)
