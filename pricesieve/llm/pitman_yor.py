@@ -334,18 +334,20 @@ def log_weight(c: np.ndarray, row: np.ndarray, cut: np.ndarray, a: np.ndarray, p
 def resample(c, t, cuts, tables, parent, d, strength, rng):
     """One blocked Gibbs step for each dish; returns tables and openings.  ``tables``: all tables of
     the dish's restaurant, ``parent``: probability of the dish at the root."""
-    many = np.nonzero(c > 1)[0]
-    n, p = c[many], parent[many]
-    a = strength + d * (tables[many] - t[many])
-    row = np.repeat(np.arange(len(many)), t[many] - 1)
+    a = strength + d * (tables - t)
+    # the second of two customers: both seatings have the same weight, so each is taken
+    two, many = np.nonzero(c == 2)[0], np.nonzero(c > 2)[0]
+    g = (a[two] + d) * parent[two]
+    row = np.repeat(np.arange(len(c)), t - 1)
+    was, cuts = np.searchsorted(many, row[c[row] > 2]), cuts[c[row] > 2]
+    n, a, p = c[many], a[many], parent[many]
     new_row, new_cut = seat(n, a, p, d, rng)
-    gain = log_weight(n, new_row, new_cut, a, p, d) - log_weight(n, row, cuts, a, p, d)
-    taken = np.log(rng.random(len(many))) < gain
-    row, cuts = np.r_[row[~taken[row]], new_row[taken[new_row]]], np.r_[cuts[~taken[row]], new_cut[taken[new_row]]]
-    order = np.lexsort((cuts, row))
-    t = np.ones(len(c), np.int64)
-    t[many] += np.bincount(row, minlength=len(many))
-    return t, cuts[order]
+    gain = log_weight(n, new_row, new_cut, a, p, d) - log_weight(n, was, cuts, a, p, d)
+    taken = np.log(1 - rng.random(len(many))) < gain
+    opened = two[rng.random(len(two)) * (1 - d + g) < g]
+    row = np.r_[opened, many[was[~taken[was]]], many[new_row[taken[new_row]]]]
+    cuts = np.r_[np.ones(len(opened), np.int64), cuts[~taken[was]], new_cut[taken[new_row]]]
+    return 1 + np.bincount(row, minlength=len(c)), cuts[np.lexsort((cuts, row))]
 
 
 # --- totals of restaurants and root --------------------------------------------------------
