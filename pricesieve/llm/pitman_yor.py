@@ -65,12 +65,20 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "score double, perplexity double")
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """The array in the least unsigned type that holds it."""
+    top = int(a.max()) if len(a) and a.min() >= 0 else None
+    kind = next((k for k, end in (("u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32)) if top is not None and top < end), a.dtype)
+    return a.astype(kind, copy=False)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one zstandard frame, byte planes apart (small numbers compress to little)."""
+    """Integer arrays as one zstandard frame, in narrow types and with their byte planes apart."""
     import zstandard
 
-    head = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()
-    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    small = [_narrow(a) for a in arrays]
+    head = json.dumps([(x.dtype.str, a.dtype.str, len(a)) for x, a in zip(small, arrays)]).encode()
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in small]
     return zstandard.compress(b"".join([len(head).to_bytes(4, "little"), head, *planes]), 1)
 
 
@@ -80,10 +88,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     raw = zstandard.decompress(data)
     at = 4 + int.from_bytes(raw[:4], "little")
     out = []
-    for kind, n in json.loads(raw[4:at]):
-        size = np.dtype(kind).itemsize
+    for small, kind, n in json.loads(raw[4:at]):
+        size = np.dtype(small).itemsize
         planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        out.append(np.ascontiguousarray(planes.T).view(small).reshape(n).astype(kind, copy=False))
         at += n * size
     return out
 
