@@ -8,8 +8,8 @@ pair loop:
   equal signatures score equally against everybody;
 * candidate pairs come from blocking: at threshold >= 0.8 a provider match is
   necessary (without it the score is at most 0.5 + 0.2 + 0.1 = 0.7999999999999999), so
-  signatures are paired only within a normalised provider; for 0.7 < t < 0.8 a
-  duration block is added;
+  signatures are paired only within a normalised provider; below 0.8 a duration block is
+  added; down from 0.7 names alone can do, found by a similarity join of all names;
 * name similarity is computed once per distinct name pair (pandas UDF);
 * the greedy order-dependent selection is the lexicographically first independent
   set, found by rounds of joins: an undecided row with an earlier leader neighbour is
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pricesieve import constants as K
 from pricesieve.functions.similarity import name_similarity_udf, ratio_udf
+from pricesieve.operators.name_join import similar_name_candidates
 from pricesieve.session import ensure_checkpoint_dir, materialize
 
 _WS = r"[\s\x{1c}-\x{1f}]"
@@ -136,17 +137,20 @@ def price_similarity(p1: Column, p2: Column, fuzzy: Column) -> Column:
     )
 
 
-def name_bound(threshold: float) -> float:
-    """Smallest raw name similarity that can still reach ``threshold`` with full price,
-    provider and duration terms.  Boosts act only above their limits, so the best score
-    is a rising step function of the name similarity; the bound is found by bisection."""
+def name_bound(threshold: float, provider: bool = True, duration: bool = True) -> float:
+    """Smallest raw name similarity that can still reach ``threshold`` with full price and,
+    as they match, provider and duration terms.  Boosts act only above their limits, so the
+    best score is a rising step function of the name similarity; the bound is found by
+    bisection.  Above 1: no name can."""
     def best(n: float) -> float:
-        if n > K.PROVIDER_BOOST_ABOVE:
+        if provider and n > K.PROVIDER_BOOST_ABOVE:
             n = min(1.0, n + K.PROVIDER_BOOST)
-        if n > K.DURATION_BOOST_ABOVE:
+        if duration and n > K.DURATION_BOOST_ABOVE:
             n = min(1.0, n + K.DURATION_BOOST)
-        return K.W_NAME * n + K.W_PRICE + K.W_PROVIDER + K.W_DURATION
+        return K.W_NAME * n + K.W_PRICE + (K.W_PROVIDER if provider else 0.0) + (K.W_DURATION if duration else 0.0)
 
+    if best(1.0) < threshold - 1e-9:
+        return 2.0
     low, high = 0.0, 1.0
     if best(low) >= threshold - 1e-9:
         return 0.0
@@ -162,11 +166,17 @@ def price_floor(threshold: float) -> float:
     return max(0.0, (threshold - 0.7) / 0.2)
 
 
-def _signature_pairs(blocks: DataFrame, cand: DataFrame, sig: DataFrame, threshold: float) -> DataFrame:
+def lone_price_floor(threshold: float) -> float:
+    """The same for a pair without a provider match either: 0.5 + 0.2 p >= t."""
+    return max(0.0, (threshold - 0.5) / 0.2)
+
+
+def _signature_pairs(blocks: DataFrame, cand: DataFrame, sig: DataFrame, pmin: float, by_duration: bool = True) -> DataFrame:
     """Signature pairs through similar-name pairs of a block, restricted exactly by the
     price / duration bound: same duration, or prices that can be similar enough
     (both zero, free included; positive numbers within the factor the bound allows,
-    found through power-of-two bands; an unparsable price on either side)."""
+    found through power-of-two bands; an unparsable price on either side).  ``pmin``: least
+    price similarity without a duration match; ``by_duration``: one is a way to a pair."""
     import math
     attrs = sig.select("sig_id", "n_price", "n_duration").withColumn("_v", F.regexp_replace("n_price", r"[^\d.]", "").try_cast("double"))
     num = _numeric(F.col("n_price"))
@@ -178,9 +188,10 @@ def _signature_pairs(blocks: DataFrame, cand: DataFrame, sig: DataFrame, thresho
     attrs = attrs.select("sig_id", "n_duration", cls.alias("pc"),
                          F.when(cls == "num", F.floor(F.log2("_v")).cast("int")).alias("band"))
     b = blocks.join(attrs, "sig_id")
-    pmin = price_floor(threshold)
     if pmin >= 1.0:
         width = 0
+    elif pmin > 1.0 - 1e-6:
+        width = 1  # numbers next to each other, perhaps across a band's end
     elif pmin <= 0.0:
         width = None
     else:
@@ -191,7 +202,7 @@ def _signature_pairs(blocks: DataFrame, cand: DataFrame, sig: DataFrame, thresho
     if width is None:
         keys_a = keys_b = F.array(F.lit("*"))
     else:
-        dur = F.when(F.col("n_duration") != "", F.concat(F.lit("d:"), F.col("n_duration")))
+        dur = F.when(F.lit(by_duration) & (F.col("n_duration") != ""), F.concat(F.lit("d:"), F.col("n_duration")))
         zero = F.when(F.col("pc") == "zero", F.lit("z"))
         text_a = F.when(F.col("pc") == "text", F.lit("t"))
         any_a = F.when(F.col("pc") != "none", F.lit("u"))
@@ -217,26 +228,42 @@ def pair_scores(sig: DataFrame, threshold: float) -> DataFrame:
     with itself).
 
     ``sig``: (sig_id, n_name, n_price, n_provider, n_duration).  Candidates share a
-    block (the normalised provider; for 0.7 < t < 0.8 also the duration) and have names
-    similar enough to reach the threshold (:func:`name_bound`); the name similarity is
-    computed once per distinct name pair of a block, so signatures are paired only
-    through similar names.
+    block (the normalised provider; below 0.8 also the duration) or, down from 0.7, are
+    found by a similarity join of all names, and have names similar enough to reach the
+    threshold (:func:`name_bound`); the name similarity is computed once per distinct name
+    pair, so signatures are paired only through similar names.  Thresholds go from 0.5 to 1.
     """
-    if threshold <= 0.7:
-        raise NotImplementedError("exact candidate blocking is implemented for thresholds above 0.7")
+    if threshold < 0.5:
+        raise ValueError("thresholds go from 0.5 to 1")
     blocks = sig.filter(F.col("n_provider").isNotNull()).select("sig_id", "n_name", F.concat(F.lit("p:"), F.col("n_provider")).alias("blk"))
     if threshold < 0.8:
         blocks = blocks.unionByName(sig.filter(F.col("n_duration") != "").select(
             "sig_id", "n_name", F.concat(F.lit("d:"), F.col("n_duration")).alias("blk")))
-    blocks = blocks.filter(F.col("n_name") != "")
+    # an empty name has similarity 0 with every name
+    named = sig.filter(F.col("n_name") != "")
+    bounds = {"p:": name_bound(threshold), "d:": name_bound(threshold, provider=False), "*": name_bound(threshold, False, False)}
+    if bounds["p:"] > 0:
+        blocks = blocks.filter(F.col("n_name") != "")
     bn = blocks.select("blk", "n_name").distinct()
     a, b = bn.alias("a"), bn.alias("b")
     name_pairs = a.join(b, (F.col("a.blk") == F.col("b.blk")) & (F.col("a.n_name") <= F.col("b.n_name"))).select(
         F.col("a.blk").alias("blk"), F.col("a.n_name").alias("name1"), F.col("b.n_name").alias("name2"))
-    sims = name_pairs.select("name1", "name2").distinct().withColumn("name_sim", name_similarity_udf("name1", "name2"))
-    sims = sims.filter(F.col("name_sim") >= name_bound(threshold))
-    cand = name_pairs.join(sims, ["name1", "name2"]).withColumnRenamed("blk", "cblk").alias("c")
-    sp = _signature_pairs(blocks, cand, sig, threshold)
+    alone = bounds["*"] <= 1.0
+    if alone:
+        names = materialize(named.select(F.col("n_name").alias("name")).distinct())
+        near = similar_name_candidates(names, bounds["*"])
+        name_pairs = name_pairs.unionByName(near.select(F.lit("*").alias("blk"), F.col("a").alias("name1"), F.col("b").alias("name2")))
+    empty = (F.col("name1") == "") | (F.col("name2") == "")
+    sims = name_pairs.select("name1", "name2").distinct().withColumn(
+        "name_sim", F.when(empty, F.lit(0.0)).otherwise(name_similarity_udf("name1", "name2")))
+    bound = F.when(F.col("blk").startswith("p:"), bounds["p:"]).when(F.col("blk").startswith("d:"), bounds["d:"]).otherwise(bounds["*"])
+    cand = name_pairs.join(sims, ["name1", "name2"]).filter(F.col("name_sim") >= bound).withColumnRenamed("blk", "cblk")
+    if alone:
+        cand = materialize(cand)
+    sp = _signature_pairs(blocks, cand, sig, price_floor(threshold))
+    if alone:
+        anywhere = named.select("sig_id", "n_name", F.lit("*").alias("blk"))
+        sp = sp.unionByName(_signature_pairs(anywhere, cand.filter("cblk = '*'"), sig, lone_price_floor(threshold), False)).distinct()
     x, y = sig.alias("x"), sig.alias("y")
     pairs = sp.join(x, F.col("s1") == F.col("x.sig_id")).join(y, F.col("s2") == F.col("y.sig_id")).select(
         "s1", "s2", "name_sim",

@@ -114,6 +114,23 @@ def q_dedup_sweep_90(spark, sf):
     return dedup.dedup_leaders(_p(spark, sf), 0.9)
 
 
+@register("dedup_sweep_70", P, f"{_leaders(0.7)} SELECT * FROM ld")
+def q_dedup_sweep_70(spark, sf):
+    """The lowest threshold at which a name needs nothing but an equal price."""
+    return dedup.dedup_leaders(_p(spark, sf), 0.7)
+
+
+@register("dedup_sweep_60", P, f"{_leaders(0.6)} SELECT * FROM ld")
+def q_dedup_sweep_60(spark, sf):
+    return dedup.dedup_leaders(_p(spark, sf), 0.6)
+
+
+@register("dedup_sweep_50", P, f"{_leaders(0.5)} SELECT * FROM ld")
+def q_dedup_sweep_50(spark, sf):
+    """The low end of the threshold's range."""
+    return dedup.dedup_leaders(_p(spark, sf), 0.5)
+
+
 @register("dedup_stats", P, f"""{_leaders(K.SIMILARITY_THRESHOLD)}
 SELECT original, uniq AS "unique", original - uniq AS reduction,
        CASE WHEN original > 0 THEN round((original - uniq) / original * 100, 1) ELSE 0.0 END AS reduction_pct
