@@ -43,17 +43,25 @@ from pricesieve import constants as _K  # noqa: E402
 from pricesieve.plans import sqlfrag as _S  # noqa: E402
 
 
-def _indicator_sql() -> str:
+def _indicator_sql(table: str = "fx_product_answers") -> str:
     parts = []
     for i, (p, kind) in enumerate(_K.PRODUCT_INDICATORS):
         pieces = f"string_split(regexp_replace(text, {_S.q('(?i)' + p)}, chr(4) || '\\0' || chr(4), 'g'), chr(4))"
         parts.append(f"""SELECT chunk_id, url, {i} AS indicator_no, {_S.q(kind)} AS type, pieces[2 * k] AS match,
        length(array_to_string(pieces[1:2 * k - 1], '')) AS position, text
-FROM (SELECT *, {pieces} AS pieces FROM fx_product_answers) x,
+FROM (SELECT *, {pieces} AS pieces FROM {table}) x,
      generate_series(1, CAST(floor((len(pieces) - 1) / 2) AS BIGINT)) AS g(k)""")
     return "(" + "\nUNION ALL ".join(parts) + ")"
 
 
+_NAMES = f"""names AS (SELECT DISTINCT source_url AS url, lower(product_name) AS name FROM (
+  SELECT c.url AS source_url, coalesce(json_extract_string(it, '$.product_name'), 'Unknown Product') AS product_name
+  FROM (SELECT url, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]')
+                          WHEN json_type(j) = 'OBJECT' THEN [CAST(j AS JSON)] END AS items
+        FROM (SELECT url, {unfence_sql('response')} AS j FROM fx_product_answers) a
+        WHERE coalesce(json_valid(j), false)) c, unnest(c.items) AS u(it)) p)"""
+
+
 @register("v_indicators", ["fx_product_answers"], f"""
 WITH m AS (
   SELECT chunk_id, url, indicator_no, type, match,
@@ -61,12 +69,7 @@ WITH m AS (
                    least(length(text), position + length(match) + 100) - greatest(position - 100, 0)) AS context,
          position
   FROM {_indicator_sql()} i),
-names AS (SELECT DISTINCT source_url AS url, lower(product_name) AS name FROM (
-  SELECT c.url AS source_url, coalesce(json_extract_string(it, '$.product_name'), 'Unknown Product') AS product_name
-  FROM (SELECT url, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]')
-                          WHEN json_type(j) = 'OBJECT' THEN [CAST(j AS JSON)] END AS items
-        FROM (SELECT url, {unfence_sql('response')} AS j FROM fx_product_answers) a
-        WHERE coalesce(json_valid(j), false)) c, unnest(c.items) AS u(it)) p)
+{_NAMES}
 SELECT * FROM m WHERE NOT EXISTS (
   SELECT 1 FROM names n WHERE n.url = m.url AND n.name <> '' AND instr(lower(m.context), n.name) > 0)""")
 def q_v_indicators(spark, sf):
@@ -76,6 +79,45 @@ def q_v_indicators(spark, sf):
     return verify.indicators(pa.select("chunk_id", "url", "text"), products)
 
 
+#: The stored answers' texts with every chunk's words dealt to four chunks, so that phrases cross
+#: the ends of chunks.
+_CUT = """(SELECT 4 * chunk_id + part AS chunk_id, url, CASE part
+    WHEN 0 THEN array_to_string(w[1:len(w) // 4], ' ')
+    WHEN 1 THEN array_to_string(w[len(w) // 4 + 1:len(w) // 2], ' ')
+    WHEN 2 THEN array_to_string(w[len(w) // 2 + 1:3 * len(w) // 4], ' ')
+    ELSE array_to_string(w[3 * len(w) // 4 + 1:], ' ') END AS text
+  FROM (SELECT chunk_id, url, string_split(text, ' ') AS w FROM fx_product_answers) s, range(4) AS p(part))"""
+
+
+def cut_chunks(pa):
+    """The same rows with Spark."""
+    from pyspark.sql import functions as F
+    w = pa.select("chunk_id", "url", F.split("text", " ").alias("w"))
+    n = F.size("w")
+    ends = [F.floor(n * F.lit(k) / 4).cast("int") for k in range(5)]
+    part = F.array(*(F.struct(F.lit(k).alias("k"), F.array_join(F.slice("w", ends[k] + 1, ends[k + 1] - ends[k]), " ").alias("text"))
+                     for k in range(4)))
+    return w.select("chunk_id", "url", F.explode(part).alias("p")).select(
+        (4 * F.col("chunk_id") + F.col("p.k")).alias("chunk_id"), "url", "p.text")
+
+
+@register("v_indicators_page", ["fx_product_answers"], f"""
+WITH page AS (SELECT 0 AS chunk_id, url, string_agg(text, ' ' ORDER BY chunk_id) AS text FROM {_CUT} c GROUP BY url),
+m AS (
+  SELECT url, indicator_no, type, match,
+         substring(text, greatest(position - 100, 0) + 1,
+                   least(length(text), position + length(match) + 100) - greatest(position - 100, 0)) AS context,
+         position
+  FROM {_indicator_sql('page')} i),
+{_NAMES}
+SELECT * FROM m WHERE NOT EXISTS (
+  SELECT 1 FROM names n WHERE n.url = m.url AND n.name <> '' AND instr(lower(m.context), n.name) > 0)""")
+def q_v_indicators_page(spark, sf):
+    from pricesieve.operators import answers
+    pa = fixture(spark, sf, "fx_product_answers")
+    return verify.page_indicators(cut_chunks(pa), answers.answer_items(pa))
+
+
 _TEXT_FIND = f"""(
 SELECT 'missing_product_indicators' AS kind FROM ({SQL['v_indicators']}) m
 UNION ALL SELECT 'missing_price_indicators' FROM ({SQL['category_relabel']}) r WHERE price IS NULL OR price = '' OR price = 'Unknown'
