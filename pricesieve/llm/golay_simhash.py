@@ -186,4 +186,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     comps = connected_components(fingerprint_links(least.select("fp")))
     roots = least.join(comps, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
     kept = staged(roots.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias(number)), "kept_rows")
-    return rows.join(kept, number, "left_semi").select(*docs.columns)
+    # the kept numbers grow with the table, so they are shuffled at every size, never broadcast
+    return rows.join(kept.hint("merge"), number, "left_semi").select(*docs.columns)
