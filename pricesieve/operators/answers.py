@@ -95,11 +95,12 @@ def _re_quote(s: str) -> str:
     return re.escape(s)
 
 
-def category_score(df: DataFrame, category: str = "category", text: str = "text") -> DataFrame:
+def category_score(df: DataFrame, category: str = "category", text: str = "text",
+                   first_indicator_only: bool = True) -> DataFrame:
     """Confidence, validity and suggestions of a category for a text (rules in order:
     empty/uncategorized, site section, direct occurrence, word overlap, domain keywords;
     suggestions below 0.5).  Only the first context indicator is tested, as in the
-    original loop."""
+    original loop, unless ``first_indicator_only`` is off: then any of them counts."""
     cl = F.lower(F.col(category))
     tl = F.lower(F.col(text))
     d = df.withColumn("_cl", cl).withColumn("_tl", tl)
@@ -118,9 +119,12 @@ def category_score(df: DataFrame, category: str = "category", text: str = "text"
         dom_confs.append(F.when((cat_hits > 0) & (txt_hits > 0), conf))
     dom_conf = F.greatest(F.lit(0.0), *[F.coalesce(c, F.lit(0.0)) for c in dom_confs])
     dom_valid = F.greatest(*[F.coalesce(c > 0.4, F.lit(False)) for c in dom_confs])
-    first_ind = K.CONTEXT_INDICATORS[0]
+    tested = K.CONTEXT_INDICATORS[:1] if first_indicator_only else K.CONTEXT_INDICATORS
+    in_context = F.lit(False)
+    for word in tested:
+        in_context = in_context | ctx.contains(word)
     conf = (
-        F.when(direct, F.when(ctx.contains(first_ind), F.lit(0.95)).otherwise(F.lit(0.8)))
+        F.when(direct, F.when(in_context, F.lit(0.95)).otherwise(F.lit(0.8)))
         .when(matches > 0, F.lit(0.3) + ratio * 0.4)
         .otherwise(dom_conf)
     )

@@ -93,12 +93,13 @@ def _suggest_sql(tl: str) -> str:
                  ELSE list_append(acc, x.val) END, CAST([] AS VARCHAR[]))[1:{K.MAX_SUGGESTIONS}]"""
 
 
-def score_sql(src: str) -> str:
+def score_sql(src: str, indicators=K.CONTEXT_INDICATORS[:1]) -> str:
     cl, tl = "lower(category)", "lower(text)"
     words = f"list_filter(regexp_split_to_array({cl}, '{S.WS}+'), lambda w: w <> '')"
     matches = f"len(list_filter({words}, lambda w: length(w) > 3 AND instr({tl}, w) > 0))"
     ctx = f"""(CASE WHEN instr({tl}, {cl}) = 0 THEN '' ELSE substring({tl}, greatest(instr({tl}, {cl}) - 1 - 50, 0) + 1,
               least(length({tl}), instr({tl}, {cl}) - 1 + length({cl}) + 50) - greatest(instr({tl}, {cl}) - 1 - 50, 0)) END)"""
+    seen = ' OR '.join(f"contains({ctx}, '{w}')" for w in indicators)
     confs = []
     for _, kws in K.DOMAIN_KEYWORDS:
         ch = " + ".join(f"CAST(instr({cl}, {S.q(k)}) > 0 AS INTEGER)" for k in kws)
@@ -115,7 +116,7 @@ def score_sql(src: str) -> str:
 FROM (SELECT *,
   category IS NULL OR category = '' OR {cl} = 'uncategorized' AS empty_cat,
   list_contains({_list(K.SITE_SECTIONS)}, {cl}) AS section,
-  CASE WHEN instr({tl}, {cl}) > 0 THEN CASE WHEN contains({ctx}, 'category') THEN CAST(0.95 AS DOUBLE)
+  CASE WHEN instr({tl}, {cl}) > 0 THEN CASE WHEN {seen} THEN CAST(0.95 AS DOUBLE)
                                             ELSE CAST(0.8 AS DOUBLE) END
        WHEN {matches} > 0 THEN CAST(0.3 AS DOUBLE) + ({matches} / len({words})) * CAST(0.4 AS DOUBLE)
        ELSE {dom_conf} END AS conf,
@@ -134,6 +135,16 @@ def q_category_score(spark, sf):
     return sc.select("chunk_id", "item_no", "category", "category_confidence", "is_valid_category", "category_suggestions")
 
 
+@register("category_score_all", ["fx_product_answers"], f"""
+WITH {_ITEMS}
+SELECT chunk_id, item_no, category, category_confidence, is_valid_category, category_suggestions
+FROM {score_sql('items', K.CONTEXT_INDICATORS)} sc""")
+def q_category_score_all(spark, sf):
+    """D25 with all context indicators."""
+    sc = answers.category_score(answers.answer_items(fixture(spark, sf, "fx_product_answers")), first_indicator_only=False)
+    return sc.select("chunk_id", "item_no", "category", "category_confidence", "is_valid_category", "category_suggestions")
+
+
 @register("category_relabel", ["fx_product_answers"], f"""
 WITH {_ITEMS}, sc AS (SELECT * FROM {score_sql('items')} x)
 SELECT chunk_id, item_no, source_url, product_name, price, description, is_plan, plan_features, trial_info, provider,
