@@ -150,6 +150,7 @@ DOC_METADATA_KEYS = [
     ("creator", "creator"), ("producer", "producer"), ("creation_date", "creationDate"),
     ("modification_date", "modDate"),
 ]
+PDF_METADATA_KEYS = [("title", "/Title"), ("author", "/Author"), ("creator", "/Creator"), ("producer", "/Producer")]
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: link handling (schemes skipped when collecting PDF links)

@@ -275,6 +275,15 @@ def doc_metadata(docs: DataFrame, meta: str = "metadata", keys=K.DOC_METADATA_KE
     return docs.select(*[c for c in docs.columns if c != meta], *cols)
 
 
+def pdf_metadata(docs: DataFrame, meta: str = "metadata", pages: str = "n_pages", keys=K.PDF_METADATA_KEYS) -> DataFrame:
+    """C16, second form: four named keys with '' for missing ones and the page count; all null
+    for a document without any metadata."""
+    found = F.size(F.col(meta)) > 0
+    cols = [F.when(found, F.coalesce(F.element_at(F.col(meta), F.lit(src)), F.lit(""))).alias(name) for name, src in keys]
+    return docs.select(*[c for c in docs.columns if c not in (meta, pages)], *cols,
+                       F.when(found, F.col(pages)).alias("page_count"))
+
+
 # ------------------------------------------------------- match offsets and windows
 
 def match_spans(df: DataFrame, key, text: str, patterns) -> DataFrame:

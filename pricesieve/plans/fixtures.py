@@ -62,6 +62,9 @@ DUCKDB = Dialect("duckdb")
 #: Entries of a listing document and cards of a booking page: documents grow in number with the
 #: tables, not in length.
 LISTING_LINES = 40
+MENU_LINES = 12
+#: Pages of a linked site: sites grow in number.
+SITE_PAGES = 50
 PAGE_CARDS = 10
 
 
@@ -204,6 +207,58 @@ def _links(d: Dialect) -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def _site_links(d: Dialect) -> str:
+    """Links inside sites of SITE_PAGES pages, to one foreign host per site and back, some with a
+    fragment; two links of a page differ by their fragment only."""
+    g, k = f"CAST(floor(p_partkey / {SITE_PAGES}) AS BIGINT)", f"p_partkey % {SITE_PAGES}"
+
+    def page(host: str, no: str) -> str:
+        return f"'https://{host}' || CAST({g} AS STRING) || '.example.com/p/' || CAST({no} AS STRING)"
+
+    def step(a: int, b: int) -> str:
+        return f"({a} * ({k}) + {b}) % {SITE_PAGES}"
+
+    here, away = page("s", k), page("away", k)
+    top = f"CASE WHEN ({k}) % 5 = 0 THEN '#top' ELSE '' END"
+    rows = [(here, 1, page("s", step(2, 1))), (here, 2, page("s", step(2, 2)) + " || " + top),
+            (here, 3, page("s", step(2, 1)) + " || '#sec'"), (here, 4, away), (away, 1, page("s", step(7, 3)))]
+    return "\nUNION ALL ".join(f"SELECT {src} AS src, {pos} AS pos, {dst} AS dst FROM part" for src, pos, dst in rows)
+
+
+def _menu_text(d: Dialect) -> str:
+    """Menu documents: one in three names its items by codes too short for the line passes (menus
+    with section words), one has full names, one is a price list that is no menu."""
+    kind = f"CAST(floor(p_partkey / {MENU_LINES}) AS BIGINT) % 3"
+    head = f"CASE {kind} WHEN 2 THEN 'OFFICE TOOLS' ELSE CASE WHEN p_size % 2 = 0 THEN 'HOT SOUP' ELSE 'LUNCH BOX' END END"
+    cents = "lpad(CAST(p_size % 100 AS STRING), 2, '0')"
+    line = f"""CASE WHEN p_partkey % 4 = 0 THEN {head}
+         WHEN {kind} = 0 THEN 'W' || CAST(p_size % 10 AS STRING) || ' $' || CAST(p_size AS STRING) || '.' || {cents}
+         WHEN {kind} = 1 THEN p_name || ' $' || CAST(p_size AS STRING) || '.' || {cents} || chr(10) || 'with ' || p_brand
+         ELSE 'T' || CAST(p_size % 10 AS STRING) || ' £' || CAST(p_size AS STRING) || '.' || {cents} END"""
+    return f"""
+SELECT g AS doc_id, 'Card' || chr(10) || {d.agg('line', 'chr(10)', 'p_partkey')} || chr(10) AS text
+FROM (SELECT CAST(floor(p_partkey / {MENU_LINES}) AS BIGINT) AS g, p_partkey, {line} AS line FROM part) AS t
+GROUP BY g"""
+
+
+def _short_names(d: Dialect) -> str:
+    return """
+SELECT p_partkey AS row_id,
+       CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ab ' WHEN 3 THEN 'abc' WHEN 4 THEN '   '
+            ELSE p_name END AS product_name,
+       CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'Unknown' ELSE 'Price not found' END AS price,
+       CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey % 100 AS DOUBLE) / 100 END AS category_confidence
+FROM part"""
+
+
+def _pdf_meta(d: Dialect) -> str:
+    m = d.str_map([("'/Title'", "'Doc ' || CAST(doc_id AS STRING)"), ("'/Producer'", "source"),
+                   ("CASE WHEN doc_id % 3 = 0 THEN '/Author' ELSE '/Subject' END", "lang")])
+    return f"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE {m} END AS metadata,
+       CAST(ceil(length(text) / 500.0) AS BIGINT) AS n_pages FROM documents"""
+
+
 def _hrefs(d: Dialect) -> str:
     forms = ["/a", "a/b", "../c", "?q=1", "//cdn.example.org/x", "#t", "mailto:info@example.com",
              "https://other.example.net/doc.pdf", "files/menu.PDF", "/docs/pdf/guide", "/get?download=pdf",
@@ -394,6 +449,10 @@ FIXTURES: dict[str, tuple[tuple[str, ...], callable]] = {
     "fx_spans": ((), _spans),
     "fx_doc_meta": ((), _doc_meta),
     "fx_links": ((), _links),
+    "fx_site_links": ((), _site_links),
+    "fx_menu_text": ((), _menu_text),
+    "fx_short_names": ((), _short_names),
+    "fx_pdf_meta": ((), _pdf_meta),
     "fx_fuel_text": ((), _fuel_text),
     "fx_archive": ((), _archive),
     "fx_new_scrapes": ((), _new_scrapes),

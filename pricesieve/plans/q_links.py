@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pricesieve.operators import crawl, links
 from pricesieve.plans import sqlfrag as S
-from pricesieve.plans.fixtures import fixture
+from pricesieve.plans.fixtures import SITE_PAGES, fixture
 from pricesieve.plans.registry import register
 from pricesieve.sources.tables import read_table
 
@@ -146,6 +146,60 @@ def q_crawl_bfs(spark, sf):
     return crawl.crawl_bfs(starts, fixture(spark, sf, "fx_links"), max_pages=MAX_PAGES)
 
 
+_SITE_STARTS = f"""SELECT DISTINCT CAST(floor(p_partkey / {SITE_PAGES}) AS BIGINT) AS crawl_id,
+  'https://s' || CAST(CAST(floor(p_partkey / {SITE_PAGES}) AS BIGINT) AS VARCHAR) || '.example.com/p/1' AS start_url FROM part"""
+
+
+def _queue_sql(same_domain: bool = False, normalised: bool = False) -> str:
+    """The first-in first-out queue itself: one step takes one URL and appends its new links."""
+    ident = "split_part(dst, '#', 1)" if normalised else "dst"
+    host = S.url_part("split_part({}, '#', 1)", 2).format
+    asked = "x.host = q.host AND " if same_domain else ""
+    news = f"list_filter(coalesce(l.ds, []), lambda x: {asked}NOT list_contains(q.ids, x.id))"
+    return f"""
+WITH RECURSIVE once AS (SELECT *, {ident} AS id, {host('dst')} AS host FROM fx_site_links
+    QUALIFY row_number() OVER (PARTITION BY src, {ident} ORDER BY pos) = 1),
+ll AS (SELECT src, list({{'u': dst, 'id': id, 'host': host}} ORDER BY pos) AS ds FROM once GROUP BY src),
+st AS ({_SITE_STARTS}),
+qu AS (SELECT crawl_id, CAST(0 AS BIGINT) AS n, {host('start_url')} AS host, [start_url] AS urls, [start_url] AS ids,
+              [CAST(0 AS BIGINT)] AS depths FROM st
+       UNION ALL
+       SELECT crawl_id, n + 1, host, list_concat(urls, list_transform(news, lambda x: x.u)),
+              list_concat(ids, list_transform(news, lambda x: x.id)),
+              list_concat(depths, list_transform(news, lambda x: depths[n + 1] + 1))
+       FROM (SELECT q.*, {news} AS news FROM qu q LEFT JOIN ll l ON l.src = split_part(q.urls[q.n + 1], '#', 1)
+             WHERE q.n < len(q.urls)) s)
+SELECT crawl_id, urls[i] AS url, depths[i] AS depth, i - 1 AS rank FROM qu, generate_series(1, len(urls)) AS g(i)
+WHERE n = len(urls)"""
+
+
+def _site_crawl(spark, sf, **form):
+    links_ = fixture(spark, sf, "fx_site_links")
+    site = F.floor(F.col("p_partkey") / SITE_PAGES)
+    starts = read_table(spark, sf, "part").select(
+        site.alias("crawl_id"),
+        F.concat(F.lit("https://s"), site.cast("string"), F.lit(".example.com/p/1")).alias("start_url")).distinct()
+    return crawl.crawl_bfs(starts, links_, **form)
+
+
+@register("crawl_all", ["fx_site_links"], _queue_sql())
+def q_crawl_all(spark, sf):
+    """B8 without a page cap: one crawl per site, every page that links lead to."""
+    return _site_crawl(spark, sf)
+
+
+@register("crawl_same_domain", ["fx_site_links"], _queue_sql(same_domain=True))
+def q_crawl_same_domain(spark, sf):
+    """B8 on the start's host only."""
+    return _site_crawl(spark, sf, same_domain_only=True)
+
+
+@register("crawl_normalised", ["fx_site_links"], _queue_sql(normalised=True))
+def q_crawl_normalised(spark, sf):
+    """B9's other form: URLs that differ by their fragment are one page."""
+    return _site_crawl(spark, sf, normalize_fragments=True)
+
+
 # ------------------------------------------------------------ crawl graph
 def _visited(spark, sf):
     p = read_table(spark, sf, "pages").select("page_id", "url").withColumn("crawl_id", F.floor(F.col("page_id") / CRAWL_PAGES))

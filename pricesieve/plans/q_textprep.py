@@ -7,7 +7,7 @@ from pricesieve import constants as K
 from pricesieve.operators import text
 from pricesieve.plans import sqlfrag as S
 from pricesieve.plans.fixtures import fixture
-from pricesieve.plans.registry import register
+from pricesieve.plans.registry import SQL, register
 from pricesieve.sources.tables import read_table
 
 
@@ -85,13 +85,39 @@ def q_repair_runs(spark, sf):
     return d.select("doc_id", text.repair_runs(F.col("text")).alias("text"))
 
 
-@register("repair_pairs")
+def _pairs_ctes(src: str) -> str:
+    """CTEs to ``fixed`` (doc_id, text): the left-to-right scan over ``src`` (doc_id, text).  A
+    candidate is the start of four characters whose halves are equal; a kept one hides those that
+    begin in the three characters after it."""
+    return f"""
+ch AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i
+       FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS cs FROM {src}) t),
+quad AS (SELECT doc_id, i, lower(c) = lower(lead(c, 2) OVER w) AND lower(lead(c, 1) OVER w) = lower(lead(c, 3) OVER w) AS hit
+         FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+cand AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) >= 4, true) AS head FROM quad WHERE hit),
+isl AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM cand),
+nxt AS (SELECT a.doc_id, a.i, a.head, b.i AS following FROM isl a ASOF LEFT JOIN (SELECT *, i - 4 AS after FROM isl) b
+        ON a.doc_id = b.doc_id AND a.island = b.island AND a.i <= b.after),
+kept AS (SELECT doc_id, i, following FROM nxt WHERE head
+         UNION ALL
+         SELECT n.doc_id, n.i, n.following FROM kept k JOIN nxt n ON n.doc_id = k.doc_id AND n.i = k.following),
+gone AS (SELECT doc_id, i + 2 AS i FROM kept UNION ALL SELECT doc_id, i + 3 FROM kept),
+left_ch AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS text FROM ch ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+fixed AS (SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(l.text, '') END AS text
+          FROM {src} s LEFT JOIN left_ch l ON s.doc_id = l.doc_id)"""
+
+
+@register("repair_pairs", [], f"WITH RECURSIVE {_pairs_ctes('documents')} SELECT * FROM fixed")
 def q_repair_pairs(spark, sf):
     d = _docs(spark, sf)
     return d.select("doc_id", text.repair_pairs(F.col("text")).alias("text"))
 
 
-@register("repair_text")
+@register("repair_text", [], f"""
+WITH RECURSIVE once AS ({SQL['repair_runs']}),{_pairs_ctes('once')}
+SELECT d.doc_id, CASE WHEN d.text IS NULL OR length(d.text) < 2 THEN d.text
+                      ELSE {_repair_dict_sql("(CASE WHEN length(o.text) >= 4 THEN f.text ELSE o.text END)")} END AS text
+FROM documents d LEFT JOIN once o ON d.doc_id = o.doc_id LEFT JOIN fixed f ON d.doc_id = f.doc_id""")
 def q_repair_text(spark, sf):
     return text.repair_text(_docs(spark, sf).select("doc_id", "text"))
 
@@ -216,3 +242,11 @@ SELECT doc_id, {', '.join(f"coalesce(metadata[{S.q(src)}], '') AS {name}" for na
 FROM fx_doc_meta""")
 def q_doc_metadata(spark, sf):
     return text.doc_metadata(fixture(spark, sf, "fx_doc_meta"))
+
+
+@register("pdf_metadata", ["fx_pdf_meta"], f"""
+SELECT doc_id, {', '.join(f"CASE WHEN len(map_keys(metadata)) > 0 THEN coalesce(metadata[{S.q(src)}], '') END AS {name}" for name, src in K.PDF_METADATA_KEYS)},
+       CASE WHEN len(map_keys(metadata)) > 0 THEN n_pages END AS page_count
+FROM fx_pdf_meta""")
+def q_pdf_metadata(spark, sf):
+    return text.pdf_metadata(fixture(spark, sf, "fx_pdf_meta"))

@@ -21,6 +21,12 @@ def q_v_findings(spark, sf):
     return verify.findings(fixture(spark, sf, "fx_products"))
 
 
+@register("v_findings_short", ["fx_short_names"], f"SELECT * FROM {_FIND.replace('fx_products', 'fx_short_names')} f")
+def q_v_findings_short(spark, sf):
+    """V1-V3 on rows with missing, blank and short names."""
+    return verify.findings(fixture(spark, sf, "fx_short_names"))
+
+
 @register("v_suggestions", P, f"""
 SELECT kind, count(*) AS n,
   CASE kind WHEN 'missing_product_indicators' THEN 'Found ' || count(*) || ' products with missing or very short names.'

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 ORACLE = entry.oracle_sql()
 #: Checked by cases in other tests; DuckDB cannot name the folder or gives no plain text.
-NO_SQL = {"binary_catalogue", "pair_scores", "repair_pairs", "repair_text"}
+NO_SQL = {"binary_catalogue", "pair_scores"}
 
 
 @pytest.fixture(scope="module")
