@@ -97,24 +97,21 @@ def fetch_outcome(log: DataFrame, max_retries: int = K.MAX_RETRIES, thin: int =
     """Per URL, attempts in order.  An 'ok' attempt with at least ``thin`` characters
     is accepted; a thin answer or an error is a failure.  The attempt at which the
     failures reach ``max_retries`` decides: a thin answer is then accepted anyway, an error
-    drops the URL.  Without a decision the URL is still queued ('retry')."""
+    drops the URL.  Without a decision the URL is still queued ('retry').  Attempts of a URL
+    differ in their number.  The decision reads no text; only the accepted attempt's is joined."""
     ok = F.col("status") == "ok"
     good = ok & (F.length(F.coalesce("text", F.lit(""))) >= thin)
     w = Window.partitionBy("url").orderBy("attempt").rowsBetween(Window.unboundedPreceding, 0)
-    a = log.withColumn("fails", F.sum((~good).cast("int")).over(w))
-    decided = a.filter(good | (F.col("fails") >= max_retries))
-    first = decided.groupBy("url").agg(F.min_by(F.struct("attempt", "status", "text", "fails"), F.col("attempt")).alias("d"))
-    outcome = F.when(F.col("d.status") == "ok", F.lit("accepted")).otherwise(F.lit("dropped"))
-    res = first.select(
-        "url", outcome.alias("outcome"), F.col("d.attempt").alias("attempt"),
-        F.when(F.col("d.status") == "ok", F.col("d.text")).alias("content"),
-    )
-    urls = log.groupBy("url").agg(F.max("attempt").alias("last_attempt"))
-    j = urls.join(res, "url", "left")
-    return j.select(
-        "url", F.coalesce("outcome", F.lit("retry")).alias("outcome"),
-        F.coalesce("attempt", F.col("last_attempt")).alias("attempt"), "content",
-    )
+    a = log.select("url", "attempt", ok.alias("ok"), good.alias("good"))
+    a = a.withColumn("fails", F.sum((~F.col("good")).cast("int")).over(w))
+    deciding = F.col("good") | (F.col("fails") >= max_retries)
+    res = a.groupBy("url").agg(F.min(F.when(deciding, F.struct("attempt", "ok"))).alias("d"),
+                               F.max("attempt").alias("last_attempt"))
+    res = res.select(
+        "url", F.when(F.col("d").isNull(), "retry").when(F.col("d.ok"), "accepted").otherwise("dropped").alias("outcome"),
+        F.coalesce("d.attempt", "last_attempt").alias("attempt"))
+    texts = log.select("url", "attempt", F.col("text").alias("content"), F.lit("accepted").alias("outcome"))
+    return res.join(texts, ["url", "attempt", "outcome"], "left").select("url", "outcome", "attempt", "content")
 
 
 # ----------------------------------------------------------- crawl graph

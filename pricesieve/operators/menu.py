@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pricesieve import constants as K
 from pricesieve.functions.text import match_pieces, pystrip
 from pricesieve.operators.text import lines
+from pricesieve.session import materialize
 
 
 def menu_line_end(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -133,11 +134,11 @@ def menu_patterns(docs: DataFrame, key: str = "doc_id", patterns=K.MENU_ITEM_PAT
     return out.filter(F.length("item") >= 3).withColumn("currency", F.lit("$"))
 
 
-def menu_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def menu_lines(docs: DataFrame, key: str = "doc_id", found: DataFrame | None = None) -> DataFrame:
     """D3: 'name price' on one line, the name of letters, spaces, quotes and dashes, the
     price any of the nine currency forms (each form without its outer parentheses); a
     (name, price) already found by the line-item pass, or earlier in this pass, is
-    skipped."""
+    skipped.  ``found``: the line items, where they are at hand."""
     alt = "|".join(p[1:-1] for p in K.PRICE_PATTERNS)
     rx = "(?U)" + K.MENU_LINE_NAME + "(" + alt + ")"
     ln = _lines_all(docs, key)
@@ -147,7 +148,8 @@ def menu_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy(key, "product_name", "price").orderBy("line_no", "match_no")
     m = m.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-    seen = line_items(docs, key).select(key, "product_name", "price").distinct()
+    found = line_items(docs, key) if found is None else found
+    seen = found.select(key, "product_name", "price").distinct()
     m = m.join(seen, [key, "product_name", "price"], "left_anti")
     return m.withColumn("category", F.lit(K.MENU_CATEGORY)).withColumn("extracted_by", F.lit(K.MENU_EXTRACTOR))
 
@@ -221,14 +223,52 @@ def pdf_products(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return prods.unionByName(c)
 
 
-def descriptions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def merge_absent(products: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``products`` and those ``items`` whose name no product of the same document has (an
+    item without a name counts as one with an empty name).  Items with the same new name all stay."""
+    names = products.select(F.col(key).alias("_k"), F.coalesce("product_name", F.lit("")).alias("_n")).distinct()
+    new = items.join(names, F.col(key).eqNullSafe(F.col("_k")) & (F.coalesce("product_name", F.lit("")) == F.col("_n")),
+                     "left_anti")
+    return products.unionByName(new, allowMissingColumns=True)
+
+
+def document_products(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """D1-D4, D11, D11b together: line items (pass 1), menu lines (2) and the names only the
+    description pass finds (3); the description goes to the first product of its name; then the
+    menu items of a likely menu are merged by absent name (4).  A menu's items are its products
+    where it has any, so only menus without products bring their sectioned items."""
+    from pyspark.sql import Window
+
+    from pricesieve.operators.text import menu_docs
+    a = materialize(line_items(docs, key).withColumn("pass", F.lit(1)))  # read by all later passes
+    b = menu_lines(docs, key, a).withColumn("pass", F.lit(2)).withColumn("pattern_no", F.lit(0))
+    cols = [key, "pass", "line_no", "pattern_no", "match_no", "product_name", "price", "category", "extracted_by"]
+    early = materialize(a.select(*cols).unionByName(b.select(*cols)))
+    d = materialize(descriptions(docs, key, early).select(
+        F.col(key).alias("_k"), F.col("product_name").alias("_n"), "description", "is_new", F.col("price").alias("_p")))
+    w = Window.partitionBy(key, "product_name").orderBy("pass", "line_no", "pattern_no", "match_no")
+    early = early.withColumn("_first", F.row_number().over(w) == 1)
+    early = early.join(d.filter(~F.col("is_new")).select("_k", "_n", "description"),
+                       (F.col(key) == F.col("_k")) & (F.col("product_name") == F.col("_n")) & F.col("_first"), "left")
+    late = d.filter("is_new").select(F.col("_k").alias(key), F.lit(3).alias("pass"), F.col("_n").alias("product_name"),
+                                     F.col("_p").alias("price"), F.lit(K.MENU_CATEGORY).alias("category"),
+                                     F.lit(K.MENU_EXTRACTOR).alias("extracted_by"), "description")
+    products = early.select(*cols, "description").unionByName(late, allowMissingColumns=True)
+    bare = docs.join(products.select(key).distinct(), key, "left_anti")
+    menus = menu_docs(bare).filter("is_menu").select(key, "text")
+    items = menu_sections(menus, key).withColumn("pass", F.lit(4))
+    return merge_absent(products, items, key)
+
+
+def descriptions(docs: DataFrame, key: str = "doc_id", found: DataFrame | None = None) -> DataFrame:
     """Description blocks.  A line with a price and a usable name (text before the
     first match of the first pattern giving one, leading digits cut, longer than 3)
     opens a block for that product; following lines without a price are its
     description, up to a blank line that comes after at least one of them (a blank line
     before any description keeps the block open; a price line whose name is unusable
     changes nothing).  Per product name the last non-empty description wins; names not
-    found by the earlier passes become new products with the price of their first block.
+    found by the earlier passes become new products with the price of their first block.  ``found``: the products of the earlier
+    passes, where they are at hand.
     """
     from pyspark.sql import Window
     ln = lines(docs, key, keep_blank=True)
@@ -261,8 +301,10 @@ def descriptions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.max_by("description", F.when(F.col("description").isNotNull(), F.col("block_line"))).alias("description"),
         F.min_by("price", "block_line").alias("price"),
     )
-    earlier = line_items(docs, key).select(key, "product_name").unionByName(
-        menu_lines(docs, key).select(key, "product_name")).distinct().withColumn("_old", F.lit(True))
+    if found is None:
+        found = line_items(docs, key).select(key, "product_name").unionByName(
+            menu_lines(docs, key).select(key, "product_name"))
+    earlier = found.select(key, "product_name").distinct().withColumn("_old", F.lit(True))
     out = per_name.join(earlier, [key, "product_name"], "left")
     return out.select(key, "product_name", "description", F.col("_old").isNull().alias("is_new"),
                       F.when(F.col("_old").isNull(), F.col("price")).alias("price"))

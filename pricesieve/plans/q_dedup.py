@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pricesieve import constants as K
 from pricesieve.operators import dedup, edits
 from pricesieve.plans import q_answers  # noqa: F401  (its oracle is a part of the flagship's)
-from pricesieve.plans.dedup_sql import leader_ctes, ratio_ctes
+from pricesieve.plans.dedup_sql import leader_ctes, ratio_ctes, score_ctes
 from pricesieve.plans.fixtures import fixture
 from pricesieve.plans.registry import SQL, register
 
@@ -160,6 +160,26 @@ def q_pair_scores(spark, sf):
     return dedup.pair_scores(sig, K.SIMILARITY_THRESHOLD)
 
 
+def _key_sql(t: str) -> str:
+    return f"({t}.n_name || '|' || coalesce({t}.n_price, '~') || '|' || coalesce({t}.n_provider, '~') || '|' || {t}.n_duration)"
+
+
+@register("pair_links", P, f"""
+WITH {_prepared('fx_products')}, {score_ctes('pp')}
+SELECT least({_key_sql('a')}, {_key_sql('b')}) AS first, greatest({_key_sql('a')}, {_key_sql('b')}) AS second, score
+FROM sc JOIN sg a ON a.sig = s1 JOIN sg b ON b.sig = s2 WHERE score >= CAST({K.SIMILARITY_THRESHOLD} AS DOUBLE)""")
+def q_pair_links(spark, sf):
+    """All signature pairs (and signatures with themselves) at or above the threshold, scored."""
+    cols = ["n_name", "n_price", "n_provider", "n_duration"]
+    sig = dedup.prepare(_p(spark, sf)).select(*cols).distinct().withColumn("sig_id", dedup.signature_id(*cols))
+    key = F.concat("n_name", F.lit("|"), F.coalesce("n_price", F.lit("~")), F.lit("|"),
+                   F.coalesce("n_provider", F.lit("~")), F.lit("|"), "n_duration")
+    named = sig.select("sig_id", key.alias("k"))
+    pairs = dedup.pair_scores(sig, K.SIMILARITY_THRESHOLD).filter(F.col("score") >= K.SIMILARITY_THRESHOLD)
+    pairs = pairs.join(named.toDF("s1", "k1"), "s1").join(named.toDF("s2", "k2"), "s2")
+    return pairs.select(F.least("k1", "k2").alias("first"), F.greatest("k1", "k2").alias("second"), "score")
+
+
 @register("name_ratio", P, f"""
 WITH {_prepared('fx_products')},
 np AS (SELECT DISTINCT a.n_name AS x, b.n_name AS y FROM pp a JOIN pp b ON a.n_provider = b.n_provider AND a.n_name < b.n_name),

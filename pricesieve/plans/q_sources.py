@@ -75,6 +75,19 @@ def q_archive_roundtrip(spark, sf):
     return archive.read(spark, path).select("scrape_id", "url", "ts", F.size("products").alias("products_count"))
 
 
+@register("archive_cleared", _ARCH, f"""
+SELECT scrape_id, url, ts, len(products) AS products_count FROM {_fresh('ASC')} f""")
+def q_archive_cleared(spark, sf):
+    """A5: an archive emptied, then filled with the new scrapes and read from its buckets."""
+    path = export.export_dir(spark, "archive_cleared")
+    old = fixture(spark, sf, "fx_archive")
+    archive.write(old, path)
+    archive.clear(spark, path, old.schema)
+    empty = archive.read(spark, path, schema=old.schema)
+    archive.write(archive.upsert(empty, fixture(spark, sf, "fx_new_scrapes")), path, mode="append")
+    return archive.read(spark, path).select("scrape_id", "url", "ts", F.size("products").alias("products_count"))
+
+
 @register("archive_full", _ARCH, f"""
 WITH u AS (SELECT * FROM fx_archive WHERE url NOT IN (SELECT url FROM {_fresh('DESC')} f)
            UNION ALL SELECT * FROM {_fresh('DESC')} f)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pricesieve.operators import menu, text
 from pricesieve.plans.fixtures import fixture
-from pricesieve.plans.registry import register
+from pricesieve.plans.registry import SQL, register
 
 # Shared oracle fragment: numbered, stripped lines of a text table.
 def _lines_sql(src: str, key: str = "doc_id") -> str:
@@ -256,3 +256,42 @@ SELECT pn.doc_id, pn.product_name, pn.description, old.doc_id IS NULL AS is_new,
 FROM pn LEFT JOIN old ON pn.doc_id = old.doc_id AND pn.product_name = old.product_name""")
 def q_descriptions(spark, sf):
     return menu.descriptions(fixture(spark, sf, "fx_listing_text"))
+
+
+def _on_menus(sql: str) -> str:
+    return sql.replace("fx_listing_text", "fx_menu_text")
+
+
+def _menu_test_sql() -> str:
+    from pricesieve.plans.q_textprep import is_menu_sql
+    return f"(SELECT doc_id FROM fx_menu_text WHERE {is_menu_sql()})"
+
+
+@register("menu_merge", ["fx_menu_text"], f"""
+WITH p1 AS ({_on_menus(_LINE_ITEMS)}), p2 AS (SELECT * FROM {_on_menus(_menu_lines_sql())} m),
+p3 AS ({_on_menus(SQL['descriptions'])}), sections AS ({_on_menus(SQL['menu_sections'])}),
+e AS (SELECT doc_id, 1 AS pass, line_no, pattern_no, match_no, product_name, price, category, extracted_by FROM p1
+      UNION ALL SELECT doc_id, 2, line_no, 0, match_no, product_name, price, category, extracted_by FROM p2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, product_name ORDER BY pass, line_no, pattern_no, match_no) AS rn FROM e),
+prods AS (SELECT r.* EXCLUDE (rn), CASE WHEN rn = 1 THEN p3.description END AS description
+          FROM r LEFT JOIN p3 ON r.doc_id = p3.doc_id AND r.product_name = p3.product_name AND NOT p3.is_new
+          UNION ALL
+          SELECT doc_id, 3, NULL, NULL, NULL, product_name, price, 'Menu Item', 'PDF Menu Extractor', description
+          FROM p3 WHERE is_new)
+SELECT * FROM prods
+UNION ALL
+SELECT doc_id, 4, line_no, NULL, NULL, product_name, price, category, NULL, NULL FROM sections
+WHERE doc_id IN {_menu_test_sql()} AND doc_id NOT IN (SELECT doc_id FROM prods)""")
+def q_menu_merge(spark, sf):
+    """All products of menu documents, sectioned items merged by absent name."""
+    return menu.document_products(fixture(spark, sf, "fx_menu_text"))
+
+
+@register("pdf_products_menu", ["fx_menu_text"], f"""
+WITH p AS ({_on_menus(SQL['pdf_products'])}), sections AS ({_on_menus(SQL['menu_sections'])})
+SELECT * FROM p
+UNION ALL SELECT doc_id, line_no, product_name, price, category, NULL FROM sections
+WHERE doc_id IN {_menu_test_sql()} AND doc_id NOT IN (SELECT doc_id FROM p)""")
+def q_pdf_products_menu(spark, sf):
+    """Products, or the sectioned items of likely menus without any."""
+    return menu.pdf_products(fixture(spark, sf, "fx_menu_text"))

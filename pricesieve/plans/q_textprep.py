@@ -202,13 +202,23 @@ def _menu_docs_src() -> str:
 _B0, _B1 = r"(?:^|[^\pL\pN_])", r"(?:$|[^\pL\pN_])"
 
 
+def _menu_counts_sql() -> list[str]:
+    """Price kinds, section words and item formats found in ``text``."""
+    kinds = " + ".join(f"CAST(regexp_matches(text, {S.q(S.re2(p))}) AS INTEGER)" for p in K.MENU_PRICE_KINDS)
+    words = " + ".join(f"CAST(regexp_matches(lower(text), {S.q(_B0 + w + _B1)}) AS INTEGER)" for w in K.MENU_SECTION_WORDS)
+    formats = " + ".join(f"len(regexp_extract_all(text, {S.q(S.re2(p))}))" for p in K.MENU_ITEM_FORMATS)
+    return [kinds, words, formats]
+
+
+def is_menu_sql() -> str:
+    kinds, words, formats = _menu_counts_sql()
+    return f"({kinds} >= 5 OR {words} >= 2 OR {formats} >= 3)"
+
+
 @register("menu_docs", ["fx_listing_text"], f"""
 SELECT *, price_kinds >= 5 OR section_hits >= 2 OR format_hits >= 3 AS is_menu FROM (
-  SELECT doc_id, text,
-         {' + '.join(f"CAST(regexp_matches(text, {S.q(S.re2(p))}) AS INTEGER)" for p in K.MENU_PRICE_KINDS)} AS price_kinds,
-         {' + '.join(f"CAST(regexp_matches(lower(text), {S.q(_B0 + w + _B1)}) AS INTEGER)" for w in K.MENU_SECTION_WORDS)}
-           AS section_hits,
-         {' + '.join(f"len(regexp_extract_all(text, {S.q(S.re2(p))}))" for p in K.MENU_ITEM_FORMATS)} AS format_hits
+  SELECT doc_id, text, {_menu_counts_sql()[0]} AS price_kinds, {_menu_counts_sql()[1]} AS section_hits,
+         {_menu_counts_sql()[2]} AS format_hits
   FROM {_menu_docs_src()} d) x""")
 def q_menu_docs(spark, sf):
     def of(source, df):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TS_FORMAT = "yyyyMMdd_HHmmss"
 #: What a scrape holds; all but the products may be missing.
@@ -67,9 +68,11 @@ def write(archive: DataFrame, path: str, mode: str = "overwrite") -> None:
      .write.mode(mode).partitionBy("bucket").parquet(path))
 
 
-def read(spark: SparkSession, path: str, urls: list[str] | None = None) -> DataFrame:
-    """Read the archive; with ``urls`` only their buckets are scanned."""
-    df = spark.read.parquet(path)
+def read(spark: SparkSession, path: str, urls: list[str] | None = None, schema=None) -> DataFrame:
+    """Read the archive; with ``urls`` only their buckets are scanned.  A cleared archive has no
+    file to take columns from, so its ``schema`` is asked for."""
+    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.StringType())]))
+    df = reader.parquet(path)
     if urls:
         import hashlib
         buckets = sorted({hashlib.md5(u.encode()).hexdigest()[:2] for u in urls})
@@ -78,5 +81,6 @@ def read(spark: SparkSession, path: str, urls: list[str] | None = None) -> DataF
 
 
 def clear(spark: SparkSession, path: str, schema) -> None:
-    """A5: replace the archive by an empty table of the same schema."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    """A5: remove every scrape.  The archive stays a table partitioned by bucket: later scrapes are
+    appended with :func:`write`."""
+    write(spark.createDataFrame([], schema), path)
