@@ -157,55 +157,58 @@ def text_all(pages: DataFrame, key: str = "doc_id", page: str = "page_no",
 
 
 # ------------------------------------------------------------- tables
+_TABLE = ["doc_id", "page_no", "table_no"]
+
+
+def _table_heads(cells: DataFrame) -> DataFrame:
+    """One row per table: first_row, n_cols, filled (cells that are neither null nor empty) and
+    ``head``, the cells of the first row as (col_no, cell).  Cells are reduced per column before a
+    table's columns meet, so a long table is never one group of cells."""
+    per_col = cells.groupBy(*_TABLE, "col_no").agg(
+        F.min("row_no").alias("row_no"), F.min_by(F.struct("cell"), "row_no").alias("top"),
+        F.count_if(F.coalesce(F.col("cell") != "", F.lit(False))).alias("filled"))
+    tab = per_col.groupBy(*_TABLE).agg(
+        F.min("row_no").alias("first_row"), (F.max("col_no") + 1).alias("n_cols"), F.sum("filled").alias("filled"),
+        F.collect_list(F.struct("col_no", "row_no", F.col("top.cell").alias("cell"))).alias("cols"))
+    return tab.select(*_TABLE, "first_row", "n_cols", "filled",
+                      F.filter("cols", lambda c: c["row_no"] == F.col("first_row")).alias("head"))
+
+
+def _head_cell(head, col_no):
+    """The struct of ``head`` at ``col_no``, null where the first row has no such cell."""
+    return F.get(F.filter(head, lambda c: c["col_no"] == col_no), F.lit(0))
+
+
 def table_header(cells: DataFrame) -> DataFrame:
     """Per table (doc, page, table) drop tables without any non-empty cell; when the
     first row has no null cell it becomes the header.  Output: one row per data cell with
-    its column name (header text, else the column position)."""
-    t = ["doc_id", "page_no", "table_no"]
-    stats = cells.groupBy(*t).agg(
-        (F.max("col_no") + 1).alias("n_cols"),
-        F.min("row_no").alias("first_row"),
-        F.count_if(F.coalesce(F.col("cell") != "", F.lit(False))).alias("filled"),
-    ).filter(F.col("filled") > 0)
-    first = cells.join(stats.select(*t, F.col("first_row").alias("row_no")), [*t, "row_no"])
-    hdr_ok = first.groupBy(*t).agg(F.count(F.col("cell")).alias("n_hdr"))
-    tab = stats.join(hdr_ok, t, "left").withColumn(
-        "promoted", F.coalesce(F.col("n_hdr"), F.lit(0)) == F.col("n_cols")
-    )
-    names = first.select(*t, "col_no", F.col("cell").alias("column_name"))
-    body = cells.join(tab.select(*t, "first_row", "promoted"), t)
+    its column name (header text, else the column position).  A table's cells differ in (row, column)."""
+    tab = _table_heads(cells).filter(F.col("filled") > 0)
+    named = F.size(F.filter("head", lambda c: c["cell"].isNotNull())) == F.col("n_cols")
+    body = cells.join(tab.select(*_TABLE, "first_row", "head", named.alias("promoted")), _TABLE)
     body = body.filter(~(F.col("promoted") & (F.col("row_no") == F.col("first_row"))))
-    body = body.join(names, [*t, "col_no"], "left")
-    return body.select(
-        *t, "row_no", "col_no",
-        F.when(F.col("promoted"), F.col("column_name")).otherwise(F.col("col_no").cast("string")).alias("column_name"),
-        "cell",
-    )
+    name = F.when(F.col("promoted"), _head_cell(F.col("head"), F.col("col_no"))["cell"]) \
+        .otherwise(F.col("col_no").cast("string"))
+    return body.select(*_TABLE, "row_no", "col_no", name.alias("column_name"), "cell")
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
     """First row gives the headers (stripped text, blank or null -> 'Column{k}'); each
     later row maps header -> stripped cell ('' for a missing cell); cells beyond the header
     width are dropped.  Tables are numbered per page from 1 in table order."""
-    t = ["doc_id", "page_no", "table_no"]
-    first_row = cells.groupBy(*t).agg(F.min("row_no").alias("first_row"))
-    c = cells.join(first_row, t)
-    hdr = c.filter(F.col("row_no") == F.col("first_row")).select(
-        *t, "col_no",
-        F.when(F.coalesce(F.col("cell"), F.lit("")) != "", pystrip("cell"))
-        .otherwise(F.concat(F.lit("Column"), F.col("col_no").cast("string"))).alias("header"),
-    )
-    body = c.filter(F.col("row_no") > F.col("first_row")).join(hdr, [*t, "col_no"])
-    body = body.select(
-        *t, "row_no", "col_no", "header",
-        F.when(F.coalesce(F.col("cell"), F.lit("")) != "", pystrip("cell")).otherwise(F.lit("")).alias("value"),
-    )
     from pyspark.sql import Window
-    num = first_row.select(*t).withColumn(
-        "table_number", F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("table_no"))
-    )
-    return body.join(num, t).select("doc_id", F.col("page_no").alias("page"), "table_number", "row_no", "col_no",
-                                    "header", "value")
+    page = Window.partitionBy("doc_id", "page_no").orderBy("table_no")
+    tab = _table_heads(cells).select(*_TABLE, "first_row", "head", F.row_number().over(page).alias("table_number"))
+    body = cells.join(tab, _TABLE).filter(F.col("row_no") > F.col("first_row"))
+    body = body.withColumn("top", _head_cell(F.col("head"), F.col("col_no"))).filter(F.col("top").isNotNull())
+
+    def text_or(cell, other):
+        return F.when(F.coalesce(cell, F.lit("")) != "", pystrip(cell)).otherwise(other)
+
+    return body.select(
+        "doc_id", F.col("page_no").alias("page"), "table_number", "row_no", "col_no",
+        text_or(F.col("top.cell"), F.concat(F.lit("Column"), F.col("col_no").cast("string"))).alias("header"),
+        text_or(F.col("cell"), F.lit("")).alias("value"))
 
 
 def table_blocks(spans: DataFrame) -> DataFrame:

@@ -66,3 +66,16 @@ def test_crawl_forms(spark):
     assert urls() == [a, a + "p#x", a + "p", b, a + "q"]
     assert urls(same_domain_only=True) == [a, a + "p#x", a + "p"]
     assert urls(normalize_fragments=True) == [a, a + "p#x", b, a + "q"]
+
+
+def test_table_heads(spark):
+    cells = spark.createDataFrame(
+        [(1, 0, 0, 0, 0, "A"), (1, 0, 0, 0, 1, " B "), (1, 0, 0, 1, 0, "1"), (1, 0, 0, 1, 1, None), (1, 0, 0, 1, 2, "beyond"),
+         (1, 0, 1, 2, 0, None), (1, 0, 1, 2, 1, "x"), (1, 0, 1, 3, 0, "y"), (2, 0, 0, 0, 0, ""), (2, 0, 0, 1, 0, None)],
+        "doc_id long, page_no int, table_no int, row_no int, col_no int, cell string")
+    named = {(r.doc_id, r.table_no, r.row_no, r.col_no): (r.column_name, r.cell) for r in text.table_header(cells).collect()}
+    # three columns, two of them in the first row: no header; the second table's first row has a null; the third is empty
+    assert named == {(1, 0, 0, 0): ("0", "A"), (1, 0, 0, 1): ("1", " B "), (1, 0, 1, 0): ("0", "1"), (1, 0, 1, 1): ("1", None),
+                     (1, 0, 1, 2): ("2", "beyond"), (1, 1, 2, 0): ("0", None), (1, 1, 2, 1): ("1", "x"), (1, 1, 3, 0): ("0", "y")}
+    rows = {(r.doc_id, r.table_number, r.row_no, r.header): r.value for r in text.table_rows(cells).collect()}
+    assert rows == {(1, 1, 1, "A"): "1", (1, 1, 1, "B"): "", (1, 2, 3, "Column0"): "y", (2, 1, 1, "Column0"): ""}
