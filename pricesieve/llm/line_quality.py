@@ -91,18 +91,23 @@ def host_boilerplate(docs: DataFrame, host: str = "source", text: str = "text")
                  lines_with_words(F.col("t")), lambda x: F.xxhash64(normal_line(x)))).alias("l")))
     # a row of a document itself has the line key null: one pass counts documents and lines
     rows = texts.select("host", "d", F.explode(F.concat(F.array(F.lit(None).cast("long")), "l")).alias("h"))
-    counts = (rows.groupBy("host", "h").agg(F.countDistinct("d").alias("c"))
-              .where(F.col("h").isNull() | (F.col("c") > MIN_LINE_DOCS)))
-    per_host = counts.groupBy("host").agg(
-        F.max(F.when(F.col("h").isNull(), F.col("c"))).alias("n"),
-        F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "c"))).alias("l"))
-    found = per_host.select("host", F.sort_array(F.transform(
-        F.filter("l", lambda x: 100 * x["c"] > LINE_PERCENT * F.col("n")), lambda x: x["h"])).alias("boilerplate"))
-    return staged(found.where(F.size("boilerplate") > 0), "boilerplate")
+    counts = staged(rows.groupBy("host", "h").agg(F.countDistinct("d").alias("c"))
+                    .where(F.col("h").isNull() | (F.col("c") > MIN_LINE_DOCS)), "line_counts")
+    hosts = counts.where("h IS NULL").select(F.col("host").alias("_host"), F.col("c").alias("n"))
+    # the percentage is judged on rows: only lines above it, a bounded number a host, meet in one row
+    above = (counts.where("h IS NOT NULL").join(hosts, F.col("host").eqNullSafe(F.col("_host")))
+             .where(100 * F.col("c") > LINE_PERCENT * F.col("n")))
+    return staged(above.groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("boilerplate")), "boilerplate")
 
 
-def _is_boilerplate(line: Column) -> Column:
-    return F.array_contains("_b", F.xxhash64(normal_line(line)))
+def _without_boilerplate(text: Column) -> Column:
+    """(left, gone): the text without the lines whose keys ``_b`` holds, and the words in them.
+    Each line is normalised once; one without words is no boilerplate and stays."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(
+        x.alias("line"), F.array_contains("_b", F.xxhash64(normal_line(x))).alias("bad")))
+    return let(lines, lambda found: F.struct(
+        F.array_join(F.transform(F.filter(found, lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("left"),
+        F.aggregate(F.filter(found, lambda x: x["bad"]), F.lit(0), lambda a, x: a + F.size(words_of(x["line"]))).alias("gone")))
 
 
 def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
@@ -110,15 +115,10 @@ def judged(docs: DataFrame, host: str = "source", text: str = "text") -> DataFra
     (the text without its boilerplate lines), base_failed and kept."""
     found = host_boilerplate(docs, host, text).withColumnRenamed("host", "_host").withColumnRenamed("boilerplate", "_b")
     out = docs.withColumn("_s", statistics(text_or_empty(text))).join(found, F.col(host).eqNullSafe(F.col("_host")), "left")
-    gone = F.aggregate(
-        F.filter(lines_with_words(text_or_empty(text)), _is_boilerplate),
-        F.lit(0), lambda a, x: a + F.size(words_of(x)))
-    out = out.withColumn("_g", F.when(F.col("_b").isNull(), 0).otherwise(gone).cast("long"))
-    # a line without words is no boilerplate and stays
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: (normal_line(x) == "") | ~_is_boilerplate(x)), "\n")
-    out = out.select(*docs.columns, *(F.col(f"_s.{n}").alias(n) for n in STATISTICS), "_g",
-                     F.when(F.col("_b").isNull(), F.col(text)).otherwise(left).alias("left_text"))
-    out = out.withColumn("n_left_words", F.col("n_words") - F.col("_g")).drop("_g")
+    out = out.withColumn("_f", F.when(F.col("_b").isNotNull(), _without_boilerplate(F.col(text))))
+    out = out.select(*docs.columns, *(F.col(f"_s.{n}").alias(n) for n in STATISTICS),
+                     F.coalesce("_f.left", F.col(text)).alias("left_text"),
+                     (F.col("_s.n_words") - F.coalesce("_f.gone", F.lit(0))).alias("n_left_words"))
     depleted = 100 * F.col("n_left_words") < MIN_LEFT_PERCENT * F.col("n_words")
     out = out.withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
