@@ -27,11 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """Folder of this application's staged tables."""
+    return f"{shared_folder(spark)}/llm/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: work is done once, the
     lineage is cut, a lost executor loses nothing, and the planner knows the size."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm/{uuid.uuid4().hex}/{name}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,10 +50,10 @@ def drop_table(table: DataFrame) -> None:
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete every staged table of the shared folder.  Call it when no result that reads
+    """Delete every staged table of this application.  Call it when no result that reads
     them is needed any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/llm")
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -57,6 +62,12 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def spread(n: int, most: int) -> list[int]:
+    """At most ``most`` of the places 0 to n - 1, evenly over all of them: a bounded sample of the
+    lines or blocks of a training text that is no prefix of it."""
+    return list(range(n)) if n <= most else [i * n // most for i in range(most)]
+
+
 def public_tokenizer(name: str) -> str:
     """Path of a public tokenizer file, the same on driver and executors."""
     import public_tokenizers

@@ -5,8 +5,8 @@ prices become capacities from the source (content) and to the sink (boilerplate)
 blocks and blocks close in the document tree are tied by smoothness edges.  A maximum flow
 gives the minimum cut, and the blocks on the source side are the main text.
 
-The classifier is trained on a bounded sample of pages (TRAIN_PAGES, those of least hash), whose
-blocks inside article or main elements count as content and those inside nav, aside, footer,
+The classifier is trained on a bounded sample of pages (TRAIN_PAGES, those of least hash) and at most
+TRAIN_BLOCKS blocks of each, spread over the whole page, whose blocks inside article or main elements count as content and those inside nav, aside, footer,
 form and the like as boilerplate; half of its training rows have the element figures blanked,
 so that it also prices pages without such elements.  A few fixed rows make it defined on any
 sample.
@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricesieve.llm.common import spread
+
 TRAIN_PAGES = 300
 TRAIN_BLOCKS = 100
 #: Largest price of a label, and the smoothness of neighbours with the same and another parent.
@@ -203,8 +205,8 @@ def fit(pages: DataFrame) -> np.ndarray:
         for b in batches:
             rows, labels = [], []
             for html in b.column("html").to_pylist():
-                found = blocks_of(html)[:TRAIN_BLOCKS]
-                own = figures_of(found)
+                own = figures_of(blocks_of(html))
+                own = own[spread(len(own), TRAIN_BLOCKS)]
                 sure = own[:, 0] + own[:, 1] > 0
                 rows.append(own[sure].astype("<f8").tobytes())
                 labels.append(own[sure, 0].astype("<f8").tobytes())

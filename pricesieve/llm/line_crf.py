@@ -7,7 +7,8 @@ document's raw score is the mean of its lines' forward-backward marginals, weigh
 length; a two-parameter logistic fit on the training documents turns it into a probability.
 
 Training reads at most TRAIN_DOCS labelled documents (those of least hash), none of the
-held-out fifth, and at most TRAIN_LINES lines of each.  Scoring reads whole texts.
+held-out fifth, and at most TRAIN_LINES lines of each, spread over
+the whole text.  Scoring reads whole texts.
 
 Defined results: a null text counts as ''; a text without words is one line without words;
 null labels and labels without a document are not used; if no document of one of the classes
@@ -19,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricesieve.llm.common import spread
+
 TRAIN_DOCS = 3000
 TRAIN_LINES = 200
 THRESHOLD = 0.3
@@ -203,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
             rows = []
             for y, t in zip(b.column("quality").to_pylist(), b.column("text").to_pylist()):
                 own, size = line_figures(t)
-                rows.append((y, own[:TRAIN_LINES].astype("<f8").tobytes(), size[:TRAIN_LINES].astype("<f8").tobytes()))
+                at = spread(len(size), TRAIN_LINES)
+                rows.append((y, own[at].astype("<f8").tobytes(), size[at].astype("<f8").tobytes()))
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()),
                                               pa.array(cols[2], pa.binary())], names=["y", "own", "size"])

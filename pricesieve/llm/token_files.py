@@ -29,8 +29,8 @@ from pricesieve.llm.common import chunk_encoder, shared_folder, staged
 END_ID = 1
 #: Bytes of frames that one block holds, about.
 BLOCK_BYTES = 1 << 20
-#: The dictionary is trained on this many documents (those of least hash), on this many of
-#: each one's characters, and has this many bytes at most.
+#: The dictionary is trained on this many documents (those of least hash), on this many
+#: characters of each, from a place by hash, and has this many bytes at most.
 DICTIONARY_DOCS = 1000
 DICTIONARY_CHARS = 20_000
 DICTIONARY_BYTES = 64 << 10
@@ -55,7 +55,9 @@ def stored(ids: bytes, end_id: int, width: int) -> bytes:
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
     """Train on the serialized ids of a bounded sample, in one task.  Too little data to
     train on gives a raw dictionary of the samples' last bytes."""
-    sample = (docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, DICTIONARY_CHARS).alias("text"))
+    over = F.greatest(F.length("text") - DICTIONARY_CHARS, F.lit(0))
+    start = (F.pmod(F.xxhash64("doc_id"), over + 1) + 1).cast("int")
+    sample = (docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", start, F.lit(DICTIONARY_CHARS)).alias("text"))
               .orderBy("h", "doc_id").limit(DICTIONARY_DOCS).coalesce(1))
 
     def run(batches):
