@@ -12,9 +12,8 @@ pair loop:
   added; down from 0.7 names alone can do, found by a similarity join of all names;
 * name similarity is computed once per distinct name pair (pandas UDF);
 * the greedy order-dependent selection is the lexicographically first independent
-  set, found by rounds of joins: an undecided row with an earlier leader neighbour is
-  a duplicate, one without earlier undecided or leader neighbours is a leader.
-  Rounds repeat until no row is undecided, each round checkpointed.
+  set of the signatures, found by rounds of joins over the edges still open; each
+  round is checkpointed.
 """
 from __future__ import annotations
 
@@ -300,65 +299,56 @@ def signature_id(*cols: str) -> Column:
     return F.sha2(F.to_json(F.struct(*cols)), 256)
 
 
+def leader_signatures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sig_id, first): the signatures whose first row is a leader.
+
+    ``nodes``: (sig_id, first), the place of a signature's first row in processing order;
+    ``edges``: (s1, s2), each similar pair of two signatures once.  A signature is a leader
+    unless a leader before it is similar.  Edges point from the earlier to the later one; each
+    round the signatures no open edge points to are leaders, those they point to are not, and the
+    edges of both leave the table, so a round reads only what is still open.
+    """
+    x, y = nodes.alias("x"), nodes.alias("y")
+    earlier = F.col("x.first") < F.col("y.first")
+    open_ = materialize(
+        edges.join(x, F.col("s1") == F.col("x.sig_id")).join(y, F.col("s2") == F.col("y.sig_id"))
+        .select(F.when(earlier, F.col("s1")).otherwise(F.col("s2")).alias("a"),
+                F.when(earlier, F.col("s2")).otherwise(F.col("s1")).alias("b")))
+    followers = nodes.select("sig_id").limit(0)
+    while not open_.isEmpty():
+        pointed = open_.select(F.col("b").alias("a")).distinct()
+        told = materialize(open_.join(pointed, "a", "left_anti").select("b").distinct())
+        followers = followers.unionAll(told)
+        open_ = materialize(open_.join(pointed, "a", "left_semi").join(told, "b", "left_anti")
+                            .join(told.select(F.col("b").alias("a")), "a", "left_anti"))
+    return nodes.join(followers, "sig_id", "left_anti")
+
+
 def dedup_leaders(products: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD) -> DataFrame:
     """(row_id, is_leader, leader_id) for every well-formed row.  Malformed rows are
-    dropped, as in the original."""
-    spark = products.sparkSession
-    ensure_checkpoint_dir(spark)
+    dropped, as in the original.
+
+    Rows of one signature have the same similar signatures, so the first leader that a row can
+    meet is always a first row: of a similar signature, or of its own if that is similar to
+    itself.  A row before that leader is one itself, a row after it follows it; so the greedy
+    order is decided between signatures and rows are never joined with rows.
+    """
+    ensure_checkpoint_dir(products.sparkSession)
     p = _ord(prepare(products))
     sig_cols = ["n_name", "n_price", "n_provider", "n_duration"]
-    p = materialize(p.withColumn("sig_id", signature_id(*sig_cols)))
-    sigs = materialize(p.select("sig_id", *sig_cols).distinct())
-    scores = materialize(pair_scores(sigs, threshold).filter(F.col("score") >= threshold).select("s1", "s2"))
-    selfsim = scores.filter(F.col("s1") == F.col("s2")).select(F.col("s1").alias("sig_id"), F.lit(True).alias("selfsim"))
-    p = p.join(selfsim, "sig_id", "left").withColumn("selfsim", F.coalesce("selfsim", F.lit(False)))
-    first = p.groupBy("sig_id").agg(F.min("ord").alias("first_ord"))
-    p = p.join(first, "sig_id")
-    # representatives: the first row of a self-similar signature, every row otherwise
-    reps = p.filter(~F.col("selfsim") | (F.col("ord") == F.col("first_ord"))).select("row_id", "sig_id", "ord")
-    reps = materialize(reps)
-    sig_edges = scores.filter(F.col("s1") != F.col("s2"))
-    sig_edges = sig_edges.unionByName(sig_edges.select(F.col("s2").alias("s1"), F.col("s1").alias("s2")))
-    ra, rb = reps.alias("ra"), reps.alias("rb")
-    edges = (
-        sig_edges.join(ra, F.col("s1") == F.col("ra.sig_id"))
-        .join(rb, F.col("s2") == F.col("rb.sig_id"))
-        .filter(F.col("ra.ord") < F.col("rb.ord"))
-        .select(F.col("ra.row_id").alias("a"), F.col("ra.ord").alias("a_ord"), F.col("rb.row_id").alias("b"))
-    )
-    edges = materialize(edges)
-    status = materialize(reps.select("row_id", F.lit("U").alias("st")))
-    while True:
-        open_edges = edges.join(status.withColumnRenamed("row_id", "b").withColumnRenamed("st", "b_st"), "b") \
-            .filter(F.col("b_st") == "U") \
-            .join(status.withColumnRenamed("row_id", "a").withColumnRenamed("st", "a_st"), "a")
-        votes = open_edges.groupBy("b").agg(
-            F.max((F.col("a_st") == "L").cast("int")).alias("has_l"),
-            F.max((F.col("a_st") == "U").cast("int")).alias("has_u"),
-        )
-        nxt = status.join(votes.withColumnRenamed("b", "row_id"), "row_id", "left").select(
-            "row_id",
-            F.when(F.col("st") != "U", F.col("st"))
-            .when(F.coalesce(F.col("has_l"), F.lit(0)) == 1, F.lit("D"))
-            .when(F.coalesce(F.col("has_u"), F.lit(0)) == 0, F.lit("L"))
-            .otherwise(F.lit("U")).alias("st"),
-        )
-        nxt = materialize(nxt)
-        status = nxt
-        if status.filter(F.col("st") == "U").isEmpty():
-            break
-    leaders = status.filter(F.col("st") == "L").select(F.col("row_id").alias("a"))
-    first_leader = edges.join(leaders, "a").groupBy("b").agg(F.min_by("a", "a_ord").alias("leader_id"))
-    rep_map = status.join(first_leader.withColumnRenamed("b", "row_id"), "row_id", "left").select(
-        "row_id", (F.col("st") == "L").alias("is_leader"),
-        F.when(F.col("st") == "L", F.col("row_id")).otherwise(F.col("leader_id")).alias("leader_id"),
-    )
-    # other rows of a self-similar signature follow their representative's leader
-    rep_of = reps.filter(F.col("row_id").isNotNull()).select("sig_id", F.col("row_id").alias("rep_id"))
-    rest = p.filter(F.col("selfsim") & (F.col("ord") != F.col("first_ord"))).select("row_id", "sig_id")
-    rest = rest.join(rep_of, "sig_id").join(rep_map.select(F.col("row_id").alias("rep_id"), F.col("leader_id")), "rep_id")
-    rest = rest.select("row_id", F.lit(False).alias("is_leader"), "leader_id")
-    return rep_map.unionByName(rest)
+    p = materialize(p.withColumn("sig_id", signature_id(*sig_cols)).select("row_id", "ord", "sig_id", *sig_cols))
+    sigs = materialize(p.groupBy("sig_id", *sig_cols).agg(F.min("ord").alias("first")))
+    nodes = sigs.select("sig_id", "first")
+    links = materialize(pair_scores(sigs.drop("first"), threshold).filter(F.col("score") >= threshold).select("s1", "s2"))
+    between = links.filter(F.col("s1") != F.col("s2"))
+    heads = materialize(leader_signatures(nodes, between))
+    # each signature's links to others, both ways, and to itself
+    ways = links.unionAll(between.select(F.col("s2").alias("s1"), F.col("s1").alias("s2")))
+    least = (ways.join(heads.select(F.col("sig_id").alias("s2"), "first"), "s2")
+             .groupBy(F.col("s1").alias("sig_id")).agg(F.min("first").alias("met")))
+    out = p.select("row_id", "ord", "sig_id").join(least, "sig_id", "left")
+    leads = F.col("met").isNull() | (F.col("ord") <= F.col("met"))
+    return out.select("row_id", leads.alias("is_leader"), F.when(leads, F.col("row_id")).otherwise(F.col("met.r")).alias("leader_id"))
 
 
 def deduplicate(products: DataFrame, threshold: float = K.SIMILARITY_THRESHOLD) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pricesieve import constants as K
 from pricesieve.functions.text import lit_array, pystrip
+from pricesieve.session import materialize
 
 
 def _alt(words) -> str:
@@ -220,27 +221,31 @@ def confidence_hist(tagged: DataFrame, bins: int = K.CONFIDENCE_BINS, lo: float
     return F.broadcast(edges).join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def running_totals(df: DataFrame, order: str, sums: dict, bucket_rows: int = 1 << 20, lead=None) -> DataFrame:
-    """Running sums over a global order without a single-partition window.
+def running_totals(df: DataFrame, order: str, sums: dict, lead=None) -> DataFrame:
+    """Running sums over a global order (``lead`` first, if given, then ``order``) without a
+    window over all rows.
 
-    Rows are cut into buckets of ``order`` values (within the values of ``lead``, which
-    go first, if given); bucket totals (one row per bucket, a small table) get an exclusive
-    prefix sum, and each bucket then runs its own window.  ``order`` must be an integer column,
-    dense enough that there are few buckets.
+    The rows are range-partitioned on the order and stored with the number of their range, so the
+    ranges are even however sparse the values are.  Each range adds the totals of the ranges
+    before it to its own window.  The totals, one row for each of the ``spark.sql.shuffle.partitions``
+    ranges, are added up on the driver.
     """
-    b = F.floor(F.col(order) / F.lit(bucket_rows))
-    base = df.withColumn("_bucket", F.struct((F.lit(0) if lead is None else lead).alias("lead"), b.alias("at")))
-    tot = base.groupBy("_bucket").agg(*[F.sum(e).alias(f"_t_{k}") for k, e in sums.items()])
-    # one row per bucket of ``bucket_rows`` rows: a small table, so one ordered window is fine
-    w_b = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tot.select(
-        "_bucket", *[F.coalesce(F.sum(f"_t_{k}").over(w_b), F.lit(0)).alias(f"_o_{k}") for k in sums]
-    )
-    w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = base.join(offsets, "_bucket")
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["_lead", order]
+    base = df.withColumn("_lead", F.lit(0) if lead is None else lead).repartitionByRange(n, *keys)
+    base = materialize(base.withColumn("_range", F.spark_partition_id()))
+    totals = base.groupBy("_range").agg(*[F.sum(e).alias(f"_o_{k}") for k, e in sums.items()])
+    before, rows = [0] * len(sums), []
+    for r in sorted(totals.collect()):
+        rows.append((r[0], *before))
+        before = [x + (y or 0) for x, y in zip(before, r[1:])]
+    offsets = F.broadcast(spark.createDataFrame(rows, totals.schema))  # a row for each range
+    w = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    out = base.join(offsets, "_range")
     for k, e in sums.items():
         out = out.withColumn(k, F.col(f"_o_{k}") + F.sum(e).over(w))
-    return out.drop("_bucket", *[f"_o_{k}" for k in sums])
+    return out.drop("_range", "_lead", *[f"_o_{k}" for k in sums])
 
 
 def progress(products: DataFrame, processed_chunks: DataFrame) -> DataFrame:
