@@ -92,13 +92,12 @@ def menu_sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     below them ('General Menu' before the first); an item is the text before the first
     price on a line, leading digits / dots / spaces cut."""
     from pyspark.sql import Window
-    headers = docs.select(key, F.explode(F.array_distinct(
-        F.regexp_extract_all(F.col("text"), F.lit(K.SECTION_HEADER_PATTERN), 1))).alias("h"))
-    ln = docs.select(key, F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "raw"))
-    # a line is a header line when one of the document's headers occurs in it
-    hl = ln.join(headers, key).filter(F.instr(F.col("raw"), F.col("h")) > 0) \
-        .select(key, "line_no").distinct().withColumn("is_header", F.lit(True))
-    ln = ln.join(hl, [key, "line_no"], "left").withColumn("is_header", F.coalesce("is_header", F.lit(False)))
+    headers = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(K.SECTION_HEADER_PATTERN), 1))
+    ln = docs.select(key, headers.alias("h"), F.split(F.col("text"), "\n").alias("l"))
+    # a line is a header line when one of its document's headers occurs in it
+    ln = ln.select(key, F.posexplode(F.transform("l", lambda x: F.struct(
+        x.alias("raw"), F.exists("h", lambda h: F.contains(x, h)).alias("is_header")))).alias("line_no", "x"))
+    ln = ln.select(key, "line_no", "x.raw", "x.is_header")
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     sect = F.last(F.when(F.col("is_header"), pystrip(F.col("raw"))), ignorenulls=True).over(w)
     ln = ln.withColumn("category", F.coalesce(sect, F.lit(K.GENERAL_MENU)))
