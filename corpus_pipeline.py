@@ -2,6 +2,12 @@
 
 Each stage gets what its predecessor kept, written as Parquet and read again.  All stages but
 the last return the columns of ``documents``; the last returns the places of all pieces.
+
+Defined results: a null or empty text fails the base rules and goes in the first stage; rows that
+repeat a doc_id are judged row by row, each by its own text, and of rows with near texts one stays,
+that of the least doc_id (rows without one last); null sources form one host; a classifier without
+labels of both classes gives every document the share of good labels as its score; extra
+columns pass through the first three stages; an empty table gives an empty result.
 """
 from __future__ import annotations
 
