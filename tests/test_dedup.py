@@ -68,3 +68,43 @@ def test_exact_flag_strips_all_white_space(spark):
     got = {r.row_id: (r.dup_exact, r.dup_provider)
            for r in edits.dup_provider(edits.dup_exact(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert got == {1: (False, False), 2: (True, False), 3: (False, False), 4: (True, True)}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75])
+def test_stretches_decide_as_the_whole_and_store_few_links(spark, monkeypatch, threshold):
+    """Leaders taken in short stretches are those of the plain greedy loop, with the same first
+    leaders, though the links of all signatures are never stored."""
+    import random
+    rng = random.Random(5)
+    prices = ["$10", "$10.50", "$19", "$0", "0", "Free", "call us", "call me", None, ""]
+    rows = [(i, rng.choice(["Red Widget", "Red Wodget", "Widget", "Blue Bolt", "!!!"]), rng.choice(prices),
+             rng.choice(["Acme", "Bolts", None]), rng.choice(["30 min", "1 hr", None])) for i in range(400)]
+    p = spark.createDataFrame(rows, SCHEMA)
+    stored = []
+    plain = dedup.materialize
+
+    def counted(df):
+        out = plain(df)
+        if out.columns == ["s1", "s2"]:
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "materialize", counted)
+    monkeypatch.setattr(dedup, "FIRST_STRETCH", 16)
+    monkeypatch.setattr(dedup, "STRETCH_LINKS", 64)
+    got = {r.row_id: r.leader_id for r in dedup.dedup_leaders(p, threshold).collect()}
+    prepared = {r.row_id: tuple(r[c] for c in SIGNATURE) for r in dedup.prepare(p).collect()}
+    table = spark.createDataFrame([(i, *s) for i, s in enumerate(dict.fromkeys(prepared.values()))],
+                                  "sig_id long, n_name string, n_price string, n_provider string, n_duration string")
+    number = {s: i for i, s in enumerate(dict.fromkeys(prepared.values()))}
+    pairs = [(r.s1, r.s2) for r in dedup.pair_scores(table, threshold).collect() if r.score >= threshold]
+    links = {frozenset(x) for x in pairs}
+    assert len(links) == len(pairs)  # each pair once, without a distinct over them
+    rank = {r.row_id: r["rank"] for r in dedup.quality_rank(p).collect()}
+    leaders, want = [], {}
+    for row in sorted(prepared, key=rank.get):
+        want[row] = next((x for x in leaders if frozenset((number[prepared[x]], number[prepared[row]])) in links), row)
+        if want[row] == row:
+            leaders.append(row)
+    assert got == want
+    assert len(stored) > 1 and sum(stored) < len(links) / 2
