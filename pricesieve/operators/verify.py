@@ -1,4 +1,7 @@
-"""Completeness check of extracted products (group V)."""
+"""Completeness check of extracted products (group V).
+
+Tables of texts, matches and chunk offsets are joined by merge: their size is guessed from the files they
+are derived from, far under what they hold, so they would be broadcast through the driver."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
@@ -56,7 +59,7 @@ def indicator_matches(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     from pricesieve.operators.text import match_spans, span_windows
     c = chunks.select(key, "url", "text")
     spans = match_spans(c, key, "text", ["(?iU)" + p for p, _ in K.PRODUCT_INDICATORS])
-    spans = spans.join(c.select(key, "url", F.length("text").alias("_len")), key)
+    spans = spans.join(c.select(key, "url", F.length("text").alias("_len")).hint("merge"), key)
     spans = spans.withColumn("_lo", F.greatest(F.col("start") - K.INDICATOR_WINDOW, F.lit(0))) \
                  .withColumn("_hi", F.least(F.col("_len"), F.col("end") + K.INDICATOR_WINDOW))
     spans = span_windows(c, key, "text", spans, [key, "pattern_no", "match_no"], "_lo", "_hi", "context")
@@ -81,10 +84,10 @@ def page_blocks(chunks: DataFrame, site: str = "url", key: str = "chunk_id", blo
     before = Window.partitionBy(site).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(site, "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(site, "_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    at = narrow.join(totals, [site, "_b"]).select(site, key, (F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("at"))
+    at = narrow.join(totals.hint("merge"), [site, "_b"]).select(site, key, (F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("at"))
     # every chunk but the first brings the space before it
     first = F.col("at") == 0
-    c = c.join(at, [site, key]).select(site, F.when(first, F.col("at")).otherwise(F.col("at") - 1).alias("at"),
+    c = c.join(at.hint("merge"), [site, key]).select(site, F.when(first, F.col("at")).otherwise(F.col("at") - 1).alias("at"),
                                        F.when(first, F.col("text")).otherwise(F.concat(F.lit(" "), F.col("text"))).alias("text"))
     c = c.where(F.length("text") > 0)
     last = F.floor((F.col("at") + F.length("text") - 1) / block)
@@ -108,7 +111,7 @@ def page_indicator_matches(chunks: DataFrame, block: int = PAGE_BLOCK) -> DataFr
     blocks = materialize(page_blocks(chunks, block=block).withColumn("whole", F.concat("before", "text", "after")))
     spans = match_spans(blocks, ["url", "block"], "whole", ["(?iU)" + p for p, _ in K.PRODUCT_INDICATORS])
     left = F.length("before")
-    m = spans.join(blocks, ["url", "block"]).where((F.col("start") >= left) & (F.col("start") < left + F.length("text")))
+    m = spans.join(blocks.hint("merge"), ["url", "block"]).where((F.col("start") >= left) & (F.col("start") < left + F.length("text")))
     lo = F.greatest(F.col("start") - K.INDICATOR_WINDOW, F.lit(0))
     return m.select("url", F.col("pattern_no").alias("indicator_no"), _indicator_type().alias("type"), "match",
                     F.substring("whole", lo + 1, F.col("end") + K.INDICATOR_WINDOW - lo).alias("context"),
@@ -146,11 +149,14 @@ def contains_any(left: DataFrame, text_col: str, names: DataFrame, keys, site: s
     # at most q lengths a site, usually q alone
     lengths = nm.groupBy(site).agg(F.collect_set(F.length("gram")).alias("_ks"))
     lt = left.select(*keys, F.lower(F.col(text_col)).alias("_low"), *([] if site in keys else [site])).join(lengths, site)
-    grams = lt.select(*{*keys, site}, "_low", F.explode(F.array_distinct(F.flatten(F.transform(
+    row = list(dict.fromkeys([*keys, site]))
+    # substrings travel without their text; it comes back for those that are a name's key
+    grams = lt.select(*row, F.explode(F.array_distinct(F.flatten(F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("_low"), F.lit(1))),
         lambda i: F.transform("_ks", lambda k: F.substring("_low", i, k)))))).alias("gram"))
-    hits = grams.filter(F.col("gram") != "").join(nm, [site, "gram"]).filter(F.instr(F.col("_low"), F.col("name")) > 0)
-    return left.join(hits.select(*keys).distinct(), list(keys), "left_semi")
+    near = grams.filter(F.col("gram") != "").join(nm, [site, "gram"]).select(*row, "name")
+    hits = near.join(lt.select(*row, "_low").hint("merge"), row).filter(F.instr(F.col("_low"), F.col("name")) > 0)
+    return left.join(hits.select(*keys).distinct().hint("merge"), list(keys), "left_semi")
 
 
 def _site_names(products: DataFrame, name_col: str) -> DataFrame:
@@ -165,7 +171,7 @@ def indicators(chunks: DataFrame, products: DataFrame, name_col: str = "product_
     m = materialize(indicator_matches(chunks, key))
     keys = [key, "indicator_no", "position"]
     known = contains_any(m, "context", _site_names(products, name_col), keys)
-    return m.join(known.select(*keys), keys, "left_anti")
+    return m.join(known.select(*keys).hint("merge"), keys, "left_anti")
 
 
 def page_indicators(chunks: DataFrame, products: DataFrame, name_col: str = "product_name", block: int = PAGE_BLOCK) -> DataFrame:
@@ -174,4 +180,4 @@ def page_indicators(chunks: DataFrame, products: DataFrame, name_col: str = "pro
     m = materialize(page_indicator_matches(chunks, block))
     keys = ["url", "indicator_no", "position"]
     known = contains_any(m, "context", _site_names(products, name_col), keys)
-    return m.join(known.select(*keys), keys, "left_anti")
+    return m.join(known.select(*keys).hint("merge"), keys, "left_anti")

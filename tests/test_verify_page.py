@@ -71,3 +71,12 @@ def test_names_with_a_common_beginning_have_keys_of_their_own(spark):
     left = spark.createDataFrame([(1, "s", "buy PREMIUM PLAN 0007 now"), (2, "s", "premium plan"), (3, "s", "xaby"), (4, "t", "ab"), (5, "s", "")],
                                  "k long, url string, t string")
     assert sorted(r.k for r in verify.contains_any(left, "t", names, ["k"]).collect()) == [1, 2, 3]
+
+
+def test_offsets_of_chunks_are_never_broadcast(spark):
+    """The size of derived tables is guessed from small files, so only hints keep them off the driver."""
+    from pricesieve.plans.fixtures import fixture
+    from pricesieve.plans.q_verify import cut_chunks
+    chunks = cut_chunks(fixture(spark, "/root/testdata/sf0.001", "fx_product_answers"))
+    plan = verify.page_blocks(chunks)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
