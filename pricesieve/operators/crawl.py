@@ -17,7 +17,8 @@ from pricesieve.session import ensure_checkpoint_dir, materialize
 
 
 def ordered_rank(df: DataFrame, group: str, major: str, minor: str, bucket: int = 1 << 16) -> DataFrame:
-    """0-based rank of each row within ``group`` ordered by (major, minor).
+    """0-based ``rank`` of each row within ``group`` ordered by (major, minor), and ``n_group``, the
+    rows of the group.
 
     Rows sharing (group, major) must be few (the links of one page); a group may be
     huge.  Offsets come from per-major counts, summed per bucket of majors and then
@@ -27,10 +28,11 @@ def ordered_rank(df: DataFrame, group: str, major: str, minor: str, bucket: int
     per_major = per_major.withColumn("_b", F.floor(F.col(major) / bucket))
     per_bucket = per_major.groupBy(group, "_b").agg(F.sum("_c").alias("_bc"))
     wb = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_boff", F.coalesce(F.sum("_bc").over(wb), F.lit(0)))
+    per_bucket = per_bucket.withColumn("_boff", F.coalesce(F.sum("_bc").over(wb), F.lit(0))) \
+        .withColumn("n_group", F.sum("_bc").over(Window.partitionBy(group)))
     wm = Window.partitionBy(group, "_b").orderBy(major).rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_major.join(per_bucket.select(group, "_b", "_boff"), [group, "_b"]).select(
-        group, major, (F.col("_boff") + F.coalesce(F.sum("_c").over(wm), F.lit(0))).alias("_off")
+    offs = per_major.join(per_bucket.select(group, "_b", "_boff", "n_group"), [group, "_b"]).select(
+        group, major, "n_group", (F.col("_boff") + F.coalesce(F.sum("_c").over(wm), F.lit(0))).alias("_off")
     )
     w = Window.partitionBy(group, major).orderBy(minor)
     return (
@@ -40,8 +42,6 @@ def ordered_rank(df: DataFrame, group: str, major: str, minor: str, bucket: int
     )
 
 
-
-
 def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
               same_domain_only: bool = False, normalize_fragments: bool = False,
               max_levels: int | None = None) -> DataFrame:
@@ -53,66 +53,70 @@ def crawl_bfs(starts: DataFrame, links: DataFrame, max_pages: int | None = None,
     (the crawler's other variant); by default URLs are compared as written.
 
     One round per level; each level is checkpointed once and the seen set is the union
-    of the level tables, so no table is rewritten and lineage stays one level deep.
+    of the level tables, so no table is rewritten and lineage stays one level deep.  Candidates and
+    seen URLs meet in one grouping, under a page cap dealt by crawl, so that the ranks need no
+    further shuffle.  A row brings its crawl's count of seen URLs (and the start's host) along.
     """
     spark = starts.sparkSession
     ensure_checkpoint_dir(spark)
-    ident = (lambda c: strip_fragment(c)) if normalize_fragments else (lambda c: c)
-    first_level = starts.select("crawl_id", "start_url", F.col("start_url").alias("url"),
-                                F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"))
-    if max_pages is not None and max_pages <= 0:
+    capped = max_pages is not None
+    key = "ident" if normalize_fragments else "url"  # what makes two URLs one page
+    host = ["host"] if same_domain_only else []
+
+    def with_key(df: DataFrame) -> DataFrame:
+        return df.withColumn("ident", strip_fragment(F.col("url"))) if normalize_fragments else df
+
+    first_level = starts.select("crawl_id", F.col("start_url").alias("url"), F.lit(0).alias("depth"),
+                                F.lit(0).cast("long").alias("rank"), *[netloc(F.col("start_url")).alias(h) for h in host])
+    if capped and max_pages <= 0:
         first_level = first_level.limit(0)
-    first_level = materialize(first_level.withColumn("ident", ident(F.col("url"))))
-    levels = [first_level]
-    frontier = first_level
     # URLs seen so far per crawl (ranks are dense, so this is also the next free rank)
-    counts = materialize(first_level.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_seen")))
-    # the link table is read once per level: store it once, hash-partitioned on the join key
+    n_first = F.count(F.lit(1)).over(Window.partitionBy("crawl_id"))
+    levels = [materialize(with_key(first_level.withColumn("n_seen", n_first)))]
+    # the link table is read once per level: store it once, hash-partitioned on the join key, with
+    # what is asked of every link
     n_part = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lk = materialize(links.select("src", "pos", "dst").repartition(n_part, "src"))
+    lk = links.select("src", "pos", F.col("dst").alias("url"), *[netloc(F.col("dst")).alias("dst_host") for _ in host])
+    lk = materialize(with_key(lk).repartition(n_part, "src"))
+    names = list(dict.fromkeys([key, "url"]))
+    frontier = levels[0]
     level = 0
     while max_levels is None or level < max_levels:
-        seen = levels[0]
-        for lv in levels[1:]:
-            seen = seen.unionByName(lv)
-        cand = frontier.join(lk, strip_fragment(frontier["url"]) == lk["src"]).select(
-            "crawl_id", "start_url", F.col("rank").alias("parent_rank"), "pos", F.col("dst").alias("url"),
-        )
-        if same_domain_only:
-            cand = cand.filter(netloc(F.col("url")) == netloc(F.col("start_url")))
-        cand = cand.withColumn("ident", ident(F.col("url")))
-        cand = cand.join(seen.select("crawl_id", "ident"), ["crawl_id", "ident"], "left_anti")
-        first = cand.groupBy("crawl_id", "ident").agg(
-            F.min_by(F.struct("parent_rank", "pos", "url", "start_url"), F.struct("parent_rank", "pos")).alias("f")
-        ).select("crawl_id", "ident", "f.*")
-        if max_pages is not None:
-            # a capped crawl's frontier holds at most max_pages pages, so one window per
-            # crawl sees at most max_pages x (links of a page) rows
-            w = Window.partitionBy("crawl_id").orderBy("parent_rank", "pos")
-            ranked = first.withColumn("rank", F.row_number().over(w) - 1)
+        f = frontier.filter(F.col("crawl_id").isNotNull()).select(
+            "crawl_id", F.col("rank").alias("parent_rank"), "n_seen", strip_fragment(F.col("url")).alias("src"), *host)
+        cand = f.join(lk, "src")
+        for h in host:
+            cand = cand.filter(F.col("dst_host") == F.col(h))
+        cand = cand.select("crawl_id", *names, F.lit(True).alias("new"), "parent_rank", "pos", "n_seen", *host)
+        # a missing URL is no page: it is never met again
+        seen = [lv.filter(F.col(key).isNotNull()).select("crawl_id", *names, F.lit(False).alias("new")) for lv in levels]
+        met = cand
+        for lv in seen:
+            met = met.unionByName(lv, allowMissingColumns=True)
+        if capped:
+            # a capped crawl has at most max_pages pages and max_pages x (links of a page) candidates
+            met = met.repartition("crawl_id")
+        best = F.struct("new", "parent_rank", "pos", *[c for c in names if c != key], "n_seen", *host)
+        found = met.groupBy("crawl_id", key).agg(F.min(best).alias("f")).filter("f.new").select("crawl_id", key, "f.*")
+        if capped:
+            crawl = Window.partitionBy("crawl_id")
+            ranked = found.withColumn("n_group", F.count(F.lit(1)).over(crawl)).withColumn(
+                "rank", F.row_number().over(crawl.orderBy("parent_rank", "pos")) - 1)
         else:
-            ranked = ordered_rank(first, "crawl_id", "parent_rank", "pos")
-        new = ranked.join(counts, "crawl_id").select(
-            "crawl_id", "start_url", "url", F.lit(level + 1).alias("depth"),
-            (F.col("n_seen") + F.col("rank")).alias("rank"), "ident",
-        )
-        if max_pages is not None:
+            ranked = ordered_rank(found, "crawl_id", "parent_rank", "pos")
+        new = ranked.select(
+            "crawl_id", "url", F.lit(level + 1).alias("depth"), (F.col("n_seen") + F.col("rank")).alias("rank"), *host,
+            (F.col("n_seen") + F.col("n_group")).alias("n_seen"), *[c for c in names if c != "url"])
+        if capped:
             new = new.filter(F.col("rank") < max_pages)
         new = materialize(new)
         if new.isEmpty():
             break
-        top = new.groupBy("crawl_id").agg((F.max("rank") + 1).alias("n_new"))
-        counts = materialize(
-            counts.join(top, "crawl_id", "left").select("crawl_id", F.coalesce("n_new", "n_seen").alias("n_seen"))
-        )
         levels.append(new)
-        frontier = new
-        if max_pages is not None:
-            # a crawl that has visited max_pages pages adds nothing more: stop expanding it
-            frontier = materialize(new.join(counts.filter(F.col("n_seen") < max_pages).select("crawl_id"),
-                                            "crawl_id", "left_semi"))
-            if frontier.isEmpty():
-                break
+        # a crawl that has visited max_pages pages adds nothing more: stop expanding it
+        frontier = new.filter(F.col("n_seen") < max_pages) if capped else new
+        if capped and frontier.isEmpty():
+            break
         level += 1
     out = levels[0]
     for lv in levels[1:]:

@@ -1,6 +1,8 @@
 """Merge by absent name, the second metadata form, a cleared archive, crawl forms: small cases."""
 from __future__ import annotations
 
+import re
+
 from pricesieve.operators import crawl, links, menu, text
 from pricesieve.sources import archive
 
@@ -68,6 +70,36 @@ def test_crawl_forms(spark):
     assert urls(normalize_fragments=True) == [a, a + "p#x", b, a + "q"]
 
 
+def test_a_level_is_stored_once_and_ranked_by_one_shuffle(spark, monkeypatch):
+    """A level of a capped crawl is written once; candidates and seen URLs are dealt together."""
+    n = 30
+    starts = spark.createDataFrame([(i, f"https://h/{i}") for i in range(n)] + [(None, "https://h/1")], "crawl_id long, start_url string")
+    graph = spark.createDataFrame([(f"https://h/{i}", j, f"https://h/{(3 * i + j) % n}") for i in range(n) for j in (1, 2, 3)]
+                                  + [("https://h/0", 4, None)], "src string, pos int, dst string")
+    stored = []
+    plain = crawl.materialize
+
+    def kept(df):
+        stored.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(crawl, "materialize", kept)
+    got = crawl.crawl_bfs(starts, graph, max_pages=9).collect()
+    depth = max(r.depth for r in got)
+    assert depth >= 2 and len(stored) == 2 + depth  # the starts, the links and one table a level
+    assert all(len(re.findall(r"Exchange hashpartitioning\(crawl_id", p)) == 1 for p in stored[2:])
+    for c in range(n):
+        urls = [r.url for r in sorted((r for r in got if r.crawl_id == c), key=lambda r: r["rank"])]
+        queue = [f"https://h/{c}"]
+        for u in queue:
+            i = int(u.rsplit("/", 1)[1]) if u else -1
+            for v in ([f"https://h/{(3 * i + j) % n}" for j in (1, 2, 3)] if u else []) + ([None] if i == 0 else []):
+                if v not in queue:
+                    queue.append(v)
+        assert urls == queue[:9]
+    assert [r.url for r in got if r.crawl_id is None] == ["https://h/1"]
+
+
 def test_table_heads(spark):
     cells = spark.createDataFrame(
         [(1, 0, 0, 0, 0, "A"), (1, 0, 0, 0, 1, " B "), (1, 0, 0, 1, 0, "1"), (1, 0, 0, 1, 1, None), (1, 0, 0, 1, 2, "beyond"),
