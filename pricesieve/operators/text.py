@@ -158,20 +158,47 @@ def text_all(pages: DataFrame, key: str = "doc_id", page: str = "page_no",
 
 # ------------------------------------------------------------- tables
 _TABLE = ["doc_id", "page_no", "table_no"]
+#: The same with nulls replaced and flagged, so that neither reader of :func:`_dealt` filters its input.
+_KEY = ["_doc_id", "_page_no", "_no_page", "_table_no", "_no_table"]
+#: Rows of a table that are dealt together.
+STRETCH = 1 << 16
 
 
-def _table_heads(cells: DataFrame) -> DataFrame:
-    """One row per table: first_row, n_cols, filled (cells that are neither null nor empty) and
-    ``head``, the cells of the first row as (col_no, cell).  Cells are reduced per column before a
-    table's columns meet, so a long table is never one group of cells."""
-    per_col = cells.groupBy(*_TABLE, "col_no").agg(
+def _dealt(cells: DataFrame) -> DataFrame:
+    """The cells dealt by table and stretch of its rows: the one shuffle that heads and rows are read
+    from, and no table is one group."""
+    def known(c):
+        return F.coalesce(F.col(c), F.lit("0").cast(cells.schema[c].dataType)).alias(f"_{c}")
+
+    def missing(*cols):
+        return sum(F.col(c).isNull().cast("int") * (i + 1) for i, c in enumerate(cols))
+
+    # rows without a number stand in the last stretch
+    stretch = F.coalesce(F.floor(F.col("row_no") / STRETCH), F.lit(1 << 62)).alias("_stretch")
+    return cells.select(known("doc_id"), known("page_no"), missing("doc_id", "page_no").alias("_no_page"), known("table_no"),
+                        missing("table_no").alias("_no_table"), stretch, "row_no", "col_no", "cell") \
+        .repartition(*_KEY, "_stretch")
+
+
+def _table_heads(dealt: DataFrame) -> DataFrame:
+    """One row per table and stretch: ``whole`` (no part of the table's key is missing) and, of the whole
+    table, first_row, n_cols, filled (cells that are neither null nor empty), ``head``, the cells of the
+    first row as (col_no, cell), and table_number, its place in the page."""
+    from pyspark.sql import Window
+    per_col = dealt.groupBy(*_KEY, "_stretch", "col_no").agg(
         F.min("row_no").alias("row_no"), F.min_by(F.struct("cell"), "row_no").alias("top"),
         F.count_if(F.coalesce(F.col("cell") != "", F.lit(False))).alias("filled"))
-    tab = per_col.groupBy(*_TABLE).agg(
-        F.min("row_no").alias("first_row"), (F.max("col_no") + 1).alias("n_cols"), F.sum("filled").alias("filled"),
+    part = per_col.groupBy(*_KEY, "_stretch").agg(
+        F.min("row_no").alias("first_row"), F.max("col_no").alias("last_col"), F.sum("filled").alias("filled"),
+        F.max(F.col("_no_page") + F.col("_no_table")).alias("missing"),
         F.collect_list(F.struct("col_no", "row_no", F.col("top.cell").alias("cell"))).alias("cols"))
-    return tab.select(*_TABLE, "first_row", "n_cols", "filled",
-                      F.filter("cols", lambda c: c["row_no"] == F.col("first_row")).alias("head"))
+    page = Window.partitionBy(*_KEY[:3]).orderBy(F.desc("_no_table"), "_table_no")
+    table = Window.partitionBy(*_KEY)
+    tab = part.withColumn("table_number", F.dense_rank().over(page)).select(
+        *_KEY, "_stretch", "table_number", (F.col("missing") == 0).alias("whole"), F.min("first_row").over(table).alias("first_row"),
+        (F.max("last_col").over(table) + 1).alias("n_cols"), F.sum("filled").over(table).alias("filled"),
+        F.min_by("cols", "_stretch").over(table).alias("cols"))
+    return tab.withColumn("head", F.filter("cols", lambda c: c["row_no"] == F.col("first_row"))).drop("cols").filter("whole")
 
 
 def _head_cell(head, col_no):
@@ -183,30 +210,32 @@ def table_header(cells: DataFrame) -> DataFrame:
     """Per table (doc, page, table) drop tables without any non-empty cell; when the
     first row has no null cell it becomes the header.  Output: one row per data cell with
     its column name (header text, else the column position).  A table's cells differ in (row, column)."""
-    tab = _table_heads(cells).filter(F.col("filled") > 0)
+    dealt = _dealt(cells)
+    tab = _table_heads(dealt).filter(F.col("filled") > 0)
     named = F.size(F.filter("head", lambda c: c["cell"].isNotNull())) == F.col("n_cols")
-    body = cells.join(tab.select(*_TABLE, "first_row", "head", named.alias("promoted")), _TABLE)
+    body = dealt.join(tab.select(*_KEY, "_stretch", "first_row", "head", named.alias("promoted")), [*_KEY, "_stretch"])
     body = body.filter(~(F.col("promoted") & (F.col("row_no") == F.col("first_row"))))
     name = F.when(F.col("promoted"), _head_cell(F.col("head"), F.col("col_no"))["cell"]) \
         .otherwise(F.col("col_no").cast("string"))
-    return body.select(*_TABLE, "row_no", "col_no", name.alias("column_name"), "cell")
+    return body.select(*(F.col(f"_{c}").alias(c) for c in _TABLE), "row_no", "col_no", name.alias("column_name"), "cell")
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
     """First row gives the headers (stripped text, blank or null -> 'Column{k}'); each
     later row maps header -> stripped cell ('' for a missing cell); cells beyond the header
     width are dropped.  Tables are numbered per page from 1 in table order."""
-    from pyspark.sql import Window
-    page = Window.partitionBy("doc_id", "page_no").orderBy("table_no")
-    tab = _table_heads(cells).select(*_TABLE, "first_row", "head", F.row_number().over(page).alias("table_number"))
-    body = cells.join(tab, _TABLE).filter(F.col("row_no") > F.col("first_row"))
+    dealt = _dealt(cells)
+    tab = _table_heads(dealt).select(*_KEY, "_stretch", "first_row", "head", "table_number")
+    # a plain comparison would ask for numbered rows below the shuffle, for this reader only
+    later = F.coalesce(F.col("row_no") > F.col("first_row"), F.lit(False))
+    body = dealt.join(tab, [*_KEY, "_stretch"]).filter(later)
     body = body.withColumn("top", _head_cell(F.col("head"), F.col("col_no"))).filter(F.col("top").isNotNull())
 
     def text_or(cell, other):
         return F.when(F.coalesce(cell, F.lit("")) != "", pystrip(cell)).otherwise(other)
 
     return body.select(
-        "doc_id", F.col("page_no").alias("page"), "table_number", "row_no", "col_no",
+        F.col("_doc_id").alias("doc_id"), F.col("_page_no").alias("page"), "table_number", "row_no", "col_no",
         text_or(F.col("top.cell"), F.concat(F.lit("Column"), F.col("col_no").cast("string"))).alias("header"),
         text_or(F.col("cell"), F.lit("")).alias("value"))
 

@@ -111,3 +111,36 @@ def test_table_heads(spark):
                      (1, 0, 1, 2): ("2", "beyond"), (1, 1, 2, 0): ("0", None), (1, 1, 2, 1): ("1", "x"), (1, 1, 3, 0): ("0", "y")}
     rows = {(r.doc_id, r.table_number, r.row_no, r.header): r.value for r in text.table_rows(cells).collect()}
     assert rows == {(1, 1, 1, "A"): "1", (1, 1, 1, "B"): "", (1, 2, 3, "Column0"): "y", (2, 1, 1, "Column0"): ""}
+
+
+def test_table_cells_are_dealt_once_and_long_tables_in_stretches(spark, monkeypatch):
+    """Heads and rows read one shuffle of the cells; a table longer than a stretch, with its columns
+    starting in different stretches and with missing numbers, is read as the whole."""
+    import random
+    rng = random.Random(3)
+    cells = [(d, p, t, r, c, rng.choice(["x", " y ", "", None]))
+             for d in (1, 2, None) for p in (0, 1) for t in (0, 1, None) for r in range(rng.randint(1, 30)) for c in range(3)
+             if rng.random() < 0.8]
+    cells += [(1, 0, 2, None, 0, "n"), (1, 0, 3, 0, 0, "h"), (1, 0, 3, None, 0, "n"), (1, 0, 4, 40, 1, "late")]
+    df = spark.createDataFrame(cells, "doc_id long, page_no int, table_no int, row_no int, col_no int, cell string")
+
+    def both():
+        return [sorted(map(repr, f(df).collect())) for f in (text.table_rows, text.table_header)]
+
+    whole = both()
+    monkeypatch.setattr(text, "STRETCH", 4)
+    assert both() == whole
+    first = {}
+    for d, p, t, r, c, _ in cells:
+        if r is not None:
+            first[d, p, t] = min(first.get((d, p, t), r), r)
+    head = {(d, p, t, c): v for d, p, t, r, c, v in cells if r is not None and r == first[d, p, t]}
+    tables = {(d, p): sorted({x[2] for x in cells if x[:2] == (d, p)}, key=lambda t: (t is not None, t)) for d, p, *_ in cells}
+    want = sorted((d, p, tables[d, p].index(t) + 1, r, c, (head[d, p, t, c] or f"Column{c}").strip(), (v or "").strip())
+                  for d, p, t, r, c, v in cells
+                  if None not in (d, p, t, r) and r > first[d, p, t] and (d, p, t, c) in head)
+    assert sorted(tuple(r) for r in text.table_rows(df).collect()) == want
+    for f in (text.table_rows, text.table_header):
+        out = f(df)
+        out.collect()
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
