@@ -56,11 +56,38 @@ def write_vectors(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+#: Files up to this size are read whole, by one task each.
+WHOLE_BYTES = 64 << 20
+#: Names by which a text scan would decompress a file.
+PACKED = "*.{gz,bz2,zst,lz4,snappy,deflate,xz}"
+PDF = bytearray(b"%PDF")
+
+
+def _stored_files(spark: SparkSession, pattern: str, glob: str | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile")
+    return (reader if glob is None else reader.option("pathGlobFilter", glob)).load(pattern)
+
+
+def _long_heads(spark: SparkSession, pattern: str) -> DataFrame:
+    """(at, is_pdf) of the files over WHOLE_BYTES, scanned as text in splits: a file's first line is the
+    first row of its first split.  A byte order mark before the signature is not seen."""
+    lines = spark.read.option("lineSep", "\n").text(pattern).filter(F.col("_metadata.file_size") > WHOLE_BYTES)
+    lines = lines.select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("no"),
+                         F.substring(F.col("value").cast("binary"), 1, 4).alias("head"))
+    return lines.filter("start = 0").groupBy("at").agg((F.min_by("head", "no") == F.lit(PDF)).alias("is_pdf"))
+
+
 def binary_catalogue(spark: SparkSession, pattern: str) -> DataFrame:
     """Files with their size and whether they start with the PDF signature; the bytes
-    are read by the scan but not decoded."""
-    b = spark.read.format("binaryFile").load(pattern)
-    return b.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length",
-        (F.substring("content", 1, 4) == F.lit(bytearray(b"%PDF"))).alias("is_pdf"),
-    )
+    are read by the scan but not decoded.  A file over WHOLE_BYTES is read in splits, so that no task
+    holds it; one under a compressed name can't be split and is read whole."""
+    at = F.col("_metadata.file_path").alias("at")
+    names = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
+    signed = (F.substring("content", 1, 4) == F.lit(PDF)).alias("is_pdf")
+    large = F.col("length") > WHOLE_BYTES
+    small = _stored_files(spark, pattern).filter(F.col("length") <= WHOLE_BYTES).select(names, "length", signed)
+    packed = _stored_files(spark, pattern, PACKED).filter(large)
+    plain = _stored_files(spark, pattern).filter(large).select(at, names, "length") \
+        .join(packed.select(at), "at", "left_anti").join(_long_heads(spark, pattern), "at", "left")
+    return small.unionByName(packed.select(names, "length", signed)).unionByName(
+        plain.select("file", "length", F.coalesce("is_pdf", F.lit(False)).alias("is_pdf")))
