@@ -82,5 +82,7 @@ def read(spark: SparkSession, path: str, urls: list[str] | None = None, schema=N
 
 def clear(spark: SparkSession, path: str, schema) -> None:
     """A5: remove every scrape.  The archive stays a table partitioned by bucket: later scrapes are
-    appended with :func:`write`."""
-    write(spark.createDataFrame([], schema), path)
+    appended with :func:`write`.  One bucket keeps a file without rows, so that the table can be read."""
+    none = spark.createDataFrame([], schema)
+    write(none, path)
+    none.write.mode("append").parquet(f"{path.rstrip('/')}/bucket=ff")
