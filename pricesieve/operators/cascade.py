@@ -28,16 +28,19 @@ def _norm(df: DataFrame, priority: int, source: str) -> DataFrame:
 def cascade(chunks: DataFrame, answer_table: DataFrame | None = None) -> DataFrame:
     """``chunks``: (chunk_id, url, text); ``answer_table``: (chunk_id, response) stored model
     answers, used for chunks no rule answered."""
-    # every extractor reads the chunks: materialise them once (reliable checkpoint)
-    c = materialize(chunks.select("chunk_id", "url", "text"))
-    is_fuel = fuel.is_fuel_chunk(F.col("url"), F.col("text"))
-    fc = c.filter(is_fuel)
-    loves = fc.filter(F.col("url").contains(K.LOVES_LOCATIONS))
+    # every extractor reads the chunks: materialise them once (reliable checkpoint), with what each
+    # asks of a chunk, and dealt evenly however few splits their tables were read in
     book = F.lit(False)
     for w in K.BOOKING_URL_WORDS:
         book = book | F.col("url").contains(w)
-    bc = c.filter(book).select(F.col("chunk_id").alias("page_id"), "url", F.col("text").alias("html"))
-    styled = c.filter(fuel.style(F.col("text")) == "fuel_prices")
+    n_part = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = materialize(chunks.select("chunk_id", "url", "text").repartition(n_part).select(
+        "chunk_id", "url", "text", fuel.is_fuel_chunk(F.col("url"), F.col("text")).alias("is_fuel"), book.alias("is_booking"),
+        (fuel.style(F.col("text")) == "fuel_prices").alias("is_styled")))
+    fc = c.filter("is_fuel").select("chunk_id", "url", "text")
+    loves = fc.filter(F.col("url").contains(K.LOVES_LOCATIONS))
+    bc = c.filter("is_booking").select(F.col("chunk_id").alias("page_id"), "url", F.col("text").alias("html"))
+    styled = c.filter("is_styled").select("chunk_id", "url", "text")
     parts = [
         _norm(fuel.fuel_price_above(loves), 1, "fuel_above"),
         _norm(fuel.fuel_price_nodes(fc), 2, "fuel_nodes"),
@@ -48,7 +51,7 @@ def cascade(chunks: DataFrame, answer_table: DataFrame | None = None) -> DataFra
         _norm(fuel.fuel_patterns(styled), 7, "fuel_patterns"),
     ]
     if answer_table is not None:
-        a = c.join(answer_table.select("chunk_id", "response"), "chunk_id")
+        a = c.select("chunk_id", "url", "text").join(answer_table.select("chunk_id", "response"), "chunk_id")
         items = answers.category_relabel(answers.answer_items(a))
         parts.append(_norm(items, 8, "model_answer"))
     u = parts[0]

@@ -144,3 +144,24 @@ def test_table_cells_are_dealt_once_and_long_tables_in_stretches(spark, monkeypa
         out = f(df)
         out.collect()
         assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cascade_deals_chunks_evenly_and_tests_each_once(spark, monkeypatch):
+    """Chunks read in one split are dealt to all tasks, and stored with what the extractors ask."""
+    from pricesieve.operators import cascade
+    rows = [(f"c{i}", "https://www.shell.example.com/s" if i % 2 else "https://a.example.com/book", "Diesel\n$3.10\nUNLEADED\n$2.90")
+            for i in range(200)] + [("n", None, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, url string, text string").coalesce(1)
+    stored = []
+    plain = cascade.materialize
+
+    def kept(df):
+        stored.append(plain(df))
+        return stored[-1]
+
+    monkeypatch.setattr(cascade, "materialize", kept)
+    got = cascade.cascade(chunks).collect()
+    assert {r.chunk_id for r in got} == {r[0] for r in rows[:200]} and {r.extracted_by for r in got} <= {"fuel_nodes", "fuel_near"}
+    assert {"is_fuel", "is_booking", "is_styled"} <= set(stored[0].columns)
+    sizes = [len(x) for x in stored[0].rdd.glom().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 60
