@@ -108,3 +108,43 @@ def test_stretches_decide_as_the_whole_and_store_few_links(spark, monkeypatch, t
             leaders.append(row)
     assert got == want
     assert len(stored) > 1 and sum(stored) < len(links) / 2
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.75, 0.6])
+def test_name_pairs_are_scored_before_any_shuffle(spark, monkeypatch, threshold):
+    """All similar name pairs of a block, each once, though it is dealt to several tasks; a pair is
+    not shuffled before it is known to be similar."""
+    import random
+    from pricesieve.functions.similarity import name_similarity
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(30)]
+    names = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)} | {""})
+    sigs = [(i, name, "$1", provider, duration) for i, (name, provider, duration) in enumerate(
+        (name, provider, duration) for name in names for provider in ("acme", "bolts", None) for duration in ("30 minute", "") if rng.random() < 0.8)]
+    plans, plain = [], dedup.materialize
+
+    def planned(df):
+        if "name_sim" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(dedup, "materialize", planned)
+    monkeypatch.setattr(dedup, "BLOCK_NAMES", 8, raising=False)
+    sig = spark.createDataFrame(sigs, "sig_id long, n_name string, n_price string, n_provider string, n_duration string")
+    found = dedup.name_candidates(sig, threshold)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    got = [(r.blk, r.name1, r.name2, r.name_sim) for r in found.collect()]
+    want = set()
+    for mark, at, bound in (("p:", 3, dedup.name_bound(threshold)), ("d:", 4, dedup.name_bound(threshold, provider=False)),
+                            ("*", None, dedup.name_bound(threshold, False, False))):
+        if mark == "d:" and threshold >= 0.8 or bound > 1:
+            continue
+        for key in {s[at] for s in sigs if s[at]} if at else {""}:
+            block = sorted({s[1] for s in sigs if at is None or s[at] == key} - {""})
+            want |= {(mark + key, x, y, s) for i, x in enumerate(block) for y in block[i:] if (s := name_similarity(x, y)) >= bound}
+    assert len(got) == len(set(got)) and set(got) == want
+    plans = [plan for plan in plans if "ArrowEvalPython" in plan]
+    assert plans
+    for plan in plans:
+        below = plan.split("ArrowEvalPython", 1)[1].split("Join", 1)[0]
+        assert "Exchange" not in below and "Aggregate" not in below
