@@ -9,8 +9,10 @@ pair loop:
 * candidate pairs come from blocking: at threshold >= 0.8 a provider match is
   necessary (without it the score is at most 0.5 + 0.2 + 0.1 = 0.7999999999999999), so
   signatures are paired only within a normalised provider; below 0.8 a duration block is
-  added; down from 0.7 names alone can do, found by a similarity join of all names;
-* name similarity is computed where a block makes a name pair (pandas UDF), and only similar pairs go on;
+  added; down from 0.7 names alone can do: at 0.7 those of similarity one, found by an equi-join,
+  below it all names are a block;
+* name similarity is computed where a block makes a name pair (pandas UDF), and only similar pairs go on,
+  for the leaders those of the stretch of the order that is being decided;
 * pairs are scored where the join makes them; no pair is shuffled or stored before it is scored;
 * the greedy order-dependent selection is the lexicographically first independent
   set of the signatures, taken in stretches of the order: only the links within a stretch are
@@ -190,30 +192,64 @@ def _blocks(sig: DataFrame, threshold: float) -> DataFrame:
     return sig.select("*", F.explode(F.array_compact(F.array(*ways))).alias("blk"))
 
 
-#: Names of a block that a task pairs with all names of the block.
-BLOCK_NAMES = 1024
+#: Names of a block that a task pairs with the names of the other side.
+BLOCK_NAMES = 256
 
 
-def name_candidates(sig: DataFrame, threshold: float) -> DataFrame:
-    """(blk, name1, name2, name_sim), name1 <= name2: the name pairs of each block that are similar
-    enough to reach ``threshold`` there, stored.  A pair is scored where it is made, in each block
-    that holds both names, so of all pairs only the similar ones are ever shuffled or stored."""
-    bounds = {"p:": name_bound(threshold), "d:": name_bound(threshold, provider=False), "*": name_bound(threshold, False, False)}
-    bn = materialize(_blocks(sig, threshold).filter(F.col("blk") != "*").select("blk", "n_name").distinct())
-    # the first names of a large block are dealt to several tasks, its second names go to each of them
-    bn = bn.join(bn.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NAMES).alias("parts")), "blk")
-    a = bn.select("blk", F.expr("pmod(xxhash64(n_name), parts)").alias("part"), F.col("n_name").alias("name1"))
-    b = bn.select("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("n_name").alias("name2"))
+def name_candidates(sig: DataFrame, threshold: float, later: DataFrame | None = None) -> DataFrame:
+    """(blk, name1, name2, name_sim): the name pairs of each block that are similar enough to reach
+    ``threshold`` there, stored; name1 <= name2 of ``sig``, or name1 of ``sig`` and name2 of ``later``.
+    A pair is scored where it is made, in each block that holds both names, so of all pairs only the
+    similar ones are ever shuffled or stored.  Names that must be alike in full to pass without a
+    block are those of :func:`alike_names`, not found here."""
+    bounds = _name_bounds(threshold)
+
+    def names(of: DataFrame) -> DataFrame:
+        blocks = _blocks(of, threshold).select("blk", "n_name").distinct()
+        return materialize(blocks.filter(F.col("blk") != "*") if _alike_only(threshold) else blocks)
+
+    first = names(sig)
+    second = first if later is None else names(later)
+    # the second names of a large block are dealt to several tasks, its first names go to each of them
+    parts = second.groupBy("blk").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NAMES).alias("parts"))
+    a = first.join(parts, "blk").select(
+        "blk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("n_name").alias("name1"))
+    b = second.join(parts, "blk").select("blk", F.expr("pmod(xxhash64(n_name), parts)").alias("part"), F.col("n_name").alias("name2"))
     n = int(sig.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few small rows make many pairs: not to be coalesced
-    pairs = a.repartition(n, "blk", "part").join(b, ["blk", "part"]).filter("name1 <= name2").select("blk", "name1", "name2")
-    if bounds["*"] <= 1.0:
-        names = materialize(sig.filter(F.col("n_name") != "").select(F.col("n_name").alias("name")).distinct())
-        near = similar_name_candidates(names, bounds["*"])
-        pairs = pairs.unionByName(near.select(F.lit("*").alias("blk"), F.col("a").alias("name1"), F.col("b").alias("name2")))
-    empty = (F.col("name1") == "") | (F.col("name2") == "")
-    sims = pairs.withColumn("name_sim", F.when(empty, F.lit(0.0)).otherwise(name_similarity_udf("name1", "name2")))
+    pairs = b.repartition(n, "blk", "part").join(a, ["blk", "part"]).filter("name1 <= name2" if later is None else "true")
+    pairs = pairs.select("blk", "name1", "name2")
     bound = F.when(F.col("blk").startswith("p:"), bounds["p:"]).when(F.col("blk").startswith("d:"), bounds["d:"]).otherwise(bounds["*"])
-    return materialize(sims.filter(F.col("name_sim") >= bound))
+    return materialize(_name_scored(pairs).filter(F.col("name_sim") >= bound))
+
+
+def alike_names(sig: DataFrame, threshold: float) -> DataFrame | None:
+    """As :func:`name_candidates`, the pairs that need no block, if only names with a similarity of one
+    count there: an equi-join finds them.  Else None."""
+    if not _alike_only(threshold):
+        return None
+    bound = _name_bounds(threshold)["*"]
+    names = materialize(sig.filter(F.col("n_name") != "").select(F.col("n_name").alias("name")).distinct())
+    near = similar_name_candidates(names, bound).select(F.lit("*").alias("blk"), F.col("a").alias("name1"), F.col("b").alias("name2"))
+    return materialize(_name_scored(near).filter(F.col("name_sim") >= bound))
+
+
+def _name_bounds(threshold: float) -> dict[str, float]:
+    return {"p:": name_bound(threshold), "d:": name_bound(threshold, provider=False), "*": name_bound(threshold, False, False)}
+
+
+def _alike_only(threshold: float) -> bool:
+    """A pair without a block needs names of similarity one."""
+    return 1 - 1e-6 < _name_bounds(threshold)["*"] <= 1.0
+
+
+def _name_scored(pairs: DataFrame) -> DataFrame:
+    empty = (F.col("name1") == "") | (F.col("name2") == "")
+    return pairs.withColumn("name_sim", F.when(empty, F.lit(0.0)).otherwise(name_similarity_udf("name1", "name2")))
+
+
+def _both_ways(near: DataFrame) -> DataFrame:
+    return near.unionByName(near.filter("name1 < name2").select(
+        "blk", F.col("name2").alias("name1"), F.col("name1").alias("name2"), "name_sim"))
 
 
 def _band_width(pmin: float) -> int | None:
@@ -313,15 +349,15 @@ def pair_scores(sig: DataFrame, threshold: float) -> DataFrame:
     with itself).
 
     ``sig``: (sig_id, n_name, n_price, n_provider, n_duration).  Candidates share a
-    block (the normalised provider; below 0.8 also the duration) or, down from 0.7, are
-    found by a similarity join of all names, and have names similar enough to reach the
+    block (the normalised provider; below 0.8 also the duration; down from 0.7 all names) and have names similar enough to reach the
     threshold (:func:`name_bound`); the name similarity is computed once per name pair of a
     block, so signatures are paired only through similar names.  Thresholds go from 0.5 to 1.
     """
     if threshold < 0.5:
         raise ValueError("thresholds go from 0.5 to 1")
     once = (F.col("name1") < F.col("name2")) | (F.col("s1") <= F.col("s2"))
-    return _scored(name_candidates(sig, threshold), sig, sig, threshold, once)
+    near, alike = name_candidates(sig, threshold), alike_names(sig, threshold)
+    return _scored(near if alike is None else near.unionByName(alike), sig, sig, threshold, once)
 
 
 # ------------------------------------------------------------ greedy leaders
@@ -359,7 +395,8 @@ def _undominated(nodes: DataFrame, open_: DataFrame) -> DataFrame:
     return nodes.join(followers, "sig_id", "left_anti")
 
 
-#: Signatures of the first stretch of :func:`greedy_leaders`, and links that a later one may hold.
+#: Signatures of the first stretch of :func:`greedy_leaders`, and rows (similar name pairs, links)
+#: that a later one may hold.
 FIRST_STRETCH, STRETCH_LINKS = 4096, 1 << 22
 
 
@@ -367,16 +404,19 @@ def greedy_leaders(sigs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
     """(sig_id) of the leading signatures, and (sig_id, met): each follower with its first leader.
 
     ``sigs`` as in :func:`pair_scores`, ``sig_id`` a number in processing order.  The links of all
-    signatures are never stored: the order is taken in stretches, each decided by the links within
-    it; then what is similar to its leaders leaves the table, and pairs with them are reduced
-    to one row a signature where they are made.  The denser the links, the fewer signatures are
-    left; the sparser, the longer the next stretch."""
-    near = name_candidates(sigs, threshold)
-    near = near.unionByName(near.filter("name1 < name2").select(
-        "blk", F.col("name2").alias("name1"), F.col("name1").alias("name2"), "name_sim"))
+    signatures are never stored, nor the similar pairs of more than a few names: the order is taken in stretches, each decided
+    by the links within it; then what is similar to its leaders leaves the table, and pairs with them
+    are reduced to one row a signature where they are made.  The denser the links, the fewer signatures
+    are left; the sparser, the longer the next stretch."""
+    alike = alike_names(sigs, threshold)
+    # a few names that many signatures share are paired once, not in each stretch
+    named = _blocks(sigs, threshold).groupBy("blk").agg(F.count_distinct("n_name").alias("n"))
+    n_pairs = named.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    whole = _both_ways(name_candidates(sigs, threshold)) if n_pairs <= STRETCH_LINKS else None
     later = F.col("s1") < F.col("s2")
 
-    def links(first: DataFrame, second: DataFrame) -> DataFrame:
+    def links(near: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+        near = near if alike is None else near.unionByName(_both_ways(alike))
         return _scored(near, first, second, threshold, later).filter(F.col("score") >= threshold).select("s1", "s2")
 
     def first_met(found: DataFrame) -> DataFrame:
@@ -390,19 +430,22 @@ def greedy_leaders(sigs: DataFrame, threshold: float) -> tuple[DataFrame, DataFr
         if left > stretch:
             end = open_.agg(F.percentile_approx("sig_id", stretch / left, 10000)).first()[0]
         part = open_ if end is None else open_.filter(F.col("sig_id") <= end)
-        inside = materialize(links(part, part))
+        near = _both_ways(name_candidates(part, threshold)) if whole is None else whole
+        inside = materialize(links(near, part, part))
         lead = materialize(_undominated(part.select("sig_id"), inside.toDF("a", "b")))
         heads.append(lead)
         met.append(first_met(inside.join(lead.select(F.col("sig_id").alias("s1")), "s1")))
         if end is None:
             break
-        rest = open_.filter(F.col("sig_id") > end)
-        met.append(first_met(links(part.join(lead, "sig_id"), rest)))
+        rest, leaders = open_.filter(F.col("sig_id") > end), part.join(lead, "sig_id")
+        far = name_candidates(leaders, threshold, rest) if whole is None else whole
+        met.append(first_met(links(far, leaders, rest)))
         open_ = materialize(rest.join(met[-1].select("sig_id"), "sig_id", "left_anti"))
         left = open_.count()
-        n = max(inside.count(), 1)
-        # as many links a pair as in this stretch, or fewer
-        stretch = max(FIRST_STRETCH, min(4 * stretch, int(stretch * (STRETCH_LINKS / n) ** 0.5)))
+        # as many rows a pair as in this stretch, or fewer; those with the rest grow with the stretch alone
+        within, beyond = (inside.count(), 0) if whole is not None else (max(inside.count(), near.count()), far.count())
+        grown = min(4.0, (STRETCH_LINKS / max(within, 1)) ** 0.5, STRETCH_LINKS / max(beyond, 1))
+        stretch = max(FIRST_STRETCH, int(stretch * grown))
 
     def all_of(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
         for part in parts:

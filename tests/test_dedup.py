@@ -148,3 +148,37 @@ def test_name_pairs_are_scored_before_any_shuffle(spark, monkeypatch, threshold)
     for plan in plans:
         below = plan.split("ArrowEvalPython", 1)[1].split("Join", 1)[0]
         assert "Exchange" not in below and "Aggregate" not in below
+
+
+def test_many_names_of_a_provider_are_not_all_paired(spark, monkeypatch):
+    """At low thresholds most names of a provider are similar enough; their pairs are stored for a
+    stretch and its leaders alone, and the leaders are those of the plain greedy loop."""
+    import random
+    threshold, rng = 0.7, random.Random(11)
+    names = sorted({" ".join(rng.sample("red blue old new ring bolt plate gear hot cold large small".split(), 3)) for _ in range(200)})
+    rows = [(i, name, rng.choice(["$10", "$10.50", "$11"]), "acme", "") for i, name in enumerate(rng.sample(names, 60))]
+    table = spark.createDataFrame(rows, "sig_id long, n_name string, n_price string, n_provider string, n_duration string")
+    links = {tuple(sorted((r.s1, r.s2))) for r in dedup.pair_scores(table, threshold).collect() if r.score >= threshold}
+    every = dedup.name_candidates(table, threshold).filter("blk <> '*'").count()
+    stored, plain = [], dedup.materialize
+
+    def counted(df):
+        out = plain(df)
+        if "name_sim" in out.columns:
+            stored.append(out.filter("blk <> '*'").count())
+        return out
+
+    monkeypatch.setattr(dedup, "materialize", counted)
+    monkeypatch.setattr(dedup, "FIRST_STRETCH", 30)
+    monkeypatch.setattr(dedup, "STRETCH_LINKS", 1000)
+    heads, met = dedup.greedy_leaders(table, threshold)
+    leaders, first = [], {}
+    for i in range(len(rows)):
+        first[i] = next((x for x in leaders if (x, i) in links), i)
+        if first[i] == i:
+            leaders.append(i)
+    assert sorted(r.sig_id for r in heads.collect()) == leaders and 1 < len(leaders) < 30
+    # leaders that don't meet an earlier one meet none
+    got = {r.sig_id: r.met for r in met.groupBy("sig_id").agg(F.min("met").alias("met")).collect()}
+    assert {i: got.get(i, i) for i in first} == first
+    assert every > 1000 and max(stored) < every * 2 / 3
