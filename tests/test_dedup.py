@@ -182,3 +182,108 @@ def test_many_names_of_a_provider_are_not_all_paired(spark, monkeypatch):
     got = {r.sig_id: r.met for r in met.groupBy("sig_id").agg(F.min("met").alias("met")).collect()}
     assert {i: got.get(i, i) for i in first} == first
     assert every > 1000 and max(stored) < every * 2 / 3
+
+
+SIG_SCHEMA = "sig_id long, n_name string, n_price string, n_provider string, n_duration string"
+
+
+def _some_signatures(names, count, seed=7):
+    import random
+    rng = random.Random(seed)
+    prices = ["$10", "$10.5", "$19", "$0", "$300", "call us", "call me", "", None]
+    rows = {(rng.choice(names), rng.choice(prices + [f"${i}.25" for i in range(8, 40)]), rng.choice(["acme", "bolts", None]),
+             rng.choice(["30 minute", "1 hour", ""])) for _ in range(count)}
+    return [(i, *row) for i, row in enumerate(sorted(rows, key=str))]
+
+
+def _shuffled_rows(df):
+    """The rows that the shuffles of ``df`` write, and the columns of each shuffle; one that is read twice counts once."""
+    df.collect()
+    found = []
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            walk(plan.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            walk(plan.plan())
+        elif kind != "ReusedExchangeExec":
+            if kind == "ShuffleExchangeExec":
+                found.append((plan.metrics().apply("shuffleRecordsWritten").value(), plan.output().mkString(",")))
+            for i in range(plan.children().size()):
+                walk(plan.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sum(n for n, _ in found), " ".join(cols for _, cols in found)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_signatures_are_shuffled_once_a_similar_name_and_not_for_each_key(spark, no_broadcast):
+    rows = [r for r in _some_signatures(["red widget", "red widgets", "red wodget", "red wodgets"], 900) if r[3]]
+    n, _ = _shuffled_rows(dedup.pair_scores(spark.createDataFrame(rows, SIG_SCHEMA), 0.8))
+    # by name for either side (2), as the second (1) and as the first of a pair (2.5 names each)
+    assert len(rows) > 200 and n < 8 * len(rows)
+
+
+def test_ids_of_columns_are_made_behind_the_shuffle(spark, no_broadcast):
+    cols = SIGNATURE
+    rows = _some_signatures(["red widget", "red wodget", "blue bolt"], 120)
+    table = spark.createDataFrame(rows, SIG_SCHEMA)
+    ids = dedup.signature_id(*cols)
+    made = dedup.pair_scores(table.drop("sig_id"), 0.8, ids)
+    n, columns = _shuffled_rows(made)
+    assert n and "sig_id" not in columns and "s1" not in columns
+    of = {r.sig_id: r.made for r in table.select("sig_id", ids.alias("made")).collect()}
+    # of two alike names the first of a pair is the one with the lesser id
+    want = {(frozenset((of[r.s1], of[r.s2])), r.score) for r in dedup.pair_scores(table, 0.8).collect()}
+    got = [(frozenset((r.s1, r.s2)), r.score) for r in made.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.7, 0.5])
+def test_a_hot_name_is_cut_in_cells_that_make_each_pair_once(spark, monkeypatch, threshold):
+    """Signatures of few names, in cells of 8, against all pairs scored by a plain loop."""
+    from pricesieve.functions.similarity import name_similarity, similarity
+    rows = _some_signatures(["red widget", "red wodget", "widget", "blue bolt", "!", ""], 260)
+    monkeypatch.setattr(dedup, "LEAST_CELL", 2)
+    monkeypatch.setattr(dedup, "MOST_CELL", 8)
+    monkeypatch.setattr(dedup, "TASK_PAIRS", 64)
+    found = [r for r in dedup.pair_scores(spark.createDataFrame(rows, SIG_SCHEMA), threshold).collect()]
+    got = {frozenset((r.s1, r.s2)): r.score for r in found}
+    assert len(got) == len(found)
+
+    def number(p):
+        return float(p[1:]) if p and p[0] == "$" else None
+
+    def score(x, y):
+        name = name_similarity(x[1], y[1]) if x[1] and y[1] else 0.0
+        provider, duration = x[3] is not None and x[3] == y[3], x[4] != "" and x[4] == y[4]
+        name = min(1.0, name + 0.15) if provider and name > 0.7 else name
+        name = min(1.0, name + 0.1) if duration and name > 0.6 else name
+        a, b = number(x[2]), number(y[2])
+        if not x[2] or not y[2]:
+            price = 0.0
+        elif a is not None and b is not None:
+            price = 1.0 if a == b else 1.0 - abs(a - b) / max(a, b)
+        else:
+            price = similarity(x[2], y[2])
+        return 0.5 * name + 0.2 * price + (0.2 if provider else 0.0) + (0.1 if duration else 0.0)
+
+    want = {frozenset((x[0], y[0])): s for i, x in enumerate(rows) for y in rows[i:] if (s := score(x, y)) >= threshold}
+    assert len(want) > 500 and {k: s for k, s in got.items() if s >= threshold} == want
+
+
+@pytest.mark.parametrize("query", ["pair_scores"])
+def test_pair_queries_shuffle_no_ids(spark, no_broadcast, query):
+    """The signature is a pair's id: it is made behind the shuffle, not sent beside its own columns."""
+    from pricesieve.plans.registry import QUERIES, load_all
+    load_all()
+    n, columns = _shuffled_rows(QUERIES[query](spark, SF))
+    assert n and "n_price" in columns and not any(c in columns for c in ("sig_id", "s1", "s2"))
