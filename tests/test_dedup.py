@@ -280,7 +280,7 @@ def test_a_hot_name_is_cut_in_cells_that_make_each_pair_once(spark, monkeypatch,
     assert len(want) > 500 and {k: s for k, s in got.items() if s >= threshold} == want
 
 
-@pytest.mark.parametrize("query", ["pair_scores"])
+@pytest.mark.parametrize("query", ["pair_scores", "pair_links"])
 def test_pair_queries_shuffle_no_ids(spark, no_broadcast, query):
     """The signature is a pair's id: it is made behind the shuffle, not sent beside its own columns."""
     from pricesieve.plans.registry import QUERIES, load_all
